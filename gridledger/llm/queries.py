@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from gridledger.llm import exact_dedup, mixing, sharding, simhash
+from gridledger.llm import chat, exact_dedup, langid, media, mixing, pieces, secrets, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_langid": langid.op1_langid,
         "op2_mixing": mixing.op2_mixing,
         "op3_simhash": simhash.op3_simhash,
+        "op4_secrets": secrets.op4_secrets,
+        "op5_media": media.op5_media,
+        "op6_chat": chat.op6_chat,
         "op7_sharding": sharding.op7_sharding,
+        "op9_pieces": pieces.op9_pieces,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
@@ -17,5 +22,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.OP2_SQL,
+        "op4_secrets": secrets.OP4_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
