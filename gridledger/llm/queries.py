@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridledger.llm import chat, exact_dedup, langid, media, mixing, pieces, secrets, sharding, simhash
+from gridledger.llm import chat, exact_dedup, langid, media, mixing, pieces, repeats, secrets, sharding, simhash
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_media": media.op5_media,
         "op6_chat": chat.op6_chat,
         "op7_sharding": sharding.op7_sharding,
+        "op8_repeats": repeats.op8_repeats,
         "op9_pieces": pieces.op9_pieces,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
