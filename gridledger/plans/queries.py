@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from gridledger.plans import automation, coverage, dashboards, ingest, quality, snapshots  # noqa: F401
+from gridledger.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
