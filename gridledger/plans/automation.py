@@ -62,9 +62,8 @@ UNION ALL SELECT o_custkey % 50, 1, 'partial', count(*) FILTER (o_orderstatus =
 p AS (SELECT release, name AS upper, n, lag(name) OVER w AS lower, lag(n) OVER w AS ln FROM t WINDOW w AS (PARTITION BY release ORDER BY ord))
 SELECT release, lower, upper, 'rows' AS unit, ln::DOUBLE AS lower_value, n::DOUBLE AS upper_value, CASE WHEN ln = 0 OR n = 0 THEN 'not checked' WHEN n >= ln THEN 'violated' ELSE 'holds' END AS verdict FROM p WHERE lower IS NOT NULL""")
 def pyramid(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("release"))
     n = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    layer = lambda at, name, count, tests: F.struct(F.lit(at).alias("ord"), F.lit(name).alias("name"), count.alias("n"), tests.alias("tests"))
-    parts = [layer(0, "open", n("O"), n("O") * 2), layer(1, "partial", n("P"), F.nullif(n("P"), n("P"))), layer(2, "final", n("F"), n("F") * 3)]
-    a = o.agg(F.array(*[x.cast("struct<ord:int,name:string,n:bigint,tests:bigint>") for x in parts]).alias("l"))
+    a = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("release")).agg(n("O").alias("o"), n("P").alias("p"), n("F").alias("f"))
+    layer = lambda at, name, count, tests: F.struct(F.lit(at).alias("ord"), F.lit(name).alias("name"), F.col(count).alias("n"), tests.cast("long").alias("tests"))
+    a = a.select("release", F.array(layer(0, "open", "o", F.col("o") * 2), layer(1, "partial", "p", F.lit(None)), layer(2, "final", "f", F.col("f") * 3)).alias("l"))
     return G.pyramid(a.select("release", F.inline("l")), ["release"], "ord", "name", "n", "tests")

@@ -30,7 +30,7 @@ def loaded_sheets(spark, sf_dir):
     out = I.load(grid(spark, sf_dir))
     data = out["data"].groupBy("file").agg(F.count("*").alias("n_rows"), F.count_distinct("section").alias("n_sections"), F.count_distinct("row_key").alias("n_keys"))
     cols = out["columns"].groupBy("file").agg(F.count("*").alias("n_columns"), F.count_if(F.col("type") == "number").alias("n_numbers"))
-    return cols.join(data, "file", "left").join(out["rejects"], "file", "left").join(out["separators"], "file", "left")
+    return cols.join(data, "file", "left").join(out["rejects"], "file", "full_outer").join(out["separators"], "file", "left")
 
 
 @query()
