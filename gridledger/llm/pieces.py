@@ -7,8 +7,8 @@ reached, in proportion to these sums: exact draws from all segmentations. Draws
 the row key and the position, so they don't depend on batches, order or retries.
 
 No piece crosses the end of a word (spaces belong to the next word) or a line break, so words are
-independent parts of the lattice; each different word is filtered once in a task, and the draws of a
-batch are made with numpy. The model's pieces have ranks, not probabilities; a piece weighs
+independent parts of the lattice. Each different word of a batch is filtered once, all of them together,
+and all draws of a batch go on side by side. The model's pieces have ranks, not probabilities; a piece weighs
 1 / (rank + offset) to the power `alpha`.
 
 Decoding joins the pieces' bytes and gives the text back exactly, whatever its white space or characters.
@@ -21,9 +21,8 @@ not read.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +37,22 @@ ALPHA = 1.0
 RANK_OFFSET = 10
 #: Weight of a character that has only byte pieces.
 FALLBACK_LOG = -12.0
-#: Different words and arcs that a task remembers.
-WORDS, ARCS = 200_000, 8_000_000
+#: Characters that a task filters together.
+BATCH_CHARS = 1 << 21
 #: Marks a space at the front of pieces.
 SPACE = "▁"
 
 
 class Pieces:
-    """The pieces of a model: text form, id, weight, bytes."""
+    """The pieces of a model: a trie over their characters, their ids, weights and bytes."""
 
     def __init__(self, path: str = MODEL, alpha: float = ALPHA):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
-        self.logs: dict[str, tuple[int, float]] = {}
         self.raw: list[bytes] = []
         self.byte_ids = np.zeros(256, np.int32)
+        texts: dict[str, int] = {}
         for k in range(model.get_piece_size()):
             piece = model.id_to_piece(k)
             if model.is_byte(k):
@@ -64,72 +63,121 @@ class Pieces:
             else:
                 text = piece.replace(SPACE, " ")
                 self.raw.append(text.encode())
-                self.logs[text] = (k, -alpha * math.log(k + RANK_OFFSET))
-        self.longest = max(map(len, self.logs))
-        if any(" " in p.lstrip(" ") or "\n" in p for p in self.logs):
+                texts[text] = k
+        if any(" " in p.lstrip(" ") or "\n" in p for p in texts):
             raise ValueError("a piece crosses the end of a word")
-
-    def arcs_to(self, word: str, end: int) -> list[tuple[int, int, float]]:
-        """(length, id, log weight) of the arcs that end there; id -1 stands for the character's byte pieces."""
-        logs, found = self.logs, []
-        for start in range(max(0, end - self.longest), end):
-            hit = logs.get(word[start:end])
-            if hit:
-                found.append((end - start, *hit))
-        if not found or found[-1][0] != 1:
-            found.append((1, -1, FALLBACK_LOG))
-        return found
+        self.weights = -alpha * np.log(np.arange(len(self.raw)) + float(RANK_OFFSET))
+        letters = sorted({ord(c) for p in texts for c in p})
+        self.letters = np.zeros(max(letters) + 2, np.int64)  # by code point; 0 for characters in no piece
+        self.letters[letters] = np.arange(1, len(letters) + 1)
+        self.spread = len(letters) + 1
+        steps: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for text, k in texts.items():
+            node = 0
+            for c in text:
+                node = steps.setdefault(node * self.spread + int(self.letters[ord(c)]), len(steps) + 1)
+            ends[node] = k
+        self.steps = np.array(sorted(steps), np.int64)
+        self.to = np.array([steps[x] for x in self.steps.tolist()], np.int64)
+        self.piece = np.full(len(steps) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
 
     def decode(self, ids: list[int]) -> bytes:
         raw = self.raw
         return b"".join([raw[k] for k in ids])
 
 
+@lru_cache(maxsize=2)
+def pieces_of_model(path: str = MODEL, alpha: float = ALPHA) -> Pieces:
+    """A process reads a model once."""
+    return Pieces(path, alpha)
+
+
 class Lattice:
-    """Filtered words: for each position of each word, its arcs with cumulative probabilities.
-
-    The arcs of node v hold v + probability, summed up, so one search over all arcs draws for any node."""
-
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.nodes, self.first = pieces, 0, {}
-        self.ups, self.lengths, self.ids = array("d"), array("i"), array("i")
-
-    def add(self, word: str) -> int:
-        """The node of the word's start; the one of its end is as much further as the word is long."""
-        base = self.first.get(word)
-        if base is not None:
-            return base
-        base = self.first[word] = self.nodes
-        sums = [0.0]
-        for end in range(1, len(word) + 1):
-            arcs = self.pieces.arcs_to(word, end)
-            logs = [sums[end - n] + w for n, _, w in arcs]
-            most = max(logs)
-            shares = [math.exp(x - most) for x in logs]
-            total, up = sum(shares), 0.0
-            sums.append(most + math.log(total))
-            for (n, k, _), share in zip(arcs, shares):
-                up += share / total
-                self.ups.append(base + end + up)
-                self.lengths.append(n)
-                self.ids.append(k)
-            self.ups[-1] = base + end + 1.0
-        self.nodes += len(word) + 1
-        return base
-
-    def draw(self, nodes: np.ndarray, left: np.ndarray, ends: np.ndarray, keys: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The filtered lattices of different words: for each end of an arc, its arcs with cumulative probabilities.
+
+    Node first[w] + j stands for position j of word w, from 0 on. The arcs to node v hold v + probability,
+    summed up, so one search over all arcs draws for any node. All words are filtered together, position
+    by position."""
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.first = np.concatenate([[0], np.cumsum(sizes + 1)])
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        word = np.repeat(np.arange(len(words)), sizes)
+        start = np.arange(len(points)) + word  # node before each character
+        last = self.first[word] + sizes[word]
+        letter = np.where(points < len(pieces.letters), pieces.letters[np.minimum(points, len(pieces.letters) - 1)], 0)
+        froms, tos, ids = [], [], []
+        alive, node, plain = np.arange(len(points)), np.zeros(len(points), np.int64), np.ones(len(points), bool)
+        size = 0
+        while len(alive):
+            key = node * pieces.spread + letter[alive + size]
+            at = np.minimum(np.searchsorted(pieces.steps, key), len(pieces.steps) - 1)
+            on = (pieces.steps[at] == key) & (letter[alive + size] > 0)
+            alive, node = alive[on], pieces.to[at[on]]
+            size += 1
+            hit = pieces.piece[node] >= 0
+            froms.append(start[alive[hit]])
+            tos.append(start[alive[hit]] + size)
+            ids.append(pieces.piece[node[hit]])
+            if size == 1:
+                plain[alive[hit]] = False
+            more = start[alive] + size < last[alive]
+            alive, node = alive[more], node[more]
+        # characters without a piece of their own
+        froms.append(start[plain])
+        tos.append(start[plain] + 1)
+        ids.append(np.full(int(plain.sum()), -1))
+        from_, to, id_ = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
+        order = np.argsort(to, kind="stable")
+        from_, to, self.ids = from_[order], to[order], id_[order].astype(np.int32)
+        self.lengths = to - from_
+        self.ups = self._filter(from_, to, np.where(self.ids < 0, FALLBACK_LOG, pieces.weights[self.ids]), sizes)
+
+    def _filter(self, from_: np.ndarray, to: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        sums, ups = np.zeros(self.first[-1]), np.zeros(len(to))
+        if not len(to):
+            return ups
+        heads = np.concatenate([[0], np.nonzero(np.diff(to))[0] + 1])  # first arc to each node
+        tails = np.concatenate([heads[1:], [len(to)]])
+        nodes = to[heads]
+        depth = nodes - self.first[np.searchsorted(self.first, nodes, "right") - 1]  # position within the word
+        by_depth = np.argsort(depth, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(depth)[1:])])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            group = by_depth[a:b]
+            n = tails[group] - heads[group]
+            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+            arcs = np.repeat(heads[group] - begin, n) + np.arange(int(n.sum()))
+            logs = sums[from_[arcs]] + weight[arcs]
+            most = np.maximum.reduceat(logs, begin)
+            share = np.exp(logs - np.repeat(most, n))
+            total = np.add.reduceat(share, begin)
+            sums[nodes[group]] = most + np.log(total)
+            share /= np.repeat(total, n)
+            up = np.cumsum(share)
+            up -= np.repeat(up[begin] - share[begin], n)
+            up[begin + n - 1] = 1.0
+            ups[arcs] = to[arcs] + np.minimum(up, 1.0)
+        return ups
+
+    def draw(self, words: np.ndarray, ends: np.ndarray, keys: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """The piece that ends at each of `size` characters: an id, -1 for byte pieces, or -2 for none.
 
-        nodes, left: end node and length of each word; ends: its end among all characters; keys, starts:
-        row key and first character of its text."""
+        words: numbers of the words that stand one after another; ends: their ends among all characters;
+        keys, starts: row key and first character of their texts."""
         out = np.full(size, -2, np.int32)
-        ups, lengths, ids = np.frombuffer(self.ups), np.frombuffer(self.lengths, np.int32), np.frombuffer(self.ids, np.int32)
+        base = self.first[words]
+        nodes = self.first[words + 1] - 1
         while len(nodes):
-            arc = np.searchsorted(ups, nodes + uniform(keys, ends - starts), "right")
-            out[ends - 1] = ids[arc]
-            step = lengths[arc]
-            on = left > step
-            nodes, left, ends, keys, starts = (nodes - step)[on], (left - step)[on], (ends - step)[on], keys[on], starts[on]
+            arc = np.searchsorted(self.ups, nodes + uniform(keys, ends - starts), "right")
+            out[ends - 1] = self.ids[arc]
+            step = self.lengths[arc]
+            nodes, ends = nodes - step, ends - step
+            on = nodes > base
+            nodes, base, ends, keys, starts = nodes[on], base[on], ends[on], keys[on], starts[on]
         return out
 
 
@@ -152,18 +200,18 @@ def row_key(doc_id: int | None, seed: int = SEED) -> int:
 _WORDS = re.compile(r" *[^ \n]+| +|\n")
 
 
-def encode_batch(lattice: Lattice, doc_ids: list, texts: list[str], seed: int = SEED) -> list[np.ndarray]:
+def encode_batch(pieces: Pieces, doc_ids: list, texts: list[str], seed: int = SEED) -> list[np.ndarray]:
     """The sampled ids of each text."""
     words = [_WORDS.findall(t) for t in texts]
-    add = lattice.add
-    flat = [w for ws in words for w in ws]
-    base = np.fromiter((add(w) for w in flat), np.int64, len(flat))
-    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+    known: dict[str, int] = {}
+    number = np.array([known.setdefault(w, len(known)) for ws in words for w in ws], np.int64)
+    lattice = Lattice(pieces, list(known))
+    sizes = (np.diff(lattice.first) - 1)[number]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     chars = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.concatenate([[0], np.cumsum(chars)])
     keys = np.array([row_key(d, seed) for d in doc_ids], np.uint64)
-    at = lattice.draw(base + sizes, sizes, np.cumsum(sizes), np.repeat(keys, counts), np.repeat(first[:-1], counts), int(first[-1]))
+    at = lattice.draw(number, np.cumsum(sizes), np.repeat(keys, counts), np.repeat(first[:-1], counts), int(first[-1]))
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     out = []
     for k in range(len(texts)):
@@ -175,7 +223,7 @@ def encode_batch(lattice: Lattice, doc_ids: list, texts: list[str], seed: int =
             wide = np.ones(len(ids), np.int64)
             wide[bare] = 1 + (alone >= 0x80) + (alone >= 0x800) + (alone >= 0x10000)
             ids, spread = np.repeat(ids, wide), np.repeat(bare, wide)
-            ids[spread] = lattice.pieces.byte_ids[np.frombuffer(alone.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+            ids[spread] = pieces.byte_ids[np.frombuffer(alone.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
         out.append(ids)
     return out
 
@@ -183,17 +231,26 @@ def encode_batch(lattice: Lattice, doc_ids: list, texts: list[str], seed: int =
 OUT = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, lossless boolean"
 
 
+def _parts(batch):
+    """(doc_ids, texts) of at most BATCH_CHARS characters, unless one text has more."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        if texts and size + len(text) > BATCH_CHARS:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(doc_id)
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield ids, texts
+
+
 def _sample(path: str, alpha: float, seed: int, with_ids: bool):
     def run(batches):
-        pieces = Pieces(path, alpha)
-        lattice = Lattice(pieces)
+        pieces = pieces_of_model(path, alpha)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                if len(lattice.first) > WORDS or len(lattice.ids) > ARCS:
-                    lattice = Lattice(pieces)
-                doc_ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                found = encode_batch(lattice, doc_ids, texts, seed)
+            for doc_ids, texts in (x for part in common.pieces_of(batch) for x in _parts(part)):
+                found = encode_batch(pieces, doc_ids, texts, seed)
                 rows = []
                 for doc_id, text, ids in zip(doc_ids, texts, found):
                     back = pieces.decode(ids.tolist())
@@ -219,7 +276,7 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id and text of rows with doc_id and ids."""
 
     def run(batches):
-        pieces = Pieces(path)
+        pieces = pieces_of_model(path)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([pieces.decode(x).decode() for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
