@@ -73,6 +73,11 @@ def bytes_of(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def id_keys() -> list[Column]:
+    """doc_id as two columns without nulls, to join and group by."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_gl_id"), F.col("doc_id").isNull().alias("_gl_no_id")]
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI, for tasks that read or write shared files themselves."""
     from pyarrow import fs

@@ -121,11 +121,11 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
 
 def drop_copies(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, capacity, max_depth).filter("kept").select(F.col("doc_id").alias("_gl_id"), F.col("text_sha256").alias("_gl_sha"))
-    named = docs.withColumn("_gl_text_sha", F.sha2(common.bytes_of(), 256))
-    out = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.col("_gl_text_sha") == F.col("_gl_sha")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_gl_text_sha"]).drop("_gl_text_sha")
+    """The rows of docs that stay, with all their columns. Documents are shuffled once, by id and text."""
+    kept = exact_dedup(docs, capacity, max_depth).filter("kept").select(*common.id_keys(), F.col("text_sha256").alias("_gl_sha"))
+    named = docs.select("*", *common.id_keys(), F.sha2(common.bytes_of(), 256).alias("_gl_sha"))
+    keys = ["_gl_id", "_gl_no_id", "_gl_sha"]
+    return named.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

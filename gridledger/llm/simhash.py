@@ -178,9 +178,11 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, t
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each component: the one that gives the component its id."""
-    stay = near_groups(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gl_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_gl_id")), "left_semi")
+    """docs with one document of each component: the one that gives the component its id. Of rows that repeat its
+    doc_id and text, one stays."""
+    stay = near_groups(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*common.id_keys()).distinct()
+    named = docs.select("*", *common.id_keys(), F.sha2(common.bytes_of(), 256).alias("_gl_sha"))
+    return named.join(stay, ["_gl_id", "_gl_no_id"], "left_semi").dropDuplicates(["_gl_id", "_gl_no_id", "_gl_sha"]).select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
