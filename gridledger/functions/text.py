@@ -37,10 +37,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _spaced(c: Column | str) -> Column:
+    return F.trim(F.regexp_replace(F.translate(_col(c), "\u00a0", " "), r"\s+", " "))
+
+
 def clean(c: Column | str) -> Column:
     """Non-breaking spaces to spaces, runs of white space to one space, trimmed; empty gives null."""
-    text = F.trim(F.regexp_replace(F.translate(_col(c), " ", " "), r"\s+", " "))
-    return F.nullif(text, F.lit(""))
+    return F.nullif(_spaced(c), F.lit(""))
 
 
 def number_of(c: Column | str) -> Column:
@@ -50,12 +53,19 @@ def number_of(c: Column | str) -> Column:
 
 
 def norm_cell(c: Column | str) -> Column:
-    """struct(s, n): canonical text, and the number if the cell is one. Integral numbers lose their point."""
-    text = clean(c)
-    n = number_of(text)
-    whole = (n == F.floor(n)) & (F.abs(n) < 1e15)
-    s = F.when(n.isNull(), text).when(whole, n.cast("decimal(18,0)").cast("string")).otherwise(n.cast("string"))
-    return F.when(text.isNotNull(), F.struct(s.alias("s"), n.alias("n")))
+    """struct(s, n): canonical text, and the number if the cell is one. Integral numbers lose their point.
+
+    Steps are bound by lambdas over one element, so that each is evaluated once."""
+
+    def written(cell: Column) -> Column:
+        text, n = cell["t"], cell["n"]
+        whole = (n == F.floor(n)) & (F.abs(n) < 1e15)
+        s = F.when(n.isNull(), text).when(whole, n.cast("decimal(18,0)").cast("string")).otherwise(n.cast("string"))
+        return F.when(text.isNotNull(), F.struct(s.alias("s"), n.alias("n")))
+
+    cells = F.transform(F.array(_spaced(c)), lambda t: F.nullif(t, F.lit("")))
+    numbered = F.transform(cells, lambda t: F.struct(t.alias("t"), number_of(t).alias("n")))
+    return F.get(F.transform(numbered, written), 0)
 
 
 def cell_shape(s: Column | str, n: Column | str) -> Column:
@@ -120,12 +130,16 @@ def family_of(c: Column | str) -> Column:
 
 def read_identifier(c: Column | str, pattern: str | None = None) -> Column:
     """struct(key, display, family) of a cell: its first token; without an override, also a short cell with a digit."""
-    text = clean(c)
     own = checked_pattern(pattern)
-    first = F.get(tokens(text, own), 0)
-    whole = F.when((F.length(text) <= MAX_ID_LENGTH) & text.rlike(r"\d"), text) if own is None else F.lit(None).cast("string")
-    display = F.coalesce(first, whole)
-    return F.when(display.isNotNull(), F.struct(canonical(display).alias("key"), display.alias("display"), family_of(display).alias("family")))
+
+    def shown(text: Column) -> Column:
+        first = F.get(tokens(text, own), 0)
+        whole = F.when((F.length(text) <= MAX_ID_LENGTH) & text.rlike(r"\d"), text) if own is None else F.lit(None).cast("string")
+        return F.coalesce(first, whole)
+
+    # bound by lambdas over one element, so that each step is evaluated once
+    displays = F.transform(F.transform(F.array(clean(c)), shown), lambda d: F.when(d.isNotNull(), F.struct(canonical(d).alias("key"), d.alias("display"), family_of(d).alias("family"))))
+    return F.get(displays, 0)
 
 
 def natural_key(c: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridledger.functions import text as T
 from gridledger.operators import facts as G
+from gridledger.operators import ingest as I
 from gridledger.operators import quality as Q
 from gridledger.operators import snapshots as S
 from gridledger.plans.registry import query, table
@@ -123,3 +124,18 @@ def measure_identities(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.explode(F.array(F.lit("No. of Test Cases"), F.lit("Automated Test Count"))).alias("label"))
     return p.groupBy(T.measure_identity("label", F.lit("p_size")).alias("measure")).agg(F.count("*").alias("n"))
 
+
+
+@query("""WITH m AS (SELECT l_suppkey AS file, count(*) FILTER (l_orderkey % 50 = 0) AS separators FROM lineitem GROUP BY 1)
+SELECT file, 'separator_rows' AS code, 'notice' AS severity, separators || ' row(s) without any number were read as separators.' AS message FROM m WHERE separators > 0
+UNION ALL SELECT file, 'no_header', 'notice', 'The sheet has no header row, so its columns are numbered.' FROM m WHERE file % 4 = 0""")
+def structure_warnings(spark, sf_dir):
+    """Line items of a supplier whose numbers are blank for some orders; every fourth sheet has no header."""
+    blank = lambda c: F.when(F.col("l_orderkey") % 50 != 0, T.norm_cell(F.col(c).cast("string")))
+    li = table(spark, sf_dir, "lineitem")
+    data = li.select(F.col("l_suppkey").alias("file"), F.array(T.norm_cell("l_returnflag"), blank("l_quantity"), blank("l_tax")).alias("vals"))
+    kinds = spark.createDataFrame([(0, "Flag"), (1, "Quantity"), (2, "Tax")], "pos int, label string")
+    columns = li.select(F.col("l_suppkey").alias("file")).distinct().crossJoin(F.broadcast(kinds))  # three rows
+    separators = I.drop_separators(data, I.infer_types(data, columns))[1]
+    headers = columns.select("file").distinct().withColumn("header_row", F.when(F.col("file") % 4 != 0, 0))
+    return Q.structure_warnings(separators, headers)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridledger.functions import text as T
+from gridledger.operators import coverage as C
 from gridledger.operators import snapshots as S
 from gridledger.plans.dashboards import two_files
 from gridledger.plans.registry import query, table
@@ -213,3 +214,13 @@ def file_manifest(spark, sf_dir):
 def natural_order(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", T.natural_key(F.concat(F.lit("k"), F.col("o_orderkey"))).alias("k"))
     return o.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("k")).alias("place"))
+
+
+@query(LOADS + """, cur AS (SELECT file, max(snapshot_id) AS snapshot_id FROM loads WHERE layer = 'purchase' GROUP BY file)
+SELECT file % 10 AS part, count(*) AS n_rows, CAST(sum(length(props)) AS BIGINT) AS chars FROM cur JOIN events e ON e.event_id = cur.snapshot_id GROUP BY 1""")
+def layer_rows(spark, sf_dir):
+    """Rows of the purchase layer's current snapshots."""
+    current = S.current_snapshots(loads(spark, sf_dir), ["layer", "file"])
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_id", "snapshot_id")
+    rows = C.layer_rows(e, current, "purchase")
+    return rows.groupBy((F.col("user_id") % 10).alias("part")).agg(F.count("*").alias("n_rows"), F.sum(F.length("props")).cast("long").alias("chars"))
