@@ -4,9 +4,11 @@
    (a shorter text is one shingle; no word: fingerprint zero), XXH64 with seed 42, a bit is 1 if set in
    over half of the hashes. Long texts are counted in slices.
 2. Only different fingerprints are compared, so copies cost nothing. Two within `radius` bits agree on
-   at least one of radius + 1 bands of bits, so a tile holds the fingerprints of one band value. A tile
-   of over `tile_rows` is cut by population count (and hash); pairs of its tiles whose counts differ by
-   more than the radius are skipped, the others are compared by any task.
+   at least `agree` of radius + agree bands of bits, so a tile holds the fingerprints that are equal on
+   one choice of `agree` bands. More bands agree where there are more fingerprints, which keeps tiles
+   small at any size; no choice loses a link. A tile of over `tile_rows` is cut by population count (and
+   hash); pairs of its tiles whose counts differ by more than the radius are skipped, the others are
+   compared by any task.
 3. In a tile, numpy compares blocks by exclusive-or and bit counts, again only within the radius of the
    population counts, and hands on a spanning forest of the links found: never all pairs of a group.
 4. Components of the forest give each document the smallest doc_id that it reaches.
@@ -18,6 +20,8 @@ are null; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +78,17 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return common.arrow_map(rows, _fingerprints(shingle), "doc_id long, bits long")
 
 
-def bands_of(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bands that cover 64 bits."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def masks_of(radius: int = RADIUS, agree: int = 1) -> list[int]:
+    """The bits of each choice of `agree` out of radius + agree bands, as signed longs."""
+    n = radius + agree
+    edges = [64 * k // n for k in range(n + 1)]
+    bands = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    return [int(np.uint64(sum(c)).view(np.int64)) for c in combinations(bands, agree)]
+
+
+def agreeing(n: int, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> int:
+    """The fewest agreeing bands by which random fingerprints fill tiles to a fourth on average."""
+    return next((a for a in (1, 2, 3) if n >> (64 * a // (radius + a)) <= tile_rows // 4), 4)
 
 
 def forest(bits: np.ndarray, sides: np.ndarray, across: bool, radius: int = RADIUS, block: int = 256) -> list[tuple[int, int]]:
@@ -139,9 +150,9 @@ def _links(radius: int):
     return run
 
 
-def tiles(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def tiles(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, agree: int = 1) -> DataFrame:
     """(tile, bits, side, across): the rows of tiles and of pairs of tiles to compare."""
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("bits", s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for k, (s, w) in enumerate(bands_of(radius))])
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.col("bits").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks_of(radius, agree))])
     rows = prints.select("bits", F.bit_count("bits").cast("int").alias("pop"), F.explode(bands).alias("b")).select("bits", "pop", "b.band", "b.value")
     sums = rows.groupBy("band", "value", "pop").agg(F.count("*").alias("n"))
     large = sums.groupBy("band", "value").agg(F.sum("n").alias("all")).filter(F.col("all") > tile_rows).select("band", "value")
@@ -159,10 +170,11 @@ def tiles(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
     return plain.union(paired)
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, agree: int | None = None) -> DataFrame:
     """Edges (a, b) between different fingerprints: in each tile a spanning forest of its links."""
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiles(prints, radius, tile_rows).repartition(n, "tile").sortWithinPartitions("tile", "across")
+    agree = agree or agreeing(prints.count(), radius, tile_rows)
+    dealt = tiles(prints, radius, tile_rows, agree).repartition(n, "tile").sortWithinPartitions("tile", "across")
     return common.arrow_map(dealt, _links(radius), "a long, b long")
 
 

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridledger.llm import simhash as H
+from gridledger.llm.components import components
 from tests.llm.helpers import AWKWARD, docs
 
 
@@ -61,10 +62,8 @@ def test_tiles_lose_no_link(spark):
                 x ^= 1 << b
     want = groups_of(prints)
     df = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in set(prints.values())], "bits long")
-    for rows in (4096, 20, 5):
-        from gridledger.llm.components import components
-
-        roots = {r.node: r.root for r in components(H.links(df, tile_rows=rows)).collect()}
+    for rows, agree in ((4096, 1), (20, 2), (5, 1), (4096, 3), (20, None)):
+        roots = {r.node: r.root for r in components(H.links(df, tile_rows=rows, agree=agree)).collect()}
         signed = {i: int(np.uint64(v).view(np.int64)) for i, v in prints.items()}
         root = {i: roots.get(signed[i], signed[i]) for i in prints}
         assert len({(want[i], root[i]) for i in prints}) == len(set(want.values())) == len(set(root.values()))
@@ -80,3 +79,13 @@ def test_awkward(spark):
     d = docs(spark, AWKWARD)
     left = H.drop_near_copies(d)
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {1, 3, 5, 6, None}
+
+
+def test_bands():
+    assert H.agreeing(1000) == 1 and H.agreeing(14_000_000) == 2 and H.agreeing(40_000_000_000) == 3
+    for agree, choices in ((1, 5), (2, 15), (3, 35)):
+        masks = [m % (1 << 64) for m in H.masks_of(4, agree)]
+        assert len(masks) == choices
+        for flipped in ((0, 1, 2, 3), (3, 20, 41, 63), (12, 25, 38, 51)):
+            x = sum(1 << b for b in flipped)
+            assert any(x & m == 0 for m in masks)
