@@ -51,8 +51,7 @@ def dominant_family(rows: DataFrame, partition: list[str], order: str) -> DataFr
     """One row: the family that most read rows carry (no family counts as one); on ties the first seen."""
     place = F.struct(*partition, order)
     each = rows.filter(F.col("key").isNotNull()).groupBy("family").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    most = each.groupBy().agg(F.max("n").alias("n"))
-    return each.join(most, "n").groupBy().agg(F.min_by("family", "at").alias("family"))
+    return each.groupBy().agg(F.min(F.struct(-F.col("n"), "at", "family"))["family"].alias("family"))
 
 
 def numeric_ratio(rows: DataFrame) -> DataFrame:
@@ -133,8 +132,8 @@ def related_ids(rows: DataFrame, texts: list[str], id_column: str, family: DataF
 
 def supporting_family(related: DataFrame, most: int = MAX_RELATED) -> DataFrame:
     """related of the one family with most mentions (the smallest name on ties), at most `most` for each key."""
-    best = related.filter(F.col("token_family") != "").groupBy("token_family").count().groupBy().agg(F.max_by("token_family", F.struct("count")).alias("f"), F.max("count").alias("n"))
-    names = related.groupBy("token_family").count().join(best.select("n"), F.col("count") == F.col("n")).agg(F.min("token_family").alias("token_family"))
+    counts = related.filter(F.col("token_family") != "").groupBy("token_family").agg(F.count("*").alias("n"))
+    names = counts.groupBy().agg(F.min(F.struct(-F.col("n"), "token_family"))["token_family"].alias("token_family"))
     kept = related.join(F.broadcast(names), "token_family")
     place = F.row_number().over(Window.partitionBy("key").orderBy("rank"))
     return kept.withColumn("place", place).filter(F.col("place") <= most).drop("rank")

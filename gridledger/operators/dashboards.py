@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridledger.functions import text as T
+from gridledger.sources.kept import kept
 
 # Fixed values that results depend on.
 PASS_LABEL = r"(?i)\bpass(ed)?\b"
@@ -201,38 +202,50 @@ def classify(columns: DataFrame, stats: DataFrame, n_rows: DataFrame) -> DataFra
 
 
 def inventory_entries(rows: DataFrame, texts: list[str], id_column: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """(entries: key, display, own row; links: key, canon, token_family) over all rows of an inventory."""
+    """(entries: key, display, order of each identifier's first row and how many rows it has, with key null for
+    unreadable rows; links: key, canon, token_family)."""
     from gridledger.operators import coverage as C
 
     read = C.with_identifier(rows, id_column)
-    first = read.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(order).alias(order), F.min_by("display", order).alias("display"))
-    entry = read.join(first.select("key", order), ["key", order], "left_semi")
-    named = C.mentioned(entry, texts, id_column, ["key"], order)
+    entries = read.groupBy("key").agg(F.min(order).alias(order), F.min_by("display", order).alias("display"), F.count("*").alias("n_rows"))
+    first = read.join(entries.filter(F.col("key").isNotNull()).select("key", order), ["key", order], "left_semi")
+    named = C.mentioned(first, texts, id_column, ["key"], order)
     month = F.lower(F.regexp_extract("token", "^[A-Za-z]+", 0)).isin(*T.MONTHS)
-    return first, named.filter(~month).select("key", "canon", "token_family").distinct()
+    return entries, named.filter(~month).select("key", "canon", "token_family").distinct()
 
 
 def inventory_summary(rows: DataFrame, texts: list[str], id_column: str, order: str) -> DataFrame:
-    """One row: items, unreadable, duplicates, family, link family, linked, unlinked, links, linked_pct."""
-    from gridledger.operators import coverage as C
-
-    counts = C.with_identifier(rows, id_column).agg(F.count_if(F.col("key").isNull()).alias("unreadable"), F.count("key").alias("readable"))
-    entries, links = inventory_entries(rows, texts, id_column, order)
-    items = entries.agg(F.count("*").alias("items"))
-    fam = entries.withColumn("family", T.family_of("display")).filter(F.col("family") != "").groupBy("family").agg(F.count("*").alias("n"), F.min(order).alias("at")).groupBy().agg(F.max_by("family", F.struct("n", -F.col("at"))).alias("family"))
-    links = links.crossJoin(fam).filter((F.col("token_family") != "") & ~F.col("token_family").eqNullSafe(F.col("family")))  # fam: one row
-    per = links.groupBy("token_family").agg(F.count_distinct("key").alias("n")).crossJoin(items)
-    per = per.filter((F.col("n") >= LINK_ENTRIES) & (F.col("n") >= LINK_SHARE * F.col("items")))
-    best = per.groupBy().agg(F.max("n").alias("n")).join(per.select("n", "token_family"), "n", "left").groupBy().agg(F.min("token_family").alias("link_family"))
-    kept = links.join(F.broadcast(best), F.col("token_family") == F.col("link_family")).agg(F.count_distinct("key").alias("linked"), F.count("*").alias("links"))
-    one = items.crossJoin(counts).crossJoin(fam).crossJoin(best).crossJoin(kept)  # one row each
+    """One row: items, unreadable, duplicates, family, link family, linked, unlinked, links, linked_pct.
+
+    Entries and links are kept, as several sums are taken of them."""
+    entries, links = (kept(x) for x in inventory_entries(rows, texts, id_column, order))
+    read = F.col("key").isNotNull()
+    items = entries.agg(F.count_if(read).alias("items"), F.coalesce(F.sum(F.when(~read, F.col("n_rows"))), F.lit(0)).alias("unreadable"), F.coalesce(F.sum(F.when(read, F.col("n_rows") - 1)), F.lit(0)).alias("duplicates"))
+    fam = entries.withColumn("family", T.family_of("display")).filter(F.col("family") != "").groupBy("family").agg(F.count("*").alias("n"), F.min(order).alias("at"))
+    fam = fam.groupBy().agg(F.min(F.struct(-F.col("n"), "at", "family"))["family"].alias("family"))
+    per = links.filter(F.col("token_family") != "").groupBy("token_family").agg(F.count_distinct("key").alias("linked"), F.count("*").alias("links"))
+    per = per.crossJoin(fam).crossJoin(items.select("items")).filter(~F.col("token_family").eqNullSafe(F.col("family")))  # fam, items: one row
+    per = per.filter((F.col("linked") >= LINK_ENTRIES) & (F.col("linked") >= LINK_SHARE * F.col("items")))
+    best = per.groupBy().agg(F.min(F.struct(-F.col("linked"), "token_family", "links")).alias("b"))
+    none = F.lit(0).cast("long")
+    one = items.crossJoin(fam).crossJoin(best)  # one row each
+    one = one.withColumns({"link_family": F.coalesce("b.token_family", F.lit("")), "linked": F.coalesce(-F.col("b.col1"), none), "links": F.coalesce("b.links", none)})
+    some = F.col("link_family") != ""
     return one.select(
-        "items", "unreadable", (F.col("readable") - F.col("items")).alias("duplicates"), F.coalesce("family", F.lit("")).alias("family"), F.coalesce("link_family", F.lit("")).alias("link_family"),
-        "linked", F.when(F.col("link_family").isNotNull(), F.col("items") - F.col("linked")).otherwise(0).alias("unlinked"), "links",
-        F.when(F.col("link_family").isNotNull(), _pct(F.col("linked"), F.col("items"))).alias("linked_pct"),
+        "items", "unreadable", "duplicates", F.coalesce("family", F.lit("")).alias("family"), "link_family",
+        "linked", F.when(some, F.col("items") - F.col("linked")).otherwise(none).alias("unlinked"), "links", F.when(some, _pct(F.col("linked"), F.col("items"))).alias("linked_pct"),
     )
 
 
+def inventory_lists(rows: DataFrame, texts: list[str], id_column: str, order: str, link_family: str, k: int = LISTED) -> DataFrame:
+    """kind, display, links: the k entries with most links of a family, and the first k without any."""
+    entries, links = inventory_entries(rows, texts, id_column, order)
+    n = links.filter(F.col("token_family") == link_family).groupBy("key").agg(F.count("*").alias("links"))
+    each = kept(entries.filter(F.col("key").isNotNull()).join(n, "key", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long"))))
+    most = each.filter("links > 0").orderBy(F.col("links").desc(), "display").limit(k).select(F.lit("linked").alias("kind"), "display", "links")
+    return most.unionByName(each.filter("links = 0").orderBy(order).limit(k).select(F.lit("unlinked").alias("kind"), "display", "links"))
+
+
 def search_records(rows: DataFrame, query: str, section: str, texts: list[str], numbers: list[str], order: list[str], page: int = 1, size: int = 250, within: str | None = None) -> DataFrame:
     """One page of rows that hold the query in a text (any case, literally) or equal it in a number; n_total on each row."""
     word = F.lower(F.lit(query))

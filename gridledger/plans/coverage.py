@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridledger.functions import text as T
 from gridledger.operators import coverage as C
 from gridledger.plans.registry import query, table
+from gridledger.sources.kept import kept
 
 F_SQL = """feature AS (
   SELECT o_custkey AS file, o_orderpriority AS section, o_orderkey AS row_index,
@@ -110,7 +111,7 @@ SELECT key, canon, token, token_family, cell, 1 AS place FROM m""")
 def coverage_related(spark, sf_dir):
     rows = features(spark, sf_dir)
     family = C.dominant_family(rows, PLACE, "row_index")
-    return C.supporting_family(C.related_ids(rows, ["cell", "notes"], "cell", family, "row_index"))
+    return C.supporting_family(kept(C.related_ids(rows, ["cell", "notes"], "cell", family, "row_index")))
 
 
 @query(f"""WITH {F_SQL}, n AS (SELECT file, count(*) AS rows_, count(*) FILTER (readable) AS carrying FROM feature GROUP BY file),

@@ -9,6 +9,7 @@ from gridledger.functions import text as T
 from gridledger.operators import coverage as C
 from gridledger.operators import dashboards as D
 from gridledger.plans.registry import query, table
+from gridledger.sources.kept import kept
 
 MONEY = "decimal(18,2)"
 
@@ -85,8 +86,8 @@ def rank_dimensions(spark, sf_dir):
 @query("SELECT 'o' AS snapshot_id, 'status' AS kind, 'cost' AS measure, 'state' AS status, 'id' AS id_column, 'state' AS dimension, 'id,priority,state' AS labels FROM (SELECT count(*) AS n FROM orders) WHERE n > 12")
 def classify_sheet(spark, sf_dir):
     o, cells, columns = order_sheet(spark, sf_dir)
-    stats, n = D.column_stats(cells, columns), n_rows_of(o, "o")
-    dims = D.rank_dimensions(columns, stats, n)
+    stats, n = kept(D.column_stats(cells, columns)), n_rows_of(o, "o")
+    dims = kept(D.rank_dimensions(columns, stats, n))
     out = D.classify(columns, stats, n).join(D.primary_measure(columns), "snapshot_id").join(D.detect_status_column(columns, stats, n), "snapshot_id").join(D.detect_inventory(columns, stats), "snapshot_id")
     return out.join(D.choose_dimension(dims, "state"), "snapshot_id").join(D.label_columns(columns, dims, cells).select("snapshot_id", F.array_join("labels", ",").alias("labels")), "snapshot_id")
 
@@ -153,11 +154,20 @@ def run_columns(spark, sf_dir):
 SELECT items, unreadable, items AS duplicates, 'FL' AS family, 'CS' AS link_family, linked, items - linked AS unlinked, linked AS links, round(linked / items * 100, 1) AS linked_pct FROM n""")
 def inventory_summary(spark, sf_dir):
     """Every order twice, every third with a link to its customer."""
+    return D.inventory_summary(inventory(spark, sf_dir), ["cell", "notes"], "cell", "row_index")
+
+
+@query("""SELECT * FROM (SELECT 'linked' AS kind, 'FL-' || o_orderkey AS display, 1 AS links FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 3 = 0 ORDER BY display LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'unlinked', 'FL-' || o_orderkey, 0 FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 3 <> 0 ORDER BY o_orderkey LIMIT 20)""")
+def inventory_lists(spark, sf_dir):
+    return D.inventory_lists(inventory(spark, sf_dir), ["cell", "notes"], "cell", "row_index", "CS")
+
+
+def inventory(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     cell = F.when(F.col("o_orderkey") % 17 == 0, "to be named").otherwise(F.concat(F.lit("FL-"), F.col("o_orderkey")))
     rows = o.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), "o_orderkey", cell.alias("cell"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("CS-"), F.col("o_custkey"), F.lit(" since Sep 26"))).otherwise("no link").alias("notes"))
-    rows = rows.filter("o_orderkey % 17 <> 0 OR copy = 0").withColumn("row_index", F.col("o_orderkey") * 2 + F.col("copy"))
-    return D.inventory_summary(rows, ["cell", "notes"], "cell", "row_index")
+    return rows.filter("o_orderkey % 17 <> 0 OR copy = 0").withColumn("row_index", F.col("o_orderkey") * 2 + F.col("copy"))
 
 
 @query("""WITH f AS (SELECT * FROM part WHERE contains(lower(p_type), 's') OR contains(lower(p_name), 's') OR contains(lower(p_brand), 's'))
