@@ -114,7 +114,7 @@ class SuffixArray:
         self.levels: list[tuple[int, np.ndarray]] = []
         self._double(int(sizes.max()))
         listed = np.nonzero(self.rest >= least)[0]
-        self.order = listed[np.argsort(self.levels[-1][1][listed], kind="stable")]
+        self.order = listed[np.argsort(self._pairs(listed), kind="stable")]
         self.prefix = self._prefixes(self.order[:-1], self.order[1:])
 
     def _double(self, longest: int) -> None:
@@ -123,16 +123,24 @@ class SuffixArray:
             moved = np.zeros(self.n, np.uint64)
             moved[: self.n - k] = self.sym[k:]
             key = (key << np.uint64(9)) | np.where(self.rest > k, moved, np.uint64(0))
-        depth = self.PACK
-        while True:
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
-            self.levels.append((depth, rank))
-            if depth >= longest:
-                return
-            moved = np.zeros(self.n, np.int64)
-            moved[: self.n - depth] = rank[depth:]
-            key = (rank << 32) | np.where(self.rest >= depth, moved, 0)
-            depth *= 2
+        self.levels.append((self.PACK, self._ranks(key)))
+        every = np.arange(self.n)
+        while 2 * self.levels[-1][0] < longest:
+            self.levels.append((2 * self.levels[-1][0], self._ranks(self._pairs(every))))
+
+    def _pairs(self, at: np.ndarray) -> np.ndarray:
+        """The last level's rank at each place and at its end: the order of twice the depth."""
+        depth, rank = self.levels[-1]
+        on = self.rest[at] >= depth
+        return (rank[at] << 32) | np.where(on, rank[np.where(on, at + depth, 0)], 0)
+
+    @staticmethod
+    def _ranks(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        held = key[order]
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[1], held[1:] != held[:-1]]))
+        return rank
 
     def _prefixes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of the suffixes at a and b."""
@@ -244,25 +252,30 @@ def _segment_batch(rows):
 
 
 def _scan(window: int):
-    """Rows come sorted by anchor; one suffix array takes whole anchors."""
+    """Rows come sorted by anchor; one suffix array takes whole anchors.
 
-    def of(rows):
-        found = covered([r[2] for r in rows], [r[3] for r in rows], window)
-        keys = [(rows[s][0], rows[s][1], a, b) for s, a, b in found]
+    A window has one offset to its anchor, so a segment repeats nothing within itself: an anchor with one
+    segment is a single leaf, which is a repeat if the segment occurs several times."""
+
+    def of(rows, leaves):
+        found = covered([r[2] for r in rows], [r[3] for r in rows], window) if rows else []
+        keys = [(rows[s][0], rows[s][1], a, b) for s, a, b in found] + [(r[0], r[1], 0, len(r[2])) for r in leaves if r[3] > 1]
         return pa.record_batch([pa.array([k[i] for k in keys], pa.int64()) for i in range(4)], names=["key1", "key2", "begin", "end"])
 
     def run(batches):
-        rows, size, now = [], 0, None
+        rows, leaves, group, size, now = [], [], [], 0, None
         for batch in batches:
             for anchor, key1, key2, segment, n in zip(*[batch.column(k).to_pylist() for k in range(5)]):
-                if anchor != now and size > ARRAY_BYTES:
-                    yield of(rows)
-                    rows, size = [], 0
-                now = anchor
-                rows.append((key1, key2, segment, n))
+                if anchor != now:
+                    (rows if len(group) > 1 else leaves).extend(group)
+                    group, now = [], anchor
+                    if size > ARRAY_BYTES:
+                        yield of(rows, leaves)
+                        rows, leaves, size = [], [], 0
+                group.append((key1, key2, segment, n))
                 size += len(segment)
-        if rows:
-            yield of(rows)
+        (rows if len(group) > 1 else leaves).extend(group)
+        yield of(rows, leaves)
 
     return run
 
@@ -290,7 +303,7 @@ def _remove(batches):
 def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(tid, tid2, begin, end), overlapping, of the bytes in repeats across different texts or within one; texts: tid, tid2, body."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = common.arrow_map(texts.select("tid", "body"), _anchors(window, gram), "anchor long, tid long, place long")
+    found = common.settle(common.arrow_map(texts.select("tid", "body"), _anchors(window, gram), "anchor long, tid long, place long"), "repeat-anchors")
     spot = F.xxhash64("tid", F.shiftright("place", 16))
     often = found.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("anchor")
     hits = found.join(often, "anchor", "left_semi")
