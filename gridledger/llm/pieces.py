@@ -78,11 +78,46 @@ class Pieces:
             for c in text:
                 node = steps.setdefault(node * self.spread + int(self.letters[ord(c)]), len(steps) + 1)
             ends[node] = k
-        self.steps = np.array(sorted(steps), np.int64)
-        self.to = np.array([steps[x] for x in self.steps.tolist()], np.int64)
+        self.bits = max(1, (8 * len(steps)).bit_length())
+        self._hash(np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64))
         self.piece = np.full(len(steps) + 1, -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
 
+    def _hash(self, steps: np.ndarray, to: np.ndarray) -> None:
+        """A table of steps by their hash; those that meet in a place stand in the next free one."""
+        self.step_at, self.to_at = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        place = self.place(steps)
+        self.tries = 0
+        while len(steps):
+            self.tries += 1
+            free = self.step_at[place] < 0
+            _, first = np.unique(place, return_index=True)
+            takes = np.zeros(len(steps), bool)
+            takes[first] = True
+            takes &= free
+            self.step_at[place[takes]], self.to_at[place[takes]] = steps[takes], to[takes]
+            steps, to, place = steps[~takes], to[~takes], (place[~takes] + 1) & ((1 << self.bits) - 1)
+
+    def place(self, steps: np.ndarray) -> np.ndarray:
+        return ((steps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def walk(self, steps: np.ndarray) -> np.ndarray:
+        """The node that each step leads to, or -1."""
+        place, out = self.place(steps), np.full(len(steps), -1, np.int64)
+        held = self.step_at[place]
+        same = held == steps
+        out[same] = self.to_at[place[same]]
+        open_ = np.nonzero(~same & (held >= 0))[0]
+        for _ in range(self.tries - 1):
+            if not len(open_):
+                break
+            place_ = place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.step_at[place_]
+            same = held == steps[open_]
+            out[open_[same]] = self.to_at[place_[same]]
+            open_ = open_[~same & (held >= 0)]
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         raw = self.raw
         return b"".join([raw[k] for k in ids])
@@ -97,9 +132,8 @@ def pieces_of_model(path: str = MODEL, alpha: float = ALPHA) -> Pieces:
 class Lattice:
     """The filtered lattices of different words: for each end of an arc, its arcs with cumulative probabilities.
 
-    Node first[w] + j stands for position j of word w, from 0 on. The arcs to node v hold v + probability,
-    summed up, so one search over all arcs draws for any node. All words are filtered together, position
-    by position."""
+    Node first[w] + j stands for position j of word w, from 0 on. The arcs to a node stand together from
+    head[node] on, with their probabilities summed up. All words are filtered together, position by position."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -113,10 +147,9 @@ class Lattice:
         alive, node, plain = np.arange(len(points)), np.zeros(len(points), np.int64), np.ones(len(points), bool)
         size = 0
         while len(alive):
-            key = node * pieces.spread + letter[alive + size]
-            at = np.minimum(np.searchsorted(pieces.steps, key), len(pieces.steps) - 1)
-            on = (pieces.steps[at] == key) & (letter[alive + size] > 0)
-            alive, node = alive[on], pieces.to[at[on]]
+            node = pieces.walk(node * pieces.spread + letter[alive + size])  # letter 0 is in no step
+            on = node >= 0
+            alive, node = alive[on], node[on]
             size += 1
             hit = pieces.piece[node] >= 0
             froms.append(start[alive[hit]])
@@ -130,19 +163,21 @@ class Lattice:
         froms.append(start[plain])
         tos.append(start[plain] + 1)
         ids.append(np.full(int(plain.sum()), -1))
-        from_, to, id_ = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
+        # to each node the longest arcs first: they are drawn most
+        from_, to, id_ = np.concatenate(froms[::-1]), np.concatenate(tos[::-1]), np.concatenate(ids[::-1])
         order = np.argsort(to, kind="stable")
         from_, to, self.ids = from_[order], to[order], id_[order].astype(np.int32)
-        self.lengths = to - from_
-        self.ups = self._filter(from_, to, np.where(self.ids < 0, FALLBACK_LOG, pieces.weights[self.ids]), sizes)
+        self.lengths, self.head = to - from_, np.zeros(self.first[-1], np.int64)
+        self.ups = self._filter(from_, to, np.where(self.ids < 0, FALLBACK_LOG, pieces.weights[self.ids]))
 
-    def _filter(self, from_: np.ndarray, to: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def _filter(self, from_: np.ndarray, to: np.ndarray, weight: np.ndarray) -> np.ndarray:
         sums, ups = np.zeros(self.first[-1]), np.zeros(len(to))
         if not len(to):
             return ups
         heads = np.concatenate([[0], np.nonzero(np.diff(to))[0] + 1])  # first arc to each node
         tails = np.concatenate([heads[1:], [len(to)]])
         nodes = to[heads]
+        self.head[nodes] = heads
         depth = nodes - self.first[np.searchsorted(self.first, nodes, "right") - 1]  # position within the word
         by_depth = np.argsort(depth, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(depth)[1:])])
@@ -160,7 +195,7 @@ class Lattice:
             up = np.cumsum(share)
             up -= np.repeat(up[begin] - share[begin], n)
             up[begin + n - 1] = 1.0
-            ups[arcs] = to[arcs] + np.minimum(up, 1.0)
+            ups[arcs] = np.minimum(up, 1.0)
         return ups
 
     def draw(self, words: np.ndarray, ends: np.ndarray, keys: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -172,7 +207,11 @@ class Lattice:
         base = self.first[words]
         nodes = self.first[words + 1] - 1
         while len(nodes):
-            arc = np.searchsorted(self.ups, nodes + uniform(keys, ends - starts), "right")
+            arc, drawn = self.head[nodes], uniform(keys, ends - starts)
+            past = np.nonzero(self.ups[arc] <= drawn)[0]
+            while len(past):
+                arc[past] += 1
+                past = past[self.ups[arc[past]] <= drawn[past]]
             out[ends - 1] = self.ids[arc]
             step = self.lengths[arc]
             nodes, ends = nodes - step, ends - step
