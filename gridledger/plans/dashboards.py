@@ -45,7 +45,7 @@ def two_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return cells, columns, spark.createDataFrame([("a", "x"), ("b", "x")], "snapshot_id string, layer string")
 
 
-@query("""SELECT section, measure, round(sum(v), 0) AS total, measure = 'total_tests' AS is_shared FROM (
+@query("""SELECT section, measure, CAST(round(sum(v), 0) AS DOUBLE) AS total, measure = 'total_tests' AS is_shared FROM (
   SELECT l_returnflag AS section, 'total_tests' AS measure, CAST(l_quantity AS DECIMAL(18,2)) AS v FROM lineitem UNION ALL
   SELECT l_returnflag, 'price', CAST(l_extendedprice AS DECIMAL(18,2)) FROM lineitem UNION ALL SELECT o_orderstatus, 'total_tests', CAST(o_totalprice AS DECIMAL(18,2)) FROM orders) GROUP BY section, measure""")
 def merged_dashboard(spark, sf_dir):
@@ -67,10 +67,10 @@ per AS (SELECT key, v, count(*) AS n FROM vals GROUP BY key, v)
 """
 
 
-@query(ORDER_SHEET + """SELECT 'o' AS snapshot_id, key, count(*) AS "distinct", CAST(sum(n) AS BIGINT) AS filled, list_sort(list(v))[1:25] AS "values" FROM per GROUP BY key""")
+@query(ORDER_SHEET + """SELECT 'o' AS snapshot_id, key, count(*) AS "distinct", CAST(sum(n) AS BIGINT) AS filled, array_to_string(list_sort(list(v))[1:25], '|') AS "values" FROM per GROUP BY key""")
 def column_stats(spark, sf_dir):
     _, cells, columns = order_sheet(spark, sf_dir)
-    return D.column_stats(cells, columns)
+    return D.column_stats(cells, columns).withColumn("values", F.array_join("values", "|"))
 
 
 def n_rows_of(rows: DataFrame, snapshot: str) -> DataFrame:
@@ -157,8 +157,8 @@ def inventory_summary(spark, sf_dir):
     return D.inventory_summary(inventory(spark, sf_dir), ["cell", "notes"], "cell", "row_index")
 
 
-@query("""SELECT * FROM (SELECT 'linked' AS kind, 'FL-' || o_orderkey AS display, 1 AS links FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 3 = 0 ORDER BY display LIMIT 20)
-UNION ALL SELECT * FROM (SELECT 'unlinked', 'FL-' || o_orderkey, 0 FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 3 <> 0 ORDER BY o_orderkey LIMIT 20)""")
+@query("""SELECT * FROM (SELECT 'linked' AS kind, 'FL-' || o_orderkey AS display, 1::BIGINT AS links FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 3 = 0 ORDER BY display LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'unlinked', 'FL-' || o_orderkey, 0::BIGINT FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 3 <> 0 ORDER BY o_orderkey LIMIT 20)""")
 def inventory_lists(spark, sf_dir):
     return D.inventory_lists(inventory(spark, sf_dir), ["cell", "notes"], "cell", "row_index", "CS")
 
