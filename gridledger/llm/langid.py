@@ -26,6 +26,8 @@ from gridledger.llm import common
 
 #: Training documents of each language.
 SAMPLE = 2000
+#: Up to so many ids of training documents are broadcast; more are joined.
+SENT_IDS = 1_000_000
 BUCKET_BITS = 14
 GRAMS = (1, 2, 3, 4)
 #: Counts added to each bucket.
@@ -136,8 +138,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
     ids = known.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).distinct()
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    # at most `sample` ids for each language
-    ids = ids.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select("_lang", "_id")
+    # at most `sample` ids for each language; they are sent to all tasks only if they are few
+    ids = common.settle(ids.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select("_lang", "_id"), "lang-ids")
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
     chosen = known.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("lang", "text")
     chosen = common.settle(chosen, "lang-sample")
     sums = common.arrow_map(chosen, _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
