@@ -1,12 +1,15 @@
 """Sharding by vector bin packing over bytes, words and rows.
 
-Equal texts form a group. A group stays whole unless it holds more than 1/64 of a shard's bytes or
-rows; such hot groups (at most 2 * 64 * shards of them) are split by doc_id into `hot_parts` parts.
-Groups are gathered by hash into a bounded number of bundles; small corpora have about one group in a
+Equal texts form a group. A group goes to one shard whole unless it holds more than 3/4 of a shard's
+bytes; then it is split into as many parts of at most about 3/4 as it needs. Groups over 1/64 of a
+shard's bytes or rows (at most 2 * 64 * shards of them) are packed by their own sums, and summed and
+ranked in `HOT_CELLS` cells by doc_id, of which parts are made; so no task ranks a large group. The
+others are gathered by hash into a bounded number of bundles; small corpora have about one group in a
 bundle. Bundles, largest first, go to the shard where the dot product of the bundle's share of the
 totals with the shard's residual capacity is highest. Only the bundles' sums (at most `bundles` plus
-the parts of hot groups) reach the driver. Slots come from the bundle's place in its shard and the
-row's rank in its bundle, so no task sorts a whole shard.
+the cells of hot groups) reach the driver. Slots come from the cell's place in its shard and the
+row's rank in its cell, so no task sorts a whole shard. Where the parts of split groups are more than
+the shards, parts are single cells, for evenness.
 
 The law that holds is `bytes`: shards' sizes are nearly equal; bytes weigh more than words and rows.
 
@@ -27,9 +30,11 @@ from gridledger.llm import common
 SHARDS = 24
 #: Hash bundles of groups.
 BUNDLES = 1 << 14
-#: A group with more than this part of a shard is split.
+#: A group with more than this part of a shard is packed by its own sums, in cells.
 HOT_SHARE = 1 / 64
-HOT_PARTS = 64
+HOT_CELLS = 64
+#: A group with more than this part of a shard's bytes is split.
+WHOLE_SHARE = 3 / 4
 #: What bytes, words and rows weigh in the dot product: most of all bytes, whose law holds.
 PULL = (60.0, 1.0, 1.0)
 #: Bytes that a row takes besides its text.
@@ -71,6 +76,26 @@ def pack(sums: np.ndarray, shards: int = SHARDS, pull: tuple[float, ...] = PULL)
     return out
 
 
+def parts_of(bundles: list[int], cells: list[int], sizes: np.ndarray, shards: int = SHARDS) -> np.ndarray:
+    """The part that each row of sums goes with, as a number; rows come sorted by bundle and cell. Cells of one group
+    (cell 0 or more) are one part if it is at most WHOLE_SHARE of a shard, else as few as keep to that."""
+    most = max(sizes.sum() / shards * WHOLE_SHARE, 1)
+    first = np.array([k == 0 or bundles[k] != bundles[k - 1] or cells[k] < 0 or cells[k - 1] < 0 for k in range(len(bundles))], bool)
+    starts = np.append(np.nonzero(first)[0], len(bundles)).tolist()
+    need = [max(1, int(np.ceil(sizes[a:b].sum() / most))) for a, b in zip(starts, starts[1:])]
+    fine = sum(n for n in need if n > 1) > shards
+    out, at = np.zeros(len(bundles), np.int64), 0
+    for a, b, n in zip(starts, starts[1:], need):
+        if n > 1 and (fine or n >= b - a):
+            inner = np.arange(b - a)
+        else:
+            ends = np.cumsum(sizes[a:b])
+            inner = np.unique(np.minimum(((ends - sizes[a:b] / 2) * n / max(ends[-1], 1)).astype(np.int64), n - 1), return_inverse=True)[1]
+        out[a:b] = at + inner
+        at = int(out[b - 1]) + 1
+    return out
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
     spark = docs.sparkSession
@@ -81,17 +106,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
     # at most 2 * shards / HOT_SHARE groups can be over a limit, so this is small at any size
     hot = groups.filter((F.col("n") > 1) & ((F.col("b") > limit_b) | (F.col("n") > limit_n))).select(F.col("grp").alias("_hot"))
     rows = rows.join(F.broadcast(hot), F.col("grp") == F.col("_hot"), "left")
-    part = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(-1))
-    rows = rows.withColumn("part", part).withColumn("bundle", F.when(F.col("_hot").isNull(), F.pmod("grp", F.lit(bundles))).otherwise(F.col("grp")))
-    keys = ["bundle", "part"]
+    cell = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_CELLS)).cast("int")).otherwise(F.lit(-1))
+    rows = rows.withColumn("cell", cell).withColumn("bundle", F.when(F.col("_hot").isNull(), F.pmod("grp", F.lit(bundles))).otherwise(F.col("grp")))
+    keys = ["bundle", "cell"]
     sums = rows.groupBy(*keys).agg(F.sum("size").alias("b"), F.sum("words").alias("w"), F.count("*").alias("n")).orderBy(*keys).collect()
     vectors = np.array([[r.b, r.w, r.n] for r in sums], dtype=np.float64).reshape(-1, 3)
-    place, starts, seen = pack(vectors, shards), [], [0] * shards
+    part_no = parts_of([r.bundle for r in sums], [r.cell for r in sums], vectors[:, 0], shards)
+    packed = np.zeros((int(part_no[-1]) + 1 if len(sums) else 0, 3))
+    np.add.at(packed, part_no, vectors)
+    place, starts, seen = pack(packed, shards)[part_no], [], [0] * shards
     for r, at in zip(sums, place):
-        starts.append((r.bundle, r.part, int(at), seen[at]))
+        starts.append((r.bundle, r.cell, int(at), seen[at]))
         seen[at] += r.n
     # as many rows as bundles, which are bounded
-    placed = F.broadcast(spark.createDataFrame(starts, "bundle long, part int, shard int, start long"))
+    placed = F.broadcast(spark.createDataFrame(starts, "bundle long, cell int, shard int, start long"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("grp", "doc_id", "size")) - 1
     out = rows.withColumn("_rank", rank).join(placed, keys)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("_rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
