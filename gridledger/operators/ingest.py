@@ -33,7 +33,7 @@ def dominant_width(rows: DataFrame) -> DataFrame:
 def header_candidates(rows: DataFrame, widths: DataFrame) -> DataFrame:
     """file, pass_no, row_no: the first row that each of the three passes may take as header."""
     texts = F.forall(F.filter("cells", lambda c: c.isNotNull()), lambda c: c["n"].isNull())
-    each = rows.join(F.broadcast(widths), "file").filter("width >= 2")
+    each = rows.join(widths, "file").filter("width >= 2")
     firsts = each.groupBy("file").agg(
         F.min(F.when(texts & (F.col("width") == F.col("mode_width")), F.col("row_no"))).alias("p1"),
         F.min(F.when(texts, F.col("row_no"))).alias("p2"), F.min("row_no").alias("p3"))
