@@ -75,7 +75,7 @@ SEGMENTS = "conv_id long, turn_no long, part int, text string, loss boolean, in_
 def _format(template: dict, turns: dict):
     def run(batches):
         key, state, no, begun = None, "start", 0, False
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.pieces_of(whole)):
             rows = []
             for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if not begun or conv != key:
@@ -110,7 +110,7 @@ def _read(template: dict):
 
     def run(batches):
         key, begun, rows = None, False, []
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.pieces_of(whole)):
             for conv, part, text, loss, fits in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "part", "text", "loss", "in_order")]):
                 if not begun or conv != key:
                     if begun:

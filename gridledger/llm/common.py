@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +18,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 2000
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and tasks are one process (local, local[8], but not local-cluster[...])."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
     Where the setting is absent (local tests), a temporary folder of this session is used."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not on_one_machine(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gridledger-')}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -35,17 +41,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def free(spark: SparkSession) -> None:
-    """Let the driver's garbage go, and with it the shuffle files of jobs that have ended."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _set(spark: SparkSession, **values: str):
+    """Settings of the session for a while; names are without `spark.sql.`, with two underscores for a dot."""
+    names = {k: f"spark.sql.{k.replace('__', '.')}" for k in values}
+    before = {k: spark.conf.get(n, None) for k, n in names.items()}
+    for k, n in names.items():
+        spark.conf.set(n, values[k])
+    try:
+        yield
+    finally:
+        for k, n in names.items():
+            spark.conf.unset(n) if before[k] is None else spark.conf.set(n, before[k])
+
+
+def shuffles_end_with_their_job(spark: SparkSession):
+    """Within it, Spark deletes the shuffle files of a query when the query ends."""
+    return _set(spark, classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+def settle(df: DataFrame, name: str, batch_rows: int = 10_000) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    batch_rows: rows that Python tasks get at a time, for rows that are large."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with shuffles_end_with_their_job(spark), _set(spark, execution__arrow__maxRecordsPerBatch=str(batch_rows)):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gl_path = path
+    return out
+
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table._gl_path)
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written to the shared folder."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -62,20 +100,38 @@ def ship(spark: SparkSession) -> None:
     sc._gridledger_shipped = True
 
 
+def send_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to all tasks; returns the name by which local_file finds it."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_gridledger_files", {})
+    if path not in sent:
+        sc.addFile(path)
+        sent[path] = os.path.basename(path)
+    return sent[path]
+
+
+def local_file(name: str) -> str:
+    """Where a task finds a file that was sent."""
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with the package sent along."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def bytes_of(text: str = "text") -> Column:
+def bytes_of(text: Column | None = None) -> Column:
     """A text's UTF-8 bytes; null counts as empty."""
-    return F.coalesce(F.col(text), F.lit("")).cast("binary")
+    return F.coalesce(F.col("text") if text is None else text, F.lit("")).cast("binary")
 
 
-def id_keys() -> list[Column]:
+def id_keys(doc_id: Column | None = None) -> list[Column]:
     """doc_id as two columns without nulls, to join and group by."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_gl_id"), F.col("doc_id").isNull().alias("_gl_no_id")]
+    doc_id = F.col("doc_id") if doc_id is None else doc_id
+    return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("_gl_id"), doc_id.isNull().alias("_gl_no_id")]
 
 
 def open_fs(uri: str):

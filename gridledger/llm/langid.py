@@ -6,11 +6,14 @@ shares in languages with and without the bit, so every language counts alike. A
 the codewords by logistic loss, each bit weighted by how well it did on the training sample; the nearest
 codeword wins, and texts with a second codeword nearly as near are flagged as ambiguous.
 
-Training uses at most `sample` documents of each language, those with the smallest hash of doc_id.
-What reaches the driver is one number for each language and hash bucket.
+Training uses at most `sample` documents of each language, those with the smallest hash of doc_id: hashes
+below a bound of a few times the sample are ranked, so that no task ranks a large language. Every fifth
+document of the sample weighs the bits and is not counted. What reaches the driver is one number for each
+language and hash bucket.
 
 Defined results: a text that is null or has no letter gets 'und' with score 0, as does every text if
-nothing was learned; rows without language don't train; with one language all texts are given it;
+nothing was learned; rows without language don't train; with one language all texts are given it; of
+languages that are equally near the first by code point is given;
 repeated rows get equal results; long texts are counted whole, in slices; an empty table gives no rows;
 other columns are not read.
 """
@@ -28,6 +31,10 @@ from gridledger.llm import common
 SAMPLE = 2000
 #: Up to so many ids of training documents are broadcast; more are joined.
 SENT_IDS = 1_000_000
+#: Ids below the bound on hashes, for each one of the sample.
+RANKED_IDS = 4
+#: Of so many sampled documents one weighs the bits.
+WEIGHING = 5
 BUCKET_BITS = 14
 GRAMS = (1, 2, 3, 4)
 #: Counts added to each bucket.
@@ -126,6 +133,8 @@ def _judge(held):
         right, n = np.zeros(model.code.shape[1]), 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if lang not in place:  # a language whose only documents weigh
+                    continue
                 right += model.code[place[lang]] * model.margins(grams(text)) > 0
                 n += 1
         yield pa.record_batch([pa.array(range(len(right)), pa.int32()), pa.array(right.astype(np.int64)), pa.array([n] * len(right), pa.int64())], names=["bit", "good", "n"])
@@ -133,17 +142,27 @@ def _judge(held):
     return run
 
 
+def sampled(known: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """_lang, _id, _rank of at most `sample` ids of each language, those with the smallest hashes."""
+    ids = common.settle(known.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).distinct(), "lang-all-ids")
+    n = ids.groupBy("_lang").agg(F.count("*").alias("_n"))
+    # hashes spread evenly: a bound for RANKED_IDS times the sample leaves fewer than the sample with no real chance
+    part = F.least(F.lit(1.0), F.lit(float(RANKED_IDS * sample)) / F.col("_n"))
+    low = ids.withColumn("_hash", F.xxhash64("_id")).join(n, "_lang").filter(F.shiftrightunsigned("_hash", 11) <= part * F.lit(float(1 << 53)))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))
+    return low.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select("_lang", "_id", "_rank")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    ids = known.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
+    known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
+    ids = common.settle(sampled(known, sample), "lang-ids")
     # at most `sample` ids for each language; they are sent to all tasks only if they are few
-    ids = common.settle(ids.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select("_lang", "_id"), "lang-ids")
     ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    chosen = known.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("lang", "text")
+    weighs = (F.pmod("_rank", F.lit(WEIGHING)) == 0).alias("weighs")
+    chosen = known.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text", weighs)
     chosen = common.settle(chosen, "lang-sample")
-    sums = common.arrow_map(chosen, _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    sums = common.arrow_map(chosen.filter("NOT weighs"), _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in sums})
     counts = np.zeros((len(langs), 1 << BUCKET_BITS))
     place = {lang: k for k, lang in enumerate(langs)}
@@ -152,7 +171,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model(langs, counts)
     if langs:
         held = spark.sparkContext.broadcast(model)  # languages and buckets bound its size
-        good = common.arrow_map(chosen, _judge(held), "bit int, good long, n long").groupBy("bit").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
+        good = common.arrow_map(chosen.filter("weighs"), _judge(held), "bit int, good long, n long").groupBy("bit").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
         for r in good:
             share = min(max(r.good / max(r.n, 1), 0.51), 0.999)
             model.trust[r.bit] = np.log(share / (1 - share))
@@ -189,12 +208,17 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
     return common.arrow_map(rows, _predict(held, len(keep)), f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
-def drop_unknown(docs: DataFrame) -> DataFrame:
-    """docs without those in no learned language (null text, or no letter)."""
+def keep_languages(docs: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """docs in a wanted language (any learned one by default), with the predicted language as their lang.
+
+    Rejected are texts without a letter, other languages, and ambiguous texts."""
     names = [f"_gl{k}" for k in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    text = names[docs.columns.index("text")]
-    return predict(plain.withColumn("_gl_text", F.col(text)), train(docs)).filter(F.col("lang_pred") != UNKNOWN).select(*names).toDF(*docs.columns)
+    of = {c: n for c, n in zip(docs.columns, names)}
+    found = predict(docs.toDF(*names).withColumn("_gl_text", F.col(of["text"])), train(docs))
+    found = found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous"))
+    if languages is not None:
+        found = found.filter(F.col("lang_pred").isin(languages))
+    return found.select(*[F.col("lang_pred" if c == "lang" else of[c]).alias(c) for c in docs.columns])
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

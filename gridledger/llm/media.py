@@ -32,6 +32,8 @@ from gridledger.llm import common
 COLUMNS = 64
 #: Bytes after which a task begins a new shard.
 SHARD_BYTES = 256 << 20
+#: Bytes of a shard that one task reads back.
+READ_BYTES = 8 << 20
 #: Signature, and the header chunk with its length and checksum.
 HEADER_BYTES = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -139,6 +141,13 @@ def store(docs: DataFrame, root: str) -> DataFrame:
     return common.settle(common.arrow_map(rows, _store(root), INDEX), "media-index")
 
 
+def dealt(index: DataFrame) -> DataFrame:
+    """index in parts of READ_BYTES of a shard, in the order of the shard; rows that share a medium stand together."""
+    stretch = F.floor(F.col("offset") / F.lit(READ_BYTES))
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.repartition(n, "shard", stretch).sortWithinPartitions("shard", "offset")
+
+
 def _ranges(root: str, what, least: int | None):
     """Calls what(bytes) once for each range and shard of the rows, and appends its values to the rows."""
 
@@ -187,8 +196,7 @@ def _schema(df: DataFrame) -> str:
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = common.new_path(spark, "media")
-    index = store(common.docs_of(spark, sf_dir), root)
-    # rows of one shard stand together in the index, so each shard is read in order
+    index = dealt(store(common.docs_of(spark, sf_dir), root))
     out = read_media(read_headers(index, root), root)
     # shard and offset say where a row's copy is, which differs between copies of a text
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "sample_bits")

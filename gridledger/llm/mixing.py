@@ -11,11 +11,12 @@
   source's part of the cumulative weights. A slot's rank within its source says which block it takes:
   ranks go round the source's blocks, epoch after epoch, until its target is met; the last slot is cut.
   Each stretch of 2.7/w points meets an interval of width w, so four points a slot meet every demand.
-* Joining slots with blocks gives the words that the mix takes of each document.
+* Joining slots with blocks gives the words that the mix takes of each document, and the slots in which
+  it takes them: the order in which `repeat_documents` writes the mix.
 
-Defined results: null text has size 0 and takes nothing; a source without words has target 0; repeated
-rows each have their own place; no document exceeds `max_epochs` times its size; an empty table gives
-no rows; other columns are not read.
+Defined results: null text has size 0, takes nothing and has no slot; a source without words has target
+0; repeated rows each have their own place; rows without doc_id are shuffled by their text; no document
+exceeds `max_epochs` times its size; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -100,14 +101,15 @@ def schedule(need: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source for every row of docs."""
+    """doc_id, size, source_size, target, taken, first_slot (null if nothing is taken), source, tie (hash of the text) and
+    slots (of the block in which it begins, one an epoch) for every row of docs."""
     rows = common.settle(sized(docs), "mix-sizes")
     per = common.settle(targets(rows, weights, max_epochs), "mix-targets")
     need = common.settle(demand(per, block_words), "mix-demand")
     slots = schedule(need)
 
     placed = rows.join(per.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")))
+    placed = placed.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("tie").cast("string")))).cast("binary")))
     fine = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
     order = [F.col("order"), F.col("doc_id"), F.col("size"), F.col("tie")]
     placed = common.ranked(placed, ["source_no"], order, fine, F.col("size"))
@@ -116,7 +118,11 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...
     used = slots.join(need.select("source_no", "blocks", "epochs", "rest"), "source_no")
     used = used.withColumn("epoch", F.expr("rank div blocks")).withColumn("block", F.expr("rank % blocks"))
     cut = F.least(F.lit(block_words), F.col("rest") - F.col("block") * block_words)
-    used = used.groupBy("source_no", "block").agg(F.count_if(F.col("epoch") < F.col("epochs")).alias("whole"), F.max(F.when(F.col("epoch") == F.col("epochs"), cut)).alias("cut"))
+    whole = F.col("epoch") < F.col("epochs")
+    used = used.groupBy("source_no", "block").agg(
+        F.count_if(whole).alias("whole"), F.max(F.when(F.col("epoch") == F.col("epochs"), cut)).alias("cut"),
+        F.min(F.when(whole, F.col("slot"))).alias("whole_slot"), F.min(F.when(~whole, F.col("slot"))).alias("cut_slot"), F.array_sort(F.collect_list("slot")).alias("slots"),  # one an epoch
+    )
 
     # the parts of documents in blocks
     first, last = F.expr(f"before div {block_words}"), F.expr(f"(before + size - 1) div {block_words}")
@@ -125,47 +131,73 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...
     end = F.least(F.col("before") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
     parts = parts.withColumn("start", start).withColumn("end", end)
     got = parts.join(used, ["source_no", "block"])
-    words = F.col("whole") * (F.col("end") - F.col("start")) + F.greatest(F.least(F.coalesce("cut", F.lit(0)), F.col("end")) - F.col("start"), F.lit(0))
-    taken = got.groupBy("source_no", "before").agg(F.sum(words).alias("taken"))  # `before` is unique among rows with words
+    last = F.greatest(F.least(F.coalesce("cut", F.lit(0)), F.col("end")) - F.col("start"), F.lit(0))
+    slot = F.when(F.col("whole") > 0, F.col("whole_slot")).when(last > 0, F.col("cut_slot"))
+    # `before` is unique among rows with words
+    taken = got.groupBy("source_no", "before").agg(F.sum(F.col("whole") * (F.col("end") - F.col("start")) + last).alias("taken"), F.min(slot).alias("first_slot"), F.min_by("slots", "block").alias("slots"))
     placed = placed.join(taken, (F.col("size") > 0) & (placed["source_no"] == taken["source_no"]) & (placed["before"] == taken["before"]), "left").drop(taken["source_no"]).drop(taken["before"])
-    return placed.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source")
+    return placed.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot", "source", "tie", "slots")
 
 
 def repeat_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mix takes it, to the nearest whole document."""
-    rows = mix(docs, **how).withColumn("_gl_times", F.expr("CASE WHEN size > 0 THEN cast(round(taken / size) AS int) ELSE 0 END")).filter("_gl_times > 0")
-    times = rows.groupBy(F.col("doc_id").alias("_gl_id"), F.col("source").alias("_gl_source"), F.col("size").alias("_gl_size")).agg(F.max("_gl_times").alias("_gl_times"))
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    out = docs.withColumn("_gl_n", words).join(times, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & F.col("source").eqNullSafe(F.col("_gl_source")) & (F.col("_gl_n") == F.col("_gl_size")))
-    return out.withColumn("_gl_copy", F.explode(F.sequence(F.lit(1), F.col("_gl_times")))).select(*docs.columns)
+    """docs with each row as often as the mix takes it, to the nearest whole document, in the order of the schedule.
+
+    Rows that repeat a doc_id, source and text are each taken as often as the one that is taken most."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_gl{k}" for k in range(len(docs.columns))]
+    id_, source, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "source", "text"))
+    rows = mix(docs, **how).withColumn("times", F.expr("CASE WHEN size > 0 THEN cast(round(taken / size) AS int) ELSE 0 END")).filter("times > 0")
+    times = rows.groupBy("doc_id", "source", "tie").agg(F.max("times").alias("times"), F.min("slots").alias("slots"))
+    plain = docs.toDF(*names)
+    same = id_.cast("long").eqNullSafe(F.col("doc_id")) & source.cast("string").eqNullSafe(F.col("source")) & (F.xxhash64(text) == F.col("tie"))
+    out = plain.join(times, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    out = out.withColumn("slot", F.element_at("slots", F.least("copy", F.size("slots"))))
+    return out.repartitionByRange(n, "slot").sortWithinPartitions("slot", "doc_id", "copy").select(*names).toDF(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.docs_of(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(common.docs_of(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-OP2_SQL = """
+OP2_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 per AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-         CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight FROM sized GROUP BY source),
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM sized GROUP BY source),
 ordered AS (
-  SELECT *, 3 * source_size AS cap,
+  SELECT *, CAST((no - 1) % 3 + 1 AS BIGINT) AS weight, 3 * source_size AS cap,
     sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0) AS rest_words,
-    sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS rest_weight
-  FROM per WINDOW b AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    sum((no - 1) % 3 + 1) OVER () - coalesce(sum((no - 1) % 3 + 1) OVER b, 0) AS rest_weight
+  FROM per WINDOW b AS (ORDER BY 3 * source_size / ((no - 1) % 3 + 1), no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 marked AS (SELECT *, CAST(cap AS HUGEINT) * rest_weight <= CAST(weight AS HUGEINT) * rest_words AS stops FROM ordered),
-open_share AS (SELECT rest_words, rest_weight FROM marked WHERE NOT stops ORDER BY cap / weight, source NULLS LAST LIMIT 1),
+open_share AS (SELECT rest_words, rest_weight FROM marked WHERE NOT stops ORDER BY cap / weight, no LIMIT 1),
 aims AS (
-  SELECT m.source, m.source_size,
+  SELECT m.source, m.no, m.source_size,
     CASE WHEN stops THEN CAST(cap AS DOUBLE) ELSE CAST(m.weight * o.rest_words AS DOUBLE) / CAST(o.rest_weight AS DOUBLE) END AS target
   FROM marked m LEFT JOIN open_share o ON true),
+needed AS (
+  SELECT no, source_size, CAST(round(target) AS BIGINT) AS words, CAST(ceil(source_size / {BLOCK_WORDS}) AS BIGINT) AS blocks FROM aims WHERE source_size > 0 AND round(target) > 0),
+slotted AS (SELECT *, words // source_size AS epochs, words % source_size AS rest, (words // source_size) * blocks + CAST(ceil((words % source_size) / {BLOCK_WORDS}) AS BIGINT) AS slots FROM needed),
+need AS (
+  SELECT *, CAST(floor((sum(slots) OVER u - slots) / sum(slots) OVER () * {1 << POINT_BITS}) AS BIGINT) AS from_point, CAST(floor(sum(slots) OVER u / sum(slots) OVER () * {1 << POINT_BITS}) AS BIGINT) AS to_point
+  FROM slotted WINDOW u AS (ORDER BY no)),
+points AS (
+  SELECT i AS slot, CAST(CAST(i AS HUGEINT) * {STEP} % {1 << POINT_BITS} AS BIGINT) AS point
+  FROM (SELECT unnest(range(0, CAST({POINTS_A_SLOT} * coalesce((SELECT sum(slots) FROM need), 0) AS BIGINT))) AS i)),
+hit AS (SELECT n.*, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank FROM points JOIN need n ON point >= from_point AND point < to_point),
+used AS (
+  SELECT no, rank % blocks AS block, min(slot) FILTER (rank // blocks < epochs) AS whole_slot, min(slot) FILTER (rank // blocks >= epochs) AS cut_slot,
+    max(least({BLOCK_WORDS}, rest - (rank % blocks) * {BLOCK_WORDS})) FILTER (rank // blocks = epochs) AS cut
+  FROM hit WHERE rank < slots GROUP BY no, rank % blocks),
 placed AS (
-  SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS words,
-    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5('17:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
+  SELECT doc_id, size, no, a.source_size, target, CAST(round(target) AS BIGINT) AS words,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5('{SEED}:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
+parts AS (SELECT doc_id, no, before, size, unnest(range(CAST(before // {BLOCK_WORDS} AS BIGINT), CAST((before + size - 1) // {BLOCK_WORDS} AS BIGINT) + 1)) AS block FROM placed WHERE size > 0),
+firsts AS (
+  SELECT doc_id, min(CASE WHEN whole_slot IS NOT NULL THEN whole_slot WHEN least(cut, before + size - p.block * {BLOCK_WORDS}) > before - p.block * {BLOCK_WORDS} AND cut > 0 THEN cut_slot END) AS first_slot
+  FROM parts p JOIN used u ON p.no = u.no AND p.block = u.block GROUP BY doc_id)
 SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(size, words % source_size - before)) END AS BIGINT) AS taken
-FROM placed
+  CAST(CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(size, words % source_size - before)) END AS BIGINT) AS taken, first_slot
+FROM placed LEFT JOIN firsts USING (doc_id)
 """

@@ -12,6 +12,7 @@ and all draws of a batch go on side by side. The model's pieces have ranks, not
 1 / (rank + offset) to the power `alpha`.
 
 Decoding joins the pieces' bytes and gives the text back exactly, whatever its white space or characters.
+The model's file is sent to the tasks, whose machines need not have it.
 
 Defined results: null counts as the empty text, which has no pieces; a null doc_id is key 0; rows with
 one doc_id and text get the same draw; texts are encoded whole; an empty table gives no rows; other columns are
@@ -267,60 +268,83 @@ def encode_batch(pieces: Pieces, doc_ids: list, texts: list[str], seed: int = SE
     return out
 
 
-OUT = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, lossless boolean"
+OUT = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, text_sha256 string, ids array<int>"
 
 
 def _parts(batch):
-    """(doc_ids, texts) of at most BATCH_CHARS characters, unless one text has more."""
-    ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    """(first, last row, texts) of at most BATCH_CHARS characters, unless one text has more."""
+    texts, size, at = [], 0, 0
+    for k, text in enumerate(batch.column(1).to_pylist()):
         if texts and size + len(text) > BATCH_CHARS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(doc_id)
+            yield at, texts
+            at, texts, size = k, [], 0
         texts.append(text)
         size += len(text)
     if texts:
-        yield ids, texts
+        yield at, texts
 
 
-def _sample(path: str, alpha: float, seed: int, with_ids: bool):
+def lists_of(found: list[np.ndarray]) -> pa.Array:
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+
+
+def _sample(model: str, alpha: float, seed: int):
     def run(batches):
-        pieces = pieces_of_model(path, alpha)
+        pieces = pieces_of_model(common.local_file(model), alpha)
         for batch in batches:
-            for doc_ids, texts in (x for part in common.pieces_of(batch) for x in _parts(part)):
-                found = encode_batch(pieces, doc_ids, texts, seed)
-                rows = []
-                for doc_id, text, ids in zip(doc_ids, texts, found):
-                    back = pieces.decode(ids.tolist())
-                    rows.append((doc_id, len(text), len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
-                names = ["doc_id", "n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "lossless"]
-                if with_ids:
-                    columns.append(pa.array([x.tolist() for x in found], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.record_batch(columns, names=names)
+            for part in common.pieces_of(batch):
+                ids = part.column(0).to_pylist()
+                for at, texts in _parts(part):
+                    found = encode_batch(pieces, ids[at : at + len(texts)], texts, seed)
+                    rows = [(len(text), len(x), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for text, x in zip(texts, found)]
+                    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
+                    others = part.slice(at, len(texts)).columns[2:]
+                    yield pa.record_batch([part.column(0).slice(at, len(texts)), *columns, lists_of(found), *others], names=["doc_id", "n_chars", "n_pieces", "ids_sha256", "text_sha256", "ids", *batch.schema.names[2:]])
 
     return run
 
 
-def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_chars, n_pieces, digests of the ids and of what they decode to, lossless, and the ids, for every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return common.arrow_map(rows, _sample(path, alpha, seed, with_ids), OUT + (", ids array<int>" if with_ids else ""))
+def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_chars, n_pieces, digests of the ids and the text, the ids, and the columns to keep, for every row."""
+    kept = [docs[c].alias(f"kept_{c}") for c in keep]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    out = common.arrow_map(rows, _sample(common.send_file(docs.sparkSession, model), alpha, seed), OUT + more)
+    return out.withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 
-def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id and text of rows with doc_id and ids."""
+def _decode(model: str, digests: bool):
+    """The text of the last column, the ids, or its digest."""
 
     def run(batches):
-        pieces = pieces_of_model(path)
+        pieces = pieces_of_model(common.local_file(model))
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([pieces.decode(x).decode() for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            for part in common.pieces_of(batch):
+                ids = part.column(part.num_columns - 1)
+                texts = [pieces.decode(x) for x in ids.to_pylist()]
+                if digests:
+                    new = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
+                    yield pa.record_batch([*part.columns, new], names=[*part.schema.names, "decoded_sha256"])
+                else:
+                    yield pa.record_batch([part.column(0), pa.array([x.decode() for x in texts], pa.string())], names=["doc_id", "text"])
+
+    return run
+
+
+def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id and text of rows with doc_id and ids."""
+    return common.arrow_map(rows.select("doc_id", "ids"), _decode(common.send_file(rows.sparkSession, model), False), "doc_id long, text string")
+
 
-    return common.arrow_map(rows.select("doc_id", "ids"), run, "doc_id long, text string")
+def checked(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+    """encoded with decoded_sha256, read back from the ids alone, and whether it is the text's (lossless); ids come last."""
+    rows = encoded.select(*[c for c in encoded.columns if c != "ids"], "ids")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = common.arrow_map(rows, _decode(common.send_file(rows.sparkSession, model), True), f"{schema}, decoded_sha256 string")
+    return out.withColumn("lossless", F.col("decoded_sha256") == F.col("text_sha256")).select(*rows.columns[:-1], "decoded_sha256", "lossless", "ids").drop("text_sha256")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(common.docs_of(spark, sf_dir), with_ids=False)
+    return checked(encode(common.docs_of(spark, sf_dir)))

@@ -12,20 +12,29 @@ intervals of at least `window` bytes; an interval whose suffixes have different
 a maximal repeat, and all its occurrences are marked. Intervals without that diversity are shifts of
 longer ones. Segments end where their anchor's windows end, so repeats are maximal among the segments;
 a longer passage comes as overlapping repeats of neighbouring anchors, and their union is exact.
-An anchor with more than `hot_segments` different segments (a passage in a third of all texts) is too
-much for a task: its windows are counted by two 64-bit hashes instead, by all tasks.
+An anchor with more than `hot_segments` different segments (at the edge of a passage that a third of all
+texts hold) is too much for a task. Its segments are cut finer: the windows with nearly the same offset to
+the anchor have most of their bytes in common, and these bytes are part of the finer group's name. Groups
+that are still too large are cut once more, down to one offset, where a group is one window. So every
+window is in a suffix array with all windows that equal it, and a span found in a finer segment is carried
+back to the segments that it was cut from.
+
+An anchor with over 1 / HOT_PLACES of all places is kept by a list of such anchors (fewer than HOT_PLACES)
+that all tasks have; the others meet their repeats in a shuffle, so no task gets a large share.
 
 Texts are kept once, bucketed by the hash that the later joins use, so they are shuffled once; they are
 told apart by 128 bits of their SHA-256. Copies of a whole text are counted beforehand.
 
 Defined results: null counts as empty; texts shorter than the window lose nothing and match nothing;
 rows that repeat a doc_id and text are occurrences of their own; overlaps within one text count; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; other columns are not read. A window is longer than the gram and at most
+LONGEST_WINDOW bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 from functools import lru_cache
 
@@ -40,6 +49,14 @@ WINDOW = 200
 GRAM = 32
 #: Different segments of one anchor that a task takes.
 HOT_SEGMENTS = 8000
+#: Offsets that share a finer group, level by level; the last level is one window.
+FINER = (12, 1)
+#: An anchor with more than this part of all places is frequent.
+HOT_PLACES = 2000
+#: Up to so many hot anchors are sent to all tasks; more are joined.
+SENT_ANCHORS = 1_000_000
+#: Offsets are kept in 16 bits.
+LONGEST_WINDOW = 1 << 15
 #: Bytes of segments in one suffix array, unless one anchor has more.
 ARRAY_BYTES = 1 << 20
 #: Window starts looked at together; positions within fit in 24 bits.
@@ -220,7 +237,7 @@ def _anchors(window: int, gram: int):
                     h, place, first, last = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4))
                     tid = np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got])
                     # place, and how far before it the first and last windows start
-                    packed = (place << 16) | ((place - first) << 8) | (place - last)
+                    packed = (place << 32) | ((place - first) << 16) | (place - last)
                     yield pa.record_batch([pa.array(h), pa.array(tid), pa.array(packed)], names=["anchor", "tid", "place"])
 
     return run
@@ -234,9 +251,9 @@ def _cut(window: int):
                 for tid, tid2, body, hits in zip(*[part.column(k).to_pylist() for k in range(4)]):
                     for hit in hits:
                         place = hit["place"]
-                        first, last = (place >> 16) - (place >> 8 & 255), (place >> 16) - (place & 255)
+                        place, first, last = place >> 32, (place >> 32) - (place >> 16 & 0xFFFF), (place >> 32) - (place & 0xFFFF)
                         if last + window <= len(body):  # else it is of another text with this tid
-                            rows.append((hit["anchor"], tid, tid2, first, body[first : last + window]))
+                            rows.append((hit["anchor"], tid, tid2, first, place - first, body[first : last + window]))
                     if len(rows) > 20_000:
                         yield _segment_batch(rows)
                         rows = []
@@ -247,8 +264,40 @@ def _cut(window: int):
 
 
 def _segment_batch(rows):
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=["anchor", "tid", "tid2", "first", "segment"])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=["anchor", "tid", "tid2", "first", "at", "segment"])
+
+
+def finer(anchor: int, at: int, segment: bytes, width: int, window: int, gram: int):
+    """(begin, group, place of the anchor, bytes) of the parts of a segment whose windows' offsets to the anchor are in
+    one class of `width` offsets. Bytes that all windows of a class share are in the group's name."""
+    from xxhash import xxh64_intdigest
+
+    for kind in range((at - len(segment) + window) // width, at // width + 1):
+        near, far = kind * width, min((kind + 1) * width - 1, window - gram)
+        begin, end = at - min(at, far), at - max(at - len(segment) + window, near) + window
+        shared = segment[at - near : at - far + window]
+        name = xxh64_intdigest(struct.pack("<qq", anchor, kind) + shared)
+        yield begin, name - (1 << 64 if name >> 63 else 0), at - begin, segment[begin:end]
+
+
+FINER_ROWS = "up1 long, up2 long, delta long, anchor long, at long, segment binary, n long"
+
+
+def _refine(width: int, window: int, gram: int):
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+    names = ["up1", "up2", "delta", "anchor", "at", "segment", "n"]
+
+    def run(batches):
+        for batch in batches:
+            for part in common.pieces_of(batch):
+                rows = []
+                for anchor, key1, key2, at, segment, n in zip(*[part.column(k).to_pylist() for k in range(6)]):
+                    rows += [(key1, key2, begin, group, place, piece, n) for begin, group, place, piece in finer(anchor, at, segment, width, window, gram)]
+                if rows:
+                    yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+
+    return run
 
 
 def _scan(window: int):
@@ -300,34 +349,60 @@ def _remove(batches):
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=["tid", "tid2", "gone", "runs", "kept_sha256"])
 
 
+def _near(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= SENT_ANCHORS else table
+
+
+def marks(rows: DataFrame, window: int, gram: int, hot_segments: int, levels: tuple[int, ...] = FINER) -> DataFrame:
+    """(key1, key2, begin, end) of the repeated bytes of segments: anchor, key1, key2, at, segment, n (occurrences)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = rows.groupBy("anchor", "key1", "key2", "segment").agg(F.min("at").alias("at"), F.sum("n").alias("n"))
+    hot = None
+    if levels:
+        sizes = rows.select("anchor", "key1", "key2").distinct().groupBy("anchor").count()
+        hot = common.settle(sizes.filter(F.col("count") > hot_segments).select("anchor"), "repeat-hot")
+        hot = None if hot.isEmpty() else hot
+    rest = whole if hot is None else whole.join(_near(hot), "anchor", "left_anti")
+    order = rest.select("anchor", "key1", "key2", "segment", "n").repartition(n, "anchor").sortWithinPartitions("anchor")
+    found = common.arrow_map(order, _scan(window), "key1 long, key2 long, begin long, end long")
+    if hot is None:
+        return found
+    cut = whole.join(_near(hot), "anchor", "left_semi").select("anchor", "key1", "key2", "at", "segment", "n")
+    cut = common.settle(keyed(common.arrow_map(cut, _refine(levels[0], window, gram), FINER_ROWS)), "repeat-finer")
+    inner = common.settle(marks(cut, window, gram, hot_segments, levels[1:]), "repeat-finer-marks")
+    ups = cut.select("key1", "key2", "up1", "up2", "delta").distinct()
+    lifted = inner.join(ups, ["key1", "key2"]).select(F.col("up1").alias("key1"), F.col("up2").alias("key2"), (F.col("begin") + F.col("delta")).alias("begin"), (F.col("end") + F.col("delta")).alias("end"))
+    return found.unionByName(lifted)
+
+
+def keyed(cut: DataFrame) -> DataFrame:
+    """Segments named by 128 bits of their anchor and bytes."""
+    return cut.withColumn("key1", F.xxhash64("anchor", "segment")).withColumn("key2", F.xxhash64("segment", "anchor"))
+
+
 def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """(tid, tid2, begin, end), overlapping, of the bytes in repeats across different texts or within one; texts: tid, tid2, body."""
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(tid, tid2, spans) of the bytes in repeats across different texts or within one, overlapping; texts: tid, tid2, body."""
+    if not gram < window <= LONGEST_WINDOW:
+        raise ValueError(f"a window has over {gram} and up to {LONGEST_WINDOW} bytes")
     found = common.settle(common.arrow_map(texts.select("tid", "body"), _anchors(window, gram), "anchor long, tid long, place long"), "repeat-anchors")
-    spot = F.xxhash64("tid", F.shiftright("place", 16))
-    often = found.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("anchor")
-    hits = found.join(often, "anchor", "left_semi")
+    spot = F.xxhash64("tid", F.shiftright("place", 32))
+    often = found.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count("*").alias("n")).filter("a <> b").select("anchor", "n")
+    often = common.settle(often, "repeat-often")
+    hot = F.col("n") > found.count() / HOT_PLACES
+    frequent = F.broadcast(often.filter(hot).select("anchor"))  # fewer than HOT_PLACES
+    hits = found.join(frequent, "anchor", "left_semi").unionByName(found.join(frequent, "anchor", "left_anti").join(often.filter(~hot).select("anchor"), "anchor", "left_semi"))
     hits = common.settle(hits.groupBy("tid").agg(F.collect_list(F.struct("anchor", "place")).alias("hits")), "repeat-hits")  # a text's own anchors
-    common.free(texts.sparkSession)
-    cut = common.arrow_map(texts.join(hits, "tid").select("tid", "tid2", "body", "hits"), _cut(window), "anchor long, tid long, tid2 long, first long, segment binary")
-    cut = common.settle(cut.withColumn("key1", F.xxhash64("anchor", "segment")).withColumn("key2", F.xxhash64("segment", "anchor")), "repeat-segments")
-    common.free(texts.sparkSession)
-    whole = cut.groupBy("anchor", "key1", "key2", "segment").agg(F.count("*").alias("n"))
-    hot = cut.select("anchor", "key1", "key2").distinct().groupBy("anchor").count().filter(F.col("count") > hot_segments).select("anchor")
-    hot = common.settle(hot, "repeat-hot")
-    order = whole.join(hot, "anchor", "left_anti").select("anchor", "key1", "key2", "segment", "n").repartition(n, "anchor").sortWithinPartitions("anchor")
-    marked = common.arrow_map(order, _scan(window), "key1 long, key2 long, begin long, end long")
-    if not hot.isEmpty():
-        # the windows of hot anchors, each with its digest
-        starts = F.sequence(F.lit(0), F.length("segment") - window)
-        wins = whole.join(hot, "anchor", "left_semi").select("key1", "key2", "n", F.explode(F.transform(starts, lambda k: F.struct(k.alias("begin"), F.substring(F.col("segment"), k + 1, window).alias("w")))).alias("x"))
-        wins = wins.select("key1", "key2", "n", F.col("x.begin").cast("long").alias("begin"), F.xxhash64("x.w").alias("w1"), F.xxhash64(F.lit(1), "x.w").alias("w2"))
-        twice = wins.groupBy("w1", "w2").agg(F.sum("n").alias("all")).filter("all > 1").select("w1", "w2")
-        more = wins.join(twice, ["w1", "w2"], "left_semi").select("key1", "key2", "begin", (F.col("begin") + window).alias("end"))
-        marked = marked.union(more)
-    marked = common.settle(marked, "repeat-marks")
-    common.free(texts.sparkSession)
-    return cut.select("tid", "tid2", "first", "key1", "key2").join(marked, ["key1", "key2"]).select("tid", "tid2", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end"))
+    common.discard(found, often)
+    cut = common.arrow_map(texts.join(hits, "tid").select("tid", "tid2", "body", "hits"), _cut(window), "anchor long, tid long, tid2 long, first long, at long, segment binary")
+    cut = common.settle(keyed(cut), "repeat-segments")
+    common.discard(hits)
+    marked = common.settle(marks(cut.withColumn("n", F.lit(1).cast("long")), window, gram, hot_segments), "repeat-marks")
+    spans = cut.select("tid", "tid2", "first", "key1", "key2").join(marked, ["key1", "key2"])
+    spans = spans.select("tid", "tid2", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end"))
+    spans = spans.distinct().groupBy("tid", "tid2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # a text's own spans
+    out = common.settle(spans, "repeat-spans")
+    common.discard(cut, marked)
+    return out
 
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
@@ -341,16 +416,21 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
 
     once = common.arrow_map(body.filter(F.octet_length("body") >= window).select("body"), _once, "tid long, tid2 long, body binary")
     once = once.repartition(n, "tid").dropDuplicates(["tid", "tid2"])
-    name = f"repeat_texts_{uuid.uuid4().hex[:12]}"
-    once.write.bucketBy(n, "tid").option("compression", "zstd").option("path", common.new_path(spark, "repeat-texts")).saveAsTable(name)
-    common.free(spark)
-    texts = spark.table(name)
-
-    spans = repeated_spans(texts, window, gram, hot_segments).distinct().groupBy("tid", "tid2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # a text's own spans
-    spans = common.settle(spans.withColumnRenamed("tid2", "_tid2"), "repeat-spans")
-    # one text has this tid, but for collisions, which the second half tells apart after the bucketed join
-    left = texts.join(spans, "tid").filter((F.col("tid2") >= F.col("_tid2")) & (F.col("tid2") <= F.col("_tid2")))
-    left = common.settle(common.arrow_map(left.select("tid", "tid2", "body", "spans"), _remove, "tid long, tid2 long, gone long, runs long, kept_sha256 string"), "repeat-kept")
+    # a table of the session, as only tables can be bucketed; it is dropped when it has been read
+    name, path = f"repeat_texts_{uuid.uuid4().hex[:12]}", common.new_path(spark, "repeat-texts")
+    try:
+        with common.shuffles_end_with_their_job(spark):
+            once.write.bucketBy(n, "tid").option("compression", "zstd").option("path", path).saveAsTable(name)
+        texts = spark.table(name)
+        spans = repeated_spans(texts, window, gram, hot_segments)
+        # one text has this tid, but for collisions, which the second half tells apart after the bucketed join
+        named = spans.withColumnRenamed("tid2", "_tid2")
+        left = texts.join(named, "tid").filter((F.col("tid2") >= F.col("_tid2")) & (F.col("tid2") <= F.col("_tid2")))
+        left = common.settle(common.arrow_map(left.select("tid", "tid2", "body", "spans"), _remove, "tid long, tid2 long, gone long, runs long, kept_sha256 string"), "repeat-kept")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    common.delete(spark, path)
+    common.discard(spans)
     copies = rows.groupBy("tid", "tid2").agg(F.count("*").alias("copies"))
     facts = copies.join(left, ["tid", "tid2"], "left")
     out = rows.join(facts, ["tid", "tid2"])

@@ -1,15 +1,14 @@
 """Sharding by vector bin packing over bytes, words and rows.
 
 Equal texts form a group. A group goes to one shard whole unless it holds more than 3/4 of a shard's
-bytes; then it is split into as many parts of at most about 3/4 as it needs. Groups over 1/64 of a
-shard's bytes or rows (at most 2 * 64 * shards of them) are packed by their own sums, and summed and
-ranked in `HOT_CELLS` cells by doc_id, of which parts are made; so no task ranks a large group. The
-others are gathered by hash into a bounded number of bundles; small corpora have about one group in a
-bundle. Bundles, largest first, go to the shard where the dot product of the bundle's share of the
-totals with the shard's residual capacity is highest. Only the bundles' sums (at most `bundles` plus
-the cells of hot groups) reach the driver. Slots come from the cell's place in its shard and the
-row's rank in its cell, so no task sorts a whole shard. Where the parts of split groups are more than
-the shards, parts are single cells, for evenness.
+bytes; then it is split into as many parts of at most about 3/4 as it needs. Groups over 1/1024 of a
+shard's bytes or rows (at most 2 * 1024 * shards of them) are placed one by one. Those over 1/64 are also
+summed and ranked in `CELLS` cells by doc_id, of which parts are made; so no task ranks a large group.
+Smaller groups are gathered by hash into at most `bundles` bundles, which are placed like groups. Groups and
+bundles, largest first, go to the shard where the dot product of their share of the totals with the shard's
+residual capacity is highest (ties: equal ones by hash; equal shards by number). Only their sums reach the
+driver. Slots come from the cell's place in its shard and the row's rank in its cell, so no task sorts a
+whole shard. Where the parts of split groups are more than the shards, parts are single cells, for evenness.
 
 The law that holds is `bytes`: shards' sizes are nearly equal; bytes weigh more than words and rows.
 
@@ -28,11 +27,13 @@ from pyspark.sql import functions as F
 from gridledger.llm import common
 
 SHARDS = 24
-#: Hash bundles of groups.
+#: Hash bundles of small groups.
 BUNDLES = 1 << 14
-#: A group with more than this part of a shard is packed by its own sums, in cells.
-HOT_SHARE = 1 / 64
-HOT_CELLS = 64
+#: A group with more than this part of a shard is placed by itself.
+SINGLE_SHARE = 1 / 1024
+#: A group with more than this part of a shard is summed and ranked in cells.
+CELL_SHARE = 1 / 64
+CELLS = 64
 #: A group with more than this part of a shard's bytes is split.
 WHOLE_SHARE = 3 / 4
 #: What bytes, words and rows weigh in the dot product: most of all bytes, whose law holds.
@@ -102,12 +103,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
     rows = common.settle(measured(docs), "shard-rows")
     whole = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     groups = rows.groupBy("grp").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    limit_b, limit_n = whole.b / shards * HOT_SHARE, max(1.0, whole.n / shards * HOT_SHARE)
-    # at most 2 * shards / HOT_SHARE groups can be over a limit, so this is small at any size
-    hot = groups.filter((F.col("n") > 1) & ((F.col("b") > limit_b) | (F.col("n") > limit_n))).select(F.col("grp").alias("_hot"))
-    rows = rows.join(F.broadcast(hot), F.col("grp") == F.col("_hot"), "left")
-    cell = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_CELLS)).cast("int")).otherwise(F.lit(-1))
-    rows = rows.withColumn("cell", cell).withColumn("bundle", F.when(F.col("_hot").isNull(), F.pmod("grp", F.lit(bundles))).otherwise(F.col("grp")))
+    over = lambda share: (F.col("b") > whole.b / shards * share) | (F.col("n") > max(1.0, whole.n / shards * share))
+    # at most 2 * shards / SINGLE_SHARE groups can be over a limit, so this is small at any size
+    single = groups.filter(over(SINGLE_SHARE)).select(F.col("grp").alias("_single"), (over(CELL_SHARE) & (F.col("n") > 1)).alias("_cells"))
+    rows = rows.join(F.broadcast(single), F.col("grp") == F.col("_single"), "left")
+    cell = F.when(F.col("_single").isNull(), -2).when(F.col("_cells"), F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int")).otherwise(-1)
+    rows = rows.withColumn("cell", cell).withColumn("bundle", F.coalesce("_single", F.pmod("grp", F.lit(bundles))))
     keys = ["bundle", "cell"]
     sums = rows.groupBy(*keys).agg(F.sum("size").alias("b"), F.sum("words").alias("w"), F.count("*").alias("n")).orderBy(*keys).collect()
     vectors = np.array([[r.b, r.w, r.n] for r in sums], dtype=np.float64).reshape(-1, 3)
@@ -118,7 +119,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
     for r, at in zip(sums, place):
         starts.append((r.bundle, r.cell, int(at), seen[at]))
         seen[at] += r.n
-    # as many rows as bundles, which are bounded
+    # as many rows as sums, which are bounded
     placed = F.broadcast(spark.createDataFrame(starts, "bundle long, cell int, shard int, start long"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("grp", "doc_id", "size")) - 1
     out = rows.withColumn("_rank", rank).join(placed, keys)

@@ -161,11 +161,14 @@ def tiles(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, a
     # tiles of large bands: population count and a cut of it by hash
     cut = sums.select("band", "value", "pop", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
     other = cut.select("band", "value", F.col("pop").alias("pop2"), F.col("cut").alias("cut2"))
-    pairs = cut.join(other, ["band", "value"]).filter((F.col("pop2") - F.col("pop")).between(0, radius) & ((F.col("pop") < F.col("pop2")) | (F.col("cut") <= F.col("cut2"))))
+    # each cut meets only population counts that the radius allows
+    reach = cut.withColumn("pop2", F.explode(F.sequence(F.col("pop"), F.col("pop") + radius)))
+    pairs = reach.join(other, ["band", "value", "pop2"]).filter((F.col("pop") < F.col("pop2")) | (F.col("cut") <= F.col("cut2")))
     pairs = pairs.withColumn("tile", F.xxhash64("band", "value", "pop", "cut", "pop2", "cut2")).withColumn("across", (F.col("pop") != F.col("pop2")) | (F.col("cut") != F.col("cut2")))
     sides = pairs.select("band", "value", "pop", "cut", "tile", "across", F.lit(0).alias("side")).union(
         pairs.filter("across").select("band", "value", F.col("pop2").alias("pop"), F.col("cut2").alias("cut"), "tile", "across", F.lit(1).alias("side")))
     big = rows.join(sums.select("band", "value", "pop", "cuts"), ["band", "value", "pop"]).withColumn("cut", F.pmod(F.xxhash64("bits"), F.col("cuts")).cast("int"))
+    # a cut has few tiles beside a fifth of its band's, so this grows with the square of one band's cuts at most
     paired = big.join(sides, ["band", "value", "pop", "cut"]).select("tile", "bits", "side", "across")
     return plain.union(paired)
 
@@ -189,13 +192,5 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, t
     return rows.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each component: the one that gives the component its id. Of rows that repeat its
-    doc_id and text, one stays."""
-    stay = near_groups(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*common.id_keys()).distinct()
-    named = docs.select("*", *common.id_keys(), F.sha2(common.bytes_of(), 256).alias("_gl_sha"))
-    return named.join(stay, ["_gl_id", "_gl_no_id"], "left_semi").dropDuplicates(["_gl_id", "_gl_no_id", "_gl_sha"]).select(*docs.columns)
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(common.docs_of(spark, sf_dir))

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from gridledger.llm import repeats as R
 from tests.llm.helpers import AWKWARD, docs
@@ -33,6 +34,41 @@ def test_planted(spark):
     texts = [text(150) + shared + text(80), shared[20:260] + text(90), text(400), other + text(10) + other, "ab" * 300, "x" * 450, shared, text(199), None, ""]
     held(spark, texts)
     held(spark, texts, hot_segments=0)
+    held(spark, texts, hot_segments=2)
+    held(spark, texts, window=400)  # over 287 bytes
+    assert not [t for t in spark.catalog.listTables() if "repeat" in t.name]
+
+
+def test_common_passage(spark):
+    """Every text holds one passage between bytes of its own: anchors at its edges have many different segments."""
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage = text(420)
+    texts = [text(rnd.randrange(300)) + passage[rnd.randrange(60) :] + text(rnd.randrange(300)) for _ in range(60)]
+    for hot in (8000, 20, 1):
+        held(spark, texts, hot_segments=hot)
+
+
+def test_finer_segments():
+    """Each window of a segment is in one part; windows that are equal are in parts of one name."""
+    rnd = random.Random(6)
+    for width in (1, 5, 12, 200):
+        for _ in range(50):
+            at = rnd.randrange(0, 168)
+            last = rnd.randrange(0, at + 1)
+            segment = bytes(rnd.randrange(256) for _ in range(at - last + 200))
+            parts = list(R.finer(9, at, segment, width, 200, 32))
+            windows = [b + k for b, _, _, s in parts for k in range(len(s) - 199)]
+            assert sorted(windows) == list(range(len(segment) - 199))
+            assert all(segment[b : b + len(s)] == s and b + p == at for b, _, p, s in parts)
+            begin, name, place, piece = rnd.choice(parts)
+            more = b"?" * 3 + segment[begin : begin + 200]
+            assert name in {n for _, n, _, _ in R.finer(9, place + 3, more, width, 200, 32)}
+
+
+def test_windows_that_are_too_long(spark):
+    with pytest.raises(ValueError):
+        R.dedup_passages(docs(spark, [(1, "x")]), window=1 << 16)
 
 
 def test_small_window(spark):

@@ -31,12 +31,74 @@ def test_langid_awkward(spark):
     model = langid.train(d)
     got = {r.text: r.lang_pred for r in langid.predict(d.selectExpr("text", "text AS t"), model).collect()}
     assert {t for t, p in got.items() if p == "und"} == {None, "", "   ", "12 34 !!"} and got["solo texto"] == "en"
-    left = langid.drop_unknown(d)
-    assert left.columns == d.columns and left.count() == len(AWKWARD) - 3 + 1
-    assert langid.drop_unknown(docs(spark, [])).count() == 0
+    left = langid.keep_languages(d)
+    assert left.columns == d.columns and left.count() == len(AWKWARD) - 3 + 1 and {r.lang for r in left.collect()} == {"en"}
+    assert langid.keep_languages(d, ["fr"]).count() == langid.keep_languages(docs(spark, [])).count() == 0
     assert langid.train(docs(spark, [(1, "words", None)])).langs == []
 
 
+def test_langid_against_plain_counts(spark, sf_dir):
+    """The whole query decoded anew: n-grams counted with a dictionary, from the same sample."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    known = spark.createDataFrame([r for r in rows if r.lang and r.text and any(map(str.isalpha, r.text)) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    rank = {r._id: r._rank for r in langid.sampled(known).collect()}
+    assert len(rank) == known.count()  # all are below the bound here
+
+    def buckets(text):
+        words = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()).split()
+        b, out = b" " + b" ".join(words) + b" ", Counter()
+        for n in (1, 2, 3, 4):
+            for i in range(len(b) - n + 1):
+                key = (n << 8 * n) + int.from_bytes(b[i : i + n], "big")
+                out[key * 0x9E3779B97F4A7C15 % (1 << 64) >> 50] += 1
+        return out
+
+    langs = sorted({r.lang for r in known.collect()})
+    counts = {x: Counter() for x in langs}
+    for r in rows:
+        if rank.get(r.doc_id, 0) % 5:
+            counts[r.lang] += buckets(r.text)
+    total = {x: sum(counts[x].values()) + 0.5 * 16384 for x in langs}
+    code = langid.codewords(len(langs)).astype(int)
+    mean = lambda b, bit, sign: np.mean([(counts[x][b] + 0.5) / total[x] for k, x in enumerate(langs) if code[k][bit] == sign])
+    pull = {}
+
+    def margins(text):
+        out = []
+        grams = buckets(text)
+        for bit in range(code.shape[1]):
+            for b in grams:
+                if (b, bit) not in pull:
+                    pull[b, bit] = math.log(mean(b, bit, 1) / mean(b, bit, -1))
+            out.append(max(-20.0, min(20.0, 0.25 * sum(n * pull[b, bit] for b, n in grams.items()))))
+        return out
+
+    weighs = [r for r in rows if rank.get(r.doc_id, 1) % 5 == 0]
+    good = np.mean([[code[langs.index(r.lang)][bit] * m > 0 for bit, m in enumerate(margins(r.text))] for r in weighs], axis=0)
+    trust = np.log(np.clip(good, 0.51, 0.999) / (1 - np.clip(good, 0.51, 0.999)))
+    trust /= trust.mean()
+    text = {r.doc_id: r.text for r in rows}
+    for r in langid.op1_langid(spark, sf_dir).collect():
+        t = text[r.doc_id]
+        if t is None or not any(map(str.isalpha, t)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        m = margins(t)
+        loss = [sum(w * math.log1p(math.exp(-c * x)) for w, c, x in zip(trust, code[k], m)) for k in range(len(langs))]
+        near = [math.exp(min(loss) - x) for x in loss]
+        assert r.lang_pred == langs[loss.index(min(loss))] and abs(r.score - 1 / sum(near)) < 1e-6
+
+
+def test_sample_of_a_large_language(spark):
+    known = spark.range(30_000).selectExpr("if(id % 10 = 0, 'b', 'a') AS lang", "id AS doc_id", "'x' AS text")
+    got = langid.sampled(known, 50).collect()
+    hashes = known.selectExpr("lang", "doc_id", "xxhash64(doc_id) AS h").collect()
+    bound = lambda n: min(1.0, 200 / n) * (1 << 53)
+    for lang, n in (("a", 27_000), ("b", 3_000)):
+        low = sorted((r.h, r.doc_id) for r in hashes if r.lang == lang and (r.h % (1 << 64)) >> 11 <= bound(n))
+        assert [r._id for r in sorted(got, key=lambda r: r._rank) if r._lang == lang] == [i for _, i in low[:50]]
+
+
 def test_codewords():
     for n in (2, 3, 6, 7, 30):
         code = langid.codewords(n).astype(int)
@@ -100,6 +162,33 @@ def test_media(spark, tmp_path):
     assert media.store(docs(spark, []), root).count() == 0
 
 
+def test_media_query(spark, sf_dir):
+    """Every column of the whole query, computed plainly."""
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = media.op5_media(spark, sf_dir).collect()
+    assert len(got) == len(text)
+    for r in got:
+        body = (text[r.doc_id] or "").encode()
+        payload = body + b"\0" * (64 if not body else -len(body) % 64)
+        rows = [payload[k : k + 64] for k in range(0, len(payload), 64)]
+        raw = b"".join(b"\0" + x for x in rows)
+        piece = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+        png = b"\x89PNG\r\n\x1a\n" + piece(b"IHDR", (64).to_bytes(4, "big") + len(rows).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + piece(b"IDAT", zlib.compress(raw, 6)) + piece(b"IEND", b"")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.width, r.height) == (len(png), hashlib.sha256(png).hexdigest(), 64, len(rows))
+        cells = []
+        for k in range(8):
+            a, b = len(rows) * k // 8, max(len(rows) * (k + 1) // 8, len(rows) * k // 8 + 1)
+            part = rows[a:b] if a < len(rows) else []
+            for c in range(8):
+                cells.append(sum(sum(x[8 * c : 8 * c + 8]) for x in part) / (8 * len(part)) if part else 0.0)
+        mean = sum(cells) / 64
+        bits = "".join("1" if x > mean + 1e-9 else "0" for x in cells)
+        assert abs(float(r.feature.split(";")[0][5:]) - sum(payload) / len(payload)) < 1e-3
+        shown = f"{int(r.feature.split('ahash=')[1], 16):064b}"
+        assert all(a == b or abs(x - mean) < 1e-6 for a, b, x in zip(shown, bits, cells))
+
+
 # chat
 
 
@@ -144,6 +233,13 @@ def test_chat_query(spark, sf_dir):
     assert not want
 
 
+def test_chat_clashing_columns(spark):
+    rows = [(1, 0, "user", "hi", 5, "x", True, 7), (1, 1, "assistant", "yo", 6, "y", False, 8)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int, in_order string, loss boolean, turn_no long")
+    (r,) = chat.read_back(chat.segments(turns)).collect()
+    assert (r.n_turns, r.loss_chars, r.in_order) == (2, 2, True)
+
+
 # sharding
 
 
@@ -169,6 +265,46 @@ def test_shards_are_even(spark):
             assert cold.setdefault(rows[r.doc_id][1], r.shard) == r.shard
 
 
+def test_packing_by_the_rule(spark, sf_dir):
+    """The whole query again: groups in the order of their shares, each to the shard of the highest dot product."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = {r.doc_id: r.shard for r in sharding.op7_sharding(spark, sf_dir).collect()}
+    hashed = {r.doc_id: r.g for r in spark.createDataFrame(rows).selectExpr("doc_id", "xxhash64(text IS NULL, text) AS g").collect()}
+    groups = {}
+    for r in rows:
+        v = groups.setdefault(r.text, [0, 0, 0, hashed[r.doc_id]])
+        v[0], v[1], v[2] = v[0] + len((r.text or "").encode()) + 8, v[1] + len((r.text or "").split()), v[2] + 1
+    total = [sum(v[k] for v in groups.values()) for k in range(3)]
+    limit = [total[k] / 24 / 1024 for k in range(3)]
+    assert all(v[0] > limit[0] or v[2] > max(1, limit[2]) for v in groups.values()) and all(v[0] <= 0.75 * total[0] / 24 or v[2] == 1 for v in groups.values())
+    left, place = [[1.0] * 3 for _ in range(24)], {}
+    pull = sharding.PULL
+    for text, v in sorted(groups.items(), key=lambda x: (-sum(x[1][k] / total[k] * 24 * pull[k] for k in range(3)), x[1][3])):
+        share = [v[k] / total[k] * 24 for k in range(3)]
+        score = [sum(s[k] * share[k] * pull[k] for k in range(3)) for s in left]
+        place[text] = max(range(24), key=lambda s: score[s])
+        left[place[text]] = [a - b for a, b in zip(left[place[text]], share)]
+    same = sum(place[r.text] == got[r.doc_id] for r in rows)
+    sums = Counter()
+    for r in rows:
+        sums[place[r.text]] += len((r.text or "").encode()) + 8
+    mine = Counter()
+    for r in rows:
+        mine[got[r.doc_id]] += len((r.text or "").encode()) + 8
+    assert same == len(rows) or sorted(sums.values()) == sorted(mine.values())
+
+
+def test_more_groups_than_bundles(spark):
+    rows = [(i, f"text {i}") for i in range(3000)] + [(9000 + i, f"pair {i // 2}") for i in range(400)]
+    got = sharding.shard(docs(spark, rows), bundles=64).collect()
+    sums, of = Counter(), {}
+    for r in got:
+        sums[r.shard] += r.size
+        if r.doc_id >= 9000:
+            assert of.setdefault((r.doc_id - 9000) // 2, r.shard) == r.shard
+    assert len(sums) == 24 and sum(sums.values()) == sum(len(t) + 8 for _, t in rows)
+
+
 def test_sharding_awkward(spark):
     assert sharding.shard(docs(spark, AWKWARD)).count() == len(AWKWARD)
     assert sharding.shard(docs(spark, [])).count() == 0
@@ -219,10 +355,57 @@ def test_batches_do_not_matter():
     assert any(not np.array_equal(pieces.encode_batch(model, [i], ["something longer to cut"])[0], pieces.encode_batch(model, [0], ["something longer to cut"])[0]) for i in range(9))
 
 
+def test_pieces_query(spark, sf_dir):
+    """The whole query: ids are drawn again one text at a time by plain filtering and sampling, and decode to the text."""
+    model = pieces.pieces_of_model()
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    text = {r.doc_id: r.text or "" for r in rows}
+    names = {raw.decode(): k for k, raw in enumerate(model.raw) if raw and k not in set(model.byte_ids.tolist())}
+    longest = max(map(len, names))
+
+    def filtered(word):
+        sums, arcs = [0.0], [[]]
+        for end in range(1, len(word) + 1):
+            own = [(n, names[word[end - n : end]]) for n in range(min(end, longest), 0, -1) if word[end - n : end] in names]
+            if not own or own[-1][0] != 1:
+                own.append((1, -1))
+            logs = [sums[end - n] + (pieces.FALLBACK_LOG if k < 0 else model.weights[k]) for n, k in own]
+            most = max(logs)
+            share = [math.exp(x - most) for x in logs]
+            sums.append(most + math.log(sum(share)))
+            arcs.append([(n, k, p / sum(share)) for (n, k), p in zip(own, share)])
+        return arcs
+
+    seen = 0
+    for r in pieces.op9_pieces(spark, sf_dir).collect():
+        t = text[r.doc_id]
+        assert model.decode(r.ids).decode() == t and r.lossless and (r.n_chars, r.n_pieces) == (len(t), len(r.ids))
+        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        if len(t) > 2000 or seen > 40:
+            continue
+        seen += 1
+        key, out, begin = pieces.row_key(r.doc_id), [], 0
+        for word in pieces._WORDS.findall(t):
+            arcs, end, ids = filtered(word), len(word), []
+            while end:
+                draw = pieces.uniform(np.array([key], np.uint64), np.array([begin + end]))[0]
+                up, pick = 0.0, None
+                for n, k, p in arcs[end]:
+                    up += p
+                    if draw < up - 1e-12 or (n, k, p) == arcs[end][-1]:
+                        pick = (n, k)
+                        break
+                ids.append(list(model.byte_ids[list(word[end - 1].encode())]) if pick[1] < 0 else [pick[1]])
+                end -= pick[0]
+            out += [int(x) for part in ids[::-1] for x in part]
+            begin += len(word)
+        assert out == r.ids
+
+
 def test_pieces_round_trip(spark):
     d = docs(spark, AWKWARD)
-    out = pieces.encode(d)
-    assert all(r.lossless for r in out.collect())
+    out = pieces.encode(d, keep=("lang", "size"))
+    assert all(r.lossless and r.lang == "en" and r.size == 1 for r in pieces.checked(out).collect())
     assert Counter(r.text for r in pieces.decode(out).collect()) == Counter(t or "" for _, t in AWKWARD)
     assert pieces.encode(docs(spark, [])).count() == 0
 
