@@ -114,7 +114,8 @@ def checked_pattern(pattern: str | None) -> str | None:
 
 def tokens(c: Column | str, pattern: str | None = None) -> Column:
     """Identifier-shaped runs of a text, in order."""
-    found = F.regexp_extract_all(_col(c), F.lit(checked_pattern(pattern) or ID_TOKEN), F.lit(0))
+    # letters, digits and word ends of all scripts count
+    found = F.regexp_extract_all(_col(c), F.lit("(?U)" + (checked_pattern(pattern) or ID_TOKEN)), F.lit(0))
     return F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")
 
 

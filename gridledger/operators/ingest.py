@@ -41,20 +41,25 @@ def header_candidates(rows: DataFrame, widths: DataFrame) -> DataFrame:
 
 
 def looks_like_values(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """candidates with is_data: the row has the shapes of the values below it, in two columns and half of its cells."""
-    cand = candidates.select("file", "row_no").distinct().join(rows, ["file", "row_no"]).select("file", F.col("row_no").alias("head"), F.col("width").alias("w"), F.col("cells").alias("head_cells"))
-    below = rows.join(cand.select("file", "head", "w"), "file").filter((F.col("row_no") > F.col("head")) & (F.col("width") == F.col("w")))
-    place = F.row_number().over(Window.partitionBy("file", "head").orderBy("row_no"))
-    below = below.withColumn("_r", place).filter(F.col("_r") <= BELOW_ROWS)
-    n_below = below.groupBy("file", "head").agg(F.count("*").alias("n_below"))
-    cell = below.select("file", "head", "row_no", F.posexplode("cells").alias("col_no", "c")).filter(F.col("c").isNotNull())
-    shapes = cell.groupBy("file", "head", "col_no", T.cell_shape("c.s", "c.n").alias("shape")).agg(F.count("*").alias("n"), F.min("row_no").alias("at"))
-    common = shapes.groupBy("file", "head", "col_no").agg(F.max_by("shape", F.struct("n", -F.col("at"))).alias("shape"), F.max("n").alias("n"), F.sum("n").alias("seen"))
-    settled = common.filter((F.col("seen") >= 2) & (F.col("n") * 2 >= F.col("seen")) & F.col("shape").rlike("[9#]"))
-    own = cand.select("file", "head", "w", F.posexplode("head_cells").alias("col_no", "c")).filter(F.col("c").isNotNull()).withColumn("shape", T.cell_shape("c.s", "c.n"))
-    strong = own.join(settled.select("file", "head", "col_no", "shape"), ["file", "head", "col_no", "shape"]).groupBy("file", "head").agg(F.count("*").alias("strong"))
-    out = cand.select("file", "head", "w").join(n_below, ["file", "head"], "left").join(strong, ["file", "head"], "left")
-    is_data = (F.coalesce("n_below", F.lit(0)) >= 2) & (F.coalesce("strong", F.lit(0)) >= 2) & (F.coalesce("strong", F.lit(0)) * 2 >= F.col("w"))
+    """candidates with is_data: the row has the shapes of the values below it, in two columns and half of its cells.
+
+    A candidate and its rows below come from one read of the rows of its width; the candidate stands at place 0."""
+    cand = candidates.select("file", F.col("row_no").alias("head")).distinct()
+    width = cand.join(rows.select("file", F.col("row_no").alias("head"), F.col("width").alias("w")), ["file", "head"])
+    near = rows.join(width, "file").filter((F.col("row_no") >= F.col("head")) & (F.col("width") == F.col("w")))
+    place = F.row_number().over(Window.partitionBy("file", "head").orderBy("row_no")) - 1
+    near = near.withColumn("_r", place).filter(F.col("_r") <= BELOW_ROWS)
+    cell = near.select("file", "head", "w", "_r", F.posexplode("cells").alias("col_no", "c")).filter(F.col("c").isNotNull())
+    shape = T.cell_shape("c.s", "c.n").alias("shape")
+    shapes = cell.groupBy("file", "head", "w", "col_no", shape).agg(F.count_if(F.col("_r") > 0).alias("n"), F.min(F.when(F.col("_r") > 0, F.col("_r"))).alias("at"), F.count_if(F.col("_r") == 0).alias("own"))
+    common = shapes.groupBy("file", "head", "w", "col_no").agg(
+        F.max_by("shape", F.struct("n", -F.coalesce("at", F.lit(BELOW_ROWS + 1)))).alias("shape"), F.max("n").alias("n"), F.sum("n").alias("seen"),
+        F.max(F.when(F.col("own") > 0, F.col("shape"))).alias("own"))
+    strong = (F.col("seen") >= 2) & (F.col("n") * 2 >= F.col("seen")) & F.col("shape").rlike("[9#]") & F.col("own").eqNullSafe(F.col("shape"))
+    out = common.groupBy("file", "head", "w").agg(F.count_if(strong).alias("strong"))
+    below = near.groupBy("file", "head").agg(F.max("_r").alias("n_below"))
+    out = out.join(below, ["file", "head"])
+    is_data = (F.col("n_below") >= 2) & (F.col("strong") >= 2) & (F.col("strong") * 2 >= F.col("w"))
     return candidates.join(out.select("file", F.col("head").alias("row_no"), is_data.alias("is_data")), ["file", "row_no"])
 
 
@@ -77,14 +82,10 @@ def column_keys(headers: DataFrame) -> DataFrame:
     return each.withColumn("_n", n).select("file", "pos", F.when(F.col("_n") > 1, F.concat_ws("_", "key", F.col("_n").cast("string"))).otherwise(F.col("key")).alias("key"), "label")
 
 
-def assign_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Data rows: file, row_no, section, vals (aligned to the header) with repeated headers, titles and continuations resolved.
+def body_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """The filled rows below the header: vals aligned to it, offset of the first cell, lone; repeated headers are left out.
 
-    * A lone cell at or before the first column, or past the last, is a section title. One in between continues
-      the last data row since such a title, else it is a title too.
-    * A row of texts of which half match the header repeats it and counts as nothing.
-    * Leading blanks take what the row above has there, since the last title; a value is followed by the texts
-      that continue it, and a row that inherits the value inherits them."""
+    A row of texts of which half match the header repeats it and counts as nothing."""
     h = headers.withColumn("n_cols", F.size("labels"))
     body = rows.join(h, "file").filter((F.col("width") > 0) & (F.col("header_row").isNull() | (F.col("row_no") > F.col("header_row"))))
     aligned = F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda i: F.get("cells", i + F.col("start")))
@@ -93,21 +94,74 @@ def assign_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     texts = F.forall(present, lambda v: v["n"].isNull()) & (F.size(present) > 0)
     match = F.size(F.filter(F.zip_with("vals", "labels", lambda v, l: v["s"].eqNullSafe(l) & v.isNotNull()), lambda b: b))
     repeat = (F.col("width") > 1) & texts & (match >= F.greatest(F.lit(2), F.floor((F.col("n_cols") + 1) / 2)))
-    body = body.filter(~repeat)
-    lone = F.col("width") == 1
-    hard = lone & ((F.col("offset") <= 0) | (F.col("offset") >= F.col("n_cols")))
+    return body.filter(~repeat).withColumn("lone", F.col("width") == 1)
+
+
+def _first_text(cells: str) -> Column:
+    return F.get(F.filter(cells, lambda c: c.isNotNull()), 0)["s"]
+
+
+def _titles():
+    """Reads rows (file, row_no, kind, value, opening), sorted: gives each row's section and whether it is a title.
+
+    kind: 0 a data row, 1 a lone cell within the columns, 2 one outside. One within continues the last data row if
+    that row's section has the name of the current one. A file's section and last section are all that is held."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        name, section, last, begun = None, None, None, False
+        for batch in batches:
+            sections, titles = [], []
+            for file, kind, value, opening in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3, 4)]):
+                if not begun or file != name:
+                    name, section, last, begun = file, opening, None, True
+                title = kind == 2 or (kind == 1 and last != (section,))
+                if title:
+                    section = value
+                elif kind == 0:
+                    last = (section,)
+                sections.append(section)
+                titles.append(title)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sections, pa.string()), pa.array(titles, pa.bool_())], names=["file", "row_no", "section", "is_title"])
+
+    return run
+
+
+def assign_sections(body: DataFrame, rows: DataFrame) -> DataFrame:
+    """body with section and is_title. The row above the header that comes last names the opening section.
+
+    A lone cell at or before the first column, or past the last, is a section title. One in between continues the
+    last data row if the current section has the name of that row's, else it is a title too. As each title decides
+    how the next lone cell is read, the lone and data rows of a file are streamed in order; only their numbers and
+    lone cells go to Python."""
+    hard = F.col("lone") & ((F.col("offset") <= 0) | (F.col("offset") >= F.col("n_cols")))
+    kind = F.when(~F.col("lone"), 0).when(hard, 2).otherwise(1)
+    heads = body.select("file", "header_row").distinct()
+    pre = rows.join(heads, "file").filter((F.col("row_no") < F.col("header_row")) & (F.col("width") > 0)).groupBy("file").agg(F.max_by(_first_text("cells"), "row_no").alias("opening"))
+    told = body.select("file", "row_no", kind.alias("kind"), F.when(F.col("lone"), _first_text("cells")).alias("value")).join(pre, "file", "left").withColumn("opening", F.coalesce("opening", F.lit(DEFAULT_SECTION)))
+    type_ = {f.name: f.dataType.simpleString() for f in body.schema.fields}
+    # a fixed number of partitions keeps the rows of a file in one
+    n = int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = told.repartition(n, "file").sortWithinPartitions("file", "row_no").mapInArrow(_titles(), f"file {type_['file']}, row_no {type_['row_no']}, section string, is_title boolean")
+    return body.join(named, ["file", "row_no"])
+
+
+def assign_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Data rows: file, row_no, section, vals (aligned to the header) with titles and continuations resolved.
+
+    Leading blanks take what the row above has there, since the last title; a value is followed by the texts that
+    continue it, and a row that inherits the value inherits them."""
+    body = assign_sections(body_rows(rows, headers), rows)
     w = Window.partitionBy("file").orderBy("row_no")
-    body = body.withColumn("_data_at", F.max(F.when(~lone, F.col("row_no"))).over(w)).withColumn("_hard_at", F.max(F.when(hard, F.col("row_no"))).over(w))
-    continues = lone & ~hard & F.coalesce(F.col("_data_at") > F.coalesce("_hard_at", F.lit(-1)), F.lit(False))
-    body = body.withColumn("_cont", continues).withColumn("_title", F.when(lone & ~continues, F.get(present, 0)["s"]))
-    body = body.withColumn("_title", F.when(lone & ~F.col("_cont"), F.coalesce("_title", F.get(F.filter("cells", lambda c: c.isNotNull()), 0)["s"])))
-    pre = rows.join(h, "file").filter((F.col("row_no") < F.col("header_row")) & (F.col("width") > 0)).groupBy("file").agg(F.max_by(F.get(F.filter("cells", lambda c: c.isNotNull()), 0)["s"], "row_no").alias("_opening"))
-    body = body.join(pre, "file", "left").withColumn("section", F.coalesce(F.last("_title", ignorenulls=True).over(w), "_opening", F.lit(DEFAULT_SECTION)))
-    body = body.withColumn("_blk", F.count("_title").over(w))
+    body = body.withColumn("_cont", F.col("lone") & ~F.col("is_title")).withColumn("_blk", F.count_if("is_title").over(w))
     # leading blanks of a data row; -1 never starts a group
     firstpos = F.array_min(F.filter(F.transform("vals", lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull()))
-    body = body.withColumn("_lead", F.when(~lone, F.coalesce(firstpos, F.col("n_cols"))))
-    each = body.filter(F.col("_title").isNull()).select("file", "row_no", "section", "_blk", "_lead", "_cont", F.posexplode("vals").alias("pos", "v"))
+    body = body.withColumn("_lead", F.when(~F.col("lone"), F.coalesce(firstpos, F.col("n_cols"))))
+    each = body.filter(~F.col("is_title"))
+    # a continuation goes to the data row before it, whatever titles stand between them
+    each = each.withColumn("_blk", F.when(F.col("_cont"), F.last(F.when(~F.col("_cont"), F.col("_blk")), ignorenulls=True).over(w)).otherwise(F.col("_blk")))
+    each = each.select("file", "row_no", "section", "_blk", "_lead", "_cont", F.posexplode("vals").alias("pos", "v"))
     g = F.sum(F.when(F.col("_lead") <= F.col("pos"), 1).otherwise(0)).over(Window.partitionBy("file", "_blk", "pos").orderBy("row_no"))
     each = each.withColumn("_g", g)
     so_far = Window.partitionBy("file", "_blk", "pos", "_g").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -122,11 +176,15 @@ def assign_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return each.groupBy("file", "row_no", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("vals"))  # columns of one row
 
 
-def reject_files(rows: DataFrame, data: DataFrame, headers: DataFrame, most: int = MAX_ROWS) -> DataFrame:
-    """file, code: no_header_row, empty_sheet or too_many_rows."""
-    n = data.groupBy("file").agg(F.count("*").alias("n"))
-    files = rows.select("file").distinct().join(headers.select("file", F.lit(True).alias("headed")), "file", "left").join(n, "file", "left")
-    code = F.when(F.col("headed").isNull(), "no_header_row").when(F.col("n").isNull(), "empty_sheet").when(F.col("n") > most, "too_many_rows")
+def count_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """file, n: data rows of each file, before any of them is worked on."""
+    return body_rows(rows, headers).filter(~F.col("lone")).groupBy("file").agg(F.count("*").alias("n"))
+
+
+def reject_files(rows: DataFrame, counts: DataFrame, headers: DataFrame, most: int = MAX_ROWS) -> DataFrame:
+    """file, code: no_header_row, empty_sheet or too_many_rows; counts: file, n."""
+    files = rows.select("file").distinct().join(headers.select("file", F.lit(True).alias("headed")), "file", "left").join(counts.select("file", "n"), "file", "left")
+    code = F.when(F.col("headed").isNull(), "no_header_row").when(F.col("n").isNull() | (F.col("n") == 0), "empty_sheet").when(F.col("n") > most, "too_many_rows")
     return files.select("file", code.alias("code")).filter(F.col("code").isNotNull())
 
 
@@ -180,18 +238,22 @@ def forward_fill_leading(rows: DataFrame, columns: list[str], partition: list[st
     return out.drop("_lead", *[f"_g{i}" for i in range(len(columns))])
 
 
-def load(grid: DataFrame) -> dict[str, DataFrame]:
-    """All steps: headers, columns (typed), data (keyed, without separators), separators, rejects."""
+def load(grid: DataFrame, most: int = MAX_ROWS) -> dict[str, DataFrame]:
+    """All steps: headers, columns (typed), data (keyed, without separators), separators, rejects.
+
+    Files with too many rows are rejected by a count, before their rows are ordered."""
     rows = kept(normalise(grid))
     headers = kept(find_headers(rows))
-    columns = column_keys(headers)
-    data = kept(assign_rows(rows, headers))
-    rejects = reject_files(rows, data, headers)
-    data = data.join(rejects.select("file"), "file", "left_anti")
-    columns = kept(infer_types(data, columns))
+    counts = kept(count_rows(rows, headers))
+    rejects = kept(reject_files(rows, counts, headers, most))
+    left = headers.join(rejects.select("file"), "file", "left_anti")
+    data = kept(assign_rows(rows, left))
+    columns = kept(infer_types(data, column_keys(headers)))
     data, separators = drop_separators(data, columns)
+    # a file of separators only is empty too
+    empty = left.join(data.select("file").distinct(), "file", "left_anti").select("file", F.lit("empty_sheet").alias("code"))
     data = with_row_key(data, identity_columns(columns))
-    return {"headers": headers, "columns": columns, "data": data, "separators": separators, "rejects": rejects}
+    return {"headers": headers, "columns": columns, "data": data, "separators": separators, "rejects": rejects.unionByName(empty)}
 
 
 def value_of(pos: int) -> Column:

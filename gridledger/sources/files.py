@@ -10,13 +10,26 @@ MAX_FILES, MAX_DEPTH, MAX_BYTES = 200, 2, 5 << 20
 PARTITIONS = ["app", "release", "layer", "snapshot_id"]
 
 
+# Quotes hold commas and line ends; a doubled quote is one.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+_RECORD = rf'(?:[^"\r\n]++|{_QUOTED})++'
+_FIELD = rf',({_QUOTED}|[^,]*+)'
+
+
+def csv_grid(files: DataFrame) -> DataFrame:
+    """file, row_no, cells of CSV texts (file, text): row_no counts the records that are not empty."""
+    each = files.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(_RECORD), F.lit(0))).alias("row_no", "record"))
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(_FIELD), F.lit(1))
+    bare = lambda x: F.when(x.startswith('"') & (F.length(x) > 1), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return each.select("file", F.col("row_no").cast("int").alias("row_no"), F.transform(fields, bare).alias("cells"))
+
+
 def read_grid(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    """A decoded sheet grid: file, row_no, cells. CSV files keep their line order within a file."""
+    """A decoded sheet grid: file, row_no, cells. CSV files keep their record order within a file."""
     if form in ("parquet", "json"):
         return spark.read.format(form).schema("file string, row_no int, cells array<string>").load(path)
-    lines = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
-    each = lines.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("row_no", "line")).filter(F.col("line") != "")
-    return each.select("file", F.col("row_no").cast("int"), F.split("line", ",").alias("cells"))
+    texts = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("text"))
+    return csv_grid(texts)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -27,8 +40,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def file_manifest(files: DataFrame, root: Column, release: Column, suffixes: tuple[str, ...] = SUFFIXES, most: int = MAX_FILES, depth: int = MAX_DEPTH, max_bytes: int = MAX_BYTES) -> DataFrame:
     """release, path, name, stem, folder, size, modified, file_hash, error of the files that count as workbooks.
 
-    Hidden and lock files are left out, as are other suffixes and deeper folders; files over the size are
-    listed with an error; each release keeps its first `most` files by path."""
+    Hidden and lock files are left out, as are other suffixes and deeper folders; files over the size, and all
+    but the first `most` files of a release by path, are listed with an error."""
     rel = F.regexp_replace(F.expr("substring(path, 1)"), "^file:/*", "/")
     out = files.withColumn("release", release).withColumn("_rel", F.regexp_replace(F.substr(rel, F.length(root) + 1), "^/+", ""))
     out = out.withColumn("name", F.substring_index("_rel", "/", -1)).withColumn("_levels", F.size(F.split("_rel", "/")))
@@ -36,7 +49,7 @@ def file_manifest(files: DataFrame, root: Column, release: Column, suffixes: tup
     folder = F.when(F.col("_levels") > 1, F.element_at(F.split("_rel", "/"), -2))
     out = out.select("release", F.col("_rel").alias("path"), "name", F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"), folder.alias("folder"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("file_hash"), F.when(F.col("length") > max_bytes, "file_too_large").alias("error"))
     place = F.row_number().over(Window.partitionBy("release").orderBy("path"))
-    return out.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
+    return out.withColumn("_n", place).withColumn("error", F.when(F.col("_n") > most, "too_many_files").otherwise(F.col("error"))).drop("_n")
 
 
 def append_snapshots(records: DataFrame, path: str, partitions: list[str] = PARTITIONS) -> None:
@@ -44,6 +57,16 @@ def append_snapshots(records: DataFrame, path: str, partitions: list[str] = PART
     records.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
+def drop_partitions(spark: SparkSession, path: str, gone: DataFrame, partitions: list[str] = PARTITIONS) -> None:
+    """Delete the partitions of the given snapshots (values of the partition columns) from a snapshot table's folder.
+
+    Snapshots to delete are named by a user, so they are few; rows of others are not read."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for r in gone.select(*partitions).distinct().toLocalIterator():
+        at = fs_path("/".join([path, *[f"{c}={r[c]}" for c in partitions]]))
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def without_snapshots(records: DataFrame, gone: DataFrame, key: str = "snapshot_id") -> DataFrame:
     """records without those of the given snapshots."""
     return records.join(gone.select(key).distinct(), key, "left_anti")

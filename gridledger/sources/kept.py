@@ -14,7 +14,7 @@ def kept(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if found is None and not sc.master.startswith("local"):
+        if found is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="gridledger-"))
     return df.checkpoint()

@@ -1,12 +1,12 @@
 from gridledger.streaming.loads import load_stream
-from tests.test_ingest import FEATURES, SIMPLE, grid
+from tests.test_ingest import HARBOUR, STOCK, grid
 
 
 def test_only_new_files(spark, tmp_path):
     src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    grid(spark, simple=SIMPLE).write.parquet(src)
+    grid(spark, harbour=HARBOUR).write.parquet(src)
     load_stream(spark, src, out, mark).awaitTermination()
-    grid(spark, features=FEATURES).write.mode("append").parquet(src)
+    grid(spark, stock=STOCK).write.mode("append").parquet(src)
     load_stream(spark, src, out, mark).awaitTermination()
     got = {b: {r.file for r in spark.read.parquet(f"{out}/data/batch_{b}").collect()} for b in (0, 1)}
-    assert got == {0: {"simple"}, 1: {"features"}}
+    assert got == {0: {"harbour"}, 1: {"stock"}}

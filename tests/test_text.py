@@ -14,7 +14,7 @@ def test_norm_cell(spark):
 
 
 def test_shapes(spark):
-    df = spark.createDataFrame([("FL-5685", None), ("7-Sep-26", None), ("Test spec name", None), ("5", 5.0), (None, None), ("Größe 12", None)], "s string, n double")
+    df = spark.createDataFrame([("QX-210", None), ("3-Mar-24", None), ("Crane task name", None), ("5", 5.0), (None, None), ("Größe 12", None)], "s string, n double")
     assert [r.v for r in df.select(T.cell_shape("s", "n").alias("v")).collect()] == ["A-9", "9-A-9", "A A A", "#", "", "A 9"]
 
 
@@ -34,12 +34,17 @@ def test_outcomes(spark):
 
 
 def test_identifiers(spark):
-    df = spark.createDataFrame([("FL-5773: support of new BX57",), ("fl 5773",), ("5773",), ("1.2.3",), ("plain prose",), ("x" * 50 + "1",), (None,)], "c string")
+    df = spark.createDataFrame([("QX-210: rope for K7",), ("qx 210",), ("210",), ("1.2.3",), ("plain prose",), ("x" * 50 + "1",), (None,)], "c string")
     got = [tuple(r.v) if r.v else None for r in df.select(T.read_identifier("c").alias("v")).collect()]
-    assert got[:4] == [("fl5773", "FL-5773", "FL"), ("fl5773", "fl 5773", "FL"), ("5773", "5773", ""), ("1.2.3", "1.2.3", "")]
+    assert got[:4] == [("qx210", "QX-210", "QX"), ("qx210", "qx 210", "QX"), ("210", "210", ""), ("1.2.3", "1.2.3", "")]
     assert got[4:] == [None, None, None]
 
 
+def test_tokens_beside_other_scripts(spark):
+    df = spark.createDataFrame([("“QX-12” and QX-13\u00a0then QX-14—",), ("日QX-12 QX-13日 QX日14 éQX-1",), ("QX-1é AB 2",)], "c string")
+    assert [r.v for r in df.select(T.tokens("c").alias("v")).collect()] == [["QX-12", "QX-13", "QX-14"], [], ["AB 2"]]
+
+
 def test_override_pattern(spark):
     df = spark.createDataFrame([("req#77 FL-1",), ("FL-1",)], "c string")
     got = [tuple(r.v) if r.v else None for r in df.select(T.read_identifier("c", r"req#\d+").alias("v")).collect()]
@@ -53,6 +58,6 @@ def test_natural_order(spark):
 
 
 def test_figures(spark):
-    df = spark.createDataFrame([("140,789 cases, 53.8% of FL-5777; release 4.5.1 and 140789.0",), (None,)], "c string")
+    df = spark.createDataFrame([("231,604 boxes, 12.5% of QX-77; part 3.2.8 and 231604.0, 1,2,345",), (None,)], "c string")
     got = [set(r.v) for r in df.select(T.figures("c").alias("v")).collect()]
-    assert got == [{"140789", "53.8", "5777", "4.5", "1"}, set()]
+    assert got == [{"231604", "12.5", "77", "3.2", "8", "1", "2345"}, set()]
