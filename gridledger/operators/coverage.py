@@ -25,6 +25,20 @@ def with_identifier(rows: DataFrame, id_column: str, pattern: str | None = None,
     return rows.withColumn("_id", got).withColumns({"key": F.col("_id.key"), "display": F.col("_id.display"), "family": F.col("_id.family")}).drop("_id")
 
 
+def side_rows(cells: DataFrame, columns: DataFrame, pattern: str | None = None, override: str | None = None) -> DataFrame:
+    """snapshot_id, section, row_index, id_column, cell, key, display, family of every row of a side.
+
+    The identifier is read from the first column of the row's own file, or from the override's column in files that
+    have it. cells: snapshot_id, section, row_index, key, s; columns: snapshot_id, pos, key."""
+    own = F.min_by("key", "pos")
+    if override:
+        own = F.coalesce(F.max(F.when(F.col("key") == F.lit(override), F.col("key"))), own)
+    ids = columns.groupBy("snapshot_id").agg(own.alias("id_column"))
+    place = ["snapshot_id", "section", "row_index"]
+    named = cells.join(ids, "snapshot_id").groupBy(*place, "id_column").agg(F.max(F.when(F.col("key") == F.col("id_column"), F.col("s"))).alias("cell"))
+    return with_identifier(named, "cell", pattern)
+
+
 def layer_rows(records: DataFrame, current: DataFrame, layer: str) -> DataFrame:
     """Rows of the current snapshots of a layer's files."""
     return records.join(current.filter(F.col("layer") == layer).select("snapshot_id"), "snapshot_id", "left_semi")
@@ -47,16 +61,24 @@ def side_keys(rows: DataFrame, partition: list[str], order: str) -> DataFrame:
     )
 
 
-def dominant_family(rows: DataFrame, partition: list[str], order: str) -> DataFrame:
-    """One row: the family that most read rows carry (no family counts as one); on ties the first seen."""
+def dominant_family(rows: DataFrame, partition: list[str], order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each side of `by`): the family that most read rows carry (no family counts as one); on ties the first seen."""
     place = F.struct(*partition, order)
-    each = rows.filter(F.col("key").isNotNull()).groupBy("family").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    return each.groupBy().agg(F.min(F.struct(-F.col("n"), "at", "family"))["family"].alias("family"))
+    each = rows.filter(F.col("key").isNotNull()).groupBy(*by, "family").agg(F.count("*").alias("n"), F.min(place).alias("at"))
+    return each.groupBy(*by).agg(F.min(F.struct(-F.col("n"), "at", "family"))["family"].alias("family"))
+
 
+def numeric_ratio(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """numeric_ratio (share of identifiers without a family, to 3 places) and occurrences, of each side of `by`."""
+    bare = F.when(F.col("key").isNotNull(), F.when(F.col("family") == "", 1.0).otherwise(0.0))
+    return rows.groupBy(*by).agg(F.round(F.coalesce(F.avg(bare), F.lit(0.0)), 3).alias("numeric_ratio"), F.count("key").alias("occurrences"))
 
-def numeric_ratio(rows: DataFrame) -> DataFrame:
-    """Share of identifiers without a family, to 3 places."""
-    return rows.filter(F.col("key").isNotNull()).agg(F.round(F.coalesce(F.avg(F.when(F.col("family") == "", 1.0).otherwise(0.0)), F.lit(0.0)), 3).alias("numeric_ratio"))
+
+def describe_sides(rows: DataFrame, partition: list[str], order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., family, numeric_ratio, occurrences: what coverage_warnings reads of a side."""
+    ratio, family = numeric_ratio(rows, by), dominant_family(rows, partition, order, by)
+    both = ratio.join(family, list(by), "left") if by else ratio.crossJoin(family)  # one row each
+    return both.withColumn("family", F.coalesce("family", F.lit("")))
 
 
 def section_ids(rows: DataFrame, section: str, family: DataFrame, keys: DataFrame) -> DataFrame:
@@ -68,16 +90,19 @@ def section_ids(rows: DataFrame, section: str, family: DataFrame, keys: DataFram
 
 
 def compare_sides(feature: DataFrame, system: DataFrame) -> DataFrame:
-    """One row for each key of either side: status, display, counts, duplicates."""
-    f = feature.select("key", F.col("display").alias("f_display"), F.col("n_rows").alias("feature_rows"), F.col("blocks").alias("f_blocks"))
-    s = system.select("key", F.col("display").alias("s_display"), F.col("n_rows").alias("system_rows"), F.col("blocks").alias("s_blocks"))
+    """One row for each key of either side: status, display, rows and runs of rows, duplicates, and each side's first row.
+
+    The sides come from side_keys; `feature_at` and `system_at` say where a key's first row stands."""
+    f = feature.select("key", F.col("display").alias("f_display"), F.col("n_rows").alias("feature_rows"), F.col("blocks").alias("f_blocks"), F.col("first_at").alias("feature_at"))
+    s = system.select("key", F.col("display").alias("s_display"), F.col("n_rows").alias("system_rows"), F.col("blocks").alias("s_blocks"), F.col("first_at").alias("system_at"))
     both = f.join(s, "key", "full_outer")
     status = F.when(F.col("f_blocks").isNull(), "missing_in_feature").when(F.col("s_blocks").isNull(), "missing_in_system").otherwise("covered")
     zero = F.lit(0).cast("long")
+    f_blocks, s_blocks = F.coalesce("f_blocks", zero), F.coalesce("s_blocks", zero)
     return both.select(
         "key", status.alias("status"), F.coalesce("f_display", "s_display").alias("display"),
         F.coalesce("feature_rows", zero).alias("feature_rows"), F.coalesce("system_rows", zero).alias("system_rows"),
-        ((F.coalesce("f_blocks", zero) > 1) | (F.coalesce("s_blocks", zero) > 1)).alias("duplicate"),
+        f_blocks.alias("feature_count"), s_blocks.alias("system_count"), ((f_blocks > 1) | (s_blocks > 1)).alias("duplicate"), "feature_at", "system_at",
     )
 
 
@@ -92,14 +117,26 @@ def order_entries(entries: DataFrame) -> DataFrame:
     return entries.withColumn("status_rank", rank).withColumn("natural_key", T.natural_key("key"))
 
 
-def coverage_summary(entries: DataFrame) -> DataFrame:
-    """Totals and both percentages; a side without keys is covered in full."""
+def coverage_summary(entries: DataFrame, unresolved: DataFrame | None = None, feature_family: DataFrame | None = None, system_family: DataFrame | None = None, related: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Totals and both percentages; a side without keys is covered in full. With the other tables also the number of
+    unresolved rows, the family (the feature side's, else the system's) and the family of related ids.
+
+    unresolved: entries of both sides; the families: one row from dominant_family; related: from supporting_family.
+    by: one row for each of many comparisons, without those tables."""
     n = lambda *s: F.count_if(F.col("status").isin(*s))
     pct = lambda part, whole: F.when(whole > 0, F.round(part * 100.0 / whole, 1)).otherwise(100.0)
-    a = entries.agg(
+    a = entries.groupBy(*by).agg(
         n("covered", "missing_in_system").alias("feature_total"), n("covered", "missing_in_feature").alias("system_total"), n("covered").alias("covered"),
         n("missing_in_system").alias("missing_in_system"), n("missing_in_feature").alias("missing_in_feature"), F.count_if("duplicate").alias("duplicates"),
     )
+    # each of these is one row
+    if unresolved is not None:
+        a = a.crossJoin(unresolved.agg(F.count("*").alias("unresolved")))
+    if feature_family is not None and system_family is not None:
+        one = lambda t, name: t.agg(F.max("family").alias(name))
+        a = a.crossJoin(one(feature_family, "_f")).crossJoin(one(system_family, "_s")).withColumn("family", F.coalesce(F.nullif("_f", F.lit("")), "_s", F.lit(""))).drop("_f", "_s")
+    if related is not None:
+        a = a.crossJoin(related.agg(F.coalesce(F.max("token_family"), F.lit("")).alias("related_family")))
     return a.withColumns({"forward_pct": pct(F.col("covered"), F.col("feature_total")), "backward_pct": pct(F.col("covered"), F.col("system_total"))})
 
 
@@ -139,13 +176,14 @@ def supporting_family(related: DataFrame, most: int = MAX_RELATED) -> DataFrame:
     return kept.withColumn("place", place).filter(F.col("place") <= most).drop("rank")
 
 
-def coverage_warnings(feature: DataFrame, system: DataFrame) -> DataFrame:
-    """Warnings from one-row summaries of the sides (family, numeric_ratio, occurrences)."""
-    f, s = feature.select(F.struct("*").alias("f")), system.select(F.struct("*").alias("s"))
-    both = f.crossJoin(s)  # one row each
+def coverage_warnings(feature: DataFrame, system: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Warnings (by..., code, side) from summaries of the sides, as describe_sides gives them."""
+    pack = lambda t, name: t.select(*by, F.struct(*[c for c in t.columns if c not in by]).alias(name))
+    f, s = pack(feature, "f"), pack(system, "s")
+    both = f.join(s, list(by)) if by else f.crossJoin(s)  # one row each
     mixed = F.when((F.col("f.family") != "") & (F.col("s.family") != "") & (F.col("f.family") != F.col("s.family")), F.struct(F.lit("family_mismatch").alias("code"), F.lit("").alias("side")))
     numeric = lambda x, name: F.when((F.col(f"{x}.numeric_ratio") >= NUMERIC_KEYS) & (F.col(f"{x}.occurrences") > 0), F.struct(F.lit("numeric_key_column").alias("code"), F.lit(name).alias("side")))
-    return both.select(F.inline(F.array_compact(F.array(mixed, numeric("f", "feature"), numeric("s", "system")))))
+    return both.select(*by, F.inline(F.array_compact(F.array(mixed, numeric("f", "feature"), numeric("s", "system")))))
 
 
 def describe_side(rows: DataFrame, by: str, order: str, sample: int = 20) -> DataFrame:
@@ -185,8 +223,27 @@ def id_references(rows: DataFrame, texts: list[str], id_column: str, by: str, or
     return named.select(by, order, "key", "display", "canon", "token", snippet.alias("snippet"), "inside")
 
 
-def csv_rows(entries: DataFrame, details: list[str] = ()) -> DataFrame:
-    """entries as the rows of a CSV export: id, status, duplicate flag, counts, details."""
-    named: list[Column] = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in details]
-    detail = F.concat_ws("; ", *named) if named else F.lit("")
-    return entries.select(F.col("display").alias("id"), "status", F.when(F.col("duplicate"), "yes").otherwise("").alias("duplicate"), "feature_rows", "system_rows", detail.alias("details"))
+def row_details(cells: DataFrame, at: list[str]) -> DataFrame:
+    """at..., details: a row's filled cells as `key=value`, in the order of its columns; cells: at..., pos, key, s."""
+    filled = cells.filter(F.trim("s") != "").groupBy(*at, "pos", "key").agg(F.min("s").alias("s"))  # rows that are there twice, once
+    listed = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("=", "key", "s").alias("t"))))  # cells of one row
+    return filled.groupBy(*at).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "; ").alias("details"))
+
+
+def csv_rows(entries: DataFrame, related: DataFrame | None = None, feature_details: DataFrame | None = None, system_details: DataFrame | None = None) -> DataFrame:
+    """entries as the rows of a CSV export: id, status, duplicate flag, counts, and for each side the file, section and
+    details of its first row; the related ids of a key beside the feature side.
+
+    related: from supporting_family; details: the fields of first_at and `details`, as row_details gives them."""
+    out = entries
+    if related is not None:
+        listed = related.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]), "; ").alias("related"))  # at most MAX_RELATED
+        out = out.join(listed, "key", "left")
+    for side, details in (("feature", feature_details), ("system", system_details)):
+        if details is not None:
+            at = F.struct(*[F.col(f"{side}_at.{c}").alias(c) for c in details.columns if c != "details"])
+            out = out.withColumn("_at", at).join(details.select(F.struct(*[c for c in details.columns if c != "details"]).alias("_at"), F.col("details").alias(f"{side}_details")), "_at", "left").drop("_at")
+    names = entries.schema["feature_at"].dataType.fieldNames()
+    place = lambda side, k: F.coalesce(F.col(f"{side}_at.{names[k]}").cast("string"), F.lit("")).alias(f"{side}_{('file', 'section')[k]}")
+    more = [F.coalesce(c, F.lit("")).alias(c) for c in ("related", "feature_details", "system_details") if c in out.columns]
+    return out.select(F.col("display").alias("id"), "status", F.when(F.col("duplicate"), "yes").otherwise("").alias("duplicate"), "feature_count", "system_count", *[place(s, k) for s in ("feature", "system") for k in (0, 1)], *more)

@@ -55,13 +55,41 @@ def row_label(columns: list[str], section: str) -> Column:
 def merged_dashboard(cells: DataFrame, columns: DataFrame, current: DataFrame) -> DataFrame:
     """section, measure, total over the current snapshots, with measures of one meaning folded together.
 
-    is_shared: every current file has the measure. Works on cells, so files need no common columns."""
-    fold = columns.filter(F.col("type") == "number").select("snapshot_id", "key", T.measure_identity("label", "key").alias("measure"))
-    fold = fold.join(current.select("snapshot_id"), "snapshot_id", "left_semi")
-    shared = fold.groupBy("measure").agg(F.count_distinct("snapshot_id").alias("files"))
+    is_shared: every current file has the measure. Works on cells, so files need no common columns. A layer of
+    one file answers as that file does: none of its columns is folded."""
+    fold = folded_measures(columns, current)
+    shared = fold.groupBy("measure").agg(F.count_distinct("snapshot_id").alias("files"), F.max("all_files").alias("all_files"))
+    sums = cells.join(fold, ["snapshot_id", "key"]).groupBy("section", "measure").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return sums.join(shared, "measure").select("section", "measure", "total", (F.col("files") == F.col("all_files")).alias("is_shared"))
+
+
+def folded_measures(columns: DataFrame, current: DataFrame) -> DataFrame:
+    """snapshot_id, pos, key, measure, all_files of the number columns of the current snapshots."""
     files = current.agg(F.count_distinct("snapshot_id").alias("all_files"))
-    sums = cells.join(fold, ["snapshot_id", "key"]).groupBy("section", "measure").agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("total"))
-    return sums.join(shared, "measure").crossJoin(files).select("section", "measure", "total", (F.col("files") == F.col("all_files")).alias("is_shared"))  # files: one row
+    fold = columns.filter(F.col("type") == "number").join(current.select("snapshot_id"), "snapshot_id", "left_semi").crossJoin(files)  # files: one row
+    measure = F.when(F.col("all_files") > 1, T.measure_identity("label", "key")).otherwise(F.col("key"))
+    return fold.select("snapshot_id", "pos", "key", measure.alias("measure"), "all_files")
+
+
+def merged_top_rows(cells: DataFrame, columns: DataFrame, current: DataFrame, k: int = TOP) -> DataFrame:
+    """snapshot_id, section, row_index, measure, value, rank, label: the largest rows over all current files, by the
+    rightmost measure that every file has; none if they share no measure. Rows are named by their filled texts.
+
+    Rightmost: that which comes last when files are read newest first and columns from the left, each measure at
+    its first place. current: snapshot_id, created_at."""
+    order = current.select("snapshot_id", F.row_number().over(Window.orderBy(F.col("created_at").desc(), "snapshot_id")).alias("file_no"))  # current files of one layer
+    fold = folded_measures(columns, current).join(order, "snapshot_id")
+    per = fold.groupBy("measure").agg(F.count_distinct("snapshot_id").alias("files"), F.max("all_files").alias("all_files"), F.min(F.struct("file_no", "pos")).alias("at"))
+    best = per.filter("files = all_files").agg(F.max_by("measure", "at").alias("measure"))  # one row
+    used = fold.join(F.broadcast(best), "measure").select("snapshot_id", "key", "measure")
+    rows = cells.join(used, ["snapshot_id", "key"]).filter(F.col("n").isNotNull())
+    place = ["snapshot_id", "section", "row_index"]
+    first = rows.orderBy(F.col("n").desc(), *place).limit(k)
+    first = kept(first.select(*place, "measure", F.col("n").alias("value")).withColumn("rank", F.row_number().over(Window.orderBy(F.col("value").desc(), *place))))  # k rows
+    texts = columns.filter(F.col("type") == "string").select("snapshot_id", "key")
+    own = cells.join(texts, ["snapshot_id", "key"], "left_semi").join(F.broadcast(first.select(*place)), place, "left_semi").filter(F.trim("s") != "")
+    label = own.groupBy(*place).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), LABEL_SEPARATOR).alias("label"))
+    return first.join(label, place, "left").withColumn("label", F.coalesce(F.nullif("label", F.lit("")), "section"))
 
 
 def cells_of(rows: DataFrame, snapshot: Column, section: str, order: str, texts: list[str], numbers: list[str]) -> DataFrame:
@@ -100,9 +128,12 @@ def run_summary(rows: DataFrame, passed: str, failed: str | None, not_run: str |
     a = rows.groupBy(*by).agg(of(passed).alias("passed"), of(failed).alias("failed"), of(not_run).alias("not_run"), *([of(total).alias("total")] if total else []))
     a = a.withColumn("executed", F.col("passed") + F.col("failed"))
     own = F.col("executed") + F.col("not_run")
-    a = a.withColumn("total", F.col("total") if total else own)
-    a = a.withColumn("unaccounted", F.round(F.col("total") - own, 2) if total else F.lit(0.0))
-    return a.withColumns({"pass_rate_pct": _pct(F.col("passed"), F.col("executed")), "executed_pct": _pct(F.col("executed"), F.col("total")), "reconciles": F.abs("unaccounted") < 0.5})
+    return a.withColumns(run_shares(F.col("total") if total else own, F.round(F.col("total") - own, 2) if total else F.lit(0.0)))
+
+
+def run_shares(total: Column, unaccounted: Column) -> dict[str, Column]:
+    """total, unaccounted and what follows from them, for rows with passed and executed."""
+    return {"total": total, "unaccounted": unaccounted, "pass_rate_pct": _pct(F.col("passed"), F.col("executed")), "executed_pct": _pct(F.col("executed"), total), "reconciles": F.abs(unaccounted) < 0.5}
 
 
 def detect_status_column(columns: DataFrame, stats: DataFrame, n_rows: DataFrame) -> DataFrame:
@@ -161,16 +192,24 @@ def bucket_rate(passed: str, failed: str) -> Column:
     return _pct(F.col(passed), F.col(passed) + F.col(failed))
 
 
-def failing_rows(rows: DataFrame, failed: str, label: Column, order: list[str], show: list[str], k: int = TOP) -> DataFrame:
-    """The k rows with most failures."""
-    worst = rows.filter(F.col(failed) > 0).orderBy(F.col(failed).desc(), *order).limit(k)
-    return worst.select(label.alias("label"), *show)
+def failing_rows(rows: DataFrame, failed: str, label: Column, order: list[str], show: list[str], k: int = TOP, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k rows with most failures, of each `by` if that is given (with their rank)."""
+    worst = rows.filter(F.col(failed) > 0)
+    if not by:
+        return worst.orderBy(F.col(failed).desc(), *order).limit(k).select(label.alias("label"), *show)
+    w = Window.partitionBy(*by).orderBy(F.col(failed).desc(), *order)
+    return worst.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*by, label.alias("label"), *show)
 
 
-def open_rows(rows: DataFrame, status: str, label: Column, order: list[str], k: int = OPEN) -> DataFrame:
-    """The first k rows whose status is failing or pending."""
+def open_rows(rows: DataFrame, status: str, label: Column, order: list[str], k: int = OPEN, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first k rows whose status is failing or pending, of each `by` if that is given (with their rank)."""
     kind = T.outcome_of(status)
-    return rows.filter(kind.isin("failing", "pending")).orderBy(*order).limit(k).select(label.alias("label"), F.col(status).alias("status"), kind.alias("kind"))
+    found = rows.filter(kind.isin("failing", "pending"))
+    shown = [label.alias("label"), F.col(status).alias("status"), kind.alias("kind")]
+    if not by:
+        return found.orderBy(*order).limit(k).select(*shown)
+    w = Window.partitionBy(*by).orderBy(*order)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*by, "rank", *shown)
 
 
 def label_columns(columns: DataFrame, dimensions: DataFrame, cells: DataFrame) -> DataFrame:
@@ -194,11 +233,21 @@ def detect_inventory(columns: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def classify(columns: DataFrame, stats: DataFrame, n_rows: DataFrame) -> DataFrame:
-    """snapshot_id, kind: run_results, status, inventory (only without a measure) or volume."""
-    out = detect_run_columns(columns).select("snapshot_id", "is_run")
+    """snapshot_id, kind (run_results, status, inventory only without a measure, or volume) and the reason, which
+    names the columns that decide."""
+    out = detect_run_columns(columns).select("snapshot_id", "is_run", F.col("passed").alias("_p"), F.coalesce("failed", "total").alias("_f"))
     out = out.join(detect_status_column(columns, stats, n_rows), "snapshot_id", "left").join(primary_measure(columns), "snapshot_id", "left").join(detect_inventory(columns, stats), "snapshot_id", "left")
-    kind = F.when(F.col("is_run"), "run_results").when(F.col("status").isNotNull(), "status").when(F.col("measure").isNull() & F.col("id_column").isNotNull(), "inventory").otherwise("volume")
-    return out.select("snapshot_id", kind.alias("kind"))
+    is_status, is_list = F.col("status").isNotNull(), F.col("measure").isNull() & F.col("id_column").isNotNull()
+    kind = F.when(F.col("is_run"), "run_results").when(is_status, "status").when(is_list, "inventory").otherwise("volume")
+    labels = columns.groupBy("snapshot_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "label"))).alias("_labels"))  # columns of one file
+    quoted = lambda c: F.concat(F.lit("“"), F.element_at("_labels", F.col(c)), F.lit("”"))
+    reason = (
+        F.when(F.col("is_run"), F.concat(F.lit("columns "), quoted("_p"), F.lit(" and "), quoted("_f"), F.lit(" count outcomes")))
+        .when(is_status, F.concat(F.lit("column "), quoted("status"), F.lit(" holds an outcome for each row")))
+        .when(is_list, F.concat(F.lit("column "), quoted("id_column"), F.lit(" lists identifiers and nothing can be counted")))
+        .otherwise("no column holds outcomes")
+    )
+    return out.join(labels, "snapshot_id").select("snapshot_id", kind.alias("kind"), reason.alias("reason"))
 
 
 def inventory_entries(rows: DataFrame, texts: list[str], id_column: str, order: str) -> tuple[DataFrame, DataFrame]:

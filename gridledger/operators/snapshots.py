@@ -20,30 +20,42 @@ def row_key(section: str, identity: list[str]) -> Column:
 
 
 def row_hash(values: list[str]) -> Column:
+    """SHA-256 of the values as JSON; null differs from any text and keeps its place."""
     return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in values])), 256)
 
 
 def dedupe_first(rows: DataFrame, by: list[str], key: str, order: str, measures: list[str]) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): the first row of each key stays; dropped rows name the measures that disagree with it.
 
-    All drops are there; `detail` marks the first few of each file that a report shows in full."""
-    w = Window.partitionBy(*by, key).orderBy(order)
-    each = rows.withColumn("_n", F.row_number().over(w)).withColumn("_kept", F.first(F.struct(*measures, F.col(order).alias("_order"))).over(w))
-    kept = each.filter(F.col("_n") == 1).drop("_n", "_kept")
+    All drops are there; `detail` marks the first few of each file that a report shows in full. `order` is
+    unique within a key. First rows are found by partial minima, so a key of a third of all rows is not sorted."""
+    names = [c for c in rows.columns if c not in (*by, key)]
+    kept = rows.groupBy(*by, key).agg(F.min_by(F.struct(*names), order).alias("_k")).select(*by, key, "_k.*").select(*rows.columns)
+    first = kept.select(*by, key, F.col(order).alias("kept_row"), F.struct(*measures).alias("_kept"))
+    dropped = rows.join(first, [*by, key]).filter(F.col(order) != F.col("kept_row"))
     differs = F.array_compact(F.array(*[F.when(~F.col(m).eqNullSafe(F.col(f"_kept.{m}")), F.lit(m)) for m in measures]))
-    dropped = each.filter(F.col("_n") > 1).withColumn("conflicts", differs).withColumn("kept_row", F.col("_kept._order")).drop("_n", "_kept")
+    dropped = dropped.withColumn("conflicts", differs).drop("_kept")
+    # where a file's details end: its first drops are ranked, which tasks cut before they meet
     place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return kept, dropped.withColumn("detail", place <= DROPPED_DETAIL)
+    ends = dropped.select(*by, order).withColumn("_n", place).filter(F.col("_n") <= DROPPED_DETAIL).groupBy(*by).agg(F.max(order).alias("_end"))
+    dropped = dropped.join(ends, by)
+    return kept, dropped.withColumn("detail", F.col(order) <= F.col("_end")).drop("_end")
 
 
-def fingerprint(rows: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
-    """by..., fingerprint, n_rows: depends on every value and on the order of rows.
+def fingerprint(rows: DataFrame, by: list[str], order: str, values: list[str], columns: DataFrame | None = None) -> DataFrame:
+    """by..., fingerprint, n_rows: depends on every value and its column, on the places of rows, and on the columns.
 
-    An exclusive-or and a sum of the rows' hashes with their places: any number of rows, constant memory."""
-    h = F.xxhash64(order, *[F.col(c).cast("string") for c in values], F.lit(1))
-    g = F.xxhash64(F.lit(2), order, *[F.col(c).cast("string") for c in values])
-    a = rows.groupBy(*by).agg(F.bit_xor(h).alias("a"), F.bit_xor(g).alias("b"), F.count("*").alias("n_rows"))
-    return a.select(*by, F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("b"), 16, "0"), F.hex("n_rows")).alias("fingerprint"), "n_rows")
+    columns: by..., pos, key, label, type. A row's digest is the SHA-256 of its place and values as JSON, nulls
+    included, so a value that moves to the next column shows. A file's is that of its columns and of the sums
+    of the eight words of its rows' digests: any number of rows, constant memory, and equal rows don't cancel."""
+    row = F.sha2(F.to_json(F.struct(F.col(order).cast("string").alias("at"), F.array(*[F.col(c).cast("string") for c in values]).alias("values")), {"ignoreNullFields": "false"}), 256)
+    words = [F.sum(F.conv(F.substring("_h", 8 * k + 1, 8), 16, 10).cast("long")).alias(f"_w{k}") for k in range(8)]
+    out = rows.select(*by, row.alias("_h")).groupBy(*by).agg(*words, F.count("*").alias("n_rows"))
+    names = F.lit("")
+    if columns is not None:
+        told = columns.groupBy(*by).agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "key", "label", "type")))).alias("_columns"))  # columns of one file
+        out, names = out.join(told, by, "left"), F.coalesce("_columns", F.lit(""))
+    return out.select(*by, F.sha2(F.concat_ws("|", names, F.col("n_rows"), *[f"_w{k}" for k in range(8)]), 256).alias("fingerprint"), "n_rows")
 
 
 def diff_rows(before: DataFrame, after: DataFrame, by: list[str], key: str, values: list[str]) -> DataFrame:
@@ -92,12 +104,26 @@ def changed_files(manifest: DataFrame, current: DataFrame, series: list[str]) ->
     return manifest.join(known, series, "left").withColumn("changed", ~F.col("file_hash").eqNullSafe(F.col("_known"))).drop("_known")
 
 
+def changed_by_layer(changed: DataFrame, current: DataFrame, layers: DataFrame) -> DataFrame:
+    """layer, files, changed_files, is_changed, last_loaded and last_file of every layer, and a row with layer null for
+    files of no layer. changed: what changed_files gives; current: layer, file, created_at."""
+    zero = F.lit(0).cast("long")
+    of = changed.groupBy("layer").agg(F.count("*").alias("files"), F.count_if("changed").alias("changed_files"))
+    last = current.groupBy("layer").agg(F.max("created_at").alias("last_loaded"), F.max_by("file", "created_at").alias("last_file"))
+    known = layers.select("layer").join(of.filter("layer IS NOT NULL"), "layer", "left").join(last, "layer", "left")
+    known = known.select("layer", F.coalesce("files", zero).alias("files"), F.coalesce("changed_files", zero).alias("changed_files"), "last_loaded", "last_file")
+    other = of.filter("layer IS NULL").select("layer", "files", zero.alias("changed_files"))
+    return known.unionByName(other, allowMissingColumns=True).withColumn("is_changed", F.col("changed_files") > 0)
+
+
 def detect_renames(new: DataFrame, current: DataFrame, present: DataFrame) -> DataFrame:
-    """layer, file, old_file where exactly one absent file of the layer had the new file's content."""
+    """layer, file, old_file where exactly one absent file of the layer had the new file's content.
+
+    Absent files are counted for each content first, so copies of one content are never paired."""
     fresh = new.join(current.select("layer", "file"), ["layer", "file"], "left_anti").filter(F.col("content_hash") != "")
-    gone = current.join(present.select("layer", "file"), ["layer", "file"], "left_anti").select("layer", "content_hash", F.col("file").alias("old_file"))
-    pairs = fresh.select("layer", "file", "content_hash").join(gone, ["layer", "content_hash"])
-    return pairs.groupBy("layer", "file").agg(F.count("*").alias("_n"), F.min("old_file").alias("old_file")).filter("_n = 1").drop("_n")
+    gone = current.join(present.select("layer", "file"), ["layer", "file"], "left_anti")
+    gone = gone.groupBy("layer", "content_hash").agg(F.count("*").alias("_n"), F.min("file").alias("old_file")).filter("_n = 1")
+    return fresh.join(gone, ["layer", "content_hash"]).select("layer", "file", "old_file")
 
 
 def identical_files(current: DataFrame, layer: list[str], content: str, name: str, shown: int = 10) -> DataFrame:
@@ -129,11 +155,26 @@ def latest_per_layer(current: DataFrame, layer: list[str]) -> DataFrame:
     return current.groupBy(*layer).agg(F.max_by(F.struct(*names), F.struct("created_at", "snapshot_id")).alias("_s")).select(*layer, "_s.*")
 
 
-def resolve_snapshot(snapshots: DataFrame, series: list[str], year: int | None = None, month: int | None = None) -> DataFrame:
-    """For each file the highest sequence, within one month if that is given; the period must equal it."""
-    if year is not None:
-        snapshots = snapshots.filter((F.col("period.year") == year) & (F.col("period.month") == month))
-    return current_snapshots(snapshots, series)
+def resolve_snapshot(snapshots: DataFrame, layer: list[str], file: str = "file", year: int | None = None, month: int | None = None, snapshot_id=None, name=None, every_file: bool = False) -> DataFrame:
+    """The snapshot of each layer that a read is about, with is_current.
+
+    One named by its id wins. Else the file decides, the most recently loaded one of a layer if none is named,
+    and of its snapshots that of highest sequence, within one month if that is given: the period must equal it.
+    every_file: all files of a layer instead of one."""
+    current = current_snapshots(snapshots, [*layer, file])
+    newest = current.select(*layer, file, F.col("snapshot_id").alias("_newest"))
+    if snapshot_id is not None:
+        found = snapshots.filter(F.col("snapshot_id") == F.lit(snapshot_id))
+    else:
+        found = snapshots
+        if name is not None:
+            found = found.filter(F.col(file) == F.lit(name))
+        elif not every_file:
+            found = found.join(latest_per_layer(current, layer).select(*layer, file), [*layer, file], "left_semi")
+        if year is not None and month is not None:
+            found = found.filter((F.col("period.year") == year) & (F.col("period.month") == month))
+        found = current_snapshots(found, [*layer, file]).drop("snapshots")
+    return found.join(newest, [*layer, file]).withColumn("is_current", F.col("snapshot_id") == F.col("_newest")).drop("_newest")
 
 
 def history(snapshots: DataFrame, series: list[str]) -> DataFrame:
@@ -144,11 +185,16 @@ def history(snapshots: DataFrame, series: list[str]) -> DataFrame:
 
 
 def layer_rollup(snapshots: DataFrame, layers: DataFrame, layer: str, file: str) -> DataFrame:
-    """Files, snapshots, current records, latest load of each layer; layers without data stay, with zeros."""
+    """Files, snapshots, current records, latest load with its period, and files by time of each layer; layers
+    without data stay, with zeros. snapshots: period, created_at, row_count, sequence."""
     current = current_snapshots(snapshots, [layer, file])
-    a = current.groupBy(layer).agg(F.count("*").alias("files"), F.sum("snapshots").alias("n_snapshots"), F.sum("row_count").alias("records"), F.max("created_at").alias("latest"))
+    newest_first = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp_ltz"))).alias("t"), F.col(file).cast("string").alias("f"))))  # files of one layer
+    a = current.groupBy(layer).agg(
+        F.count("*").alias("files"), F.sum("snapshots").alias("n_snapshots"), F.sum("row_count").alias("records"), F.max("created_at").alias("latest"),
+        F.max_by("period", F.struct("created_at", file)).alias("latest_period"), F.transform(newest_first, lambda x: x["f"]).alias("sources"))
     zero = F.lit(0).cast("long")
-    return layers.join(a, layer, "left").select(*layers.columns, *[F.coalesce(c, zero).alias(c) for c in ("files", "n_snapshots", "records")], "latest")
+    sources = F.coalesce("sources", F.array().cast("array<string>")).alias("sources")
+    return layers.join(a, layer, "left").select(*layers.columns, *[F.coalesce(c, zero).alias(c) for c in ("files", "n_snapshots", "records")], "latest", "latest_period", sources)
 
 
 def layer_test_counts(cells: DataFrame, columns: DataFrame, current: DataFrame, layer: str) -> DataFrame:
@@ -158,7 +204,7 @@ def layer_test_counts(cells: DataFrame, columns: DataFrame, current: DataFrame,
     sums = cells.join(per.filter("n = 1").select("snapshot_id", "key"), ["snapshot_id", "key"]).groupBy("snapshot_id").agg(F.sum("n").alias("total"))
     each = per.select("snapshot_id", layer, "n").join(sums, "snapshot_id", "left")
     complete = F.bool_and(F.coalesce(F.col("n"), F.lit(0)) == 1)
-    return each.groupBy(layer).agg(F.when(complete, F.coalesce(F.sum("total"), F.lit(0.0))).alias("test_count"))
+    return each.groupBy(layer).agg(F.when(complete, F.coalesce(F.sum("total"), F.lit(0))).alias("test_count"))
 
 
 def release_rollup(snapshots: DataFrame, releases: DataFrame, series: list[str]) -> DataFrame:

@@ -36,14 +36,14 @@ def test_id_references(spark):
 
 
 def test_run_results(spark):
-    rows = spark.createDataFrame([(28, 26, 1, 1, "Clean Install"), (26, 24, 2, 0, "Version Update"), (20, 18, 1, 1, "Clean Install"), (10, 9, 0, 1, "Repair Install"), (12, 11, 1, 0, "Silent Install")], "tc int, ok int, bad int, na int, kind string")
+    rows = spark.createDataFrame([(30, 27, 2, 1, "night"), (22, 21, 1, 0, "day"), (16, 12, 1, 3, "night"), (9, 8, 0, 1, "dusk"), (11, 10, 1, 0, "dawn")], "tc int, ok int, bad int, na int, kind string")
     r = D.run_summary(rows, "ok", "bad", "na", "tc").first()
-    assert (r.passed, r.failed, r.not_run, r.total, r.executed, r.pass_rate_pct, r.executed_pct, r.reconciles) == (88, 5, 3, 96, 93, 94.6, 96.9, True)
+    assert (r.passed, r.failed, r.not_run, r.total, r.executed, r.pass_rate_pct, r.executed_pct, r.reconciles) == (78, 5, 5, 88, 83, 94.0, 94.3, True)
     d = D.dimension_breakdown(rows, "kind", ["ok", "bad"])
-    assert [tuple(x) for x in d.filter("value = 'Clean Install'").select("ok", "bad", "rank").collect()] == [(44.0, 2.0, 1)]
+    assert [tuple(x) for x in d.filter("value = 'night'").select("ok", "bad", "rank").collect()] == [(39.0, 3.0, 1)]
     worst = D.failing_rows(rows, "bad", F.col("kind"), ["tc"], ["bad"])
     assert [x.bad for x in worst.collect()] == [2, 1, 1, 1]
-    cols = spark.createDataFrame([("s", 0, "no", "Pattern No.", "number"), ("s", 1, "tc", "TC count", "number"), ("s", 2, "ok", "Pass", "number"), ("s", 3, "bad", "Fail", "number"), ("s", 4, "na", "NA", "number"), ("s", 5, "age", "%age", "number")], COLUMNS)
+    cols = spark.createDataFrame([("s", 0, "no", "Line No.", "number"), ("s", 1, "tc", "TC count", "number"), ("s", 2, "ok", "Pass", "number"), ("s", 3, "bad", "Fail", "number"), ("s", 4, "na", "NA", "number"), ("s", 5, "age", "%age", "number")], COLUMNS)
     assert [tuple(x) for x in D.detect_run_columns(cols).collect()] == [("s", "ok", "bad", "na", "tc", True)]
     assert D.primary_measure(cols).first().measure == "na"
 
@@ -71,6 +71,12 @@ def test_diff_and_fingerprint(spark):
     assert [tuple(r) for r in S.diff_counts(a, b, ["f"], "k", ["v"]).collect()] == [("x", 1, 1, 1)]
     of = lambda df: S.fingerprint(df, ["f"], "k", ["v"]).first().fingerprint
     assert of(a) == of(a.repartition(3)) != of(b)
+    # a value that moves to the next column, rows that are there twice, and columns show
+    two = "f string, k int, v string, w string"
+    moved = [S.fingerprint(spark.createDataFrame([("x", 1, *vw)], two), ["f"], "k", ["v", "w"]).first().fingerprint for vw in ((None, "u"), ("u", None), (None, None))]
+    twice = [S.fingerprint(spark.createDataFrame([("x", 1, "p", "q")] * n, two), ["f"], "k", ["v", "w"]).first().fingerprint for n in (1, 2, 3)]
+    named = [S.fingerprint(a, ["f"], "k", ["v"], spark.createDataFrame([("x", 0, "v", label, "string")], "f string, pos int, key string, label string, type string")).first().fingerprint for label in ("V", "W")]
+    assert len({*moved, *twice, *named}) == 8
 
 
 def test_dedupe(spark):
@@ -95,9 +101,16 @@ def test_backfill(spark):
 
 
 def test_automation(spark):
-    rows = spark.createDataFrame([("r", "a", 10, 100), ("r", "b", 143, 900), ("r", "c", None, 50)], "release string, layer string, auto int, total int")
-    rel = A.release_coverage(A.measure_layers(rows, ["release", "layer"], "auto", "total"), ["release"], "layer").first()
-    assert (rel.coverage_pct, rel.unmeasured, rel.basis) == (15.3, "c", "test_count")
+    cells = spark.createDataFrame([("a", "x", 20.0), ("a", "y", 100.0), ("b", "x", 3.0), ("c", "x", None), ("c", "y", 50.0), ("d", "y", 7.0), ("e", "x", 1.0), ("e", "y", 0.0)], "snapshot_id string, key string, n double")
+    roles = spark.createDataFrame([("a", "x", "y"), ("b", "x", None), ("c", "x", "y"), ("d", None, "y"), ("e", "x", "y")], "snapshot_id string, automated string, total string")
+    rows = spark.createDataFrame([(s, "r", s, 30) for s in "abcde"], "snapshot_id string, release string, layer string, n_rows long")
+    layers = A.measure_layers(cells, roles, rows, ["release", "layer"])
+    assert rows_of(layers, "layer", "measured", "automated", "total", "coverage_pct", "basis") == [
+        ("a", True, 20.0, 100.0, 20.0, "test_count"), ("b", True, 3.0, 30.0, 10.0, "row_count"), ("c", True, 0.0, 50.0, 0.0, "test_count"),  # a blank column is 0
+        ("d", False, 0.0, 0.0, None, ""), ("e", False, 1.0, 0.0, None, "test_count")]
+    assert {r.layer for r in layers.filter("reason <> ''").collect()} == {"d", "e"}
+    rel = A.release_coverage(layers, ["release"], "layer").first()
+    assert (rel.coverage_pct, rel.unmeasured, rel.basis) == (12.8, "d,e", "mixed")
     t = spark.createDataFrame([("a", 1, "one", 10.0), ("a", 2, "two", None), ("a", 3, "three", 25.0)], "app string, ord int, name string, coverage_pct double")
     assert [(r.delta, r.compared_to) for r in A.automation_trend(t, ["app"], "ord", "name").orderBy("ord").collect()] == [(None, None), (None, None), (15.0, "one")]
 
@@ -122,6 +135,27 @@ def test_text_checks(spark):
     assert G.fill_gaps(claims, missing, "report", "text").filter("added").count() == 1
 
 
+def test_merged_top_rows(spark):
+    cells = spark.createDataFrame([("a", "s", i, 0, "t", f"row {i}", None) for i in range(3)] + [("a", "s", i, 1, "n", str(i), float(i)) for i in range(3)] + [("b", "u", 0, 0, "q", "5", 5.0), ("b", "u", 1, 0, "q", "x", None)], "snapshot_id string, section string, row_index int, pos int, key string, s string, n double")
+    cols = spark.createDataFrame([("a", 0, "t", "Text", "string"), ("a", 1, "n", "Test Count", "number"), ("b", 0, "q", "TC count", "number")], COLUMNS)
+    cur = spark.createDataFrame([("a", 1), ("b", 2)], "snapshot_id string, created_at int")
+    got = D.merged_top_rows(cells, cols, cur, 3).orderBy("rank").collect()
+    assert [(r.snapshot_id, r.value, r.label, r.measure) for r in got] == [("b", 5.0, "u", "total_tests"), ("a", 2.0, "row 2", "total_tests"), ("a", 1.0, "row 1", "total_tests")]
+    other = cols.withColumn("label", F.when(F.col("snapshot_id") == "b", "Hours").otherwise(F.col("label")))
+    assert D.merged_top_rows(cells, other, cur).count() == 0  # nothing is shared
+
+
+def test_warning_order(spark):
+    every = spark.createDataFrame([("f", c, "notice", "m") for c in Q.CODES[::-1]] + [("f", "own_code", "notice", "m")], "file string, code string, severity string, message string")
+    got = [r.code for r in Q.inspect([every], "file").orderBy("rank").collect()]
+    assert got == ["conflicting_duplicate", "measure_column_not_numeric", "text_in_measure", "mismatched_id", "duplicate_rows", "separator_rows", "empty_columns", "sparse_columns"]
+    labels = ["Failures", "Skipped", "Blocked", "N/A", "Not run", "testcases", "Total hours", "cases"]
+    cols = spark.createDataFrame([("f", i, f"c{i}", x, "string") for i, x in enumerate(labels)], "file string, pos int, key string, label string, type string")
+    cells = spark.createDataFrame([("f", 1, f"c{i}", "word", None) for i in range(8)], "file string, row_index int, key string, s string, n double")
+    told = Q.measure_warnings(Q.column_fill(cells, "file"), cols, "file").collect()
+    assert sorted(r.message.split(" is named")[0] for r in told) == sorted(labels[:-1])
+
+
 def test_stored_snapshots(spark, tmp_path):
     rec = spark.createDataFrame([("a", "r", "l", "s1", 1), ("a", "r", "l", "s2", 2)], "app string, release string, layer string, snapshot_id string, n int")
     X.append_snapshots(rec, str(tmp_path / "t"))
@@ -131,3 +165,7 @@ def test_stored_snapshots(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
     (tmp_path / "g.csv").write_text("a,b\n1,2\n")
     assert [r.cells for r in X.read_grid(spark, str(tmp_path / "g.csv"), "csv").orderBy("row_no").collect()] == [["a", "b"], ["1", "2"]]
+    (tmp_path / "q.csv").write_text('\ufeff"x, y","say ""hi""",\r\n\r\n,"two\nlines",z\n')
+    assert [r.cells for r in X.read_grid(spark, str(tmp_path / "q.csv"), "csv").orderBy("row_no").collect()] == [["x, y", 'say "hi"', ""], ["", "two\nlines", "z"]]
+    X.drop_partitions(spark, str(tmp_path / "t"), rec.filter("n = 1"))
+    assert rows_of(spark.read.parquet(str(tmp_path / "t")), "n") == [(2,)]
