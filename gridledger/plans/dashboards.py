@@ -45,12 +45,31 @@ def two_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return cells, columns, spark.createDataFrame([("a", "x"), ("b", "x")], "snapshot_id string, layer string")
 
 
-@query("""SELECT section, measure, CAST(round(sum(v), 0) AS DOUBLE) AS total, measure = 'total_tests' AS is_shared FROM (
+@query("""SELECT section, measure, CAST(sum(v) AS DOUBLE) AS total, measure = 'total_tests' AS is_shared FROM (
   SELECT l_returnflag AS section, 'total_tests' AS measure, CAST(l_quantity AS DECIMAL(18,2)) AS v FROM lineitem UNION ALL
   SELECT l_returnflag, 'price', CAST(l_extendedprice AS DECIMAL(18,2)) FROM lineitem UNION ALL SELECT o_orderstatus, 'total_tests', CAST(o_totalprice AS DECIMAL(18,2)) FROM orders) GROUP BY section, measure""")
 def merged_dashboard(spark, sf_dir):
+    """Sums of decimals, so that they are exact."""
     cells, columns, current = two_files(spark, sf_dir)
-    return D.merged_dashboard(cells, columns, current).withColumn("total", F.round("total", 0))
+    out = D.merged_dashboard(cells.withColumn("n", F.col("n").cast(MONEY)), columns, current)
+    return out.withColumn("total", F.col("total").cast("double"))
+
+
+@query("""SELECT 'a' AS snapshot_id, l_returnflag AS section, measure, CAST(sum(v) AS DOUBLE) AS total FROM (
+  SELECT l_returnflag, 'qty' AS measure, CAST(l_quantity AS DECIMAL(18,2)) AS v FROM lineitem UNION ALL SELECT l_returnflag, 'price', CAST(l_extendedprice AS DECIMAL(18,2)) FROM lineitem) GROUP BY ALL""")
+def single_dashboard(spark, sf_dir):
+    """A layer of one file answers as that file: its columns keep their names."""
+    cells, columns, current = two_files(spark, sf_dir)
+    out = D.merged_dashboard(cells.withColumn("n", F.col("n").cast(MONEY)), columns, current.filter("snapshot_id = 'a'"))
+    return out.select(F.lit("a").alias("snapshot_id"), "section", "measure", F.col("total").cast("double").alias("total"))
+
+
+@query("""WITH v AS (SELECT 'a' AS snapshot_id, l_returnflag AS section, l_orderkey * 10 + l_linenumber AS row_index, l_quantity AS value, l_linestatus AS label FROM lineitem UNION ALL SELECT 'b', o_orderstatus, o_orderkey, o_totalprice, o_orderpriority FROM orders)
+SELECT *, 'total_tests' AS measure, CAST(row_number() OVER (ORDER BY value DESC, snapshot_id, section, row_index) AS INTEGER) AS rank FROM v ORDER BY value DESC, snapshot_id, section, row_index LIMIT 10""")
+def merged_top_rows(spark, sf_dir):
+    """The largest rows of both files by the measure that they share, whatever each calls it."""
+    cells, columns, current = two_files(spark, sf_dir)
+    return D.merged_top_rows(cells, columns, current.withColumn("created_at", F.col("snapshot_id")))
 
 
 def order_sheet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -88,7 +107,7 @@ def classify_sheet(spark, sf_dir):
     o, cells, columns = order_sheet(spark, sf_dir)
     stats, n = kept(D.column_stats(cells, columns)), n_rows_of(o, "o")
     dims = kept(D.rank_dimensions(columns, stats, n))
-    out = D.classify(columns, stats, n).join(D.primary_measure(columns), "snapshot_id").join(D.detect_status_column(columns, stats, n), "snapshot_id").join(D.detect_inventory(columns, stats), "snapshot_id")
+    out = D.classify(columns, stats, n).drop("reason").join(D.primary_measure(columns), "snapshot_id").join(D.detect_status_column(columns, stats, n), "snapshot_id").join(D.detect_inventory(columns, stats), "snapshot_id")
     return out.join(D.choose_dimension(dims, "state"), "snapshot_id").join(D.label_columns(columns, dims, cells).select("snapshot_id", F.array_join("labels", ",").alias("labels")), "snapshot_id")
 
 
@@ -140,16 +159,6 @@ def failing_rows(spark, sf_dir):
     return D.failing_rows(runs(spark, sf_dir), "fail", D.row_label(["os"], "os"), ["user_id"], ["pass", "fail", "cases"])
 
 
-@query("""SELECT 'r' AS snapshot_id, 'pass' AS passed, 'fail' AS failed, 'na' AS not_run, 'cases' AS total, true AS is_run, 'run_results' AS kind, (SELECT count(DISTINCT user_id) FROM events) AS n_rows""")
-def run_columns(spark, sf_dir):
-    """Roles of the columns of the events as run results."""
-    columns = spark.createDataFrame([("r", 0, "os", "OS ver.", "string"), ("r", 1, "cases", "TC count", "number"), ("r", 2, "pass", "Pass", "number"), ("r", 3, "fail", "Failures", "number"), ("r", 4, "na", "N/A", "number"), ("r", 5, "rate", "Pass %", "number")], COLUMNS)
-    rows = runs(spark, sf_dir).withColumns({"section": F.lit("all"), "rate": F.lit(0.0)})
-    cells = D.cells_of(rows, F.lit("r"), "section", "user_id", ["os"], ["cases", "pass", "fail", "na", "rate"])
-    n = n_rows_of(rows, "r")
-    return D.detect_run_columns(columns).join(D.classify(columns, D.column_stats(cells, columns), n), "snapshot_id").join(n, "snapshot_id")
-
-
 @query("""WITH f AS (SELECT o_orderkey, o_custkey, o_orderkey % 17 <> 0 AS readable FROM orders), n AS (SELECT count(*) FILTER (readable) AS items, count(*) FILTER (NOT readable) AS unreadable, count(*) FILTER (readable AND o_orderkey % 3 = 0) AS linked FROM f)
 SELECT items, unreadable, items AS duplicates, 'FL' AS family, 'CS' AS link_family, linked, items - linked AS unlinked, linked AS links, round(linked / items * 100, 1) AS linked_pct FROM n""")
 def inventory_summary(spark, sf_dir):
@@ -177,14 +186,6 @@ def search_records(spark, sf_dir):
     return D.search_records(rows, "S", "p_brand", ["p_name", "p_type"], ["p_size"], ["p_brand", "p_partkey"], page=2, size=50)
 
 
-@query(r"""WITH t AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(replace(text, ',', ' '), '\d+(?:\.\d+)?'), lambda x: CASE WHEN contains(x, '.') THEN regexp_replace(regexp_replace(regexp_replace(x, '^0+(\d)', '\1'), '\.0+$', ''), '(\.\d*[1-9])0+$', '\1') ELSE regexp_replace(x, '^0+(\d)', '\1') END))) AS figure FROM documents)
-SELECT figure, count(*) AS n_docs FROM t GROUP BY figure""")
-def document_figures(spark, sf_dir):
-    """In how many documents each number stands; commas are taken as spaces."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.figures(F.translate("text", ",", " "))).alias("figure"))
-    return d.groupBy("figure").agg(F.count("*").alias("n_docs"))
-
-
 @query("""SELECT o_orderstatus AS word, CASE o_orderstatus WHEN 'F' THEN 'passing' WHEN 'O' THEN 'failing' WHEN 'P' THEN 'pending' ELSE '' END AS kind, count(*) AS n FROM orders GROUP BY 1""")
 def outcomes(spark, sf_dir):
     word = F.when(F.col("o_orderstatus") == "F", "  Verified! ").when(F.col("o_orderstatus") == "O", "Not   OK:").when(F.col("o_orderstatus") == "P", "N/A")

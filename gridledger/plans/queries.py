@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridledger.plans import automation, coverage, dashboards, ingest, quality, snapshots  # noqa: F401
+from gridledger.plans import automation, coverage, dashboards, facts, ingest, quality, snapshots  # noqa: F401
 from gridledger.plans.registry import QUERIES, SQL
 
 

@@ -12,21 +12,21 @@ from gridledger.plans.dashboards import two_files
 from gridledger.plans.registry import query, table
 from gridledger.sources import files as X
 
-VERSIONS = """WITH bounds AS (SELECT max(o_orderkey) // 10 AS lo, max(o_orderkey) // 10 * 9 AS hi FROM orders),
-v1 AS (SELECT o_custkey AS file, o_orderkey, o_totalprice AS price FROM orders, bounds WHERE o_orderkey <= hi),
-v2 AS (SELECT o_custkey AS file, o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders, bounds WHERE o_orderkey >= lo),
-d AS (SELECT coalesce(v1.file, v2.file) AS file, coalesce(v1.o_orderkey, v2.o_orderkey) AS o_orderkey,
-  CASE WHEN v1.file IS NULL THEN 'added' WHEN v2.file IS NULL THEN 'removed' WHEN v1.price <> v2.price THEN 'changed' END AS change
-  FROM v1 FULL JOIN v2 ON v1.file = v2.file AND v1.o_orderkey = v2.o_orderkey)
+VERSIONS = """WITH bounds AS (SELECT min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders),
+v1 AS (SELECT o_custkey AS file, o_orderkey, o_totalprice AS price, o_orderdate < last AS here FROM orders, bounds),
+v2 AS (SELECT o_custkey AS file, o_orderkey, CASE WHEN month(o_orderdate) = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS price, o_orderdate > first AS here FROM orders, bounds),
+d AS (SELECT v1.file, v1.o_orderkey, CASE WHEN NOT v1.here THEN 'added' WHEN NOT v2.here THEN 'removed' WHEN v1.price <> v2.price THEN 'changed' END AS change FROM v1 JOIN v2 USING (o_orderkey))
 """
 
 
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), "o_orderkey", F.col("o_totalprice").alias("price"))
-    top = o.agg((F.max("o_orderkey")).alias("top"))
-    both = o.crossJoin(F.broadcast(top))  # one row
-    v1 = both.filter("o_orderkey <= (top div 10) * 9").drop("top")
-    v2 = both.filter("o_orderkey >= top div 10").withColumn("price", F.when(F.col("o_orderkey") % 7 == 0, F.col("price") + 1).otherwise(F.col("price"))).drop("top")
+    """Orders as they stood before the last day, and as they stand after the first one; those of a July have a new price."""
+    o = table(spark, sf_dir, "orders")
+    days = o.agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    both = o.crossJoin(F.broadcast(days))  # one row
+    file, price = F.col("o_custkey").alias("file"), F.col("o_totalprice")
+    v1 = both.filter("o_orderdate < last").select(file, "o_orderkey", price.alias("price"))
+    v2 = both.filter("o_orderdate > first").select(file, "o_orderkey", F.when(F.month("o_orderdate") == 7, price + 1).otherwise(price).alias("price"))
     return v1, v2
 
 
@@ -44,11 +44,21 @@ def diff_counts(spark, sf_dir):
     return S.diff_counts(v1, v2, ["file"], "o_orderkey", ["price"], same)
 
 
-@query(VERSIONS + """, a AS (SELECT file, list((o_orderkey, price) ORDER BY o_orderkey) AS l, count(*) AS n FROM v1 GROUP BY file), b AS (SELECT file, list((o_orderkey, price) ORDER BY o_orderkey) AS l FROM v2 GROUP BY file)
-SELECT a.file, a.n AS n_rows, a.l = b.l AS same FROM a JOIN b ON a.file = b.file""")
+@query("""SELECT o_custkey AS file, count(*) AS n_rows, o_custkey % 5 <> 4 AND o_custkey % 5 <> 3 AND count(*) FILTER (o_custkey % 5 = 1 AND o_orderstatus = 'P') = 0 AND count(*) FILTER (o_custkey % 5 = 2 AND o_orderkey % 4 = 0) = 0 AS same FROM orders GROUP BY o_custkey""")
 def fingerprints(spark, sf_dir):
-    v1, v2 = (S.fingerprint(v, ["file"], "o_orderkey", ["o_orderkey", "price"]) for v in versions(spark, sf_dir))
-    return v1.join(v2.select("file", F.col("fingerprint").alias("now")), "file").select("file", "n_rows", (F.col("fingerprint") == F.col("now")).alias("same"))
+    """Whether a customer's sheet reads as before. Of five customers one is the same; in others the state of open orders
+    moves to the next column, some prices change, a column has a new label, or the rows are in another order."""
+    o = table(spark, sf_dir, "orders")
+    case = F.col("o_custkey") % 5
+    row = lambda state, spare, price, at: o.select(F.col("o_custkey").alias("file"), at.alias("at"), state.alias("state"), spare.alias("spare"), price.alias("price"))
+    status, none, price, key = F.col("o_orderstatus"), F.lit(None).cast("string"), F.col("o_totalprice"), F.col("o_orderkey")
+    shifts = (case == 1) & (status == "P")
+    v1 = row(status, none, price, key)
+    v2 = row(F.when(~shifts, status), F.when(shifts, status), F.when((case == 2) & (key % 4 == 0), price + 0.01).otherwise(price), F.when(case == 4, -key).otherwise(key))
+    names = lambda label: o.select(F.col("o_custkey").alias("file")).distinct().select("file", F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("key"), (label if c == "spare" else F.lit(c)).alias("label"), F.lit("string").alias("type")) for i, c in enumerate(("state", "spare", "price"))])))
+    of = lambda v, label: S.fingerprint(v, ["file"], "at", ["state", "spare", "price"], names(label))
+    before, now = of(v1, F.lit("Spare")), of(v2, F.when(F.col("file") % 5 == 3, "Reserve").otherwise("Spare"))
+    return before.join(now.select("file", F.col("fingerprint").alias("now")), "file").select("file", "n_rows", (F.col("fingerprint") == F.col("now")).alias("same"))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER w AS n, first_value(l_quantity) OVER w AS kq, first_value(l_tax) OVER w AS kt, first_value(l_linenumber) OVER w AS kept_row FROM lineitem
@@ -94,9 +104,26 @@ def latest_per_layer(spark, sf_dir):
     return S.latest_per_layer(S.current_snapshots(loads(spark, sf_dir), ["layer", "file"]), ["layer"]).select("layer", "file", "snapshot_id")
 
 
-@query(LOADS + "SELECT layer, file, max(snapshot_id) AS snapshot_id FROM loads WHERE d = 15 GROUP BY layer, file")
+@query(LOADS + """, cur AS (SELECT layer, file, max(snapshot_id) AS newest FROM loads GROUP BY layer, file), m AS (SELECT layer, file, max(snapshot_id) AS snapshot_id FROM loads WHERE d = 15 GROUP BY layer, file)
+SELECT layer, file, snapshot_id, snapshot_id = newest AS is_current FROM m JOIN cur USING (layer, file)""")
 def resolve_period(spark, sf_dir):
-    return S.resolve_snapshot(loads(spark, sf_dir), ["layer", "file"], 2024, 15).select("layer", "file", "snapshot_id")
+    """What the 15th means for every file."""
+    return S.resolve_snapshot(loads(spark, sf_dir), ["layer"], year=2024, month=15, every_file=True).select("layer", "file", "snapshot_id", "is_current")
+
+
+@query(LOADS + """, cur AS (SELECT layer, file, max(snapshot_id) AS newest, arg_max(created_at, sequence) AS loaded FROM loads GROUP BY layer, file), one AS (SELECT layer, arg_max(file, (loaded, newest)) AS file FROM cur GROUP BY layer),
+named AS (SELECT layer, file, snapshot_id, 'id' AS asked FROM loads WHERE snapshot_id = 7 UNION ALL SELECT layer, file, newest, 'newest' FROM one JOIN cur USING (layer, file)
+  UNION ALL SELECT layer, file, newest, 'file' FROM cur WHERE file = 11 UNION ALL SELECT layer, file, max(snapshot_id), 'month' FROM loads JOIN one USING (layer, file) WHERE d = 20 GROUP BY layer, file)
+SELECT layer, file, snapshot_id, asked, snapshot_id = newest AS is_current FROM named JOIN cur USING (layer, file)""")
+def resolved_snapshots(spark, sf_dir):
+    """Snapshots asked for by id, by nothing but the layer, by file, and by month."""
+    s = loads(spark, sf_dir)
+    ways = {"id": {"snapshot_id": 7}, "newest": {}, "file": {"name": 11}, "month": {"year": 2024, "month": 20}}
+    out = None
+    for asked, how in ways.items():
+        one = S.resolve_snapshot(s, ["layer"], **how).select("layer", "file", "snapshot_id", F.lit(asked).alias("asked"), "is_current")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(LOADS + "SELECT snapshot_id, layer, file, CAST(row_number() OVER w AS INTEGER) AS age_rank, row_number() OVER w = 1 AS is_current FROM loads WINDOW w AS (PARTITION BY layer, file ORDER BY created_at DESC, sequence DESC)")
@@ -104,12 +131,13 @@ def snapshot_history(spark, sf_dir):
     return S.history(loads(spark, sf_dir), ["layer", "file"]).select("snapshot_id", "layer", "file", "age_rank", "is_current")
 
 
-@query(LOADS + """, cur AS (SELECT layer, file, arg_max(row_count, sequence) AS row_count, count(*) AS n, max(created_at) AS latest FROM loads GROUP BY layer, file)
-SELECT l AS layer, count(file) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_snapshots, CAST(coalesce(sum(row_count), 0) AS BIGINT) AS records, max(latest) AS latest
+@query(LOADS + """, cur AS (SELECT layer, file, arg_max(row_count, sequence) AS row_count, count(*) AS n, arg_max(created_at, sequence) AS latest, arg_max(d, sequence) AS d FROM loads GROUP BY layer, file)
+SELECT l AS layer, count(file) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_snapshots, CAST(coalesce(sum(row_count), 0) AS BIGINT) AS records, max(latest) AS latest, CAST(arg_max(d, (latest, file)) AS INTEGER) AS month, coalesce(string_agg(file, ',' ORDER BY latest DESC, CAST(file AS VARCHAR)), '') AS sources
 FROM (VALUES ('click'), ('view'), ('purchase'), ('error'), ('signup'), ('nothing')) t(l) LEFT JOIN cur ON cur.layer = l GROUP BY l""")
 def layer_rollup(spark, sf_dir):
     layers = spark.createDataFrame([(x,) for x in ("click", "view", "purchase", "error", "signup", "nothing")], "layer string")
-    return S.layer_rollup(loads(spark, sf_dir), layers, "layer", "file")
+    out = S.layer_rollup(loads(spark, sf_dir), layers, "layer", "file")
+    return out.withColumns({"month": F.col("latest_period.month"), "sources": F.array_join("sources", ",")}).drop("latest_period")
 
 
 @query(LOADS + """, cur AS (SELECT file % 3 AS app, d % 4 AS release, layer, file, arg_max(row_count, sequence) AS row_count, max(created_at) AS latest FROM loads GROUP BY ALL)
@@ -139,9 +167,22 @@ def changed_files(spark, sf_dir):
     return out.select("layer", "file", "content_hash", (F.col("changed") & F.coalesce("by_content", F.lit(False))).alias("changed"))
 
 
+@query(LOADS + """, cur AS (SELECT layer, file, arg_max(row_count, sequence) AS h, arg_max(created_at, sequence) AS loaded FROM loads WHERE d < 20 GROUP BY layer, file), new AS (SELECT layer, file, arg_max(row_count, sequence) AS h FROM loads GROUP BY layer, file),
+n AS (SELECT new.layer, count(*) AS files, count(*) FILTER (new.h IS DISTINCT FROM cur.h) AS changed_files FROM new LEFT JOIN cur USING (layer, file) GROUP BY new.layer), l AS (SELECT layer, max(loaded) AS last_loaded, arg_max(file, loaded) AS last_file FROM cur GROUP BY layer)
+SELECT layer, files, changed_files, last_loaded, last_file, changed_files > 0 AS is_changed FROM n LEFT JOIN l USING (layer) WHERE layer <> 'error' UNION ALL SELECT 'nothing', 0, 0, NULL, NULL, false UNION ALL SELECT NULL, files, 0, NULL, NULL, false FROM n WHERE layer = 'error'""")
+def changed_layers(spark, sf_dir):
+    """Files that changed since the 20th, by layer; files of errors match no layer."""
+    s = loads(spark, sf_dir)
+    before = S.current_snapshots(s.filter("period.month < 20"), ["layer", "file"]).withColumn("file_hash", F.col("row_count"))
+    now = S.current_snapshots(s, ["layer", "file"]).select("layer", "file", F.col("row_count").alias("file_hash"))
+    changed = S.changed_files(now, before, ["layer", "file"]).withColumn("layer", F.when(F.col("layer") != "error", F.col("layer")))
+    layers = spark.createDataFrame([(x,) for x in ("click", "view", "purchase", "signup", "nothing")], "layer string")
+    return S.changed_by_layer(changed, before, layers)
+
+
 @query("""WITH cur AS (SELECT source AS layer, doc_id AS file, md5(text) AS h FROM documents), now AS (SELECT layer, CASE WHEN file % 10 = 3 THEN file + 1000000000 ELSE file END AS file, h FROM cur),
-fresh AS (SELECT * FROM now WHERE file >= 1000000000 AND h <> ''), gone AS (SELECT * FROM cur WHERE file % 10 = 3)
-SELECT f.layer, f.file, min(g.file) AS old_file FROM fresh f JOIN gone g ON f.layer = g.layer AND f.h = g.h GROUP BY f.layer, f.file HAVING count(*) = 1""")
+fresh AS (SELECT * FROM now WHERE file >= 1000000000 AND h <> ''), gone AS (SELECT layer, h, min(file) AS old_file FROM cur WHERE file % 10 = 3 GROUP BY layer, h HAVING count(*) = 1)
+SELECT layer, file, old_file FROM fresh JOIN gone USING (layer, h)""")
 def renamed_files(spark, sf_dir):
     """Documents as files, every tenth under a new number."""
     cur = table(spark, sf_dir, "documents").select(F.col("source").alias("layer"), F.col("doc_id").alias("file"), F.md5("text").alias("content_hash"))
@@ -167,9 +208,12 @@ def match_layers(spark, sf_dir):
     return S.match_layers(manifest, layers).select("page_id", "layer")
 
 
-@query("""SELECT 'x' AS layer, CAST((SELECT sum(CAST(l_quantity AS DECIMAL(18,2))) FROM lineitem) + (SELECT sum(CAST(o_totalprice AS DECIMAL(18,2))) FROM orders) AS DECIMAL(38,0))::DOUBLE AS test_count""")
+@query("""SELECT 'x' AS layer, CAST((SELECT sum(CAST(l_quantity AS DECIMAL(18,2))) FROM lineitem) + (SELECT sum(CAST(o_totalprice AS DECIMAL(18,2))) FROM orders) AS DOUBLE) AS test_count""")
 def layer_test_counts(spark, sf_dir):
-    return S.layer_test_counts(*two_files(spark, sf_dir), "layer").withColumn("test_count", F.round("test_count", 0))
+    """Sums of decimals, so that they are exact."""
+    cells, columns, current = two_files(spark, sf_dir)
+    out = S.layer_test_counts(cells.withColumn("n", F.col("n").cast("decimal(18,2)")), columns, current, "layer")
+    return out.withColumn("test_count", F.col("test_count").cast("double"))
 
 
 @query("""WITH r AS (SELECT o_orderpriority AS app, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS release, o_orderkey FROM orders),
@@ -202,9 +246,9 @@ def corrected_history(spark, sf_dir):
 
 @query(r"""WITH p AS (SELECT page_id, octet_length(encode(html)) AS size, 'v' || page_id % 3 AS release, CASE WHEN page_id % 4 = 0 THEN 'notes' || page_id || '.txt' WHEN page_id % 4 = 1 THEN '~$open' || page_id || '.xlsx' WHEN page_id % 4 = 2 THEN 'part' || page_id || '.xlsx' ELSE 'unit/part-' || page_id || '.XLSX' END AS rel FROM pages),
 k AS (SELECT *, row_number() OVER (PARTITION BY release ORDER BY rel) AS n FROM p WHERE page_id % 4 >= 2)
-SELECT release, rel AS path, regexp_replace(split_part(rel, '/', -1), '\.[^.]*$', '') AS stem, CASE WHEN contains(rel, '/') THEN 'unit' END AS folder, size, CASE WHEN size > 4000 THEN 'file_too_large' END AS error FROM k WHERE n <= 200""")
+SELECT release, rel AS path, regexp_replace(split_part(rel, '/', -1), '\.[^.]*$', '') AS stem, CASE WHEN contains(rel, '/') THEN 'unit' END AS folder, size, CASE WHEN n > 200 THEN 'too_many_files' WHEN size > 4000 THEN 'file_too_large' END AS error FROM k""")
 def file_manifest(spark, sf_dir):
-    """Pages as files of a release folder; the list of a release ends at 200 files, as the feature says."""
+    """Pages as files of a release folder; those after the first 200 of a release are marked, as the feature says."""
     rel = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("notes"), "page_id", F.lit(".txt"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("~$open"), "page_id", F.lit(".xlsx"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("part"), "page_id", F.lit(".xlsx"))).otherwise(F.concat(F.lit("unit/part-"), "page_id", F.lit(".XLSX")))
     p = table(spark, sf_dir, "pages").select(F.concat(F.lit("file:/data/"), rel).alias("path"), F.current_timestamp().alias("modificationTime"), F.octet_length("html").cast("long").alias("length"), F.col("html").cast("binary").alias("content"), F.concat(F.lit("v"), F.col("page_id") % 3).alias("rel_name"))
     return X.file_manifest(p, F.lit("/data"), F.col("rel_name"), max_bytes=4000).select("release", "path", "stem", "folder", "size", "error")
