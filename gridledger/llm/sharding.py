@@ -37,7 +37,7 @@ CELLS = 64
 #: A group with more than this part of a shard's bytes is split.
 WHOLE_SHARE = 3 / 4
 #: What bytes, words and rows weigh in the dot product: most of all bytes, whose law holds.
-PULL = (60.0, 1.0, 1.0)
+PULL = (4.0, 1.0, 1.0)
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 8
 
