@@ -114,9 +114,16 @@ def checked_pattern(pattern: str | None) -> str | None:
 
 def tokens(c: Column | str, pattern: str | None = None) -> Column:
     """Identifier-shaped runs of a text, in order."""
+    own = checked_pattern(pattern)
     # letters, digits and word ends of all scripts count
-    found = F.regexp_extract_all(_col(c), F.lit("(?U)" + (checked_pattern(pattern) or ID_TOKEN)), F.lit(0))
-    return F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")
+    found = F.regexp_extract_all(_col(c), F.lit("(?U)" + (own or ID_TOKEN)), F.lit(0))
+    # the built-in pattern gives no spaces around a token and no empty one
+    return found if own is None else F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")
+
+
+def first_token(c: Column | str) -> Column:
+    """The first token by the built-in pattern, else null; a plain expression, without an array."""
+    return F.nullif(F.regexp_extract(_col(c), "(?U)" + ID_TOKEN, 0), F.lit(""))
 
 
 def canonical(c: Column | str) -> Column:
