@@ -32,7 +32,7 @@ SAMPLE = 2000
 #: Up to so many ids of training documents are broadcast; more are joined.
 SENT_IDS = 1_000_000
 #: Ids below the bound on hashes, for each one of the sample.
-RANKED_IDS = 4
+RANKED_IDS = 2
 #: Of so many sampled documents one weighs the bits.
 WEIGHING = 5
 BUCKET_BITS = 14

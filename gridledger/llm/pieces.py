@@ -67,6 +67,7 @@ class Pieces:
                 texts[text] = k
         if any(" " in p.lstrip(" ") or "\n" in p for p in texts):
             raise ValueError("a piece crosses the end of a word")
+        self.bytes_of = pa.array(self.raw, pa.large_binary())
         self.weights = -alpha * np.log(np.arange(len(self.raw)) + float(RANK_OFFSET))
         letters = sorted({ord(c) for p in texts for c in p})
         self.letters = np.zeros(max(letters) + 2, np.int64)  # by code point; 0 for characters in no piece
@@ -268,7 +269,7 @@ def encode_batch(pieces: Pieces, doc_ids: list, texts: list[str], seed: int = SE
     return out
 
 
-OUT = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, text_sha256 string, ids array<int>"
+OUT = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, lossless boolean, ids array<int>"
 
 
 def _parts(batch):
@@ -290,24 +291,37 @@ def lists_of(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
 
 
+def texts_of(pieces: Pieces, lists: pa.Array) -> list[bytes]:
+    """What each list of ids decodes to: the bytes of all their pieces stand together, and each list's are a stretch."""
+    flat = pieces.bytes_of.take(lists.flatten())
+    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    data = flat.buffers()[2].to_pybytes() if len(flat) and flat.buffers()[2] is not None else b""
+    at = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])].tolist()
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
 def _sample(model: str, alpha: float, seed: int):
     def run(batches):
         pieces = pieces_of_model(common.local_file(model), alpha)
         for batch in batches:
             for part in common.pieces_of(batch):
-                ids = part.column(0).to_pylist()
+                keys = part.column(0).to_pylist()
                 for at, texts in _parts(part):
-                    found = encode_batch(pieces, ids[at : at + len(texts)], texts, seed)
-                    rows = [(len(text), len(x), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for text, x in zip(texts, found)]
-                    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
+                    found = encode_batch(pieces, keys[at : at + len(texts)], texts, seed)
+                    lists, rows = lists_of(found), []
+                    for text, ids, back in zip(texts, found, texts_of(pieces, lists)):
+                        rows.append((len(text), len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
+                    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))]
                     others = part.slice(at, len(texts)).columns[2:]
-                    yield pa.record_batch([part.column(0).slice(at, len(texts)), *columns, lists_of(found), *others], names=["doc_id", "n_chars", "n_pieces", "ids_sha256", "text_sha256", "ids", *batch.schema.names[2:]])
+                    names = ["doc_id", "n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "lossless", "ids", *batch.schema.names[2:]]
+                    yield pa.record_batch([part.column(0).slice(at, len(texts)), *columns, lists, *others], names=names)
 
     return run
 
 
 def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_chars, n_pieces, digests of the ids and the text, the ids, and the columns to keep, for every row."""
+    """doc_id, n_chars, n_pieces, digests of the ids and of what they decode to, whether that is the text (lossless), the
+    ids, and the columns to keep, for every row."""
     kept = [docs[c].alias(f"kept_{c}") for c in keep]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept)
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
@@ -315,36 +329,19 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int
     return out.withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 
-def _decode(model: str, digests: bool):
-    """The text of the last column, the ids, or its digest."""
+def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id and text of rows with doc_id and ids."""
+    name = common.send_file(rows.sparkSession, model)
 
     def run(batches):
-        pieces = pieces_of_model(common.local_file(model))
+        pieces = pieces_of_model(common.local_file(name))
         for batch in batches:
             for part in common.pieces_of(batch):
-                ids = part.column(part.num_columns - 1)
-                texts = [pieces.decode(x) for x in ids.to_pylist()]
-                if digests:
-                    new = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
-                    yield pa.record_batch([*part.columns, new], names=[*part.schema.names, "decoded_sha256"])
-                else:
-                    yield pa.record_batch([part.column(0), pa.array([x.decode() for x in texts], pa.string())], names=["doc_id", "text"])
-
-    return run
-
-
-def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id and text of rows with doc_id and ids."""
-    return common.arrow_map(rows.select("doc_id", "ids"), _decode(common.send_file(rows.sparkSession, model), False), "doc_id long, text string")
-
+                texts = [x.decode() for x in texts_of(pieces, part.column(1))]
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-def checked(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded with decoded_sha256, read back from the ids alone, and whether it is the text's (lossless); ids come last."""
-    rows = encoded.select(*[c for c in encoded.columns if c != "ids"], "ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    out = common.arrow_map(rows, _decode(common.send_file(rows.sparkSession, model), True), f"{schema}, decoded_sha256 string")
-    return out.withColumn("lossless", F.col("decoded_sha256") == F.col("text_sha256")).select(*rows.columns[:-1], "decoded_sha256", "lossless", "ids").drop("text_sha256")
+    return common.arrow_map(rows.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checked(encode(common.docs_of(spark, sf_dir)))
+    return encode(common.docs_of(spark, sf_dir))

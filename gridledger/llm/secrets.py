@@ -13,7 +13,8 @@ Weak candidates are too common to report alone:
 An interval join within scopes of one text (`scope` code points between starts) links them: a key_part
 or short_assign needs an access identifier, user or endpoint in its scope; a user needs a secret; an
 endpoint needs a secret and an identifier. Linked candidates are added to the spans; base spans stay.
-The join is by range windows over starts: both sides are ordered once and no pairs are made.
+The join is by range windows over starts: both sides are ordered once and no pairs are made. A scope is a
+distance, as texts have no other structure here; each link names where its partners start.
 
 Defined results: a null text counts as empty and has no spans; rows that repeat doc_id and text have
 equal results; ties of one start are ordered by kind; an empty table gives no rows; other columns
@@ -78,36 +79,41 @@ def parts_of(rows: DataFrame) -> DataFrame:
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The base spans, and those weak candidates that have complementary parts in their scope."""
+    """The base spans, and those weak candidates that have complementary parts in their scope, with `partners`: where the
+    first of these start (null for base spans)."""
     near = Window.partitionBy("doc_id", "text_sha256").orderBy("start").rangeBetween(-scope, scope)
     kind = F.col("kind_no")
     no = lambda *names: [KINDS.index(x) for x in names]
-    has = lambda *names: F.max(F.when(kind.isin(no(*names)), 1).otherwise(0)).over(near) == 1
-    parts = parts.withColumn("secret", has("assign", "hex", "key_part", "short_assign")).withColumn("identifier", has("access", "user")).withColumn("place", has("endpoint"))
-    linked = (
-        F.when(kind.isin(no("assign", "access", "hex")), True)
-        .when(kind.isin(no("key_part", "short_assign")), F.col("identifier") | F.col("place"))
-        .when(kind.isin(no("user")), F.col("secret"))
-        .otherwise(F.col("secret") & F.col("identifier"))
-    )
-    return parts.filter(linked).drop("secret", "identifier", "place")
+    first = lambda *names: F.min(F.when(kind.isin(no(*names)), F.col("start"))).over(near)
+    parts = parts.withColumn("secret", first("assign", "hex", "key_part", "short_assign")).withColumn("identifier", first("access", "user")).withColumn("place", first("endpoint"))
+    base, bare, user = kind.isin(no("assign", "access", "hex")), kind.isin(no("key_part", "short_assign")), kind.isin(no("user"))
+    text = lambda c: c.cast("string")
+    partners = (
+        F.when(base, F.lit(None).cast("string")).when(bare, text(F.least("identifier", "place"))).when(user, text(F.col("secret")))
+        .otherwise(F.concat(text(F.col("secret")), F.lit("/"), text(F.col("identifier"))))
+    )
+    return parts.withColumn("partners", partners).filter(base | F.col("partners").isNotNull()).drop("secret", "identifier", "place")
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, links for every row of docs; links: each linked weak
+    candidate with the places of its partners, as kind:start>partners."""
     rows = common.settle(scan(docs), "secret-scan")
     spans = link(parts_of(rows), scope)
-    span = F.struct("start", "kind_no", "end")
+    span = F.struct("start", "kind_no", "end", "partners")
     count = lambda kind: F.count_if(F.col("kind_no") == KINDS.index(kind))
     # a list holds the spans of one text
     listed = spans.groupBy("doc_id", "text_sha256").agg(
         F.array_sort(F.collect_list(span)).alias("all"), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"))
     names = F.array(*[F.lit(k) for k in KINDS])
-    text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.element_at(names, x["kind_no"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    listed = listed.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "n_assign", "n_access", "n_hex", text(F.filter("all", lambda x: x["kind_no"] <= 2)).alias("base"), text(F.col("all")).alias("spans"))
+    kind = lambda x: F.element_at(names, x["kind_no"] + 1)
+    text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    linked = F.filter("all", lambda x: x["partners"].isNotNull())
+    links = F.array_join(F.transform(linked, lambda x: F.concat(kind(x), F.lit(":"), x["start"].cast("string"), F.lit(">"), x["partners"])), ",")
+    listed = listed.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "n_assign", "n_access", "n_hex", text(F.filter("all", lambda x: x["kind_no"] <= 2)).alias("base"), text(F.col("all")).alias("spans"), links.alias("links"))
     out = rows.select("doc_id", "text_sha256").join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left")
-    none = F.lit(0).cast("long")
-    return out.select("doc_id", *[F.coalesce(c, none).alias(c) for c in ("n_assign", "n_access", "n_hex")], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    none, nothing = F.lit(0).cast("long"), F.lit("")
+    return out.select("doc_id", *[F.coalesce(c, none).alias(c) for c in ("n_assign", "n_access", "n_hex")], F.sha2(F.coalesce("base", nothing), 256).alias("base_sha256"), F.coalesce("spans", nothing).alias("spans"), F.coalesce("links", nothing).alias("links"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,16 +142,15 @@ OP4_SQL = (
     + """)) x
   WHERE kind_no <> 3 OR NOT EXISTS (SELECT 1 FROM assigned a WHERE a.doc_id = x.doc_id AND length(a.value) >= 12 AND a.start < x."end" AND x.start < a."end")),
 near AS (
-  SELECT p.*, EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.kind_no IN (0, 2, 3, 4) AND abs(q.start - p.start) <= 400) AS secret,
-    EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.kind_no IN (1, 5) AND abs(q.start - p.start) <= 400) AS identifier,
-    EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.kind_no = 6 AND abs(q.start - p.start) <= 400) AS place
-  FROM parts p),
-kept AS (
-  SELECT *, (['assign', 'access', 'hex', 'key_part', 'short_assign', 'user', 'endpoint'])[kind_no + 1] || ':' || start || ':' || "end" AS span
-  FROM near WHERE kind_no <= 2 OR (kind_no IN (3, 4) AND (identifier OR place)) OR (kind_no = 5 AND secret) OR (kind_no = 6 AND secret AND identifier))
+  SELECT p.doc_id, p.kind_no, p.start, p."end", min(q.start) FILTER (q.kind_no IN (0, 2, 3, 4)) AS secret, min(q.start) FILTER (q.kind_no IN (1, 5)) AS identifier, min(q.start) FILTER (q.kind_no = 6) AS place
+  FROM parts p JOIN parts q ON q.doc_id = p.doc_id AND abs(q.start - p.start) <= 400 GROUP BY ALL),
+told AS (
+  SELECT *, (['assign', 'access', 'hex', 'key_part', 'short_assign', 'user', 'endpoint'])[kind_no + 1] || ':' || start AS name,
+    CASE WHEN kind_no IN (3, 4) THEN CAST(least(identifier, place) AS VARCHAR) WHEN kind_no = 5 THEN CAST(secret AS VARCHAR) WHEN kind_no = 6 THEN CAST(secret AS VARCHAR) || '/' || CAST(identifier AS VARCHAR) END AS partners FROM near),
+kept AS (SELECT *, name || ':' || "end" AS span FROM told WHERE kind_no <= 2 OR partners IS NOT NULL)
 SELECT d.doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
   sha256(coalesce(string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no <= 2), '')) AS base_sha256,
-  coalesce(string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no IS NOT NULL), '') AS spans
+  coalesce(string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no IS NOT NULL), '') AS spans, coalesce(string_agg(name || '>' || partners, ',' ORDER BY start, kind_no) FILTER (partners IS NOT NULL), '') AS links
 FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
 """
 )
