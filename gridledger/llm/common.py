@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents are held whole in a task, so batches are small.
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 
 
 def on_one_machine(spark: SparkSession) -> bool:
@@ -60,12 +61,12 @@ def shuffles_end_with_their_job(spark: SparkSession):
     return _set(spark, classic__shuffleDependency__fileCleanup__enabled="true")
 
 
-def settle(df: DataFrame, name: str, batch_rows: int = 10_000) -> DataFrame:
+def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    batch_rows: rows that Python tasks get at a time, for rows that are large."""
+    Python tasks get at most BATCH_BYTES at a time (and one row at least), as texts can be long."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    with shuffles_end_with_their_job(spark), _set(spark, execution__arrow__maxRecordsPerBatch=str(batch_rows)):
+    with shuffles_end_with_their_job(spark), _set(spark, execution__arrow__maxBytesPerBatch=str(BATCH_BYTES)):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gl_path = path
