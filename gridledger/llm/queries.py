@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridledger.llm import chat, exact_dedup, langid, media, mixing, pieces, quality_rules, repeats, secrets, sharding, simhash
+from gridledger.llm import chat, codes, exact_dedup, langid, media, mixing, pieces, quality_rules, repeats, secrets, sharding, simhash
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_pieces": pieces.op9_pieces,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op12_quality_rules": quality_rules.op12_quality_rules,
+        "op13_codes": codes.op13_codes,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.OP2_SQL,
         "op4_secrets": secrets.OP4_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op13_codes": codes.sql(),
     }
