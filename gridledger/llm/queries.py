@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridledger.llm import chat, codes, exact_dedup, langid, media, mixing, pieces, quality_rules, repeats, secrets, sharding, simhash
+from gridledger.llm import chat, codes, exact_dedup, langid, media, mixing, pieces, quality_rules, repeats, secrets, sharding, simhash, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_repeats": repeats.op8_repeats,
         "op9_pieces": pieces.op9_pieces,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_whitening": whitening.op11_whitening,
         "op12_quality_rules": quality_rules.op12_quality_rules,
         "op13_codes": codes.op13_codes,
     }
