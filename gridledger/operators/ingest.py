@@ -1,7 +1,7 @@
 """From messy sheet grids to typed rows.
 
-A grid is (file, row_no, cells ARRAY<STRING>). A file is one partition of all windows: files are small
-and many, and a file over the cap is rejected rather than cut."""
+A grid is (file, row_no, cells ARRAY<STRING>). What a row means depends on the rows before it, so rows go through
+the ordered machines of `scan`, block by block: a file is never one task's work, however long it is."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridledger.functions import text as T
+from gridledger.operators.scan import DATA, HARD, SOFT, Titles, Values, block_scan
 from gridledger.sources.kept import kept
 
 MAX_ROWS = 20_000
@@ -101,49 +102,19 @@ def _first_text(cells: str) -> Column:
     return F.get(F.filter(cells, lambda c: c.isNotNull()), 0)["s"]
 
 
-def _titles():
-    """Reads rows (file, row_no, kind, value, opening), sorted: gives each row's section and whether it is a title.
-
-    kind: 0 a data row, 1 a lone cell within the columns, 2 one outside. One within continues the last data row if
-    that row's section has the name of the current one. A file's section and last section are all that is held."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        name, section, last, begun = None, None, None, False
-        for batch in batches:
-            sections, titles = [], []
-            for file, kind, value, opening in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3, 4)]):
-                if not begun or file != name:
-                    name, section, last, begun = file, opening, None, True
-                title = kind == 2 or (kind == 1 and last != (section,))
-                if title:
-                    section = value
-                elif kind == 0:
-                    last = (section,)
-                sections.append(section)
-                titles.append(title)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sections, pa.string()), pa.array(titles, pa.bool_())], names=["file", "row_no", "section", "is_title"])
-
-    return run
-
-
 def assign_sections(body: DataFrame, rows: DataFrame) -> DataFrame:
     """body with section and is_title. The row above the header that comes last names the opening section.
 
     A lone cell at or before the first column, or past the last, is a section title. One in between continues the
     last data row if the current section has the name of that row's, else it is a title too. As each title decides
-    how the next lone cell is read, the lone and data rows of a file are streamed in order; only their numbers and
-    lone cells go to Python."""
+    how the next lone cell is read, rows are scanned in order; only their kinds and lone cells go to Python."""
     hard = F.col("lone") & ((F.col("offset") <= 0) | (F.col("offset") >= F.col("n_cols")))
-    kind = F.when(~F.col("lone"), 0).when(hard, 2).otherwise(1)
+    kind = F.when(~F.col("lone"), DATA).when(hard, HARD).otherwise(SOFT)
     heads = body.select("file", "header_row").distinct()
     pre = rows.join(heads, "file").filter((F.col("row_no") < F.col("header_row")) & (F.col("width") > 0)).groupBy("file").agg(F.max_by(_first_text("cells"), "row_no").alias("opening"))
     told = body.select("file", "row_no", kind.alias("kind"), F.when(F.col("lone"), _first_text("cells")).alias("value")).join(pre, "file", "left").withColumn("opening", F.coalesce("opening", F.lit(DEFAULT_SECTION)))
-    type_ = {f.name: f.dataType.simpleString() for f in body.schema.fields}
-    # a fixed number of partitions keeps the rows of a file in one
-    n = int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = told.repartition(n, "file").sortWithinPartitions("file", "row_no").mapInArrow(_titles(), f"file {type_['file']}, row_no {type_['row_no']}, section string, is_title boolean")
+    type_ = dict(body.dtypes)
+    named = block_scan(told, Titles, f"file {type_['file']}, row_no {type_['row_no']}, section string, is_title boolean")
     return body.join(named, ["file", "row_no"])
 
 
@@ -153,27 +124,13 @@ def assign_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     Leading blanks take what the row above has there, since the last title; a value is followed by the texts that
     continue it, and a row that inherits the value inherits them."""
     body = assign_sections(body_rows(rows, headers), rows)
-    w = Window.partitionBy("file").orderBy("row_no")
-    body = body.withColumn("_cont", F.col("lone") & ~F.col("is_title")).withColumn("_blk", F.count_if("is_title").over(w))
-    # leading blanks of a data row; -1 never starts a group
-    firstpos = F.array_min(F.filter(F.transform("vals", lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull()))
-    body = body.withColumn("_lead", F.when(~F.col("lone"), F.coalesce(firstpos, F.col("n_cols"))))
-    each = body.filter(~F.col("is_title"))
-    # a continuation goes to the data row before it, whatever titles stand between them
-    each = each.withColumn("_blk", F.when(F.col("_cont"), F.last(F.when(~F.col("_cont"), F.col("_blk")), ignorenulls=True).over(w)).otherwise(F.col("_blk")))
-    each = each.select("file", "row_no", "section", "_blk", "_lead", "_cont", F.posexplode("vals").alias("pos", "v"))
-    g = F.sum(F.when(F.col("_lead") <= F.col("pos"), 1).otherwise(0)).over(Window.partitionBy("file", "_blk", "pos").orderBy("row_no"))
-    each = each.withColumn("_g", g)
-    so_far = Window.partitionBy("file", "_blk", "pos", "_g").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    each = each.withColumn("_part", F.collect_list(F.when(F.col("v").isNotNull(), F.struct("row_no", "v"))).over(so_far))  # a cell and what continues it
-    # a data row sees the parts up to the last continuation before the next data row
-    nxt = F.min(F.when(~F.col("_cont"), F.col("row_no"))).over(Window.partitionBy("file", "_blk", "pos").orderBy("row_no").rowsBetween(1, Window.unboundedFollowing))
-    each = each.withColumn("_next", nxt).filter(~F.col("_cont"))
-    seen = F.filter("_part", lambda p: F.col("_next").isNull() | (p["row_no"] < F.col("_next")))
-    text = F.array_join(F.transform(seen, lambda p: p["v"]["s"]), "\n")
-    value = F.when(F.size(seen) == 1, F.get(seen, 0)["v"]).when(F.size(seen) > 1, F.struct(text.alias("s"), F.lit(None).cast("double").alias("n")))
-    each = each.withColumn("value", value)
-    return each.groupBy("file", "row_no", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("vals"))  # columns of one row
+    kind = F.when(F.col("is_title"), HARD).when(F.col("lone"), SOFT).otherwise(DATA)
+    part = lambda c: F.transform("vals", lambda v: v[c]).alias(c)
+    type_ = dict(body.dtypes)
+    schema = f"file {type_['file']}, row_no {type_['row_no']}, section string, s array<string>, n array<double>"
+    filled = block_scan(body.select("file", "row_no", "section", kind.alias("kind"), part("s"), part("n")), Values, schema)
+    value = F.zip_with("s", "n", lambda s, n: F.when(s.isNotNull(), F.struct(s.alias("s"), n.alias("n"))))
+    return filled.select("file", "row_no", "section", value.alias("vals"))
 
 
 def count_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
@@ -181,10 +138,10 @@ def count_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return body_rows(rows, headers).filter(~F.col("lone")).groupBy("file").agg(F.count("*").alias("n"))
 
 
-def reject_files(rows: DataFrame, counts: DataFrame, headers: DataFrame, most: int = MAX_ROWS) -> DataFrame:
-    """file, code: no_header_row, empty_sheet or too_many_rows; counts: file, n."""
+def reject_files(rows: DataFrame, counts: DataFrame, headers: DataFrame, most: int | None = MAX_ROWS) -> DataFrame:
+    """file, code: no_header_row, empty_sheet or too_many_rows (never, if most is None); counts: file, n."""
     files = rows.select("file").distinct().join(headers.select("file", F.lit(True).alias("headed")), "file", "left").join(counts.select("file", "n"), "file", "left")
-    code = F.when(F.col("headed").isNull(), "no_header_row").when(F.col("n").isNull() | (F.col("n") == 0), "empty_sheet").when(F.col("n") > most, "too_many_rows")
+    code = F.when(F.col("headed").isNull(), "no_header_row").when(F.col("n").isNull() | (F.col("n") == 0), "empty_sheet").when(F.lit(False) if most is None else F.col("n") > most, "too_many_rows")
     return files.select("file", code.alias("code")).filter(F.col("code").isNotNull())
 
 
@@ -238,10 +195,10 @@ def forward_fill_leading(rows: DataFrame, columns: list[str], partition: list[st
     return out.drop("_lead", *[f"_g{i}" for i in range(len(columns))])
 
 
-def load(grid: DataFrame, most: int = MAX_ROWS) -> dict[str, DataFrame]:
+def load(grid: DataFrame, most: int | None = MAX_ROWS) -> dict[str, DataFrame]:
     """All steps: headers, columns (typed), data (keyed, without separators), separators, rejects.
 
-    Files with too many rows are rejected by a count, before their rows are ordered."""
+    Files with too many rows are rejected by a count, before their rows are ordered; with most=None all are read."""
     rows = kept(normalise(grid))
     headers = kept(find_headers(rows))
     counts = kept(count_rows(rows, headers))

@@ -127,6 +127,28 @@ def sheet_summaries(spark, sf_dir):
     return read.unionByName(out["rejects"], allowMissingColumns=True)
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus = 'P' AS part, o_custkey % 2 = 0 AS tail, left(o_orderpriority, 1) AS p, o_orderpriority, month(o_orderdate) = 1 AS more, o_orderstatus FROM orders),
+s AS (SELECT *, coalesce(last_value(CASE WHEN part THEN CASE WHEN tail THEN 'tail ' ELSE 'Part ' END || k END IGNORE NULLS) OVER w, 'General') AS section, count(*) FILTER (part) OVER w AS blk, count(*) FILTER (p <> '5') OVER w AS g,
+  nullif(concat_ws(chr(10), CASE WHEN p <> '5' THEN o_orderpriority END, CASE WHEN more THEN 'more ' || k END), '') AS own FROM o WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING))
+SELECT k * 8 + 3 AS row_no, section, coalesce(last_value(CASE WHEN p < '4' THEN 'order ' || k END IGNORE NULLS) OVER (PARTITION BY blk ORDER BY k ROWS UNBOUNDED PRECEDING), '~') || '|'
+  || coalesce(string_agg(own, chr(10)) OVER (PARTITION BY blk, g ORDER BY k ROWS UNBOUNDED PRECEDING), '~') || '|' || k % 100 || '|' || o_orderstatus AS vals FROM s""")
+def long_sheet(spark, sf_dir):
+    """All orders as one sheet: parts begin with titles, names and priorities are left out where the row above has them, and
+    lone cells continue rows, those of earlier blocks too."""
+    o = table(spark, sf_dir, "orders")
+    none, key, at, first = F.lit(None).cast("string"), F.col("o_orderkey").cast("string"), F.col("o_orderkey") * 8, F.substring("o_orderpriority", 1, 1)
+    row = lambda when, place, *cells: F.when(when, F.struct(place.cast("long").alias("row_no"), F.array(*cells).alias("cells")))
+    rows = F.array_compact(F.array(
+        row(F.col("o_orderstatus") == "P", at + 1, F.concat(F.lit("Part "), key), none, none, none),
+        row((F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 2 == 0), at + 2, none, F.concat(F.lit("tail "), key), none, none),
+        row(F.lit(True), at + 3, F.when(first < "4", F.concat(F.lit("order "), key)), F.when(first != "5", F.col("o_orderpriority")), (F.col("o_orderkey") % 100).cast("string"), F.col("o_orderstatus")),
+        row(F.month("o_orderdate") == 1, at + 4, none, F.concat(F.lit("more "), key), none, none)))
+    head = o.limit(1).select(F.lit(0).cast("long").alias("row_no"), F.array(*map(F.lit, ("Name", "Prio", "Count", "State"))).alias("cells"))
+    sheet = o.select(F.inline(rows)).unionByName(head).withColumn("file", F.lit("orders"))
+    data = I.load(sheet.select("file", "row_no", "cells"), most=None)["data"]
+    return data.select("row_no", "section", F.array_join(F.transform("vals", lambda v: v["s"]), "|", "~").alias("vals"))
+
+
 def board_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders as sheets of four kinds: run results, statuses, lists of identifiers, and plain counts."""
     o = table(spark, sf_dir, "orders").withColumn("kind", F.col("o_custkey") % 4)

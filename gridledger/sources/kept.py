@@ -1,20 +1,54 @@
-"""Tables that are read more than once in a job."""
+"""Tables that are read more than once in a job, kept as Parquet in the folder that driver and executors share.
+
+Parquet keeps columns and filters prunable, gives the planner sizes, and cuts the lineage. What a session keeps
+lies in one folder of its own below spark.checkpoint.dir, which goes when the session ends or `drop_kept` is called."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
-
+from pyspark.sql import DataFrame, SparkSession
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the shared checkpoint folder; its lineage ends there.
 
-    A checkpoint folder is set only where there is none, as in local tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if found is None and not (sc.master == "local" or sc.master.startswith("local[")):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the setting spark.checkpoint.dir; one is made only where the setting is absent, as in local tests."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="gridledger-"))
-    return df.checkpoint()
+        found = f"file://{tempfile.mkdtemp(prefix='gridledger-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever its file system is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def session_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if (found := getattr(sc, "_gridledger_kept", None)) is None:
+        found = sc._gridledger_kept = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex[:12]}"
+        atexit.register(drop_kept, spark)  # runs before the context stops
+    return found
+
+
+def drop_kept(spark: SparkSession) -> None:
+    """Delete all that the session keeps; tables read from it are void."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridledger_kept", None) and sc._jsc is not None:
+        remove(spark, sc._gridledger_kept)
+        sc._gridledger_kept = None
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the session's folder."""
+    spark = df.sparkSession
+    path = f"{session_folder(spark)}/{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,12 +1,72 @@
-from gridledger.streaming.loads import load_stream
+import random
+
+from pyspark.sql import functions as F
+
+from gridledger.operators import snapshots as S
+from gridledger.streaming import loads as L
+from tests.conftest import rows_of
 from tests.test_ingest import HARBOUR, STOCK, grid
 
 
-def test_only_new_files(spark, tmp_path):
+def arrive(spark, src, **files):
+    grid(spark, **files).coalesce(1).write.mode("append").parquet(src)
+
+
+def test_only_changed_files(spark, tmp_path):
+    """Content that is there already gives nothing, other content the next sequence, also after a restart."""
     src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    grid(spark, harbour=HARBOUR).write.parquet(src)
-    load_stream(spark, src, out, mark).awaitTermination()
-    grid(spark, stock=STOCK).write.mode("append").parquet(src)
-    load_stream(spark, src, out, mark).awaitTermination()
-    got = {b: {r.file for r in spark.read.parquet(f"{out}/data/batch_{b}").collect()} for b in (0, 1)}
-    assert got == {0: {"harbour"}, 1: {"stock"}}
+    run = lambda: L.load_stream(spark, src, out, mark).awaitTermination()
+    arrive(spark, src, harbour=HARBOUR)
+    run()
+    arrive(spark, src, harbour=HARBOUR, stock=STOCK)  # harbour is as before
+    run()
+    changed = [*HARBOUR[:-1], ["K7", "paint boom", "10"]]
+    arrive(spark, src, harbour=changed)
+    run()
+    arrive(spark, src, harbour=changed)
+    run()
+    arrive(spark, src, harbour=HARBOUR)  # an earlier content is new again
+    run()
+    snapshots = spark.read.parquet(f"{out}/snapshots/*")
+    assert rows_of(snapshots, "batch", "file", "sequence") == [(0, "harbour", 1), (1, "stock", 1), (2, "harbour", 2), (4, "harbour", 3)]
+    data = spark.read.parquet(f"{out}/data/*").groupBy("batch", "file").count()
+    assert rows_of(data, "batch", "file", "count") == [(0, "harbour", 4), (1, "stock", 3), (2, "harbour", 4), (4, "harbour", 4)]
+
+
+def test_a_failed_batch_is_run_again(spark, tmp_path, monkeypatch):
+    src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    arrive(spark, src, harbour=HARBOUR)
+    load = L.ingest.load
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(L.ingest, "load", stop)
+    query = L.load_stream(spark, src, out, mark)
+    try:
+        query.awaitTermination()
+    except Exception:
+        pass
+    assert query.exception() is not None
+    monkeypatch.setattr(L.ingest, "load", load)
+    L.load_stream(spark, src, out, mark).awaitTermination()
+    assert rows_of(spark.read.parquet(f"{out}/snapshots/*"), "batch", "file", "sequence") == [(0, "harbour", 1)]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Random arrivals, one file a batch, against only_changed and next_sequence wave by wave."""
+    rnd, src, mark, out = random.Random(4), str(tmp_path / "in"), str(tmp_path / "mark"), str(tmp_path / "out")
+    known = spark.createDataFrame([], "file string, content_hash string, row_count long, sequence long")
+    want = []
+    for wave in range(4):
+        files = {f"f{k}": [["A", "B"], ["x", str(rnd.randint(0, 1))]] for k in range(4) if rnd.random() < 0.8}
+        arrive(spark, src, **files)
+        told = L.contents(grid(spark, **files))
+        current = S.current_snapshots(known, ["file"]).drop("snapshots")
+        new = S.next_sequence(S.only_changed(told, current, ["file"]), known, ["file"])
+        rows = [tuple(r) for r in new.select("file", "content_hash", "row_count", "sequence").collect()]
+        want += [(wave, *r) for r in rows]
+        known = spark.createDataFrame([tuple(r) for r in known.collect()] + rows, known.schema)
+        L.changes(spark, src).writeStream.foreachBatch(lambda df, n: df.drop("path").withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/b{n}")).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    got = rows_of(spark.read.parquet(f"{out}/*"), "batch", "file", "content_hash", "row_count", "sequence")
+    assert got == sorted(want)
