@@ -5,15 +5,21 @@ All are built-in Spark expressions, so they stay in generated code. Null gives n
 from __future__ import annotations
 
 import re
-from functools import reduce
+import sys
+import unicodedata
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values that results depend on.
 ID_TOKEN = r"\b([A-Za-z][A-Za-z0-9]{0,7})[-_ ]?(\d+)\b"
 MAX_ID_LENGTH = 40
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: White space of all scripts, with the separators that Unicode's property leaves out.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+#: Whole numbers below this are written with all their digits.
+WHOLE = 1e37
 PASSING_WORDS = (
     "pass", "passed", "passing", "ok", "success", "successful", "complete", "completed", "done", "closed", "fixed", "verified", "approved", "green",
 )
@@ -37,19 +43,40 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@lru_cache(maxsize=1)
+def _digits() -> tuple[str, str]:
+    """Decimal digits of other scripts, and the ASCII digit of each."""
+    found = [chr(i) for i in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
+
+
+def ascii_digits(c: Column | str) -> Column:
+    """A text with the digits of other scripts (full-width ones, say) as ASCII digits."""
+    text = _col(c)
+    return F.when(text.rlike(r"[^\x00-\x7F&&\p{Nd}]"), F.translate(text, *_digits())).otherwise(text)
+
+
 def _spaced(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.translate(_col(c), "\u00a0", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(_col(c), SPACE + "+", " "))
 
 
 def clean(c: Column | str) -> Column:
-    """Non-breaking spaces to spaces, runs of white space to one space, trimmed; empty gives null."""
+    """Runs of white space of any script to one space, trimmed; empty gives null."""
     return F.nullif(_spaced(c), F.lit(""))
 
 
 def number_of(c: Column | str) -> Column:
-    """The finite number that a text is, else null. nan, inf, 1_000 and 1d stay text."""
-    text = _col(c)
-    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
+    """The finite number that a text is, in the digits of any script, else null. nan, inf, 1_000 and 1d stay text."""
+    text = ascii_digits(c)
+    return F.when(text.rlike(NUMBER_TEXT), F.nullif(F.abs(text.try_cast("double")), F.lit(float("inf"))) * F.when(text.startswith("-"), -1).otherwise(1))
+
+
+def _written_whole(n: Column) -> Column:
+    """All digits of a whole double below WHOLE: what is over 2^62 and what is left, each exact as a long."""
+    unit = F.lit(float(1 << 62))
+    high = F.floor(n / unit)
+    big = high.cast("decimal(18,0)") * F.lit(1 << 62).cast("decimal(19,0)") + (n - high * unit).cast("long").cast("decimal(19,0)")
+    return F.when(F.abs(n) < float(1 << 62), n.cast("long").cast("string")).otherwise(big.cast("string"))
 
 
 def norm_cell(c: Column | str) -> Column:
@@ -59,8 +86,8 @@ def norm_cell(c: Column | str) -> Column:
 
     def written(cell: Column) -> Column:
         text, n = cell["t"], cell["n"]
-        whole = (n == F.floor(n)) & (F.abs(n) < 1e15)
-        s = F.when(n.isNull(), text).when(whole, n.cast("decimal(18,0)").cast("string")).otherwise(n.cast("string"))
+        whole = (F.abs(n) < WHOLE) & (n == F.rint(n))
+        s = F.when(n.isNull(), text).when(whole, _written_whole(n)).otherwise(n.cast("string"))
         return F.when(text.isNotNull(), F.struct(s.alias("s"), n.alias("n")))
 
     cells = F.transform(F.array(_spaced(c)), lambda t: F.nullif(t, F.lit("")))
@@ -97,19 +124,27 @@ def measure_identity(label: Column | str, key: Column | str) -> Column:
 
 def outcome_of(c: Column | str) -> Column:
     """passing, failing, pending, or '' for an unknown or empty status word."""
-    word = F.lower(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\s+", " ")), r"^[.!:]+|[.!:]+$", ""))
+    word = F.lower(F.regexp_replace(_spaced(F.coalesce(_col(c), F.lit(""))), r"^[.!:]+|[.!:]+$", ""))
     return F.when(word.isin(*PASSING_WORDS), "passing").when(word.isin(*FAILING_WORDS), "failing").when(word.isin(*PENDING_WORDS), "pending").otherwise("")
 
 
 def checked_pattern(pattern: str | None) -> str | None:
-    """An override pattern, or None if it doesn't compile (checked on the driver)."""
+    """An override pattern as the JVM reads it, or None if it doesn't compile there (checked on the driver).
+
+    Named groups may be written (?P<name>...) and (?P=name), as users of other engines write them."""
     if not pattern:
         return None
+    own = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+    own = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m[1].replace('_', '')}>", own)
+    spark = SparkSession.getActiveSession() or SparkSession.getDefaultSession()
     try:
-        re.compile(pattern)
-    except re.error:
+        if spark is None:
+            re.compile(pattern)
+        else:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile("(?U)" + own)
+    except Exception:  # a syntax error of either engine; the JVM's comes wrapped
         return None
-    return pattern
+    return own
 
 
 def tokens(c: Column | str, pattern: str | None = None) -> Column:
@@ -128,7 +163,7 @@ def first_token(c: Column | str) -> Column:
 
 def canonical(c: Column | str) -> Column:
     """Match key: without white space, hyphens and underscores, in lower case."""
-    return F.lower(F.regexp_replace(_col(c), r"[\s\-_]+", ""))
+    return F.lower(F.regexp_replace(_col(c), r"(?U)[\s\x1c-\x1f\-_]+", ""))
 
 
 def family_of(c: Column | str) -> Column:
@@ -142,7 +177,7 @@ def read_identifier(c: Column | str, pattern: str | None = None) -> Column:
 
     def shown(text: Column) -> Column:
         first = F.get(tokens(text, own), 0)
-        whole = F.when((F.length(text) <= MAX_ID_LENGTH) & text.rlike(r"\d"), text) if own is None else F.lit(None).cast("string")
+        whole = F.when((F.length(text) <= MAX_ID_LENGTH) & text.rlike(r"(?U)\d"), text) if own is None else F.lit(None).cast("string")
         return F.coalesce(first, whole)
 
     # bound by lambdas over one element, so that each step is evaluated once
@@ -151,11 +186,13 @@ def read_identifier(c: Column | str, pattern: str | None = None) -> Column:
 
 
 def natural_key(c: Column | str) -> Column:
-    """Sorts FL-9 before FL-10: text and zero-padded digit runs in turn, beginning with text."""
-    key = _col(c)
+    """Sorts FL-9 before FL-10: text and digit runs in turn, beginning with text. A run of any length goes by its
+    number: how many digits it has without leading zeros, then these."""
+    key = ascii_digits(c)
     parts = F.regexp_extract_all(key, F.lit(r"\d+|\D+"), F.lit(0))
-    padded = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p))
-    return F.when(key.rlike(r"^\d"), F.concat(F.array(F.lit("")), padded)).otherwise(padded)
+    number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    sized = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p))
+    return F.when(key.rlike(r"^\d"), F.concat(F.array(F.lit("")), sized)).otherwise(sized)
 
 
 def figures(c: Column | str) -> Column:

@@ -23,7 +23,7 @@ def with_identifier(rows: DataFrame, id_column: str, pattern: str | None = None,
     cell = F.coalesce(F.col(override), F.col(id_column)) if override else F.col(id_column)
     if T.checked_pattern(pattern) is None:
         # as read_identifier, but step by step in columns of their own, which stay in generated code
-        short = (F.length("_cell") <= T.MAX_ID_LENGTH) & F.col("_cell").rlike(r"\d")
+        short = (F.length("_cell") <= T.MAX_ID_LENGTH) & F.col("_cell").rlike(r"(?U)\d")
         read = rows.withColumn("_cell", T.clean(cell)).withColumn("_first", T.first_token("_cell"))
         read = read.withColumn("display", F.coalesce("_first", F.when(short, F.col("_cell")))).drop("_cell", "_first")
         return read.withColumns({"key": T.canonical("display"), "family": T.family_of("display")}).select(*[c for c in rows.columns if c not in ("key", "display", "family")], "key", "display", "family")

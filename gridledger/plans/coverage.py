@@ -87,7 +87,7 @@ def coverage_entries(spark, sf_dir):
 
 
 @query(SIDES + """SELECT key, status, CASE status WHEN 'missing_in_system' THEN 0 WHEN 'missing_in_feature' THEN 1 ELSE 2 END AS status_rank,
-  'fl|' || lpad(substr(key, 3), 20, '0') AS sort_key FROM entries""")
+  'fl|' || lpad(CAST(length(key) - 2 AS VARCHAR), 10, '0') || substr(key, 3) AS sort_key FROM entries""")
 def coverage_order(spark, sf_dir):
     return C.order_entries(entries(spark, sf_dir)).select("key", "status", "status_rank", F.array_join("natural_key", "|").alias("sort_key"))
 
