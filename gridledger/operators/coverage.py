@@ -236,11 +236,12 @@ def row_details(cells: DataFrame, at: list[str]) -> DataFrame:
     return filled.groupBy(*at).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "; ").alias("details"))
 
 
-def csv_rows(entries: DataFrame, related: DataFrame | None = None, feature_details: DataFrame | None = None, system_details: DataFrame | None = None) -> DataFrame:
+def csv_rows(entries: DataFrame, related: DataFrame | None = None, feature_details: DataFrame | None = None, system_details: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """entries as the rows of a CSV export: id, status, duplicate flag, counts, and for each side the file, section and
     details of its first row; the related ids of a key beside the feature side.
 
-    related: from supporting_family; details: the fields of first_at and `details`, as row_details gives them."""
+    related: from supporting_family; details: the fields of first_at and `details`, as row_details gives them; keep:
+    columns of entries that stay beside these (those of order_entries, say, for an ordered export)."""
     out = entries
     if related is not None:
         listed = related.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]), "; ").alias("related"))  # at most MAX_RELATED
@@ -252,4 +253,4 @@ def csv_rows(entries: DataFrame, related: DataFrame | None = None, feature_detai
     names = entries.schema["feature_at"].dataType.fieldNames()
     place = lambda side, k: F.coalesce(F.col(f"{side}_at.{names[k]}").cast("string"), F.lit("")).alias(f"{side}_{('file', 'section')[k]}")
     more = [F.coalesce(c, F.lit("")).alias(c) for c in ("related", "feature_details", "system_details") if c in out.columns]
-    return out.select(F.col("display").alias("id"), "status", F.when(F.col("duplicate"), "yes").otherwise("").alias("duplicate"), "feature_count", "system_count", *[place(s, k) for s in ("feature", "system") for k in (0, 1)], *more)
+    return out.select(F.col("display").alias("id"), "status", F.when(F.col("duplicate"), "yes").otherwise("").alias("duplicate"), "feature_count", "system_count", *[place(s, k) for s in ("feature", "system") for k in (0, 1)], *more, *keep)

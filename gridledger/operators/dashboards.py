@@ -2,7 +2,7 @@
 
 Two shapes of input: *wide* rows with named columns, and *cells* (snapshot_id, section, row_index, pos,
 key, s, n) for files that share no columns. `columns` is (snapshot_id, pos, key, label, type), and
-`stats` what column_stats gives: (snapshot_id, key, distinct, filled, values)."""
+`stats` what column_stats gives: (snapshot_id, key, distinct, filled, outcomes, identifiers, values)."""
 
 from __future__ import annotations
 
@@ -59,7 +59,8 @@ def merged_dashboard(cells: DataFrame, columns: DataFrame, current: DataFrame) -
     one file answers as that file does: none of its columns is folded."""
     fold = folded_measures(columns, current)
     shared = fold.groupBy("measure").agg(F.count_distinct("snapshot_id").alias("files"), F.max("all_files").alias("all_files"))
-    sums = cells.join(fold, ["snapshot_id", "key"]).groupBy("section", "measure").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    each = cells.groupBy("snapshot_id", "section", "key").agg(F.sum("n").alias("n"))  # summed before it meets the columns' roles
+    sums = each.join(fold, ["snapshot_id", "key"]).groupBy("section", "measure").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     return sums.join(shared, "measure").select("section", "measure", "total", (F.col("files") == F.col("all_files")).alias("is_shared"))
 
 
@@ -99,14 +100,17 @@ def cells_of(rows: DataFrame, snapshot: Column, section: str, order: str, texts:
 
 
 def column_stats(cells: DataFrame, columns: DataFrame, most: int = TEXT_COLUMNS, sample: int = SAMPLE_VALUES) -> DataFrame:
-    """distinct, filled and the first `sample` values of each snapshot's first text columns.
+    """Of each snapshot's first text columns: distinct, filled, how many of the distinct values are status words
+    (outcomes) or read as identifiers, and the first `sample` values.
 
-    One grouping for all columns; values are listed only up to the sample."""
+    One grouping for all columns. Values are judged one by one and then counted, so all of them decide; they are
+    listed only up to the sample, for display."""
     rank = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("pos"))
     texts = columns.filter(F.col("type") == "string").withColumn("_r", rank).filter(F.col("_r") <= most).select("snapshot_id", "key")
     values = cells.join(texts, ["snapshot_id", "key"], "left_semi").filter(F.trim("s") != "").groupBy("snapshot_id", "key", "s").agg(F.count("*").alias("n"))
     first = F.row_number().over(Window.partitionBy("snapshot_id", "key").orderBy("s"))
-    each = values.groupBy("snapshot_id", "key").agg(F.count("*").alias("distinct"), F.sum("n").alias("filled"))
+    outcome, identifier = F.count_if(T.outcome_of("s") != "").alias("outcomes"), F.count_if(T.read_identifier("s").isNotNull()).alias("identifiers")
+    each = values.groupBy("snapshot_id", "key").agg(F.count("*").alias("distinct"), F.sum("n").alias("filled"), outcome, identifier)
     shown = values.withColumn("_r", first).filter(F.col("_r") <= sample).groupBy("snapshot_id", "key").agg(F.array_sort(F.collect_list("s")).alias("values"))
     return each.join(shown, ["snapshot_id", "key"])
 
@@ -137,11 +141,10 @@ def run_shares(total: Column, unaccounted: Column) -> dict[str, Column]:
 
 
 def detect_status_column(columns: DataFrame, stats: DataFrame, n_rows: DataFrame) -> DataFrame:
-    """snapshot_id, status: the text column whose values read as outcomes; n_rows: snapshot_id, n_rows."""
-    good = F.size(F.filter("values", lambda v: T.outcome_of(v) != ""))
+    """snapshot_id, status: the text column half of whose distinct values read as outcomes; n_rows: snapshot_id, n_rows."""
     each = columns.filter(F.col("type") == "string").join(stats, ["snapshot_id", "key"]).join(n_rows, "snapshot_id")
-    each = each.withColumn("share", good / F.size("values")).filter((F.col("share") >= OUTCOME_SHARE) & (F.col("filled") >= STATUS_FILLED * F.col("n_rows")))
-    rank = F.struct(F.col("label").rlike(STATUS_LABEL), "share", -F.size("values"), -F.col("pos"))
+    each = each.withColumn("share", F.col("outcomes") / F.col("distinct")).filter((F.col("share") >= OUTCOME_SHARE) & (F.col("filled") >= STATUS_FILLED * F.col("n_rows")))
+    rank = F.struct(F.col("label").rlike(STATUS_LABEL), "share", -F.col("distinct"), -F.col("pos"))
     return each.groupBy("snapshot_id").agg(F.max_by("key", rank).alias("status"))
 
 
@@ -226,10 +229,9 @@ def label_columns(columns: DataFrame, dimensions: DataFrame, cells: DataFrame) -
 
 
 def detect_inventory(columns: DataFrame, stats: DataFrame) -> DataFrame:
-    """snapshot_id, id_column where the first column is text and half of its values read as identifiers."""
+    """snapshot_id, id_column where the first column is text and half of its distinct values read as identifiers."""
     first = columns.groupBy("snapshot_id").agg(F.min_by(F.struct("key", "type"), "pos").alias("c")).select("snapshot_id", "c.key", "c.type").filter(F.col("type") == "string")
-    read = F.size(F.filter("values", lambda v: T.read_identifier(v).isNotNull()))
-    return first.join(stats, ["snapshot_id", "key"]).filter(read / F.size("values") >= IDENTIFIER_SHARE).select("snapshot_id", F.col("key").alias("id_column"))
+    return first.join(stats, ["snapshot_id", "key"]).filter(F.col("identifiers") / F.col("distinct") >= IDENTIFIER_SHARE).select("snapshot_id", F.col("key").alias("id_column"))
 
 
 def classify(columns: DataFrame, stats: DataFrame, n_rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridledger.functions import text as T
+from gridledger.sources.kept import kept
 
 DROPPED_DETAIL = 25
 
@@ -28,18 +29,21 @@ def dedupe_first(rows: DataFrame, by: list[str], key: str, order: str, measures:
     """(kept, dropped): the first row of each key stays; dropped rows name the measures that disagree with it.
 
     All drops are there; `detail` marks the first few of each file that a report shows in full. `order` is
-    unique within a key. First rows are found by partial minima, so a key of a third of all rows is not sorted."""
+    unique within a key (of rows that share the first place, one stays). First rows are found by partial minima, and
+    all rows meet those of their key, one row each, by a join that Spark can split; so a key of a third of all rows is
+    neither sorted nor gathered."""
+    first = rows.groupBy(*by, key).agg(F.min(F.struct(F.col(order).alias("at"), F.struct(*measures).alias("kept"))).alias("_first"))
+    each = rows.join(first, [*by, key])
     names = [c for c in rows.columns if c not in (*by, key)]
-    kept = rows.groupBy(*by, key).agg(F.min_by(F.struct(*names), order).alias("_k")).select(*by, key, "_k.*").select(*rows.columns)
-    first = kept.select(*by, key, F.col(order).alias("kept_row"), F.struct(*measures).alias("_kept"))
-    dropped = rows.join(first, [*by, key]).filter(F.col(order) != F.col("kept_row"))
+    kept_rows = rows.groupBy(*by, key).agg(F.min_by(F.struct(*names), order).alias("_k")).select(*by, key, "_k.*").select(*rows.columns)
+    dropped = each.filter(F.col(order) != F.col("_first.at")).select(*rows.columns, F.col("_first.at").alias("kept_row"), F.col("_first.kept").alias("_kept"))
     differs = F.array_compact(F.array(*[F.when(~F.col(m).eqNullSafe(F.col(f"_kept.{m}")), F.lit(m)) for m in measures]))
-    dropped = dropped.withColumn("conflicts", differs).drop("_kept")
+    dropped = kept(dropped.withColumn("conflicts", differs).drop("_kept"))
     # where a file's details end: its first drops are ranked, which tasks cut before they meet
     place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
     ends = dropped.select(*by, order).withColumn("_n", place).filter(F.col("_n") <= DROPPED_DETAIL).groupBy(*by).agg(F.max(order).alias("_end"))
     dropped = dropped.join(ends, by)
-    return kept, dropped.withColumn("detail", F.col(order) <= F.col("_end")).drop("_end")
+    return kept_rows, dropped.withColumn("detail", F.col(order) <= F.col("_end")).drop("_end")
 
 
 def fingerprint(rows: DataFrame, by: list[str], order: str, values: list[str], columns: DataFrame | None = None) -> DataFrame:
@@ -201,7 +205,7 @@ def layer_test_counts(cells: DataFrame, columns: DataFrame, current: DataFrame,
     """layer, test_count: the sum of each file's only test-count column; null if a file has none or several."""
     marked = columns.filter(F.col("type") == "number").withColumn("measure", T.measure_identity("label", "key")).filter(F.col("measure") == "total_tests")
     per = current.select("snapshot_id", layer).join(marked.groupBy("snapshot_id").agg(F.count("*").alias("n"), F.min("key").alias("key")), "snapshot_id", "left")
-    sums = cells.join(per.filter("n = 1").select("snapshot_id", "key"), ["snapshot_id", "key"]).groupBy("snapshot_id").agg(F.sum("n").alias("total"))
+    sums = cells.groupBy("snapshot_id", "key").agg(F.sum("n").alias("total")).join(per.filter("n = 1").select("snapshot_id", "key"), ["snapshot_id", "key"]).select("snapshot_id", "total")
     each = per.select("snapshot_id", layer, "n").join(sums, "snapshot_id", "left")
     complete = F.bool_and(F.coalesce(F.col("n"), F.lit(0)) == 1)
     return each.groupBy(layer).agg(F.when(complete, F.coalesce(F.sum("total"), F.lit(0))).alias("test_count"))

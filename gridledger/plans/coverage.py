@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridledger.functions import text as T
 from gridledger.operators import coverage as C
 from gridledger.plans.registry import query, table
+from gridledger.sources import files as X
 from gridledger.sources.kept import kept
 
 F_SQL = """feature AS (
@@ -73,7 +74,7 @@ SELECT count(*) FILTER (status <> 'missing_in_feature') AS feature_total, count(
 def coverage_summary(spark, sf_dir):
     """Coverage of orders by line items; each side is read once and kept."""
     f, s = kept(features(spark, sf_dir)), kept(systems(spark, sf_dir))
-    found = kept(C.compare_sides(C.side_keys(f, PLACE, "row_index"), C.side_keys(s, PLACE, "row_index")))
+    found = C.compare_sides(C.side_keys(f, PLACE, "row_index"), C.side_keys(s, PLACE, "row_index"))
     unread = C.unresolved_entries(f, "feature", "cell", "row_index").unionByName(C.unresolved_entries(s, "system", "cell", "row_index"))
     family = kept(C.dominant_family(f, PLACE, "row_index"))
     related = C.supporting_family(kept(C.related_ids(f, ["cell", "notes"], "cell", family, "row_index")))
@@ -93,17 +94,20 @@ def coverage_order(spark, sf_dir):
 
 
 @query(SIDES + """, first AS (SELECT e.*, f.cell AS f_cell, f.notes FROM entries e LEFT JOIN feature f ON f.file = f_at[1] AND f.section = f_at[2] AND f.row_index = f_at[3])
-SELECT display AS id, status, CASE WHEN duplicate THEN 'yes' ELSE '' END AS duplicate, feature_count, system_count, coalesce(CAST(f_at[1] AS VARCHAR), '') AS feature_file, coalesce(f_at[2], '') AS feature_section,
+SELECT row_number() OVER (ORDER BY CASE status WHEN 'missing_in_system' THEN 0 WHEN 'missing_in_feature' THEN 1 ELSE 2 END, CAST(substr(key, 3) AS BIGINT)) AS row_no, display AS id, status, CASE WHEN duplicate THEN 'yes' ELSE '' END AS duplicate, feature_count, system_count, coalesce(CAST(f_at[1] AS VARCHAR), '') AS feature_file, coalesce(f_at[2], '') AS feature_section,
   coalesce(CAST(s_at[1] AS VARCHAR), '') AS system_file, coalesce(s_at[2], '') AS system_section, CASE WHEN f_at IS NULL THEN '' ELSE 'CS-' || f_at[1] END AS related,
   CASE WHEN f_at IS NULL THEN '' ELSE 'cell=' || f_cell || '; notes=' || notes END AS feature_details, CASE WHEN s_at IS NULL THEN '' ELSE 'cell=fl ' || s_at[3] // 10 END AS system_details FROM first""")
 def coverage_csv(spark, sf_dir):
-    """The whole matrix as rows of a CSV file: first rows with their details, and related ids."""
-    f, s = kept(features(spark, sf_dir)), kept(systems(spark, sf_dir))
-    found = C.compare_sides(C.side_keys(f, PLACE, "row_index"), C.side_keys(s, PLACE, "row_index"))
+    """The whole matrix as a CSV file has it: first rows with their details, related ids, and each row's place."""
+    f, s = kept(features(spark, sf_dir)), systems(spark, sf_dir)
+    found = kept(C.compare_sides(C.side_keys(f, PLACE, "row_index"), C.side_keys(s, PLACE, "row_index")))
     related = C.supporting_family(kept(C.related_ids(f, ["cell", "notes"], "cell", C.dominant_family(f, PLACE, "row_index"), "row_index")))
     at = [*PLACE, "row_index"]
+    first = lambda rows, side: rows.join(found.select(f"{side}_at.*"), at, "left_semi")  # only the rows that are shown
     cells = lambda rows, names: rows.select(*at, F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("key"), F.col(c).alias("s")) for i, c in enumerate(names)])))
-    return C.csv_rows(found, related, C.row_details(cells(f, ["cell", "notes"]), at), C.row_details(cells(s, ["cell"]), at))
+    order = ["status_rank", "natural_key"]
+    rows = C.csv_rows(C.order_entries(found), related, C.row_details(cells(first(f, "feature"), ["cell", "notes"]), at), C.row_details(cells(first(s, "system"), ["cell"]), at), tuple(order))
+    return X.numbered(rows, order).drop(*order)
 
 
 @query(f"""WITH {F_SQL} SELECT 'feature' AS side, 'unresolved' AS status, cell AS display, row_index FROM feature WHERE NOT readable""")

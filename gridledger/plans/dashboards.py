@@ -89,7 +89,7 @@ per AS (SELECT key, v, count(*) AS n FROM vals GROUP BY key, v)
 @query(ORDER_SHEET + """SELECT 'o' AS snapshot_id, key, count(*) AS "distinct", CAST(sum(n) AS BIGINT) AS filled, array_to_string(list_sort(list(v))[1:25], '|') AS "values" FROM per GROUP BY key""")
 def column_stats(spark, sf_dir):
     _, cells, columns = order_sheet(spark, sf_dir)
-    return D.column_stats(cells, columns).withColumn("values", F.array_join("values", "|"))
+    return D.column_stats(cells, columns).drop("outcomes", "identifiers").withColumn("values", F.array_join("values", "|"))
 
 
 def n_rows_of(rows: DataFrame, snapshot: str) -> DataFrame:

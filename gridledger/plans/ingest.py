@@ -10,6 +10,8 @@ from gridledger.operators import boards as B
 from gridledger.operators import ingest as I
 from gridledger.plans.registry import query, table
 from gridledger.sources import files as X
+from gridledger.sources.kept import new_folder
+from gridledger.streaming import loads as L
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,12 +228,35 @@ def sheet_entries(spark, sf_dir):
 
 
 @query("""SELECT p_brand AS file, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS row_no,
-  p_name || CASE WHEN p_partkey % 3 = 0 THEN ', "new"' ELSE '' END || '|' || CASE WHEN p_partkey % 4 = 0 THEN 'two' || chr(10) || 'lines' WHEN p_partkey % 4 = 1 THEN '' ELSE p_type END || '|' || p_size AS cells FROM part""")
+  p_name || CASE WHEN p_partkey % 3 = 0 THEN ', "new"' WHEN p_partkey % 3 = 1 THEN ' 5" wide' ELSE '' END || '|' || CASE WHEN p_partkey % 4 = 0 THEN 'two' || chr(10) || 'lines' WHEN p_partkey % 4 = 1 THEN '' ELSE p_type END || '|' || p_size AS cells FROM part""")
 def csv_sheets(spark, sf_dir):
-    """Brands' parts as CSV texts with quoted commas, quotes and line ends, and empty cells, read back as grids."""
+    """Brands' parts as CSV files with quoted commas, quotes and line ends, stray quotes and empty cells, read back as grids."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, ', "new"').otherwise(""))
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, ', "new"').when(F.col("p_partkey") % 3 == 1, ' 5" wide').otherwise(""))
     kind = F.when(F.col("p_partkey") % 4 == 0, quoted(F.lit("two\nlines"))).when(F.col("p_partkey") % 4 == 1, "").otherwise(F.col("p_type"))
     line = F.concat(F.when(F.col("p_partkey") % 3 == 0, quoted(name)).otherwise(name), F.lit(","), kind, F.lit(","), "p_size")
-    texts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\r\n").alias("text"))  # a file's lines
-    return X.csv_grid(texts).select("file", "row_no", F.array_join("cells", "|").alias("cells"))
+    lines = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), "p_partkey", line.alias("line"))
+    path = new_folder(spark, "csv")
+    lines.repartition("brand").sortWithinPartitions("brand", "p_partkey").drop("p_partkey").write.partitionBy("brand").text(path)  # a brand is one file
+    brand = F.url_decode(F.url_decode(F.regexp_extract("_metadata.file_path", "/brand=([^/]*)/", 1)))
+    return X.csv_grid(spark, path, brand).select("file", "row_no", F.array_join("cells", "|", "").alias("cells"))
+
+
+WAVES = ("1994-01-01", "1994-02-01", "1998-01-01")
+
+
+@query(f"""WITH w(wave, until) AS (VALUES (0, TIMESTAMP '{WAVES[0]}'), (1, TIMESTAMP '{WAVES[1]}'), (2, TIMESTAMP '{WAVES[2]}')),
+n AS (SELECT CAST(o_custkey AS VARCHAR) AS file, wave, count(*) AS n FROM orders JOIN w ON o_orderdate < until GROUP BY ALL),
+c AS (SELECT *, n IS DISTINCT FROM lag(n) OVER (PARTITION BY file ORDER BY wave) AS changed FROM n)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY wave) AS sequence, n AS row_count FROM c WHERE changed""")
+def streamed_loads(spark, sf_dir):
+    """Customers' orders arrive three times, as they stood at three dates: a version of each sheet that changed since."""
+    o = table(spark, sf_dir, "orders")
+    row = F.struct(F.col("o_orderkey").cast("int").alias("row_no"), F.array(F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")).alias("cells"))
+    src, out = new_folder(spark, "arrivals"), new_folder(spark, "versions")
+    mark = new_folder(spark, "stream")
+    for n, until in enumerate(WAVES):
+        o.filter(F.col("o_orderdate") < F.lit(until).cast("timestamp_ntz")).select(F.col("o_custkey").cast("string").alias("file"), row.alias("r")).select("file", "r.*").write.mode("append").parquet(src)
+        told = L.changes(spark, src).writeStream.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/{batch}"))
+        told.option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(L.CHANGES).parquet(*[f"{out}/{n}" for n in range(len(WAVES))]).select("file", "sequence", "row_count").distinct()

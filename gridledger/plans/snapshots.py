@@ -11,6 +11,8 @@ from gridledger.operators import snapshots as S
 from gridledger.plans.dashboards import two_files
 from gridledger.plans.registry import query, table
 from gridledger.sources import files as X
+from gridledger.sources import stored as Y
+from gridledger.sources.kept import new_folder
 
 VERSIONS = """WITH bounds AS (SELECT min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders),
 v1 AS (SELECT o_custkey AS file, o_orderkey, o_totalprice AS price, o_orderdate < last AS here FROM orders, bounds),
@@ -244,6 +246,30 @@ def corrected_history(spark, sf_dir):
     return X.set_period(left, fixes).select("snapshot_id", "file", F.col("period.month").alias("period_month"))
 
 
+@query("""WITH s AS (SELECT o_orderstatus AS layer, o_orderpriority AS file, CAST(year(o_orderdate) AS VARCHAR) AS y, count(*) AS n_rows, sum(o_orderkey) AS keys, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS price,
+  CAST(sum(CAST(o_totalprice + 1 AS DECIMAL(18,2))) AS DOUBLE) AS dearer FROM orders GROUP BY ALL)
+SELECT layer, y || ' ' || file AS snapshot_id, CASE WHEN file = '5-LOW' THEN 'LOW' ELSE file END AS file, CASE WHEN y = '1996' THEN 12 ELSE 1 END AS month, n_rows, CAST(keys AS BIGINT) AS keys, CASE WHEN y = '1995' THEN dearer ELSE price END AS price FROM s WHERE NOT (layer = 'F' AND y = '1992')""")
+def stored_history(spark, sf_dir):
+    """A year's orders of a priority and state are a snapshot. All are stored; those of 1995 are loaded twice again with
+    other prices, a file gets a new name, periods of 1996 are corrected and a year is deleted, each of these done twice."""
+    o = table(spark, sf_dir, "orders")
+    scope = [F.lit("orders").alias("app"), F.lit("r/1").alias("release"), F.col("o_orderstatus").alias("layer")]
+    records = o.select(*scope, F.concat_ws(" ", F.year("o_orderdate").cast("string"), "o_orderpriority").alias("snapshot_id"), F.col("o_orderpriority").alias("file"), F.year("o_orderdate").alias("year"), "o_orderkey", "o_totalprice")
+    snapshots = records.groupBy(*Y.PARTITIONS, "file", "year").agg(F.count("*").alias("row_count")).withColumn("period", F.struct(F.col("year"), F.lit(1).alias("month")))
+    rows, root = ("o_orderkey", "o_totalprice"), new_folder(spark, "stored")
+    Y.load_snapshots(root, snapshots, records.select(*Y.PARTITIONS, *rows))
+    again = lambda t: t.filter("year = 1995")
+    fixes = snapshots.filter("year = 1996").withColumn("new_period", F.struct(F.col("year"), F.lit(12).alias("month")))
+    renames = snapshots.filter("file = '5-LOW'").select(*Y.SCOPE, "file", F.lit("LOW").alias("new_file")).distinct()
+    for _ in range(2):
+        Y.load_snapshots(root, again(snapshots), again(records).withColumn("o_totalprice", F.col("o_totalprice") + 1).select(*Y.PARTITIONS, *rows))
+        Y.move_files(spark, root, renames)
+        Y.correct_periods(spark, root, fixes)
+        Y.delete_snapshots(spark, root, snapshots.filter("layer = 'F' AND year = 1992"))
+    sums = Y.stored_records(spark, root).groupBy(*Y.PARTITIONS).agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("keys"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("price"))
+    return Y.stored_snapshots(spark, root).join(sums, Y.PARTITIONS).select("layer", "snapshot_id", "file", F.col("period.month").alias("month"), "n_rows", "keys", "price")
+
+
 @query(r"""WITH p AS (SELECT page_id, octet_length(encode(html)) AS size, 'v' || page_id % 3 AS release, CASE WHEN page_id % 4 = 0 THEN 'notes' || page_id || '.txt' WHEN page_id % 4 = 1 THEN '~$open' || page_id || '.xlsx' WHEN page_id % 4 = 2 THEN 'part' || page_id || '.xlsx' ELSE 'unit/part-' || page_id || '.XLSX' END AS rel FROM pages),
 k AS (SELECT *, row_number() OVER (PARTITION BY release ORDER BY rel) AS n FROM p WHERE page_id % 4 >= 2)
 SELECT release, rel AS path, regexp_replace(split_part(rel, '/', -1), '\.[^.]*$', '') AS stem, CASE WHEN contains(rel, '/') THEN 'unit' END AS folder, size, CASE WHEN n > 200 THEN 'too_many_files' WHEN size > 4000 THEN 'file_too_large' END AS error FROM k""")

@@ -46,9 +46,14 @@ def drop_kept(spark: SparkSession) -> None:
         sc._gridledger_kept = None
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of the session, for files that one of its jobs writes and another reads."""
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, computed once and read back from the session's folder."""
     spark = df.sparkSession
-    path = f"{session_folder(spark)}/{uuid.uuid4().hex[:12]}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
