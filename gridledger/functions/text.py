@@ -53,11 +53,12 @@ def _digits() -> tuple[str, str]:
 def ascii_digits(c: Column | str) -> Column:
     """A text with the digits of other scripts (full-width ones, say) as ASCII digits."""
     text = _col(c)
-    return F.when(text.rlike(r"[^\x00-\x7F&&\p{Nd}]"), F.translate(text, *_digits())).otherwise(text)
+    return F.when(text.rlike(r"[\p{Nd}&&[^\x00-\x7F]]"), F.translate(text, *_digits())).otherwise(text)
 
 
 def _spaced(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(_col(c), SPACE + "+", " "))
+    text = _col(c)  # most texts have nothing to replace
+    return F.when(text.rlike(r"^ | $|  |[^\x20-\x7E]"), F.trim(F.regexp_replace(text, SPACE + "+", " "))).otherwise(text)
 
 
 def clean(c: Column | str) -> Column:
@@ -67,8 +68,12 @@ def clean(c: Column | str) -> Column:
 
 def number_of(c: Column | str) -> Column:
     """The finite number that a text is, in the digits of any script, else null. nan, inf, 1_000 and 1d stay text."""
-    text = ascii_digits(c)
-    return F.when(text.rlike(NUMBER_TEXT), F.nullif(F.abs(text.try_cast("double")), F.lit(float("inf"))) * F.when(text.startswith("-"), -1).otherwise(1))
+    n = _number(ascii_digits(c))
+    return F.when(F.abs(n) != float("inf"), n)
+
+
+def _number(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
 
 
 def _written_whole(n: Column) -> Column:
@@ -85,13 +90,14 @@ def norm_cell(c: Column | str) -> Column:
     Steps are bound by lambdas over one element, so that each is evaluated once."""
 
     def written(cell: Column) -> Column:
-        text, n = cell["t"], cell["n"]
+        text, n = cell["t"], F.when(F.abs(cell["n"]) != float("inf"), cell["n"])
         whole = (F.abs(n) < WHOLE) & (n == F.rint(n))
         s = F.when(n.isNull(), text).when(whole, _written_whole(n)).otherwise(n.cast("string"))
         return F.when(text.isNotNull(), F.struct(s.alias("s"), n.alias("n")))
 
     cells = F.transform(F.array(_spaced(c)), lambda t: F.nullif(t, F.lit("")))
-    numbered = F.transform(cells, lambda t: F.struct(t.alias("t"), number_of(t).alias("n")))
+    digits = F.transform(cells, lambda t: F.struct(t.alias("t"), ascii_digits(t).alias("d")))
+    numbered = F.transform(digits, lambda x: F.struct(x["t"].alias("t"), _number(x["d"]).alias("n")))
     return F.get(F.transform(numbered, written), 0)
 
 
@@ -185,6 +191,12 @@ def read_identifier(c: Column | str, pattern: str | None = None) -> Column:
     return F.get(displays, 0)
 
 
+def is_identifier(c: Column | str) -> Column:
+    """Whether read_identifier finds one by the built-in pattern; a plain expression."""
+    text = clean(c)
+    return first_token(text).isNotNull() | F.coalesce((F.length(text) <= MAX_ID_LENGTH) & text.rlike(r"(?U)\d"), F.lit(False))
+
+
 def natural_key(c: Column | str) -> Column:
     """Sorts FL-9 before FL-10: text and digit runs in turn, beginning with text. A run of any length goes by its
     number: how many digits it has without leading zeros, then these."""

@@ -109,7 +109,7 @@ def column_stats(cells: DataFrame, columns: DataFrame, most: int = TEXT_COLUMNS,
     texts = columns.filter(F.col("type") == "string").withColumn("_r", rank).filter(F.col("_r") <= most).select("snapshot_id", "key")
     values = cells.join(texts, ["snapshot_id", "key"], "left_semi").filter(F.trim("s") != "").groupBy("snapshot_id", "key", "s").agg(F.count("*").alias("n"))
     first = F.row_number().over(Window.partitionBy("snapshot_id", "key").orderBy("s"))
-    outcome, identifier = F.count_if(T.outcome_of("s") != "").alias("outcomes"), F.count_if(T.read_identifier("s").isNotNull()).alias("identifiers")
+    outcome, identifier = F.count_if(T.outcome_of("s") != "").alias("outcomes"), F.count_if(T.is_identifier("s")).alias("identifiers")
     each = values.groupBy("snapshot_id", "key").agg(F.count("*").alias("distinct"), F.sum("n").alias("filled"), outcome, identifier)
     shown = values.withColumn("_r", first).filter(F.col("_r") <= sample).groupBy("snapshot_id", "key").agg(F.array_sort(F.collect_list("s")).alias("values"))
     return each.join(shown, ["snapshot_id", "key"])

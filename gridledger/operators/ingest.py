@@ -84,7 +84,8 @@ def column_keys(headers: DataFrame) -> DataFrame:
 
 
 def body_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """The filled rows below the header: vals aligned to it, offset of the first cell, lone; repeated headers are left out.
+    """The filled rows below the header: file, row_no, header_row, n_cols, vals aligned to it, offset of the first cell,
+    lone, and value, a lone cell's text; repeated headers are left out.
 
     A row of texts of which half match the header repeats it and counts as nothing."""
     h = headers.withColumn("n_cols", F.size("labels"))
@@ -95,7 +96,8 @@ def body_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     texts = F.forall(present, lambda v: v["n"].isNull()) & (F.size(present) > 0)
     match = F.size(F.filter(F.zip_with("vals", "labels", lambda v, l: v["s"].eqNullSafe(l) & v.isNotNull()), lambda b: b))
     repeat = (F.col("width") > 1) & texts & (match >= F.greatest(F.lit(2), F.floor((F.col("n_cols") + 1) / 2)))
-    return body.filter(~repeat).withColumn("lone", F.col("width") == 1)
+    lone = F.col("width") == 1
+    return body.filter(~repeat).select("file", "row_no", "header_row", "n_cols", "vals", "offset", lone.alias("lone"), F.when(lone, _first_text("cells")).alias("value"))
 
 
 def _first_text(cells: str) -> Column:
@@ -112,18 +114,23 @@ def assign_sections(body: DataFrame, rows: DataFrame) -> DataFrame:
     kind = F.when(~F.col("lone"), DATA).when(hard, HARD).otherwise(SOFT)
     heads = body.select("file", "header_row").distinct()
     pre = rows.join(heads, "file").filter((F.col("row_no") < F.col("header_row")) & (F.col("width") > 0)).groupBy("file").agg(F.max_by(_first_text("cells"), "row_no").alias("opening"))
-    told = body.select("file", "row_no", kind.alias("kind"), F.when(F.col("lone"), _first_text("cells")).alias("value")).join(pre, "file", "left").withColumn("opening", F.coalesce("opening", F.lit(DEFAULT_SECTION)))
+    told = body.select("file", "row_no", kind.alias("kind"), "value").join(pre, "file", "left").withColumn("opening", F.coalesce("opening", F.lit(DEFAULT_SECTION)))
     type_ = dict(body.dtypes)
     named = block_scan(told, Titles, f"file {type_['file']}, row_no {type_['row_no']}, section string, is_title boolean")
     return body.join(named, ["file", "row_no"])
 
 
 def assign_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Data rows: file, row_no, section, vals (aligned to the header) with titles and continuations resolved.
+    """Data rows: file, row_no, section, vals (aligned to the header) with titles and continuations resolved."""
+    return rows_of_body(kept(body_rows(rows, headers)), rows)
+
+
+def rows_of_body(body: DataFrame, rows: DataFrame) -> DataFrame:
+    """As assign_rows, of what body_rows gives.
 
     Leading blanks take what the row above has there, since the last title; a value is followed by the texts that
     continue it, and a row that inherits the value inherits them."""
-    body = assign_sections(body_rows(rows, headers), rows)
+    body = assign_sections(body, rows)
     kind = F.when(F.col("is_title"), HARD).when(F.col("lone"), SOFT).otherwise(DATA)
     part = lambda c: F.transform("vals", lambda v: v[c]).alias(c)
     type_ = dict(body.dtypes)
@@ -133,9 +140,9 @@ def assign_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return filled.select("file", "row_no", "section", value.alias("vals"))
 
 
-def count_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """file, n: data rows of each file, before any of them is worked on."""
-    return body_rows(rows, headers).filter(~F.col("lone")).groupBy("file").agg(F.count("*").alias("n"))
+def count_rows(body: DataFrame) -> DataFrame:
+    """file, n: data rows of each file, before any of them is ordered."""
+    return body.filter(~F.col("lone")).groupBy("file").agg(F.count("*").alias("n"))
 
 
 def reject_files(rows: DataFrame, counts: DataFrame, headers: DataFrame, most: int | None = MAX_ROWS) -> DataFrame:
@@ -201,10 +208,10 @@ def load(grid: DataFrame, most: int | None = MAX_ROWS) -> dict[str, DataFrame]:
     Files with too many rows are rejected by a count, before their rows are ordered; with most=None all are read."""
     rows = kept(normalise(grid))
     headers = kept(find_headers(rows))
-    counts = kept(count_rows(rows, headers))
-    rejects = kept(reject_files(rows, counts, headers, most))
+    body = kept(body_rows(rows, headers))
+    rejects = kept(reject_files(rows, count_rows(body), headers, most))
     left = headers.join(rejects.select("file"), "file", "left_anti")
-    data = kept(assign_rows(rows, left))
+    data = kept(rows_of_body(body.join(rejects.select("file"), "file", "left_anti"), rows))
     columns = kept(infer_types(data, column_keys(headers)))
     data, separators = drop_separators(data, columns)
     # a file of separators only is empty too

@@ -186,14 +186,17 @@ def block_scan(rows: DataFrame, machine, schema: str, block: int = BLOCK) -> Dat
     """Rows of each file through a machine, by row_no. `rows` has file, row_no and what else the machine reads, in its order.
 
     The machine tells a block's rows; `after(state, telling)` gives the state after the block, a note to the block
-    of the last data row before it, and whether it has data rows; `run(file, state, notes, rows)` gives what comes out."""
+    of the last data row before it, and whether it has data rows; `run(file, state, notes, rows)` gives what comes out.
+    The state before a file's first row is None. Files of one block have nothing to tell and are only run."""
     names, spark = rows.columns, rows.sparkSession
     kind = dict(rows.dtypes)["file"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.floor(F.col("row_no") / block).cast("long").alias("_block")
     blocks = rows.select("file", place, F.lit(None).cast("binary").alias("_note"), *[c for c in names if c != "file"])
     note = f"file {kind}, _block long, _note binary"
-    in_order = blocks.repartition(n, "file", "_block").sortWithinPartitions("file", "_block", "row_no")
+    spans = rows.groupBy("file").agg(F.min("row_no").alias("_low"), F.max("row_no").alias("_high"))
+    long = spans.filter(F.floor(F.col("_low") / block) < F.floor(F.col("_high") / block)).select("file")
+    in_order = blocks.join(long, "file", "left_semi").repartition(n, "file", "_block").sortWithinPartitions("file", "_block", "row_no")
     tellings = in_order.mapInArrow(_telling(machine, _arrow(note)), note)
     states = tellings.repartition(n, "file").sortWithinPartitions("file", "_block").mapInArrow(_states(machine, _arrow(note)), note)
     # a block's state and notes come before its rows
@@ -257,7 +260,7 @@ def _running(machine, schema):
                     first = row
                     break
                 notes.append(pickle.loads(note))
-            (_, state), *notes = sorted(notes, key=lambda x: x[0])
+            (_, state), *notes = sorted(notes, key=lambda x: x[0]) or [(-1, None)]
             yield from machine.run(file, state, [said for _, said in notes], chain([first], (row for _, _, row in block)))
 
     return lambda batches: _emitted(schema, out(batches))

@@ -83,3 +83,9 @@ def test_figures(spark):
     df = spark.createDataFrame([("231,604 boxes, 12.5% of QX-77; part 3.2.8 and 231604.0, 1,2,345",), (None,)], "c string")
     got = [set(r.v) for r in df.select(T.figures("c").alias("v")).collect()]
     assert got == [{"231604", "12.5", "77", "3.2", "8", "1", "2345"}, set()]
+
+
+def test_is_identifier(spark):
+    df = spark.createDataFrame([(x,) for x in ("QX-210: rope", "210", "1.2.3", "plain prose", "x" * 50 + "1", "", None, "١", "v2")], "c string")
+    got = df.select((T.read_identifier("c").isNotNull() == T.is_identifier("c")).alias("v")).collect()
+    assert all(r.v for r in got)
