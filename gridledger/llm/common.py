@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -118,7 +119,7 @@ def local_file(name: str) -> str:
     return SparkFiles.get(name)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """mapInArrow with the package sent along."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)

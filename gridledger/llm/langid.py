@@ -14,16 +14,20 @@ language and hash bucket.
 Defined results: a text that is null or has no letter gets 'und' with score 0, as does every text if
 nothing was learned; rows without language don't train; with one language all texts are given it; of
 languages that are equally near the first by code point is given;
-repeated rows get equal results; long texts are counted whole, in slices; an empty table gives no rows;
-other columns are not read.
+repeated rows get equal results; long texts are counted whole, in slices that end at white space and carry
+their last bytes over, so that n-grams are as if there were none; an empty table gives no rows; other columns
+are not read (keep_languages passes them on, whatever their names, if Arrow has their type).
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from gridledger.llm import common
 
@@ -48,26 +52,49 @@ SURE = 0.8
 UNKNOWN = "und"
 SLICE = 1 << 20
 
+_SPACE = re.compile(r"[ \t\n\r]")
 _ENDS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def grams(text: str) -> np.ndarray:
+def _slices(text: str, size: int):
+    """Parts of at least `size` characters that end at white space, or with the text."""
+    at = 0
+    while at < len(text):
+        end = _SPACE.search(text, at + size)
+        end = end.start() if end else len(text)
+        yield text[at:end]
+        at = end
+
+
+def grams(text: str, size: int = SLICE) -> np.ndarray:
     """How often each bucket's n-grams occur in the whole text."""
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for at in range(0, max(len(text), 1), SLICE):
-        plain = text[at : at + SLICE].lower().encode().translate(_ENDS)
-        b = np.frombuffer(b" " + b" ".join(plain.split()) + b" ", np.uint8).astype(np.uint64)
-        for n in GRAMS:
-            if len(b) < n:
-                continue
-            key = np.full(len(b) - n + 1, n, np.uint64)
-            for k in range(n):
-                key = (key << np.uint64(8)) | b[k : len(b) - n + 1 + k]
-            key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)
-            counts += np.bincount(key.astype(np.int64), minlength=1 << BUCKET_BITS)
+    carried, words = b"", False
+    for part in _slices(text, size):
+        plain = b" ".join(part.lower().encode().translate(_ENDS).split())
+        if plain:
+            carried = _add_grams(counts, carried, (b"" if words else b" ") + plain + b" ")
+            words = True
+    if not words:
+        _add_grams(counts, b"", b"  ")
     return counts
 
 
+def _add_grams(counts: np.ndarray, before: bytes, new: bytes) -> bytes:
+    """Count the n-grams that end in `new`; returns the bytes that the next part's n-grams may begin with."""
+    for n in GRAMS:
+        b = np.frombuffer(before[len(before) - (n - 1) :] if n > 1 and before else b"", np.uint8)
+        b = np.concatenate([b, np.frombuffer(new, np.uint8)]).astype(np.uint64)
+        if len(b) < n:
+            continue
+        key = np.full(len(b) - n + 1, n, np.uint64)
+        for k in range(n):
+            key = (key << np.uint64(8)) | b[k : len(b) - n + 1 + k]
+        key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)
+        counts += np.bincount(key.astype(np.int64), minlength=1 << BUCKET_BITS)
+    return (before + new)[-(max(GRAMS) - 1) :]
+
+
 def codewords(n: int) -> np.ndarray:
     """n rows of +1 and -1: all splits for up to 6 languages, else the best of some fixed random codes."""
     if n <= 1:
@@ -204,8 +231,8 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
     """rows without their last column, the text, and with lang_pred, score and ambiguous."""
     held = rows.sparkSession.sparkContext.broadcast(model)
     keep = rows.schema.fields[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return common.arrow_map(rows, _predict(held, len(keep)), f"{schema}, lang_pred string, score double, ambiguous boolean")
+    new = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]
+    return common.arrow_map(rows, _predict(held, len(keep)), StructType([*keep, *new]))
 
 
 def keep_languages(docs: DataFrame, languages: list[str] | None = None) -> DataFrame:

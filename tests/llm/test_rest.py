@@ -37,6 +37,18 @@ def test_langid_awkward(spark):
     assert langid.train(docs(spark, [(1, "words", None)])).langs == []
 
 
+def test_langid_slices_and_columns(spark):
+    """Slices change no count, wherever they end; columns of any name and nested ones are passed on."""
+    texts = ["", "  ", "one", "ΑΣ ΒΣ.Γ σσ ΣΣ\n" * 40, "Ünï çødé 日本語 ab-cd'ef  x\ty " * 50, "unbroken" * 300, " lead and trail \n"]
+    for text in texts:
+        whole = langid.grams(text)
+        for size in (1, 7, 64, 1000):
+            assert (langid.grams(text, size) == whole).all()
+    d = docs(spark, [(1, "one two three"), (2, "four five six")]).selectExpr("*", "named_struct('a b', 1, '`', array('x')) AS `odd, na``me`", "map('k v', 2) AS m")
+    left = langid.keep_languages(d)
+    assert left.columns == d.columns and {r["odd, na`me"]["a b"] for r in left.collect()} == {1} and left.schema["m"].dataType == d.schema["m"].dataType
+
+
 def test_langid_against_plain_counts(spark, sf_dir):
     """The whole query decoded anew: n-grams counted with a dictionary, from the same sample."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
