@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridledger.functions import text as T
+from gridledger.operators import cuts
 
 MAX_RELATED = 20
 GATHER_RELATED = 60
@@ -50,17 +51,21 @@ def layer_rows(records: DataFrame, current: DataFrame, layer: str) -> DataFrame:
     return records.join(current.filter(F.col("layer") == layer).select("snapshot_id"), "snapshot_id", "left_semi")
 
 
-def occurrence_blocks(rows: DataFrame, partition: list[str], order: str) -> DataFrame:
-    """rows with `starts`: 1 where a run of one key begins; repeats that follow each other count once."""
-    w = Window.partitionBy(*partition).orderBy(order)
-    before = F.lag("key").over(w)
-    return rows.withColumn("starts", F.when(F.col("key").isNotNull() & ~F.col("key").eqNullSafe(before), 1).otherwise(0))
+def occurrence_blocks(rows: DataFrame, partition: list[str], order: str, span: int | None = None) -> DataFrame:
+    """rows with `starts`: 1 where a run of one key begins; repeats that follow each other count once.
 
+    span: partitions are cut into ranges of so many numbers of the order, for sections of very many rows."""
+    if span is None:
+        rows = rows.withColumn("_before", F.lag("key").over(Window.partitionBy(*partition).orderBy(order)))
+    else:
+        rows = cuts.previous(rows, partition, order, "key", "_before", span)
+    return rows.withColumn("starts", F.when(F.col("key").isNotNull() & ~F.col("key").eqNullSafe(F.col("_before")), 1).otherwise(0)).drop("_before")
 
-def side_keys(rows: DataFrame, partition: list[str], order: str) -> DataFrame:
-    """One row for each key: display and family of its first row, rows, blocks."""
+
+def side_keys(rows: DataFrame, partition: list[str], order: str, span: int | None = None) -> DataFrame:
+    """One row for each key: display and family of its first row, rows, blocks. span: as in occurrence_blocks."""
     place = F.struct(*partition, order)
-    blocks = occurrence_blocks(rows, partition, order).filter(F.col("key").isNotNull())
+    blocks = occurrence_blocks(rows, partition, order, span).filter(F.col("key").isNotNull())
     return blocks.groupBy("key").agg(
         F.min_by("display", place).alias("display"), F.min_by("family", place).alias("family"),
         F.count("*").alias("n_rows"), F.sum("starts").alias("blocks"), F.min(place).alias("first_at"),

@@ -297,6 +297,42 @@ def inventory_lists(rows: DataFrame, texts: list[str], id_column: str, order: st
     return most.unionByName(each.filter("links = 0").orderBy(order).limit(k).select(F.lit("unlinked").alias("kind"), "display", "links"))
 
 
+def grams_of(text: Column) -> Column:
+    """The different runs of three letters of a lower-cased text."""
+    low = F.lower(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))
+
+
+def search_postings(rows: DataFrame, texts: list[str], key: str) -> DataFrame:
+    """column, gram, key: which runs of three letters each text of each row holds, once; for searches to come."""
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("_text")) for c in texts]))
+    long = rows.select(F.col(key), each).filter(F.length("_text") >= 3)
+    return long.select("column", F.explode(grams_of(F.col("_text"))).alias("gram"), F.col(key))
+
+
+def search_candidates(postings: DataFrame, query: str, key: str) -> DataFrame | None:
+    """key of the rows of which some text holds every run of the query; None for a query of under three letters.
+
+    Only the postings of the query's runs are read, and counted by row and text."""
+    low = query.lower()
+    runs = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    if not runs:
+        return None
+    held = postings.filter(F.col("gram").isin(runs)).groupBy(key, "column").agg(F.count("*").alias("n"))
+    return held.filter(F.col("n") == len(runs)).select(key).distinct()
+
+
+def search_indexed(rows: DataFrame, postings: DataFrame, query: str, key: str, **how) -> DataFrame:
+    """As search_records, whose arguments `how` are, by the postings of the section and the texts: only rows that may
+    hold the query, or equal it in a number, are looked at. A query of under three letters scans."""
+    found = search_candidates(postings, query, key)
+    if found is not None:
+        numbers = [F.col(c) == F.lit(query).try_cast("double") for c in how["numbers"]]
+        equal = rows.filter(T.any_of([F.coalesce(h, F.lit(False)) for h in numbers])).select(key) if numbers else found.limit(0)
+        rows = rows.join(found.union(equal).distinct(), key, "left_semi")
+    return search_records(rows, query, **how)
+
+
 def search_records(rows: DataFrame, query: str, section: str, texts: list[str], numbers: list[str], order: list[str], page: int = 1, size: int = 250, within: str | None = None) -> DataFrame:
     """One page of rows that hold the query in a text (any case, literally) or equal it in a number; n_total on each row."""
     word = F.lower(F.lit(query))

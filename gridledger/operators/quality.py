@@ -94,10 +94,14 @@ def structure_warnings(separators: DataFrame, headers: DataFrame, by: str = "fil
     return a.unionByName(b)
 
 
-def mismatch_warnings(references: DataFrame, by: str) -> DataFrame:
-    """Rows that name another identifier of their own file."""
-    a = references.filter("inside").groupBy(by).agg(F.count("*").alias("n"))
-    return a.select(by, *_warning("mismatched_id", "problem", F.concat(F.col("n").cast("string"), F.lit(" row(s) name another identifier of the same file."))))
+def mismatch_warnings(references: DataFrame, by: str, order: str) -> DataFrame:
+    """Rows that name another identifier of their own file: how many, the family, and the first of them with its text.
+
+    references: by, order, display, token, snippet, inside, as id_references gives them."""
+    first = F.min(F.struct(F.col(order), F.col("token"), F.col("display"), F.col("snippet"))).alias("first")
+    a = references.filter("inside").groupBy(by).agg(F.count("*").alias("n"), first)
+    told = F.format_string("%d row(s) of one %s id tell of another row's; the first is %s, whose “%s” names %s.", F.col("n"), T.family_of("first.token"), F.col("first.display"), F.col("first.snippet"), F.col("first.token"))
+    return a.select(by, *_warning("mismatched_id", "problem", told))
 
 
 def inspect(warnings: list[DataFrame], by: str, most: int = MOST) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridledger.functions import text as T
+from gridledger.operators import cuts
 from gridledger.sources.kept import kept
 
 DROPPED_DETAIL = 25
@@ -181,10 +182,15 @@ def resolve_snapshot(snapshots: DataFrame, layer: list[str], file: str = "file",
     return found.join(newest, [*layer, file]).withColumn("is_current", F.col("snapshot_id") == F.col("_newest")).drop("_newest")
 
 
-def history(snapshots: DataFrame, series: list[str]) -> DataFrame:
-    """snapshots with is_current (newest of its file) and age_rank (1 is the newest)."""
-    w = Window.partitionBy(*series).orderBy(F.col("created_at").desc(), F.col("sequence").desc())
-    out = snapshots.withColumn("age_rank", F.row_number().over(w))
+def history(snapshots: DataFrame, series: list[str], span: int | None = None) -> DataFrame:
+    """snapshots with is_current (newest of its file) and age_rank (1 is the newest).
+
+    span: series are cut into ranges of so many seconds, for those of very many snapshots."""
+    order = [F.col("created_at").desc(), F.col("sequence").desc()]
+    if span is None:
+        out = snapshots.withColumn("age_rank", F.row_number().over(Window.partitionBy(*series).orderBy(*order)))
+    else:
+        out = cuts.numbered(snapshots, series, -F.unix_micros(F.col("created_at").cast("timestamp_ltz")) / 1_000_000, order, "age_rank", span)
     return out.withColumn("is_current", F.col("age_rank") == 1)
 
 

@@ -12,7 +12,7 @@ from gridledger.plans.registry import query, table
 
 LAYERS = """WITH li AS (SELECT l_returnflag AS layer, CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS release, CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) END AS automated, CAST(l_quantity AS BIGINT) AS qty FROM lineitem),
 sums AS (SELECT layer, release, NOT (layer = 'R' AND release % 3 = 0) AS has, CASE WHEN layer = 'N' AND release % 3 = 1 THEN 0 ELSE coalesce(sum(automated), 0) END::DOUBLE AS a, CASE WHEN layer = 'A' THEN count(*) ELSE sum(qty) END::DOUBLE AS t FROM li GROUP BY layer, release),
-layers AS (SELECT layer, release, has AND t > 0 AS measured, CASE WHEN NOT has THEN 'no automated-count column in this layer''s workbooks' WHEN t <= 0 THEN 'the total is zero, so a share cannot be taken' ELSE '' END AS reason,
+layers AS (SELECT layer, release, has AND t > 0 AS measured, CASE WHEN NOT has THEN 'none of the layer''s sheets counts automated tests' WHEN t <= 0 THEN 'nothing to take a share of: all totals are 0' ELSE '' END AS reason,
   CASE WHEN has THEN a ELSE 0 END AS automated, CASE WHEN has THEN t ELSE 0 END AS total, CASE WHEN has AND t > 0 THEN round(a / t * 100, 1) END AS coverage_pct, CASE WHEN NOT has THEN '' WHEN layer = 'A' THEN 'row_count' ELSE 'test_count' END AS basis FROM sums),
 releases AS (SELECT release, coalesce(sum(automated) FILTER (measured), 0) AS automated, coalesce(sum(total) FILTER (measured), 0) AS total, coalesce(string_agg(layer, ',' ORDER BY layer) FILTER (NOT measured), '') AS unmeasured,
   CASE WHEN count(DISTINCT basis) FILTER (measured) > 1 THEN 'mixed' ELSE coalesce(max(basis) FILTER (measured), '') END AS basis, CASE WHEN sum(total) FILTER (measured) > 0 THEN round(sum(automated) FILTER (measured) / sum(total) FILTER (measured) * 100, 1) END AS coverage_pct FROM layers GROUP BY release)

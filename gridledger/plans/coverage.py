@@ -110,6 +110,16 @@ def coverage_csv(spark, sf_dir):
     return X.numbered(rows, order).drop(*order)
 
 
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN 'ev' || user_id % 3 END AS key FROM events), b AS (SELECT *, key IS DISTINCT FROM lag(key) OVER (ORDER BY event_id) AS starts FROM e)
+SELECT key, count(*) AS n_rows, count(*) FILTER (starts) AS blocks, min(event_id) AS first_row FROM b WHERE key IS NOT NULL GROUP BY key""")
+def long_blocks(spark, sf_dir):
+    """All events as one section, errors without an id: runs of one key over the boundaries of ranges."""
+    cell = F.when(F.col("event_type") != "error", F.concat(F.lit("EV-"), F.col("user_id") % 3)).otherwise("none")
+    rows = table(spark, sf_dir, "events").select(F.lit("f").alias("file"), F.lit("all").alias("section"), F.col("event_id").alias("row_index"), cell.alias("cell"))
+    keys = C.side_keys(C.with_identifier(rows, "cell"), PLACE, "row_index", span=1 << 10)
+    return keys.select("key", "n_rows", F.col("blocks").cast("long").alias("blocks"), F.col("first_at.row_index").alias("first_row"))
+
+
 @query(f"""WITH {F_SQL} SELECT 'feature' AS side, 'unresolved' AS status, cell AS display, row_index FROM feature WHERE NOT readable""")
 def coverage_unresolved(spark, sf_dir):
     return C.unresolved_entries(features(spark, sf_dir), "feature", "cell", "row_index")

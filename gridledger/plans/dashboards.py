@@ -186,6 +186,19 @@ def search_records(spark, sf_dir):
     return D.search_records(rows, "S", "p_brand", ["p_name", "p_type"], ["p_size"], ["p_brand", "p_partkey"], page=2, size=50)
 
 
+@query("""WITH f AS (SELECT page_id, url FROM pages WHERE contains(lower(url), 'e.com/en/') OR page_id = TRY_CAST('e.com/en/' AS BIGINT)) SELECT page_id, url, (SELECT count(*) FROM f) AS n_total FROM f ORDER BY page_id LIMIT 100 OFFSET 20""")
+def indexed_search(spark, sf_dir):
+    """Pages whose address holds a text, by postings of its runs of three letters: the second page of twenty and what follows."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.lit("pages").alias("section"))
+    postings = kept(D.search_postings(rows, ["section", "url"], "page_id"))
+    how = {"section": "section", "texts": ["url"], "numbers": ["page_id"], "order": ["page_id"], "size": 20}
+    pages = [D.search_indexed(rows, postings, "E.com/EN/", "page_id", page=p, **how) for p in range(2, 7)]
+    out = pages[0]
+    for p in pages[1:]:
+        out = out.unionByName(p)
+    return out.select("page_id", "url", "n_total")
+
+
 @query("""SELECT o_orderstatus AS word, CASE o_orderstatus WHEN 'F' THEN 'passing' WHEN 'O' THEN 'failing' WHEN 'P' THEN 'pending' ELSE '' END AS kind, count(*) AS n FROM orders GROUP BY 1""")
 def outcomes(spark, sf_dir):
     word = F.when(F.col("o_orderstatus") == "F", "  Verified! ").when(F.col("o_orderstatus") == "O", "Not   OK:").when(F.col("o_orderstatus") == "P", "N/A")

@@ -97,12 +97,12 @@ def stale_facts(spark, sf_dir):
   UNION ALL SELECT release, high || ' rows against ' || low FROM pairs WHERE release % 3 = 0 UNION ALL SELECT release, 'Run sheets hold text' FROM trace WHERE release % 10 = 0),
 said AS (SELECT DISTINCT release, unnest({FIGURES.format('text')}) AS figure FROM claims), ids AS (SELECT release, id FROM item WHERE id % 5 = 0),
 open_pairs AS (SELECT * FROM pairs p WHERE high >= low AND NOT (EXISTS (SELECT 1 FROM said s WHERE s.release = p.release AND figure = CAST(high AS VARCHAR)) AND EXISTS (SELECT 1 FROM said s WHERE s.release = p.release AND figure = CAST(low AS VARCHAR)))),
-gaps AS (SELECT release, string_agg('FL-' || id, ', ' ORDER BY 'FL-' || id) AS named FROM item i WHERE NOT covered AND NOT EXISTS (SELECT 1 FROM ids WHERE ids.release = i.release AND ids.id = i.id) GROUP BY release),
+gaps AS (SELECT release, count(*) AS n, string_agg('FL-' || id, ', ' ORDER BY 'FL-' || id) AS named FROM item i WHERE NOT covered AND NOT EXISTS (SELECT 1 FROM ids WHERE ids.release = i.release AND ids.id = i.id) GROUP BY release),
 odd AS (SELECT DISTINCT release, id FROM item i WHERE id % 14 = 0 AND NOT (EXISTS (SELECT 1 FROM ids WHERE ids.release = i.release AND ids.id = i.id) AND EXISTS (SELECT 1 FROM ids WHERE ids.release = i.release AND ids.id = i.id + 1)))
 SELECT release, 'pyramid' AS kind, 'Inverted layers: ' || upper || ' (' || format('{{:,}}', high) || ' rows) against ' || lower || ' (' || format('{{:,}}', low) || ')' AS label FROM open_pairs
-UNION ALL SELECT release, 'percentage', CASE WHEN forward_pct = floor(forward_pct) THEN CAST(CAST(forward_pct AS BIGINT) AS VARCHAR) ELSE CAST(forward_pct AS VARCHAR) END || '% of planned features have a system test' FROM trace t WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.release = t.release AND CAST(figure AS DOUBLE) = forward_pct)
-UNION ALL SELECT release, 'percentage', '100% of system items are in the feature plan' FROM trace t WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.release = t.release AND figure = '100')
-UNION ALL SELECT release, 'gap', 'Planned features without a system test: ' || named FROM gaps
+UNION ALL SELECT release, 'percentage', CASE WHEN forward_pct = floor(forward_pct) THEN CAST(CAST(forward_pct AS BIGINT) AS VARCHAR) ELSE CAST(forward_pct AS VARCHAR) END || '% of the plan is tested by the system layer' FROM trace t WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.release = t.release AND CAST(figure AS DOUBLE) = forward_pct)
+UNION ALL SELECT release, 'percentage', '100% of the system layer''s entries belong to the plan' FROM trace t WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.release = t.release AND figure = '100')
+UNION ALL SELECT release, 'gap', n || ' in the plan but untested (' || named || ')' FROM gaps
 UNION ALL SELECT release, 'mismatch', 'Id mismatch: FL-' || id || ' names FL-' || (id + 1) FROM odd
 UNION ALL SELECT release, 'warning', 'Run results: text_in_measure' FROM trace WHERE release % 5 = 0 AND release % 10 <> 0""")
 def missing_items(spark, sf_dir):

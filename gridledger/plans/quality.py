@@ -44,8 +44,8 @@ def warnings(spark, sf_dir):
     bare = rows.select("file").distinct().withColumn("header_row", F.when(F.col("file") % 4 != 0, 0))
     blank = rows.groupBy("file").agg(F.count_if(F.col("remark").isNotNull()).alias("separators"))
     moved = rows.select("file").distinct().filter("file % 3 = 0").select("file", F.lit("unknown_id_reference").alias("code"), F.lit("notice").alias("severity"), F.lit("an old warning").alias("message"))
-    named = rows.filter((F.col("file") % 5 == 0) & (F.col("row_index") % 10 == 1)).select("file", F.lit(True).alias("inside"))
-    return [Q.fill_warnings(fill, columns, n, "file"), Q.measure_warnings(fill, columns, "file"), Q.duplicate_warnings(dropped, "file", "l_partkey", "row_index"), Q.structure_warnings(blank, bare), Q.mismatch_warnings(named, "file"), moved]
+    named = rows.filter((F.col("file") % 5 == 0) & (F.col("row_index") % 10 == 1)).select("file", "row_index", F.concat(F.lit("QX-"), F.col("row_index")).alias("display"), F.concat(F.lit("QX-"), F.col("row_index") + 10).alias("token"), F.lit("as below").alias("snippet"), F.lit(True).alias("inside"))
+    return [Q.fill_warnings(fill, columns, n, "file"), Q.measure_warnings(fill, columns, "file"), Q.duplicate_warnings(dropped, "file", "l_partkey", "row_index"), Q.structure_warnings(blank, bare), Q.mismatch_warnings(named, "file", "row_index"), moved]
 
 
 @query(SHEETS + """, n AS (SELECT file, count(*) AS n, count(*) FILTER (qty = 'see notes') AS strays, count(flag) AS flags, count(remark) AS remarks, count(skip) AS skips FROM li GROUP BY file),
@@ -63,7 +63,7 @@ UNION ALL SELECT file, 1, 'conflicting_duplicate', 'problem', a || ' dropped row
 UNION ALL SELECT file, 5, 'duplicate_rows', 'notice', b || ' row(s) repeat an earlier row exactly.' FROM c WHERE b > 0
 UNION ALL SELECT file, 6, 'separator_rows', 'notice', remarks || ' row(s) without any number were read as separators.' FROM n WHERE remarks > 0
 UNION ALL SELECT file, 9, 'no_header', 'notice', 'The sheet has no header row, so its columns are numbered.' FROM n WHERE file % 4 = 0
-UNION ALL SELECT file, 4, 'mismatched_id', 'problem', count(*) || ' row(s) name another identifier of the same file.' FROM li WHERE file % 5 = 0 AND row_index % 10 = 1 GROUP BY file)
+UNION ALL SELECT file, 4, 'mismatched_id', 'problem', count(*) || ' row(s) of one QX id tell of another row''s; the first is QX-' || min(row_index) || ', whose “as below” names QX-' || (min(row_index) + 10) || '.' FROM li WHERE file % 5 = 0 AND row_index % 10 = 1 GROUP BY file)
 SELECT * FROM (SELECT file, code, severity, message, CAST(row_number() OVER (PARTITION BY file ORDER BY o, message) AS INTEGER) AS rank FROM w) WHERE rank <= 8""")
 def quality_report(spark, sf_dir):
     """The first eight warnings of each sheet, of up to ten; those that moved elsewhere don't count."""
@@ -89,10 +89,10 @@ def duplicate_warnings(spark, sf_dir):
 
 
 @query(f"""WITH {F_SQL}, {REFERENCES}
-SELECT file, 'mismatched_id' AS code, 'problem' AS severity, count(*) || ' row(s) name another identifier of the same file.' AS message FROM refs WHERE inside GROUP BY file""")
+SELECT file, 'mismatched_id' AS code, 'problem' AS severity, count(*) || ' row(s) of one FL id tell of another row''s; the first is ' || arg_min(display, row_index) || ', whose “' || arg_min(snippet, row_index) || '” names ' || arg_min(token, row_index) || '.' AS message FROM refs WHERE inside GROUP BY file""")
 def mismatch_warnings(spark, sf_dir):
     """Orders whose notes name another order of the same customer."""
-    return Q.mismatch_warnings(references(spark, sf_dir), "file")
+    return Q.mismatch_warnings(references(spark, sf_dir), "file", "row_index")
 
 
 @query("""WITH d AS (SELECT source, md5(text) AS h, doc_id, row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id) AS r FROM documents)

@@ -133,6 +133,13 @@ def snapshot_history(spark, sf_dir):
     return S.history(loads(spark, sf_dir), ["layer", "file"]).select("snapshot_id", "layer", "file", "age_rank", "is_current")
 
 
+@query(LOADS + "SELECT snapshot_id, CAST(row_number() OVER w AS INTEGER) AS age_rank, row_number() OVER w = 1 AS is_current FROM loads WINDOW w AS (ORDER BY created_at DESC, sequence DESC)")
+def long_history(spark, sf_dir):
+    """All loads as the versions of one file, numbered from the newest hour by hour."""
+    one = loads(spark, sf_dir).withColumns({"layer": F.lit("all"), "file": F.lit(None).cast("string")})
+    return S.history(one, ["layer", "file"], span=3600).select("snapshot_id", "age_rank", "is_current")
+
+
 @query(LOADS + """, cur AS (SELECT layer, file, arg_max(row_count, sequence) AS row_count, count(*) AS n, arg_max(created_at, sequence) AS latest, arg_max(d, sequence) AS d FROM loads GROUP BY layer, file)
 SELECT l AS layer, count(file) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_snapshots, CAST(coalesce(sum(row_count), 0) AS BIGINT) AS records, max(latest) AS latest, CAST(arg_max(d, (latest, file)) AS INTEGER) AS month, coalesce(string_agg(file, ',' ORDER BY latest DESC, CAST(file AS VARCHAR)), '') AS sources
 FROM (VALUES ('click'), ('view'), ('purchase'), ('error'), ('signup'), ('nothing')) t(l) LEFT JOIN cur ON cur.layer = l GROUP BY l""")
