@@ -54,7 +54,15 @@ def integers(table: DataFrame, scale: int = SCALE) -> tuple[DataFrame, int]:
 
 
 def assigned(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nearest entry, squared distance) of each row; ties go to the lower entry."""
+    """(nearest entry, squared distance) of each row; ties go to the lower entry.
+
+    Where every term is a whole number below 2^53, doubles hold it exactly, and a matrix product does the work."""
+    most = max(int(np.abs(x).max(initial=0)), int(np.abs(book).max(initial=0)))
+    if 4 * x.shape[1] * most * most < 1 << 53:
+        a, b = x.astype(float), book.astype(float)
+        d = ((a * a).sum(1)[:, None] + (b * b).sum(1)[None]) - 2 * (a @ b.T)
+        entry = d.argmin(1)
+        return entry, np.take_along_axis(d, entry[:, None], 1)[:, 0].astype(np.int64)
     entry, error = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
     for at in range(0, len(x), CHUNK):
         d = ((x[at : at + CHUNK, None, :] - book[None]) ** 2).sum(2)
@@ -70,10 +78,13 @@ def _owner(key: tuple) -> int:
 
 def _by_entry(pos, salt, entry, rows, x):
     """((position, entry, salt), (rows, members)) of members of one position and salt."""
+    if (entry == entry[0]).all():  # most often in later rounds
+        yield (pos, int(entry[0]), salt), (rows, x)
+        return
     order = np.argsort(entry, kind="stable")
-    for e, at in zip(*np.unique(entry[order], return_index=True)):
-        part = order[at : at + np.count_nonzero(entry == e)]
-        yield (pos, int(e), salt), (rows[part], x[part])
+    found, starts = np.unique(entry[order], return_index=True)
+    for e, part in zip(found.tolist(), np.split(order, starts[1:])):
+        yield (pos, e, salt), (rows[part], x[part])
 
 
 def _placing(books, places, salts):
