@@ -13,8 +13,10 @@ Weak candidates are too common to report alone:
 An interval join within scopes of one text (`scope` code points between starts) links them: a key_part
 or short_assign needs an access identifier, user or endpoint in its scope; a user needs a secret; an
 endpoint needs a secret and an identifier. Linked candidates are added to the spans; base spans stay.
-The join is by range windows over starts: both sides are ordered once and no pairs are made. A scope is a
-distance, as texts have no other structure here; each link names where its partners start.
+The join is by cells of the scope's length: a candidate meets the parts of its own cell and of the two beside
+it, and those within the scope remain. A scope is a distance, as texts have no other structure here, so a
+candidate has no more partners than fit in two scopes, and a text of any length is joined by many tasks. Each
+link names all its partners.
 
 Defined results: a null text counts as empty and has no spans; rows that repeat doc_id and text have
 equal results; ties of one start are ordered by kind; an empty table gives no rows; other columns
@@ -78,26 +80,46 @@ def parts_of(rows: DataFrame) -> DataFrame:
     return each.filter((F.col("kind_no") != key_part) | ~F.col("covered")).select(*key, "kind_no", "start", "end")
 
 
+#: What a weak candidate is linked by, by kind.
+SECRETS, IDENTIFIERS, PLACES = ("assign", "hex", "key_part", "short_assign"), ("access", "user"), ("endpoint",)
+NEEDED = {"key_part": (*IDENTIFIERS, *PLACES), "short_assign": (*IDENTIFIERS, *PLACES), "user": SECRETS, "endpoint": (*SECRETS, *IDENTIFIERS)}
+
+
+def _numbers(names) -> list[int]:
+    return [KINDS.index(x) for x in names]
+
+
+def linked_pairs(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """doc_id, text_sha256, kind_no, start, other_kind, other_start: each weak candidate with every complementary part in its scope."""
+    cell = F.floor(F.col("start") / scope)
+    weak = parts.filter(F.col("kind_no").isin(_numbers(NEEDED))).select("doc_id", "text_sha256", "kind_no", "start", F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"))
+    other = parts.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kind_no").alias("other_kind"), F.col("start").alias("other_start"), cell.alias("_own"))
+    fits = F.lit(False)
+    for kind, needs in NEEDED.items():
+        fits = fits | ((F.col("kind_no") == KINDS.index(kind)) & F.col("other_kind").isin(_numbers(needs)))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")) & (F.col("_cell") == F.col("_own"))
+    near = F.abs(F.col("start") - F.col("other_start")) <= scope
+    return weak.join(other, same & near & fits).select("doc_id", "text_sha256", "kind_no", "start", "other_kind", "other_start")
+
+
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The base spans, and those weak candidates that have complementary parts in their scope, with `partners`: where the
-    first of these start (null for base spans)."""
-    near = Window.partitionBy("doc_id", "text_sha256").orderBy("start").rangeBetween(-scope, scope)
-    kind = F.col("kind_no")
-    no = lambda *names: [KINDS.index(x) for x in names]
-    first = lambda *names: F.min(F.when(kind.isin(no(*names)), F.col("start"))).over(near)
-    parts = parts.withColumn("secret", first("assign", "hex", "key_part", "short_assign")).withColumn("identifier", first("access", "user")).withColumn("place", first("endpoint"))
-    base, bare, user = kind.isin(no("assign", "access", "hex")), kind.isin(no("key_part", "short_assign")), kind.isin(no("user"))
-    text = lambda c: c.cast("string")
-    partners = (
-        F.when(base, F.lit(None).cast("string")).when(bare, text(F.least("identifier", "place"))).when(user, text(F.col("secret")))
-        .otherwise(F.concat(text(F.col("secret")), F.lit("/"), text(F.col("identifier"))))
-    )
-    return parts.withColumn("partners", partners).filter(base | F.col("partners").isNotNull()).drop("secret", "identifier", "place")
+    """The base spans, and those weak candidates that have complementary parts in their scope, with `partners`: all
+    of these by start (null for base spans). An endpoint needs a secret and an identifier."""
+    has = lambda names: F.bool_or(F.col("other_kind").isin(_numbers(names)))
+    partners = F.array_sort(F.collect_list(F.struct(F.col("other_start").alias("start"), F.col("other_kind").alias("kind_no"))))  # within two scopes
+    met = linked_pairs(parts, scope).groupBy("doc_id", "text_sha256", "kind_no", "start").agg(partners.alias("partners"), (has(SECRETS) & has(IDENTIFIERS)).alias("_both"))
+    met = met.filter((F.col("kind_no") != KINDS.index("endpoint")) | F.col("_both"))
+    names = {c: f"_{c}" for c in ("doc_id", "text_sha256", "kind_no", "start")}
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    for c in ("text_sha256", "kind_no", "start"):
+        same = same & (F.col(c) == F.col(names[c]))
+    out = parts.join(met.withColumnsRenamed(names), same, "left").drop(*names.values(), "_both")
+    return out.filter(F.col("kind_no").isin(_numbers(("assign", "access", "hex"))) | F.col("partners").isNotNull())
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, links for every row of docs; links: each linked weak
-    candidate with the places of its partners, as kind:start>partners."""
+    candidate with all its partners, as kind:start>kind:start+kind:start."""
     rows = common.settle(scan(docs), "secret-scan")
     spans = link(parts_of(rows), scope)
     span = F.struct("start", "kind_no", "end", "partners")
@@ -107,9 +129,10 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         F.array_sort(F.collect_list(span)).alias("all"), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"))
     names = F.array(*[F.lit(k) for k in KINDS])
     kind = lambda x: F.element_at(names, x["kind_no"] + 1)
+    place = lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"))
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
     linked = F.filter("all", lambda x: x["partners"].isNotNull())
-    links = F.array_join(F.transform(linked, lambda x: F.concat(kind(x), F.lit(":"), x["start"].cast("string"), F.lit(">"), x["partners"])), ",")
+    links = F.array_join(F.transform(linked, lambda x: F.concat(place(x), F.lit(">"), F.array_join(F.transform(x["partners"], place), "+"))), ",")
     listed = listed.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "n_assign", "n_access", "n_hex", text(F.filter("all", lambda x: x["kind_no"] <= 2)).alias("base"), text(F.col("all")).alias("spans"), links.alias("links"))
     out = rows.select("doc_id", "text_sha256").join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left")
     none, nothing = F.lit(0).cast("long"), F.lit("")
@@ -141,13 +164,13 @@ OP4_SQL = (
         (5, USER, "i", "true"), (6, ENDPOINT, "c", "true")))
     + """)) x
   WHERE kind_no <> 3 OR NOT EXISTS (SELECT 1 FROM assigned a WHERE a.doc_id = x.doc_id AND length(a.value) >= 12 AND a.start < x."end" AND x.start < a."end")),
-near AS (
-  SELECT p.doc_id, p.kind_no, p.start, p."end", min(q.start) FILTER (q.kind_no IN (0, 2, 3, 4)) AS secret, min(q.start) FILTER (q.kind_no IN (1, 5)) AS identifier, min(q.start) FILTER (q.kind_no = 6) AS place
-  FROM parts p JOIN parts q ON q.doc_id = p.doc_id AND abs(q.start - p.start) <= 400 GROUP BY ALL),
+named AS (SELECT *, (['assign', 'access', 'hex', 'key_part', 'short_assign', 'user', 'endpoint'])[kind_no + 1] || ':' || start AS name FROM parts),
 told AS (
-  SELECT *, (['assign', 'access', 'hex', 'key_part', 'short_assign', 'user', 'endpoint'])[kind_no + 1] || ':' || start AS name,
-    CASE WHEN kind_no IN (3, 4) THEN CAST(least(identifier, place) AS VARCHAR) WHEN kind_no = 5 THEN CAST(secret AS VARCHAR) WHEN kind_no = 6 THEN CAST(secret AS VARCHAR) || '/' || CAST(identifier AS VARCHAR) END AS partners FROM near),
-kept AS (SELECT *, name || ':' || "end" AS span FROM told WHERE kind_no <= 2 OR partners IS NOT NULL)
+  SELECT p.doc_id, p.kind_no, p.start, p."end", p.name, string_agg(q.name, '+' ORDER BY q.start, q.kind_no) AS partners,
+    count(*) FILTER (q.kind_no IN (0, 2, 3, 4)) > 0 AND count(*) FILTER (q.kind_no IN (1, 5)) > 0 AS whole
+  FROM named p LEFT JOIN named q ON q.doc_id = p.doc_id AND abs(q.start - p.start) <= 400
+    AND ((p.kind_no IN (3, 4) AND q.kind_no IN (1, 5, 6)) OR (p.kind_no = 5 AND q.kind_no IN (0, 2, 3, 4)) OR (p.kind_no = 6 AND q.kind_no < 6)) GROUP BY ALL),
+kept AS (SELECT *, name || ':' || "end" AS span FROM told WHERE kind_no <= 2 OR (partners IS NOT NULL AND (kind_no < 6 OR whole)))
 SELECT d.doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
   sha256(coalesce(string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no <= 2), '')) AS base_sha256,
   coalesce(string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no IS NOT NULL), '') AS spans, coalesce(string_agg(name || '>' || partners, ',' ORDER BY start, kind_no) FILTER (partners IS NOT NULL), '') AS links

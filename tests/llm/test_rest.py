@@ -133,10 +133,25 @@ def test_secret_links(spark):
     assert got[1].spans == got[3].spans == got[7].spans == got[8].spans == got[6].spans == ""
     assert got[2].spans == "short_assign:0:20"  # the endpoint alone lacks an identifier
     assert got[4].spans == "user:0:8,assign:9:27" and got[5].n_hex == 1
-    assert (got[0].links, got[2].links, got[4].links, got[5].links) == ("key_part:25>2", "short_assign:0>25", "user:0>9", "")
+    assert (got[0].links, got[2].links, got[4].links, got[5].links) == ("key_part:25>access:2", "short_assign:0>endpoint:25", "user:0>assign:9", "")
     assert got[0].base_sha256 == hashlib.sha256(b"access:2:20").hexdigest() and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_every_linked_pair(spark):
+    """The interval join against all pairs of random parts, with a text and a doc_id that repeat."""
+    rnd = np.random.default_rng(8)
+    held = {(i, sha): {(int(k), int(s)) for k, s in zip(rnd.integers(0, 7, 40), rnd.integers(0, 3000, 40))} for i, sha in ((1, "a"), (1, "b"), (None, "a"))}
+    parts = spark.createDataFrame([(i, sha, k, s, s + 5) for (i, sha), own in held.items() for k, s in own], "doc_id long, text_sha256 string, kind_no int, start int, `end` int")
+    needs = {3: (1, 5, 6), 4: (1, 5, 6), 5: (0, 2, 3, 4), 6: (0, 1, 2, 3, 4, 5)}
+    for scope in (1, 90, 400):
+        want = {(*key, k, s, j, t) for key, own in held.items() for k, s in own if k in needs for j, t in own if j in needs[k] and abs(s - t) <= scope}
+        got = secrets.linked_pairs(parts, scope).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+    kept = {(r.doc_id, r.text_sha256, r.kind_no, r.start) for r in secrets.link(parts, 90).collect()}
+    near = lambda key, s, kinds: any(j in kinds and abs(s - t) <= 90 for j, t in held[key])
+    assert kept == {(*key, k, s) for key, own in held.items() for k, s in own if k < 3 or (near(key, s, needs[k]) and (k < 6 or (near(key, s, (0, 2, 3, 4)) and near(key, s, (1, 5)))))}
+
+
 def test_secrets_awkward(spark):
     assert secrets.find_secrets(docs(spark, AWKWARD)).count() == len(AWKWARD)
     assert secrets.find_secrets(docs(spark, [])).count() == 0
