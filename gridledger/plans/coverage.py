@@ -179,15 +179,16 @@ def describe_side(spark, sf_dir):
     return C.describe_side(features(spark, sf_dir), "file", "row_index")
 
 
-@query("""WITH c AS (SELECT n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
-SELECT n_name AS layer, CASE WHEN n_nationkey % 4 = 3 THEN 'layer_missing' WHEN n = 0 OR n_nationkey % 4 = 2 THEN 'no_data' ELSE 'no_ids' END AS problem FROM nation JOIN c USING (n_nationkey) WHERE n_nationkey % 4 > 1 OR n = 0 OR n_nationkey % 5 = 0""")
+@query("""WITH o AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 100000) AS ids FROM orders GROUP BY 1)
+SELECT c_name AS layer, CASE WHEN n IS NULL THEN 'layer_missing' WHEN n = 0 THEN 'no_data' ELSE 'no_ids' END AS problem FROM customer LEFT JOIN o ON o_custkey = c_custkey WHERE n IS NULL OR n = 0 OR ids = 0""")
 def structural_problems(spark, sf_dir):
-    """Nations as layers: every fourth is absent or holds no rows, and every fifth names its customers by words."""
-    n = table(spark, sf_dir, "nation")
-    c = table(spark, sf_dir, "customer").withColumn("cell", F.when(F.col("c_nationkey") % 5 == 0, "no number").otherwise(F.col("c_name")))
-    per = C.with_identifier(c, "cell").groupBy("c_nationkey").agg(F.count("*").alias("n_rows"), F.count("key").alias("ids"))
-    sides = n.filter("n_nationkey % 4 <> 3").join(per, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("layer"), F.lit(True).alias("present"), F.when(F.col("n_nationkey") % 4 != 2, F.col("n_rows")).alias("n_rows"), "ids")
-    return C.structural_problems(n.select(F.col("n_name").alias("layer")), sides)
+    """Customers as layers: some have no orders, some no finished ones, and only dear ones are named by an id."""
+    c = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders").withColumn("cell", F.when(F.col("o_totalprice") > 100000, F.concat(F.lit("FL-"), "o_orderkey")).otherwise("no number"))
+    done = F.col("o_orderstatus") == "F"
+    per = C.with_identifier(o, "cell").groupBy("o_custkey").agg(F.count_if(done).alias("n_rows"), F.count(F.when(done, F.col("key"))).alias("ids"))
+    sides = per.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("layer"), F.lit(True).alias("present"), "n_rows", "ids")
+    return C.structural_problems(c.select(F.col("c_name").alias("layer")), sides)
 
 
 @query(SIDES + """SELECT file, CASE WHEN file % 3 = 0 THEN 'notes' ELSE 'cell' END AS id_column, row_index, CASE WHEN file % 3 = 0 THEN 'cs' || file WHEN readable THEN k END AS key, CASE WHEN file % 3 = 0 THEN 'CS' WHEN readable THEN 'FL' END AS family FROM feature""")

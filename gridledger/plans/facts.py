@@ -9,6 +9,7 @@ from gridledger.operators import automation as A
 from gridledger.operators import coverage as C
 from gridledger.operators import facts as G
 from gridledger.operators import quality as Q
+from gridledger.plans.coverage import PLACE, REFERENCES, SIDES, features, references, systems
 from gridledger.plans.ingest import BOARDS, sheet_parts
 from gridledger.plans.quality import FIGURES
 from gridledger.plans.registry import query, table
@@ -19,8 +20,11 @@ RELEASE = "CAST(snapshot_id AS BIGINT) // 4 % 20"
 FACTS = BOARDS + f""", sheet AS (SELECT *, {RELEASE} AS release, (['Run results', 'Status', 'Lists', 'Counts'])[k + 1] AS layer FROM per),
 layers AS (SELECT release, k, layer, CAST(sum(n_rows) AS BIGINT) AS records FROM sheet GROUP BY ALL),
 pairs AS (SELECT * FROM (SELECT release, layer AS upper, records AS high, lag(layer) OVER w AS lower, lag(records) OVER w AS low FROM layers WINDOW w AS (PARTITION BY release ORDER BY k)) WHERE lower IS NOT NULL),
-item AS (SELECT {RELEASE} AS release, o_orderkey AS id, o_orderkey % 3 = 0 AS covered FROM o WHERE k = 2),
-trace AS (SELECT release, count(*) AS n, count(*) FILTER (covered) AS covered, round(count(*) FILTER (covered) * 100.0 / count(*), 1) AS forward_pct FROM item GROUP BY release)
+{SIDES.removeprefix("WITH ").rstrip()}, {REFERENCES},
+item AS (SELECT coalesce(f_at[1], s_at[1]) // 4 % 20 AS release, key, display, status, f_at[2] AS section FROM entries),
+counts AS (SELECT release, count(*) FILTER (status <> 'missing_in_feature') AS n, count(*) FILTER (status <> 'missing_in_system') AS m, count(*) FILTER (status = 'covered') AS covered, count(*) FILTER (status = 'missing_in_system') AS gaps FROM item GROUP BY release),
+trace AS (SELECT *, CASE WHEN n > 0 THEN round(covered * 100.0 / n, 1) ELSE 100 END AS forward_pct, CASE WHEN m > 0 THEN round(covered * 100.0 / m, 1) ELSE 100 END AS backward_pct FROM counts),
+ref AS (SELECT *, file // 4 % 20 AS release FROM refs)
 """
 
 
@@ -39,18 +43,20 @@ def releases(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     layers = kept(files.groupBy("release", "layer", "order").agg(F.sum("n_rows").alias("records")).withColumn("test_count", F.lit(None).cast("long")))
     pyramid = G.pyramid(layers, ["release"], "order", "layer", "records", "test_count")
 
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 4 = 2").withColumn("release", release_of("o_custkey"))  # the sheets that list identifiers
-    id_ = F.concat(F.lit("FL-"), "o_orderkey")
-    entries = o.select("release", id_.alias("display"), F.when(F.col("o_orderkey") % 3 == 0, "covered").otherwise("missing_in_system").alias("status"), F.lit("").alias("title"), F.lit(False).alias("duplicate"))
-    summary = C.coverage_summary(entries, by=("release",)).withColumn("unresolved", F.lit(0))
-    named = o.filter("o_orderkey % 7 = 0").select("release", id_.alias("display"), F.concat(F.lit("FL-"), F.col("o_orderkey") + 1).alias("token"), F.lit("see  it").alias("snippet"), (F.col("o_orderkey") % 2 == 0).alias("inside"))
-    trace = G.traceability_facts(summary, entries, named, ["release"])
+    f, refs = kept(features(spark, sf_dir)), kept(references(spark, sf_dir).withColumn("release", release_of("file")))
+    found = C.compare_sides(C.side_keys(f, PLACE, "row_index"), C.side_keys(systems(spark, sf_dir), PLACE, "row_index"))
+    found = kept(found.withColumn("release", release_of("coalesce(feature_at.file, system_at.file)")))
+    titles = f.select(F.struct(*PLACE, "row_index").alias("feature_at"), G.title_of(["cell", "notes"]).alias("title"))  # a gap's first row
+    entries = kept(found.join(titles, "feature_at", "left").withColumn("title", F.coalesce("title", F.lit(""))))
+    unread = f.filter("key IS NULL").groupBy(release_of("file").alias("release")).agg(F.count("*").alias("unresolved"))
+    summary = kept(C.coverage_summary(entries, by=("release",)).join(unread, "release", "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(0).cast("long"))))
+    trace = G.traceability_facts(summary, entries, refs, ["release"])
 
     runs = parts["run_results"].groupBy(release_of().alias("release")).agg(F.sum("passed").alias("automated"), F.sum("total").alias("total"))
     runs = runs.withColumns({"coverage_pct": F.round(F.col("automated") / F.col("total") * 100, 1), "unmeasured": F.lit("")})
     band = spark.createDataFrame([(30.0, 85.0)], "low double, high double")
     automation = G.automation_facts(A.coverage_report(runs, band), ["release"])
-    return {"files": G.file_facts(files, parts, warnings), "layers": layers, "pyramid": pyramid, "traceability": trace, "automation": automation}
+    return {"files": G.file_facts(files, parts, warnings), "layers": layers, "pyramid": pyramid, "traceability": trace, "automation": automation, "summary": summary, "entries": entries, "references": refs}
 
 
 READ = """period string, layers array<struct<layer string, loaded boolean, records bigint, files array<struct<file string, period string, rows bigint, dashboard string, run_results struct<passed double>, status struct<passed double>, inventory struct<items double>, warnings array<struct<code string>>>>>>,
@@ -58,12 +64,12 @@ pyramid array<struct<verdict string>>, traceability struct<features_planned bigi
 
 
 @query(FACTS + """, bad AS (SELECT release, count(*) FILTER (high >= low) AS violated FROM pairs GROUP BY release), latest AS (SELECT release, max('2024-' || lpad(CAST(CAST(snapshot_id AS BIGINT) % 12 + 1 AS VARCHAR), 2, '0')) AS period FROM sheet GROUP BY release),
-refs AS (SELECT release, count(*) FILTER (id % 2 = 0) AS mismatches, count(*) FILTER (id % 2 = 1) AS outside FROM item WHERE id % 7 = 0 GROUP BY release),
+odd AS (SELECT release, count(*) FILTER (inside) AS mismatches, count(*) FILTER (NOT inside) AS outside FROM ref GROUP BY release),
 auto AS (SELECT release, round(sum(pass) / sum(tc) * 100, 1) AS coverage_pct FROM sheet WHERE k = 0 GROUP BY release)
 SELECT s.release, latest.period, s.layer, l.records, snapshot_id AS file, '2024-' || lpad(CAST(CAST(snapshot_id AS BIGINT) % 12 + 1 AS VARCHAR), 2, '0') AS file_period, s.n_rows AS rows, (['run_results', 'status', 'inventory', 'volume'])[s.k + 1] AS dashboard,
   CASE s.k WHEN 0 THEN pass WHEN 1 THEN s_pass WHEN 2 THEN s.n_rows END::DOUBLE AS figure, CASE WHEN s.k <> 0 THEN '' WHEN fails = 0 THEN 'empty_columns' WHEN fails / s.n_rows < 0.2 THEN 'sparse_columns' ELSE '' END AS warnings, violated, n AS features_planned, forward_pct,
-  n - covered AS gaps, coalesce(mismatches, 0) AS mismatches, coalesce(outside, 0) AS outside, coverage_pct, CASE WHEN coverage_pct < 30 THEN 'below' WHEN coverage_pct > 85 THEN 'above' ELSE 'within' END AS position
-FROM sheet s JOIN layers l ON s.release = l.release AND s.layer = l.layer JOIN latest ON latest.release = s.release JOIN bad ON bad.release = s.release JOIN trace t ON t.release = s.release LEFT JOIN refs ON refs.release = s.release LEFT JOIN auto ON auto.release = s.release""")
+  gaps, coalesce(mismatches, 0) AS mismatches, coalesce(outside, 0) AS outside, coverage_pct, CASE WHEN coverage_pct < 30 THEN 'below' WHEN coverage_pct > 85 THEN 'above' ELSE 'within' END AS position
+FROM sheet s JOIN layers l ON s.release = l.release AND s.layer = l.layer JOIN latest ON latest.release = s.release JOIN bad ON bad.release = s.release JOIN trace t ON t.release = s.release LEFT JOIN odd ON odd.release = s.release LEFT JOIN auto ON auto.release = s.release""")
 def facts_pack(spark, sf_dir):
     """Every release's facts as JSON, read back: layers, files with the figures of their dashboards and warnings, the
     pyramid, traceability and automation."""
@@ -74,7 +80,7 @@ def facts_pack(spark, sf_dir):
         "release", F.col("f.period").alias("period"), F.col("l.layer").alias("layer"), F.col("l.records").alias("records"), F.col("x.file").alias("file"), F.col("x.period").alias("file_period"), F.col("x.rows").alias("rows"), F.col("x.dashboard").alias("dashboard"),
         F.coalesce("x.run_results.passed", "x.status.passed", "x.inventory.items").alias("figure"), F.array_join(F.transform(F.coalesce("x.warnings", F.array()), lambda w: w["code"]), ",").alias("warnings"),
         F.size(F.filter("f.pyramid", lambda p: p["verdict"] == "violated")).cast("long").alias("violated"), F.col("f.traceability.features_planned").alias("features_planned"), F.col("f.traceability.forward_pct").alias("forward_pct"),
-        F.size("f.traceability.not_in_system").cast("long").alias("gaps"), F.size(F.coalesce("f.traceability.id_mismatches", F.array())).cast("long").alias("mismatches"), F.size(F.coalesce("f.traceability.outside", F.array())).cast("long").alias("outside"),
+        F.size(F.coalesce("f.traceability.not_in_system", F.array())).cast("long").alias("gaps"), F.size(F.coalesce("f.traceability.id_mismatches", F.array())).cast("long").alias("mismatches"), F.size(F.coalesce("f.traceability.outside", F.array())).cast("long").alias("outside"),
         F.col("f.automation.coverage_pct").alias("coverage_pct"), F.col("f.automation.position").alias("position"))
 
 
@@ -93,29 +99,28 @@ def stale_facts(spark, sf_dir):
     return both.select("release", F.length("hash").cast("long").alias("digits"), G.is_stale(F.col("saved"), F.col("hash")).alias("stale"))
 
 
-@query(FACTS + f""", claims AS (SELECT release, 'Item FL-' || id || ' is open' AS text FROM item WHERE id % 5 = 0 UNION ALL SELECT release, 'Coverage is ' || forward_pct || '%' FROM trace WHERE release % 2 = 0
-  UNION ALL SELECT release, high || ' rows against ' || low FROM pairs WHERE release % 3 = 0 UNION ALL SELECT release, 'Run sheets hold text' FROM trace WHERE release % 10 = 0),
-said AS (SELECT DISTINCT release, unnest({FIGURES.format('text')}) AS figure FROM claims), ids AS (SELECT release, id FROM item WHERE id % 5 = 0),
+@query(FACTS + f""", claims AS (SELECT release, 'Item ' || display || ' is open' AS text FROM item WHERE section = '1-URGENT' UNION ALL SELECT release, 'Coverage is ' || forward_pct || '%' FROM trace WHERE forward_pct < backward_pct
+  UNION ALL SELECT release, high || ' rows against ' || low FROM pairs WHERE upper = 'Lists' UNION ALL SELECT release, 'Run sheets hold text' FROM trace WHERE forward_pct < backward_pct),
+said AS (SELECT DISTINCT release, unnest({FIGURES.format('text')}) AS figure FROM claims), ids AS (SELECT DISTINCT release, key FROM item WHERE section = '1-URGENT'),
+shown AS (SELECT release, forward_pct AS pct, '% of the plan is tested by the system layer' AS words FROM trace UNION ALL SELECT release, backward_pct, '% of the system layer''s entries belong to the plan' FROM trace),
 open_pairs AS (SELECT * FROM pairs p WHERE high >= low AND NOT (EXISTS (SELECT 1 FROM said s WHERE s.release = p.release AND figure = CAST(high AS VARCHAR)) AND EXISTS (SELECT 1 FROM said s WHERE s.release = p.release AND figure = CAST(low AS VARCHAR)))),
-gaps AS (SELECT release, count(*) AS n, string_agg('FL-' || id, ', ' ORDER BY 'FL-' || id) AS named FROM item i WHERE NOT covered AND NOT EXISTS (SELECT 1 FROM ids WHERE ids.release = i.release AND ids.id = i.id) GROUP BY release),
-odd AS (SELECT DISTINCT release, id FROM item i WHERE id % 14 = 0 AND NOT (EXISTS (SELECT 1 FROM ids WHERE ids.release = i.release AND ids.id = i.id) AND EXISTS (SELECT 1 FROM ids WHERE ids.release = i.release AND ids.id = i.id + 1)))
+left_out AS (SELECT release, status, display, row_number() OVER (PARTITION BY release, status ORDER BY CAST(substr(key, 3) AS BIGINT)) - 1 AS spot FROM item i WHERE status <> 'covered' AND NOT EXISTS (SELECT 1 FROM ids WHERE ids.release = i.release AND ids.key = i.key)),
+gap_lines AS (SELECT release, count(*) || CASE status WHEN 'missing_in_system' THEN ' in the plan but untested (' ELSE ' tested but in no plan (' END || string_agg(display, ', ' ORDER BY spot) || ')' AS label FROM left_out GROUP BY release, status, spot // 100)
 SELECT release, 'pyramid' AS kind, 'Inverted layers: ' || upper || ' (' || format('{{:,}}', high) || ' rows) against ' || lower || ' (' || format('{{:,}}', low) || ')' AS label FROM open_pairs
-UNION ALL SELECT release, 'percentage', CASE WHEN forward_pct = floor(forward_pct) THEN CAST(CAST(forward_pct AS BIGINT) AS VARCHAR) ELSE CAST(forward_pct AS VARCHAR) END || '% of the plan is tested by the system layer' FROM trace t WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.release = t.release AND CAST(figure AS DOUBLE) = forward_pct)
-UNION ALL SELECT release, 'percentage', '100% of the system layer''s entries belong to the plan' FROM trace t WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.release = t.release AND figure = '100')
-UNION ALL SELECT release, 'gap', n || ' in the plan but untested (' || named || ')' FROM gaps
-UNION ALL SELECT release, 'mismatch', 'Id mismatch: FL-' || id || ' names FL-' || (id + 1) FROM odd
-UNION ALL SELECT release, 'warning', 'Run results: text_in_measure' FROM trace WHERE release % 5 = 0 AND release % 10 <> 0""")
+UNION ALL SELECT release, 'percentage', CASE WHEN pct = floor(pct) THEN CAST(CAST(pct AS BIGINT) AS VARCHAR) ELSE CAST(pct AS VARCHAR) END || words FROM shown t WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.release = t.release AND CAST(figure AS DOUBLE) = pct)
+UNION ALL SELECT release, 'gap', label FROM gap_lines
+UNION ALL SELECT DISTINCT release, 'mismatch', 'Id mismatch: ' || display || ' names ' || token FROM ref r WHERE inside AND NOT (EXISTS (SELECT 1 FROM ids WHERE ids.release = r.release AND ids.key = r.key) AND EXISTS (SELECT 1 FROM ids WHERE ids.release = r.release AND ids.key = r.canon))
+UNION ALL SELECT release, 'warning', 'Run results: text_in_measure' FROM trace WHERE NOT forward_pct < backward_pct""")
 def missing_items(spark, sf_dir):
-    """What the claims of each release leave out of its facts: pairs, percentages, gaps, mismatches and warnings."""
+    """What the claims of each release leave out of its facts: pairs, percentages, gaps, mismatches and warnings. Claims
+    name the urgent entries and the pairs of lists; where less of the plan is tested than tests are planned, also that rate."""
     t = releases(spark, sf_dir)
-    pyramid, trace = kept(t["pyramid"]), kept(t["traceability"])
-    pairs = pyramid.groupBy("release").agg(F.collect_list(F.struct("lower", "upper", "unit", "lower_value", "upper_value", "verdict")).alias("pyramid"))  # layers of one release
-    some = F.array(F.struct(F.lit("Run results").alias("layer"), F.lit("text_in_measure").alias("code"), F.lit("problem").alias("severity")))
-    facts = kept(trace.join(pairs, "release").withColumn("warnings", F.when(F.col("release") % 5 == 0, some)))
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 4 = 2 AND o_orderkey % 5 = 0")
+    pyramid, entries, summary = kept(t["pyramid"]), t["entries"], t["summary"]
+    less = summary.filter("forward_pct < backward_pct")
     whole = lambda c: F.col(c).cast("long").cast("string")
-    claims = o.select(release_of("o_custkey").alias("release"), F.concat(F.lit("Item FL-"), "o_orderkey", F.lit(" is open")).alias("text"))
-    claims = claims.unionByName(trace.filter("release % 2 = 0").select("release", F.concat(F.lit("Coverage is "), F.col("traceability.forward_pct").cast("string"), F.lit("%")).alias("text")))
-    claims = claims.unionByName(pyramid.filter("release % 3 = 0").select("release", F.concat(whole("upper_value"), F.lit(" rows against "), whole("lower_value")).alias("text")))
-    claims = claims.unionByName(trace.filter("release % 10 = 0").select("release", F.lit("Run sheets hold text").alias("text")))
-    return G.missing_items(kept(claims), facts, "release", "text").select("release", "kind", "label")
+    claims = entries.filter("feature_at.section = '1-URGENT'").select("release", F.concat(F.lit("Item "), "display", F.lit(" is open")).alias("text"))
+    claims = claims.unionByName(less.select("release", F.concat(F.lit("Coverage is "), F.col("forward_pct").cast("string"), F.lit("%")).alias("text")))
+    claims = claims.unionByName(pyramid.filter("upper = 'Lists'").select("release", F.concat(whole("upper_value"), F.lit(" rows against "), whole("lower_value")).alias("text")))
+    claims = claims.unionByName(less.select("release", F.lit("Run sheets hold text").alias("text")))
+    warnings = summary.select("release", F.lit("Run results").alias("layer"), F.lit("text_in_measure").alias("code"), F.lit("problem").alias("severity"))
+    return G.missing_items(kept(claims), "release", "text", pyramid, summary, entries, t["references"], warnings).select("release", "kind", "label")

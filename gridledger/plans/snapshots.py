@@ -157,11 +157,12 @@ def release_rollup(spark, sf_dir):
     return S.release_rollup(s, rel, ["app", "release", "layer", "file"])
 
 
-@query(LOADS + """, cur AS (SELECT layer, file, max(sequence) AS last FROM loads WHERE layer <> 'view' GROUP BY layer, file)
+@query(LOADS + """, cur AS (SELECT layer, file, max(sequence) AS last FROM loads WHERE d < 20 GROUP BY layer, file)
 SELECT n.layer, n.file, coalesce(last, 0) + 1 AS sequence FROM (SELECT DISTINCT layer, file FROM loads) n LEFT JOIN cur USING (layer, file)""")
 def next_sequence(spark, sf_dir):
+    """The number that each file's load gets after the 20th, by what was loaded before."""
     s = loads(spark, sf_dir)
-    return S.next_sequence(s.select("layer", "file").distinct(), s.filter("layer <> 'view'"), ["layer", "file"])
+    return S.next_sequence(s.select("layer", "file").distinct(), s.filter("period.month < 20"), ["layer", "file"])
 
 
 @query(LOADS + """, cur AS (SELECT layer, file, arg_max(row_count, sequence) AS h FROM loads WHERE d < 20 GROUP BY layer, file), new AS (SELECT layer, file, arg_max(row_count, sequence) AS h FROM loads GROUP BY layer, file)
