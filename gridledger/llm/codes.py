@@ -94,12 +94,14 @@ def _placing(books, places, salts):
         for batch in batches:
             rows, x = batch.column(0).to_numpy(), vectors.matrix(batch.column(1))
             salt = (rows + (rows >> 33)) % salts
+            blocks = []
             for s in np.unique(salt):
                 own = salt == s
                 for pos, place in enumerate(places):
                     part = x[own][:, place]
-                    for key, (r, m) in _by_entry(pos, int(s), assigned(part, books[pos])[0], rows[own], part):
-                        yield pa.record_batch([pa.array([pos], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()), pa.array([r.tobytes()]), pa.array([m.tobytes()])], names=["pos", "entry", "salt", "rows", "members"])
+                    blocks += [(*key, r.tobytes(), m.tobytes()) for key, (r, m) in _by_entry(pos, int(s), assigned(part, books[pos])[0], rows[own], part)]
+            if blocks:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*blocks), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["pos", "entry", "salt", "rows", "members"])
 
     return run
 
@@ -173,9 +175,11 @@ def _told(books):
 
 def _rows_of(batches):
     for batch in batches:
-        for pos, entry, rows, errors in zip(*[c.to_pylist() for c in batch.columns]):
-            rows, errors = np.frombuffer(rows, np.int64), np.frombuffer(errors, np.int64)
-            yield pa.record_batch([pa.array(rows), pa.array(np.full(len(rows), pos, np.int32)), pa.array(np.full(len(rows), entry, np.int32)), pa.array(errors)], names=["row", "pos", "entry", "error"])
+        pos, entry, rows, errors = [c.to_pylist() for c in batch.columns]
+        rows, errors = [np.frombuffer(x, np.int64) for x in rows], [np.frombuffer(x, np.int64) for x in errors]
+        n = [len(x) for x in rows]
+        if sum(n):
+            yield pa.record_batch([pa.array(np.concatenate(rows)), pa.array(np.repeat(np.array(pos, np.int32), n)), pa.array(np.repeat(np.array(entry, np.int32), n)), pa.array(np.concatenate(errors))], names=["row", "pos", "entry", "error"])
 
 
 def digest_of(books: list[np.ndarray]) -> str:
