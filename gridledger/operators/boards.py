@@ -22,7 +22,7 @@ def cells_of(loaded: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFr
     data, columns = loaded["data"], loaded["columns"]
     each = data.select(F.col("file").alias("snapshot_id"), "section", F.col("row_no").alias("row_index"), F.posexplode("vals").alias("pos", "v")).filter(F.col("v").isNotNull())
     columns = columns.select(F.col("file").alias("snapshot_id"), "pos", "key", "label", "type")
-    cells = each.join(columns.select("snapshot_id", "pos", "key"), ["snapshot_id", "pos"]).select(*ROW, "pos", "key", F.col("v.s").alias("s"), F.col("v.n").alias("n"))
+    cells = each.join(columns.select("snapshot_id", "pos", "key", "type"), ["snapshot_id", "pos"]).select(*ROW, "pos", "key", F.col("v.s").alias("s"), F.col("v.n").alias("n"), "type")
     return cells, columns, data.groupBy(F.col("file").alias("snapshot_id")).agg(F.count("*").alias("n_rows"))
 
 

@@ -94,8 +94,8 @@ def merged_top_rows(cells: DataFrame, columns: DataFrame, current: DataFrame, k:
 
 
 def cells_of(rows: DataFrame, snapshot: Column, section: str, order: str, texts: list[str], numbers: list[str]) -> DataFrame:
-    """Wide rows as cells."""
-    items = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("key"), F.col(c).cast("string").alias("s"), (F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("n")) for i, c in enumerate([*texts, *numbers])]
+    """Wide rows as cells, with the type of their column."""
+    items = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("key"), F.col(c).cast("string").alias("s"), (F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("n"), F.lit("number" if c in numbers else "string").alias("type")) for i, c in enumerate([*texts, *numbers])]
     return rows.select(snapshot.alias("snapshot_id"), F.col(section).alias("section"), F.col(order).alias("row_index"), F.explode(F.array(*items)).alias("c")).select("snapshot_id", "section", "row_index", "c.*")
 
 
@@ -104,15 +104,21 @@ def column_stats(cells: DataFrame, columns: DataFrame, most: int = TEXT_COLUMNS,
     (outcomes) or read as identifiers, and the first `sample` values.
 
     One grouping for all columns. Values are judged one by one and then counted, so all of them decide; they are
-    listed only up to the sample, for display."""
+    listed only up to the sample, for display. Cells meet the table of columns only when each column is one row, so a
+    column's values are the work of many tasks; cells that know their column's type leave out numbers before that."""
     rank = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("pos"))
     texts = columns.filter(F.col("type") == "string").withColumn("_r", rank).filter(F.col("_r") <= most).select("snapshot_id", "key")
-    values = cells.join(texts, ["snapshot_id", "key"], "left_semi").filter(F.trim("s") != "").groupBy("snapshot_id", "key", "s").agg(F.count("*").alias("n"))
+    values = _of_texts(cells).filter(F.trim("s") != "").groupBy("snapshot_id", "key", "s").agg(F.count("*").alias("n"))
     first = F.row_number().over(Window.partitionBy("snapshot_id", "key").orderBy("s"))
     outcome, identifier = F.count_if(T.outcome_of("s") != "").alias("outcomes"), F.count_if(T.is_identifier("s")).alias("identifiers")
     each = values.groupBy("snapshot_id", "key").agg(F.count("*").alias("distinct"), F.sum("n").alias("filled"), outcome, identifier)
     shown = values.withColumn("_r", first).filter(F.col("_r") <= sample).groupBy("snapshot_id", "key").agg(F.array_sort(F.collect_list("s")).alias("values"))
-    return each.join(shown, ["snapshot_id", "key"])
+    return each.join(texts, ["snapshot_id", "key"], "left_semi").join(shown, ["snapshot_id", "key"])
+
+
+def _of_texts(cells: DataFrame) -> DataFrame:
+    """cells of text columns, if they have their column's type; else all."""
+    return cells.filter(F.col("type") == "string") if "type" in cells.columns else cells
 
 
 def detect_run_columns(columns: DataFrame) -> DataFrame:
@@ -222,7 +228,8 @@ def label_columns(columns: DataFrame, dimensions: DataFrame, cells: DataFrame) -
     first = columns.filter(F.col("type") == "string").groupBy("snapshot_id").agg(F.min_by("key", "pos").alias("first"))
     dims = dimensions.filter(F.col("rank") <= 2).groupBy("snapshot_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("dims"))
     texts = columns.filter(F.col("type") == "string").select("snapshot_id", "key")
-    long = cells.join(texts, ["snapshot_id", "key"], "left_semi").groupBy("snapshot_id", "key").agg(F.avg(F.length("s")).alias("size")).groupBy("snapshot_id").agg(F.max_by("key", F.struct("size", "key")).alias("longest"))
+    sizes = _of_texts(cells).groupBy("snapshot_id", "key").agg(F.avg(F.length("s")).alias("size"))  # a row a column, before it meets the columns
+    long = sizes.join(texts, ["snapshot_id", "key"], "left_semi").groupBy("snapshot_id").agg(F.max_by("key", F.struct("size", "key")).alias("longest"))
     all_ = columns.select("snapshot_id").distinct().join(serial, "snapshot_id", "left").join(first, "snapshot_id", "left").join(dims, "snapshot_id", "left").join(long, "snapshot_id", "left")
     some = F.array_distinct(F.array_compact(F.concat(F.array(F.coalesce("serial", "first")), F.coalesce("dims", F.array().cast("array<string>")))))
     return all_.select("snapshot_id", F.when(F.size(some) < 2, F.array_distinct(F.array_compact(F.concat(some, F.array("longest"))))).otherwise(some).alias("labels"))
