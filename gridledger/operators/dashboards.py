@@ -83,12 +83,12 @@ def merged_top_rows(cells: DataFrame, columns: DataFrame, current: DataFrame, k:
     per = fold.groupBy("measure").agg(F.count_distinct("snapshot_id").alias("files"), F.max("all_files").alias("all_files"), F.min(F.struct("file_no", "pos")).alias("at"))
     best = per.filter("files = all_files").agg(F.max_by("measure", "at").alias("measure"))  # one row
     used = fold.join(F.broadcast(best), "measure").select("snapshot_id", "key", "measure")
-    rows = cells.join(used, ["snapshot_id", "key"]).filter(F.col("n").isNotNull())
+    rows = cells.filter(F.col("n").isNotNull()).join(F.broadcast(used), ["snapshot_id", "key"])  # a row a current file of one layer; cells stay where they are
     place = ["snapshot_id", "section", "row_index"]
     first = rows.orderBy(F.col("n").desc(), *place).limit(k)
     first = kept(first.select(*place, "measure", F.col("n").alias("value")).withColumn("rank", F.row_number().over(Window.orderBy(F.col("value").desc(), *place))))  # k rows
     texts = columns.filter(F.col("type") == "string").select("snapshot_id", "key")
-    own = cells.join(texts, ["snapshot_id", "key"], "left_semi").join(F.broadcast(first.select(*place)), place, "left_semi").filter(F.trim("s") != "")
+    own = cells.join(F.broadcast(first.select(*place)), place, "left_semi").filter(F.trim("s") != "").join(texts, ["snapshot_id", "key"], "left_semi")  # cells of k rows meet the columns
     label = own.groupBy(*place).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), LABEL_SEPARATOR).alias("label"))
     return first.join(label, place, "left").withColumn("label", F.coalesce(F.nullif("label", F.lit("")), "section"))
 

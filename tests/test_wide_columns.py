@@ -40,3 +40,15 @@ def test_values_are_counted_before_they_meet_columns(spark):
         assert {r.key: r.filled for r in D.column_stats(cells.drop("type"), columns).collect()} == {"a": 4000, "b": 4000}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_largest_rows_leave_cells_where_they_are(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        cells, columns = cells_of(spark)
+        current = spark.createDataFrame([("s", 1)], "snapshot_id string, created_at int")
+        top = D.merged_top_rows(cells, columns, current)
+        assert before_join(top, "Inner") and before_join(top, "LeftSemi")
+        assert [(r.row_index, r.value, r.label) for r in top.orderBy("rank").limit(2).collect()] == [(6, 6.0, "QX-6 · Passed"), (13, 6.0, "QX-13 · Failed")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
