@@ -223,7 +223,9 @@ def id_references(rows: DataFrame, texts: list[str], id_column: str, by: str, or
     place = F.struct(F.col("n"), -F.col("at"))
     fam = rows.filter((F.col("key").isNotNull()) & (F.col("family") != "")).groupBy(by, "family").agg(F.count("*").alias("n"), F.min(order).alias("at"))
     fam = fam.groupBy(by).agg(F.max_by("family", place).alias("own"), F.max("n").alias("carrying")).join(n_rows, by).filter(F.col("carrying") >= IDENTIFIER_SHARE * F.col("n_rows")).select(by, "own", "n_rows")
-    each = mentioned(rows, texts, id_column, [by, "key", "display", "family"], order).join(fam, by).filter((F.col("family") == F.col("own")) & (F.col("token_family") == F.col("own")) & (F.col("canon") != F.col("key")))
+    # of the row's own family and another identifier: few are left to meet the files' families
+    each = mentioned(rows, texts, id_column, [by, "key", "display", "family"], order).filter((F.col("token_family") == F.col("family")) & (F.col("canon") != F.col("key")))
+    each = each.join(fam, by).filter(F.col("family") == F.col("own"))
     at = F.struct("col_no", "token_no")
     named = each.groupBy(by, order, "key", "display", "canon", "n_rows").agg(F.min_by("token", at).alias("token"), F.min_by("cell", at).alias("cell"))
     present = rows.filter(F.col("key").isNotNull()).select(by, F.col("key").alias("canon"), F.lit(True).alias("inside")).distinct()

@@ -162,7 +162,7 @@ def coverage_related(spark, sf_dir):
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.id_references(features(spark, sf_dir), ["cell", "notes"], "cell", "file", "row_index")
+    return C.id_references(kept(features(spark, sf_dir)), ["cell", "notes"], "cell", "file", "row_index")  # read four times
 
 
 @query(f"WITH {F_SQL}, {REFERENCES} SELECT * FROM refs")

@@ -89,3 +89,15 @@ def test_is_identifier(spark):
     df = spark.createDataFrame([(x,) for x in ("QX-210: rope", "210", "1.2.3", "plain prose", "x" * 50 + "1", "", None, "١", "v2")], "c string")
     got = df.select((T.read_identifier("c").isNotNull() == T.is_identifier("c")).alias("v")).collect()
     assert all(r.v for r in got)
+
+
+def test_plain_texts_are_read_by_plain_classes(spark):
+    """Texts of ASCII and of other scripts give the same tokens and keys as the classes of all scripts."""
+    ascii_ = ["".join(map(chr, range(128))), "FL-12 and a_3", "xFL-1", "FL 1é", "éFL-1", "FL-1\x1c2", "A1 2\t\x0b3", "", None, "ab\x1f-_ 9"]
+    found = spark.createDataFrame([(t,) for t in ascii_], "t string")
+    every = F.regexp_extract_all("t", F.lit("(?U)" + T.ID_TOKEN), F.lit(0))
+    key = F.lower(F.regexp_replace("t", r"(?U)[\s\x1c-\x1f\-_]+", ""))
+    first = F.nullif(F.regexp_extract("t", "(?U)" + T.ID_TOKEN, 0), F.lit(""))
+    assert found.filter(~(T.tokens("t").eqNullSafe(every) & T.canonical("t").eqNullSafe(key) & T.first_token("t").eqNullSafe(first))).count() == 0
+    plan = lambda c: found.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("CASE WHEN RLIKE(t" in plan(c) for c in (T.tokens("t"), T.canonical("t"), T.first_token("t")))
