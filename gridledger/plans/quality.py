@@ -190,6 +190,7 @@ def structure_warnings(spark, sf_dir):
     data = li.select(F.col("l_suppkey").alias("file"), F.array(T.norm_cell("l_returnflag"), blank("l_quantity"), blank("l_tax")).alias("vals"))
     kinds = spark.createDataFrame([(0, "Flag"), (1, "Quantity"), (2, "Tax")], "pos int, label string")
     columns = li.select(F.col("l_suppkey").alias("file")).distinct().crossJoin(F.broadcast(kinds))  # three rows
+    data, columns = kept(data), kept(columns)  # cells are normalised once
     separators = I.drop_separators(data, I.infer_types(data, columns))[1]
     headers = columns.select("file").distinct().withColumn("header_row", F.when(F.col("file") % 4 != 0, 0))
     return Q.structure_warnings(separators, headers)

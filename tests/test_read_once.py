@@ -11,6 +11,10 @@ def test_references_read_kept_rows(spark, sf_dir):
     assert "o_orderkey" not in plan(coverage.references(spark, sf_dir)) and "o_orderkey" not in plan(quality.mismatch_warnings(spark, sf_dir))
 
 
+def test_cells_are_normalised_once(spark, sf_dir):
+    assert "l_returnflag" not in plan(quality.structure_warnings(spark, sf_dir))
+
+
 def test_both_sides_of_an_export_are_kept(spark, sf_dir, monkeypatch):
     made, held, systems, kept = [], [], coverage.systems, coverage.kept
     monkeypatch.setattr(coverage, "systems", lambda *a: made.append(systems(*a)) or made[-1])
