@@ -31,8 +31,13 @@ def roles(cells: DataFrame, columns: DataFrame, n_rows: DataFrame, requested: st
     not_run, total, status, measure, dimension, id_column, labels (keys whose texts name a row)."""
     stats = kept(D.column_stats(cells, columns))
     dims = kept(D.rank_dimensions(columns, stats, n_rows))
-    out = D.classify(columns, stats, n_rows).join(n_rows, "snapshot_id")
-    for part in (D.detect_run_columns(columns).drop("is_run"), D.detect_status_column(columns, stats, n_rows), D.primary_measure(columns), D.detect_inventory(columns, stats), D.choose_dimension(dims, requested), D.label_columns(columns, dims, cells)):
+    # each part is kept, as one stage of all their joins needs more memory than its task has
+    runs, status, inventory = kept(D.detect_run_columns(columns)), kept(D.detect_status_column(columns, stats, n_rows)), kept(D.detect_inventory(columns, stats))
+    out = kept(D.classify(columns, stats, n_rows, runs, status, inventory)).join(n_rows, "snapshot_id")
+    for part in (runs.drop("is_run"), status, D.primary_measure(columns)):
+        out = out.join(part, "snapshot_id", "left")
+    out = kept(out)
+    for part in (inventory, D.choose_dimension(dims, requested), kept(D.label_columns(columns, dims, cells))):
         out = out.join(part, "snapshot_id", "left")
     return out
 
@@ -163,7 +168,7 @@ def figures(parts: dict[str, DataFrame]) -> DataFrame:
     inventory = parts["inventory"].select("snapshot_id", F.struct("items", "unreadable", "duplicates", "family", "link_family", "linked", "unlinked", "links", "linked_pct").alias("listed"))
     out = parts["roles"].select("snapshot_id", "kind", "reason", "n_rows", "measure", "dimension")
     for t in (run, status, inventory):
-        out = out.join(t, "snapshot_id", "left")
+        out = out.join(kept(t), "snapshot_id", "left")
     return out
 
 

@@ -126,7 +126,7 @@ def detect_run_columns(columns: DataFrame) -> DataFrame:
     left = columns.filter(F.col("type") == "number")
     out = columns.select("snapshot_id").distinct()
     for role, pattern in (("passed", PASS_LABEL), ("failed", FAIL_LABEL), ("not_run", NOT_RUN_LABEL), ("total", TOTAL_LABEL)):
-        hit = left.filter(F.col("label").rlike(pattern)).groupBy("snapshot_id").agg(F.min_by("key", "pos").alias(role))
+        hit = kept(left.filter(F.col("label").rlike(pattern)).groupBy("snapshot_id").agg(F.min_by("key", "pos").alias(role)))  # read by two joins of each later role
         out = out.join(hit, "snapshot_id", "left")
         left = left.join(hit, "snapshot_id", "left").filter(~F.col("key").eqNullSafe(F.col(role))).drop(role)
     return out.withColumn("is_run", F.col("passed").isNotNull() & (F.col("failed").isNotNull() | F.col("total").isNotNull()))
@@ -241,11 +241,13 @@ def detect_inventory(columns: DataFrame, stats: DataFrame) -> DataFrame:
     return first.join(stats, ["snapshot_id", "key"]).filter(F.col("identifiers") / F.col("distinct") >= IDENTIFIER_SHARE).select("snapshot_id", F.col("key").alias("id_column"))
 
 
-def classify(columns: DataFrame, stats: DataFrame, n_rows: DataFrame) -> DataFrame:
+def classify(columns: DataFrame, stats: DataFrame, n_rows: DataFrame, runs: DataFrame | None = None, status: DataFrame | None = None, inventory: DataFrame | None = None) -> DataFrame:
     """snapshot_id, kind (run_results, status, inventory only without a measure, or volume) and the reason, which
-    names the columns that decide."""
-    out = detect_run_columns(columns).select("snapshot_id", "is_run", F.col("passed").alias("_p"), F.coalesce("failed", "total").alias("_f"))
-    out = out.join(detect_status_column(columns, stats, n_rows), "snapshot_id", "left").join(primary_measure(columns), "snapshot_id", "left").join(detect_inventory(columns, stats), "snapshot_id", "left")
+    names the columns that decide. runs, status, inventory: what the detect_ functions give, if it is there already."""
+    out = (detect_run_columns(columns) if runs is None else runs).select("snapshot_id", "is_run", F.col("passed").alias("_p"), F.coalesce("failed", "total").alias("_f"))
+    status = detect_status_column(columns, stats, n_rows) if status is None else status
+    inventory = detect_inventory(columns, stats) if inventory is None else inventory
+    out = out.join(status, "snapshot_id", "left").join(primary_measure(columns), "snapshot_id", "left").join(inventory, "snapshot_id", "left")
     is_status, is_list = F.col("status").isNotNull(), F.col("measure").isNull() & F.col("id_column").isNotNull()
     kind = F.when(F.col("is_run"), "run_results").when(is_status, "status").when(is_list, "inventory").otherwise("volume")
     labels = columns.groupBy("snapshot_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "label"))).alias("_labels"))  # columns of one file
