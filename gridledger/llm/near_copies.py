@@ -1,27 +1,27 @@
-"""Near copies by words: SimHash links and shared rare shingles, checked on the shingles themselves.
+"""Near copies by words: SimHash links and shared rare shingles, checked on the shingles themselves; none is missed.
 
 Two texts are near copies if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more.
 Such texts of sf0.1 differ in 8 to 9 of 64 fingerprint bits in the median, about the mean that the angle of
 their sets gives (10, deviation 3); a radius that holds nearly all of them is so wide that bands no longer
-tell texts apart. So texts meet in two ways, and fingerprints and shingles decide:
+tell texts apart. So texts meet in two ways, and the shingles decide:
 
 1. Shingles: words as in simhash, XXH64 with seed 42; a shorter text is one shingle, as is an empty one.
 2. Candidates within RADIUS bits: the tiled comparison of simhash, over fingerprints of 5-word shingles.
-3. Candidates by first shingles. Under any one order of all shingles, two near copies share at least k of
-   their first n - ceil(0.8 n) + k (for the smaller k of the two; here k = 1 + n // 8). The order is by
-   frequency in a sample of documents, then by hash: a common passage comes last and brings few texts
-   together. Of those that have a shingle, by size, each text meets the first and the one before it (texts of
-   one size stand in one of ORDERS orders, so that shingles bring a text to several others); never all that
-   have it, so the work grows with the input. Of these pairs, those of like size whose fingerprints are
-   within WIDE bits remain (exclusive-or and bit count; near copies beyond are about one in 5,000).
-4. Candidates are compared whole, on the shingles themselves, so no other text is dropped. Components of the
-   links that hold are the groups.
-
-Near copies are missed only if for every shared shingle both meet others, and nothing else links them;
-README gives the measured recall, and a test holds it. With exact=True none are missed: all texts of like size that
-have a first shingle in common are compared, without a bound on bits. A shingle's texts are then dealt to blocks by
-hash, and a task gets two blocks, so that one which many texts have is many tasks' work; but pairs grow with the
-square of its texts.
+3. Candidates by first shingles. Under any one order of all shingles, two near copies share one of their first
+   n - ceil(0.8 n) + 1. The order puts rare ones first, so that few texts have a first shingle in common: half of the
+   shingles (by hash) come by the number of texts that have them, counted over all texts; then the other half by hash;
+   then those that are common in a sample of documents, by how common. The half that is counted nearly always holds a
+   text's first shingles. Shingles of one text only link nothing and go at once.
+4. A first round: of those that have a first shingle, by size, each text meets the first and the one before it.
+   These pairs and those of 2. are compared whole, on the shingles themselves; components of those that hold are
+   the groups so far, which are nearly all.
+5. A second round: all texts that have a first shingle in common and are of different groups meet, but for those
+   whose sizes, places of the shingle, or parities of shingles by bucket show that they can't be near copies. These are
+   compared whole too. Texts of one group do not meet again, so a large group costs no square of its size. A shingle's
+   texts are dealt to blocks by hash, and a task gets two blocks, so that one which many texts have is many tasks' work.
+
+So no near copy is missed: what one shingle doesn't link in the first round, the second does. Its pairs still grow
+with the square of the texts of different groups that share a shingle rarer than a fifth of their own.
 
 A text is known by its 64-bit hash, so equal texts are one node. Defined results: a null text counts as
 empty; a null doc_id stays only if its group has no other; an empty table gives no rows; other columns
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridledger.llm import common, simhash
@@ -43,8 +43,6 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 #: Bits between fingerprints of texts that need not share a first shingle.
 RADIUS = 4
-#: Bits between fingerprints of texts that share a first shingle.
-WIDE = 20
 #: Orders of texts of one size.
 ORDERS = 4
 #: Texts of a block, where all that have a shingle in common are compared.
@@ -54,6 +52,10 @@ SAMPLE = 5_000
 COMMON = 10
 #: The commonest shingles that the order knows; 16 bytes each are sent to the tasks.
 KNOWN = 200_000
+#: Shingles whose hash this divides are counted over all texts.
+COUNTED = 2
+#: Buckets of a text's shingles, of which parities are kept.
+BUCKETS = 1024
 
 
 def shingles(body: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -71,20 +73,26 @@ def shingles(body: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(view[s:e], simhash.SEED) for s, e in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())), np.uint64, n))
 
 
-def needed(n):
-    """k for a text of n shingles."""
-    return 1 + n // 8
+def first_shingles(n: int) -> int:
+    """Of how many first shingles of a text of n a near copy shares one."""
+    up, down = SIMILAR
+    return n - -(-up * n // down) + 1
 
 
-def first_shingles(found: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The shingles of which a near copy must share needed(n); known (sorted) come as `often` as sampled."""
-    n, (up, down) = len(found), SIMILAR
-    most = n - -(-up * n // down) + needed(n)
-    times = np.zeros(n, np.int64)
+def ordered(found: np.ndarray, known: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that are counted, the others as the order has them); known (sorted) come as `often` as sampled."""
+    times = np.zeros(len(found), np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, found), len(known) - 1)
         times = np.where(known[at] == found, often[at], 0)
-    return found[np.lexsort((found, times))[:most]]
+    counted = (times == 0) & (found % np.uint64(COUNTED) == 0)
+    rest, times = found[~counted], times[~counted]
+    return found[counted], rest[np.lexsort((rest, times))]
+
+
+def parity(found: np.ndarray) -> bytes:
+    """Whether the number of shingles of each bucket is odd: bits that differ between texts are at most the shingles that do."""
+    return np.packbits(np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) & 1 == 1).tobytes()
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -100,23 +108,46 @@ def _each_shingle(batches):
 
 
 def _first_rows(known: np.ndarray, often: np.ndarray):
+    """h, node, size, counted (how many of the text's shingles are), place: null for those that are counted, whose place
+    is told when all are; of the others, come those that are among the first."""
+
     def run(batches):
         for batch in batches:
             for part in common.pieces_of(batch):
-                nodes, sizes, hashes = [], [], []
+                hashes, lens, rows = [], [], []
                 for node, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found = shingles(body)
-                    first = first_shingles(found, known, often)
-                    hashes.append(first)
-                    nodes.append(np.full(len(first), node, np.int64))
-                    sizes.append(np.full(len(first), len(found), np.int32))
-                if nodes:
-                    arrays = [np.concatenate(hashes).view(np.int64), np.concatenate(nodes), np.concatenate(sizes)]
-                    yield pa.record_batch([pa.array(x) for x in arrays], names=["h", "node", "size"])
+                    counted, rest = ordered(found, known, often)
+                    rest = rest[: max(0, first_shingles(len(found)) - len(counted))]
+                    for own, places in ((counted, np.full(len(counted), -1)), (rest, len(counted) + np.arange(len(rest)))):
+                        hashes.append(own)
+                        lens.append(places)
+                    rows.append((node, len(found), len(counted), len(counted) + len(rest)))
+                if rows:
+                    node, size, counted, n = (np.array(x, np.int64) for x in zip(*rows))
+                    place = np.concatenate(lens).astype(np.int32)
+                    arrays = [np.concatenate(hashes).view(np.int64), np.repeat(node, n), np.repeat(size, n).astype(np.int32), np.repeat(counted, n).astype(np.int32)]
+                    yield pa.record_batch([*[pa.array(x) for x in arrays], pa.array(place, mask=place < 0)], names=["h", "node", "size", "counted", "place"])
 
     return run
 
 
+def first_rows(texts: DataFrame) -> DataFrame:
+    """h, node, size, place: the first shingles of each text that other texts have too, and their places in the order."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    up, down = SIMILAR
+    every = common.arrow_map(texts, _first_rows(*common_shingles(texts)), "h long, node long, size int, counted int, place int")
+    # shingles that aren't counted are dealt by text as well, as a common one may be in any number of texts
+    own = F.when(F.col("place").isNotNull(), F.col("node")).otherwise(F.lit(0))
+    told = every.withColumn("_own", own).withColumn("_n", F.count("*").over(Window.partitionBy("h", "_own")))
+    told = told.filter(F.col("place").isNotNull() | (F.col("_n") > 1)).drop("_own").repartition(n, "node").dropDuplicates(["node", "h"])
+    of = Window.partitionBy("node", F.col("place").isNull())
+    # those of no other text come first
+    place = F.col("counted") - F.count("*").over(of) + F.row_number().over(of.orderBy("_n", "h")) - 1
+    told = told.withColumn("place", F.coalesce("place", place.cast("int")))
+    return told.filter(F.col("place") < F.expr(f"size - ({up} * size + {down - 1}) div {down} + 1")).select("h", "node", "size", "place")
+
+
 def _shared(batches):
     """Rows come sorted by h: for each after the first of its h, pairs with the first node and with the one before."""
     last = None  # (h, first node and its size, last node and its size) so far
@@ -140,12 +171,16 @@ def _shared(batches):
 
 
 def all_shared(first: DataFrame, block: int = BLOCK) -> DataFrame:
-    """a, b, least, most: all pairs of texts that have a first shingle in common; first: h, node, size."""
+    """a, b, least, most: all pairs of texts that have a first shingle in common; first: h, node, size. With place, parity
+    and root: those of different roots that may be near copies."""
     n = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = first.groupBy("h").agg(F.ceil(F.count("*") / block).alias("_blocks"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    rooted = "root" in first.columns
+    carried = ["node", "size", *(["place", "parity", "root"] if rooted else [])]
+    counts = first.groupBy("h").agg(F.ceil(F.count("*") / block).alias("_blocks"), F.count("*").alias("_n"), *([F.min("root").alias("_low"), F.max("root").alias("_high")] if rooted else []))
+    counts = counts.filter("_low < _high" if rooted else "_n > 1").select("h", "_blocks")
     own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
     each = first.join(counts, "h").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    each = each.select("h", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "size")
+    each = each.select("h", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", *carried)
     dealt = each.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j")
     return common.arrow_map(dealt, _all_pairs, "a long, b long, least int, most int")
 
@@ -155,21 +190,37 @@ def _all_pairs(batches):
 
     rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
     for (_, i, j), group in groupby(rows, lambda r: r[:3]):
-        own, node, size = (np.array(x) for x in list(zip(*group))[3:])
-        left = own == i
-        for a, s in zip(node[left].tolist(), size[left].tolist()):
-            # of two blocks, one side each; within one block every pair once
-            met = (own == j) & (node > a) if i == j else ~left & (node != a)
-            if met.any():
-                b, t = node[met], size[met]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(s, t).astype(np.int32)), pa.array(np.maximum(s, t).astype(np.int32))], names=["a", "b", "least", "most"])
+        own, node, size, *more = list(zip(*group))[3:]
+        own, node, size = np.array(own), np.array(node), np.array(size, np.int64)
+        # of two blocks, one side each; within one block every pair once
+        x, y = np.nonzero((node[:, None] < node) if i == j else (own == i)[:, None] & (own == j))
+        if more:
+            x, y = _possible(x, y, size, *more)
+        if len(x):
+            ends = [np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]
+            sizes = [np.minimum(size[x], size[y]).astype(np.int32), np.maximum(size[x], size[y]).astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in ends + sizes], names=["a", "b", "least", "most"])
+
+
+def _possible(x, y, size, place, parities, root):
+    """Of pairs (x, y) of one shingle, those of different roots that may be near copies. They share the shingle, at most
+    as many before it as the lesser place, and after it as the lesser rest; and they differ in no fewer shingles than
+    parities."""
+    (up, down), place, root = SIMILAR, np.array(place, np.int64), np.array(root)
+    marks = np.frombuffer(b"".join(parities), np.uint64).reshape(len(size), -1)
+    rest, both = size - place - 1, size[x] + size[y]
+    most = np.minimum(place[x], place[y]) + 1 + np.minimum(rest[x], rest[y])
+    keep = (root[x] != root[y]) & (most * (up + down) >= up * both)
+    x, y, both = x[keep], y[keep], both[keep]
+    keep = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64) * (up + down) <= (down - up) * both
+    return x[keep], y[keep]
 
 
 def _sets(batches):
     for batch in batches:
         for part in common.pieces_of(batch):
-            found = [shingles(body).tobytes() for body in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), pa.array(found, pa.binary())], names=["node", "grams"])
+            found = [shingles(body) for body in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([parity(f) for f in found], pa.binary())], names=["node", "grams", "parity"])
 
 
 def _compared(batches):
@@ -179,16 +230,12 @@ def _compared(batches):
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(holds, pa.bool_())], names=["a", "b", "holds"])
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with holds: whether their texts are near copies. Sets are made for texts in pairs only."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = common.settle(common.arrow_map(texts.join(ends, "node", "left_semi"), _sets, "node long, grams binary").dropDuplicates(["node"]), "near-sets")
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with holds: whether their texts are near copies."""
     one = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
     other = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
     rows = pairs.join(other, "b").join(one, "a").select("a", "b", "grams_a", "grams_b")
-    out = common.settle(common.arrow_map(rows, _compared, "a long, b long, holds boolean"), "near-compared")
-    common.discard(sets)
-    return out
+    return common.settle(common.arrow_map(rows, _compared, "a long, b long, holds boolean"), "near-compared")
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +248,9 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return known[order], often[order]
 
 
-def near_components(docs: DataFrame, exact: bool = False) -> DataFrame:
-    """node, root for the texts (by hash) that have near copies; exact: none is missed."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def near_components(docs: DataFrame, exact: bool = True) -> DataFrame:
+    """node, root for the texts (by hash) that have near copies; not exact: by the first round only, which misses a few."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(node_of().alias("node"), common.bytes_of().alias("body"))
     prints = common.settle(simhash.fingerprints(docs.select(node_of().alias("doc_id"), "text"), SHINGLE).distinct(), "near-prints")
     heads = common.settle(prints.groupBy("bits").agg(F.min("doc_id").alias("head")), "near-heads")
@@ -213,30 +259,32 @@ def near_components(docs: DataFrame, exact: bool = False) -> DataFrame:
     linked = linked.join(to_a, "a").join(to_b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
     same = prints.join(heads, "bits").filter("head < doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
 
-    first = common.arrow_map(texts, _first_rows(*common_shingles(texts)), "h long, node long, size int")
+    first = common.settle(first_rows(texts), "near-first")
     up, down = SIMILAR
-    if exact:
-        met = all_shared(common.settle(first.distinct(), "near-first")).filter(F.col("least") * down >= F.col("most") * up)
-        pairs = common.settle(linked.union(same).union(met.select("a", "b")).distinct(), "near-pairs")
-        tried = compared(pairs, texts)
-        common.discard(prints, heads, pairs)
-        return components(tried.filter("holds").select("a", "b"))
-    dealt = first.repartition(n, "h").sortWithinPartitions("h", "size", F.xxhash64("node", F.pmod("h", F.lit(ORDERS))))
+    dealt = first.select("h", "node", "size").repartition(n, "h").sortWithinPartitions("h", "size", F.xxhash64("node", F.pmod("h", F.lit(ORDERS))))
     met = common.arrow_map(dealt, _shared, "a long, b long, least int, most int").filter(F.col("least") * down >= F.col("most") * up)
-    met = common.settle(met.select("a", "b").distinct(), "near-met")
-    bits = lambda end: prints.select(F.col("doc_id").alias(end), F.col("bits").alias(f"bits_{end}"))
-    close = met.join(bits("a"), "a").join(bits("b"), "b").filter(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= WIDE).select("a", "b")
-    pairs = common.settle(linked.union(same).union(close).distinct(), "near-pairs")
-    tried = compared(pairs, texts)
-    common.discard(prints, heads, met, pairs)
-    return components(tried.filter("holds").select("a", "b"))
+    pairs = common.settle(linked.union(same).union(met.select("a", "b")).distinct(), "near-pairs")
+    # the texts that meet others, once: sets are made for no others
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(first.select("node")).distinct()
+    sets = common.settle(common.arrow_map(texts.join(ends, "node", "left_semi"), _sets, "node long, grams binary, parity binary").dropDuplicates(["node"]), "near-sets")
+    tried = compared(pairs, sets)
+    holds = tried.filter("holds").select("a", "b")
+    roots = components(holds)
+    if exact:
+        named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets.select("node", "parity"), "node")
+        others = all_shared(named).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        late = compared(others, sets).filter("holds").select("a", "b")
+        if not late.isEmpty():
+            roots = components(holds.union(late))
+    common.discard(prints, heads, first, pairs, sets)
+    return roots
 
 
 def node_of():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def drop_near_copies(docs: DataFrame, exact: bool = False) -> DataFrame:
+def drop_near_copies(docs: DataFrame, exact: bool = True) -> DataFrame:
     """docs with one row of each group of near copies: that with the smallest doc_id (and text hash); exact: as in near_components."""
     names = [f"_gl{k}" for k in range(len(docs.columns))]
     plain = docs.toDF(*names)
