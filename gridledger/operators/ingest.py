@@ -1,7 +1,9 @@
 """From messy sheet grids to typed rows.
 
 A grid is (file, row_no, cells ARRAY<STRING>). What a row means depends on the rows before it, so rows go through
-the ordered machines of `scan`, block by block: a file is never one task's work, however long it is."""
+the ordered machines of `scan`, block by block: a file is never one task's work, however long it is. Tables of a row a
+file are kept before rows meet them: where they are few their size is known, they are broadcast, and rows are not dealt by
+file (of tables it has just dealt, Spark doesn't broadcast one whose rows are all in a few partitions)."""
 
 from __future__ import annotations
 
@@ -46,10 +48,11 @@ def looks_like_values(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 
     A candidate and its rows below come from one read of the rows of its width; the candidate stands at place 0."""
     cand = candidates.select("file", F.col("row_no").alias("head")).distinct()
-    width = cand.join(rows.select("file", F.col("row_no").alias("head"), F.col("width").alias("w")), ["file", "head"])
+    width = kept(cand.join(rows.select("file", F.col("row_no").alias("head"), F.col("width").alias("w")), ["file", "head"]))
     near = rows.join(width, "file").filter((F.col("row_no") >= F.col("head")) & (F.col("width") == F.col("w")))
-    place = F.row_number().over(Window.partitionBy("file", "head").orderBy("row_no")) - 1
-    near = near.withColumn("_r", place).filter(F.col("_r") <= BELOW_ROWS)
+    place = F.row_number().over(Window.partitionBy("file", "head").orderBy("row_no"))
+    # the plain comparison lets Spark drop further rows before they are dealt by file
+    near = near.withColumn("_r", place).filter(F.col("_r") <= BELOW_ROWS + 1).withColumn("_r", F.col("_r") - 1)
     cell = near.select("file", "head", "w", "_r", F.posexplode("cells").alias("col_no", "c")).filter(F.col("c").isNotNull())
     shape = T.cell_shape("c.s", "c.n").alias("shape")
     shapes = cell.groupBy("file", "head", "w", "col_no", shape).agg(F.count_if(F.col("_r") > 0).alias("n"), F.min(F.when(F.col("_r") > 0, F.col("_r"))).alias("at"), F.count_if(F.col("_r") == 0).alias("own"))
@@ -66,7 +69,7 @@ def looks_like_values(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def find_headers(rows: DataFrame) -> DataFrame:
     """file, header_row (null if every column is only numbered), start, labels; files without any are left out."""
-    widths = dominant_width(rows)
+    widths = kept(dominant_width(rows))
     tried = looks_like_values(rows, header_candidates(rows, widths))
     head = tried.filter(~F.col("is_data")).groupBy("file").agg(F.min_by("row_no", "pass_no").alias("header_row"))
     first = rows.join(widths, "file").filter(F.col("width") == F.col("mode_width")).groupBy("file", "mode_width").agg(F.min_by("filled", "row_no").alias("filled"))
@@ -112,9 +115,9 @@ def assign_sections(body: DataFrame, rows: DataFrame) -> DataFrame:
     how the next lone cell is read, rows are scanned in order; only their kinds and lone cells go to Python."""
     hard = F.col("lone") & ((F.col("offset") <= 0) | (F.col("offset") >= F.col("n_cols")))
     kind = F.when(~F.col("lone"), DATA).when(hard, HARD).otherwise(SOFT)
-    heads = body.select("file", "header_row").distinct()
+    heads = kept(body.select("file", "header_row").distinct())
     pre = rows.join(heads, "file").filter((F.col("row_no") < F.col("header_row")) & (F.col("width") > 0)).groupBy("file").agg(F.max_by(_first_text("cells"), "row_no").alias("opening"))
-    told = body.select("file", "row_no", kind.alias("kind"), "value").join(pre, "file", "left").withColumn("opening", F.coalesce("opening", F.lit(DEFAULT_SECTION)))
+    told = body.select("file", "row_no", kind.alias("kind"), "value").join(kept(pre), "file", "left").withColumn("opening", F.coalesce("opening", F.lit(DEFAULT_SECTION)))
     type_ = dict(body.dtypes)
     named = block_scan(told, Titles, f"file {type_['file']}, row_no {type_['row_no']}, section string, is_title boolean")
     return body.join(named, ["file", "row_no"])
@@ -162,7 +165,7 @@ def infer_types(data: DataFrame, columns: DataFrame, share: float = NUMBER_SHARE
 def drop_separators(data: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(data rows with a value in some number column, file and separators dropped). Files without number columns keep all."""
     numbers = columns.filter(F.col("type") == "number").groupBy("file").agg(F.collect_list("pos").alias("_numbers"))  # columns of one file
-    each = data.join(numbers, "file", "left").withColumn("_sep", F.col("_numbers").isNotNull() & ~F.exists("_numbers", lambda p: F.get("vals", p).isNotNull()))
+    each = data.join(kept(numbers), "file", "left").withColumn("_sep", F.col("_numbers").isNotNull() & ~F.exists("_numbers", lambda p: F.get("vals", p).isNotNull()))
     dropped = each.groupBy("file").agg(F.count_if("_sep").alias("separators"))
     return each.filter(~F.coalesce("_sep", F.lit(False))).drop("_numbers", "_sep"), dropped
 
@@ -216,7 +219,7 @@ def load(grid: DataFrame, most: int | None = MAX_ROWS) -> dict[str, DataFrame]:
     data, separators = drop_separators(data, columns)
     # a file of separators only is empty too
     empty = left.join(data.select("file").distinct(), "file", "left_anti").select("file", F.lit("empty_sheet").alias("code"))
-    data = with_row_key(data, identity_columns(columns))
+    data = with_row_key(data, kept(identity_columns(columns)))
     return {"headers": headers, "columns": columns, "data": data, "separators": separators, "rejects": rejects.unionByName(empty)}
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
+from gridledger.sources.kept import kept
+
 #: Row numbers of a block.
 BLOCK = 4096
 #: Kinds of rows: a data row, a lone cell that may continue it, a lone cell that is a title.
@@ -195,7 +197,8 @@ def block_scan(rows: DataFrame, machine, schema: str, block: int = BLOCK) -> Dat
     blocks = rows.select("file", place, F.lit(None).cast("binary").alias("_note"), *[c for c in names if c != "file"])
     note = f"file {kind}, _block long, _note binary"
     spans = rows.groupBy("file").agg(F.min("row_no").alias("_low"), F.max("row_no").alias("_high"))
-    long = spans.filter(F.floor(F.col("_low") / block) < F.floor(F.col("_high") / block)).select("file")
+    # kept, so that a few long files are broadcast and their rows not dealt by file
+    long = kept(spans.filter(F.floor(F.col("_low") / block) < F.floor(F.col("_high") / block)).select("file"))
     in_order = blocks.join(long, "file", "left_semi").repartition(n, "file", "_block").sortWithinPartitions("file", "_block", "row_no")
     tellings = in_order.mapInArrow(_telling(machine, _arrow(note)), note)
     states = tellings.repartition(n, "file").sortWithinPartitions("file", "_block").mapInArrow(_states(machine, _arrow(note)), note)
