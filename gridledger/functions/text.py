@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 ID_TOKEN = r"\b([A-Za-z][A-Za-z0-9]{0,7})[-_ ]?(\d+)\b"
 MAX_ID_LENGTH = 40
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: ASCII characters that no number has.
+NO_NUMBER = r"[!-*,/:-DF-df-~]"
+#: Whole numbers that are their own canonical form.
+PLAIN_WHOLE = r"^(?:0|[1-9][0-9]{0,14})\z"
 #: White space of all scripts, with the separators that Unicode's property leaves out.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 #: Whole numbers below this are written with all their digits.
@@ -98,12 +102,18 @@ def norm_cell(c: Column | str) -> Column:
     cells = F.transform(F.array(_spaced(c)), lambda t: F.nullif(t, F.lit("")))
     digits = F.transform(cells, lambda t: F.struct(t.alias("t"), ascii_digits(t).alias("d")))
     numbered = F.transform(digits, lambda x: F.struct(x["t"].alias("t"), _number(x["d"]).alias("n")))
-    return F.get(F.transform(numbered, written), 0)
+    # most cells are as they are written: plain texts, and whole numbers that a double holds exactly
+    text, none = _col(c), F.lit(None).cast("double")
+    spaced = text.rlike(r"[^\x20-\x7E]") | text.contains("  ") | text.startswith(" ") | text.endswith(" ")
+    plain = F.when(text.rlike(NO_NUMBER) & ~spaced, F.struct(text.alias("s"), none.alias("n"))).when(text.rlike(PLAIN_WHOLE), F.struct(text.alias("s"), text.try_cast("double").alias("n")))
+    return F.when(text.isNotNull(), F.coalesce(plain, F.get(F.transform(numbered, written), 0)))
 
 
 def cell_shape(s: Column | str, n: Column | str) -> Column:
     """'#' for a number; else letter runs as A and digit runs as 9; '' for an empty cell."""
-    text = F.regexp_replace(F.regexp_replace(_col(s), r"(?U)[^\W\d_]+", "A"), r"(?U)\d+", "9")
+    cell = _col(s)
+    other = F.regexp_replace(F.regexp_replace(cell, r"(?U)[^\W\d_]+", "A"), r"(?U)\d+", "9")
+    text = F.when(cell.rlike(r"[^\x00-\x7F]"), other).otherwise(F.regexp_replace(F.regexp_replace(cell, "[A-Za-z]+", "A"), "[0-9]+", "9"))
     return F.when(_col(n).isNotNull(), F.lit("#")).otherwise(F.coalesce(text, F.lit("")))
 
 

@@ -3,12 +3,13 @@
 A file's rows are cut into blocks. One pass reads each block by itself and tells how it changes the state of the
 machine, whatever state it begins in; a second goes over these short tellings, a row a block, and gives every block
 its true state; a third runs the machine over each block from there. So a file is never one task's work: its rows
-are shuffled by (file, block), and only the tellings of its blocks meet by file."""
+are shuffled by (file, block), and only the tellings of its blocks meet by file. Files of no more rows than a block has
+need none of this: `sheet_scan` takes each through both machines at once."""
 
 from __future__ import annotations
 
 import pickle
-from itertools import chain, groupby
+from itertools import accumulate, chain, groupby, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from gridledger.sources.kept import kept
 
 #: Row numbers of a block.
 BLOCK = 4096
-#: Kinds of rows: a data row, a lone cell that may continue it, a lone cell that is a title.
-DATA, SOFT, HARD = 0, 1, 2
+#: Kinds of rows: a data row, a lone cell that may continue it, a lone cell that is a title, a row above the header.
+DATA, SOFT, HARD, ABOVE = 0, 1, 2, 3
 
 
 class Titles:
@@ -109,6 +110,8 @@ class Values:
     @staticmethod
     def own_from(cells):
         """Where a row's own cells begin; before, it inherits."""
+        if cells and cells[0] is not None:
+            return 0
         return next((i for i, c in enumerate(cells) if c is not None), len(cells))
 
     @classmethod
@@ -184,6 +187,84 @@ class Values:
         return file, *place, [c and c[0] for c in cells], [c and c[1] for c in cells]
 
 
+class Cells(Values):
+    """Values, with the cells of a row as one list of pairs."""
+
+    @staticmethod
+    def cells_of(texts, numbers):
+        return list(texts)
+
+    @staticmethod
+    def written(file, place, cells):
+        return file, *place, cells
+
+
+def sheet_scan(rows: DataFrame, opening: str, schema: str) -> DataFrame:
+    """The data rows of whole files, each of few rows: Titles, then Values, in one go.
+
+    rows: file, row_no, kind, value, vals (null above the header); `opening`: the section where no row is above."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = rows.select("file", "row_no", "kind", "value", "vals").repartition(n, "file").sortWithinPartitions("file", "row_no")
+    return in_order.mapInArrow(_sheets(opening, _arrow(schema)), schema)
+
+
+def sheet(file, rows: list, opening: str):
+    """(file, row_no, section, cells) of a file's data rows; rows: (row_no, kind, value, cells)."""
+    above = [value for _, kind, value, _ in rows if kind == ABOVE]
+    rows, opening = [r for r in rows if r[1] != ABOVE], above[-1] if above else opening
+    titles = Titles.run(file, None, [], ((row_no, kind, value, opening) for row_no, kind, value, _ in rows))
+    told = ((row_no, section, HARD if title else kind, cells, None) for (row_no, kind, _, cells), (_, _, section, title) in zip(rows, titles))
+    return Cells.run(file, None, [], told)
+
+
+def _sheets(opening, schema):
+    def in_order(batches):
+        for batch in batches:
+            file, row_no, kind, value, vals = batch.columns
+            yield from zip(_objects(file), _objects(row_no), _objects(kind), _objects(value), _cells(vals))
+
+    def out(batches):
+        for file, rows in groupby(in_order(batches), lambda r: r[0]):
+            yield from sheet(file, [r[1:] for r in rows], opening)
+
+    def emitted(batches):
+        import pyarrow as pa
+
+        rows = out(batches)
+        while held := list(islice(rows, 4096)):
+            *plain, vals = zip(*held)
+            arrays = [pa.array(c, type=f.type) for c, f in zip(plain, schema)]
+            yield pa.RecordBatch.from_arrays([*arrays, _cell_array(vals, schema.field("vals").type)], schema=schema)
+
+    return emitted
+
+
+def _objects(column) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _cells(column) -> list:
+    """Lists of (text, number) pairs, None for an empty cell; what is no number is nan, as no cell is."""
+    import numpy as np
+
+    texts, numbers = column.values.flatten()
+    cells = list(zip(_objects(texts), _objects(numbers)))
+    for i in np.flatnonzero(texts.is_null().to_numpy(zero_copy_only=False)).tolist():
+        cells[i] = None
+    ends = column.offsets.to_pylist()
+    return [cells[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _cell_array(rows, kind):
+    import pyarrow as pa
+
+    cells = list(chain.from_iterable(rows))
+    texts = pa.array([c and c[0] for c in cells], type=pa.string())
+    numbers = pa.array([c and c[1] for c in cells], type=pa.float64(), from_pandas=True)
+    values = pa.StructArray.from_arrays([texts, numbers], fields=list(kind.value_type), mask=pa.array([c is None for c in cells], type=pa.bool_()))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], type=pa.int32()), values, type=kind)
+
+
 def block_scan(rows: DataFrame, machine, schema: str, block: int = BLOCK) -> DataFrame:
     """Rows of each file through a machine, by row_no. `rows` has file, row_no and what else the machine reads, in its order.
 

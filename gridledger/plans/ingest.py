@@ -80,14 +80,14 @@ def order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = [F.lit(" Name"), F.lit("Prio "), F.lit("Test  Count")]
     name = F.when((F.col("r") % 3 == 2), none).otherwise(F.concat(F.lit("order "), key))
     count = F.when((F.col("r") % 7 == 0) & (F.col("r") % 3 != 2), none).otherwise((F.col("o_orderkey") % 100).cast("string"))
-    rows = F.array_compact(F.array(
+    rows = F.array(
         row(plain & first, F.lit(0), F.concat(F.lit("Plan of customer "), F.col("o_custkey")), none, none), row(plain & first, F.lit(1), *header),
         row(plain & part, at, F.concat(F.lit("Part "), F.floor(F.col("t") / 2).cast("string")), none, none),
         row(plain & part & (F.col("t") % 2 == 1), at + 1, none, F.concat(F.lit("tail "), key), none), row(plain & part, at + 2, *header),
         row(plain, at + 3, name, F.col("o_orderpriority"), count), row(plain & (F.col("r") % 5 == 1), at + 4, none, F.concat(F.lit("more "), key), none),
         row(F.col("bare"), at + 3, F.concat(F.lit("FL-"), key), F.concat(F.lit("day "), key), F.col("o_orderpriority")),
-        row(F.col("prose"), at + 3, F.concat(F.lit("note "), key), none, none)))
-    return o.select(F.col("o_custkey").cast("string").alias("file"), F.inline(rows))
+        row(F.col("prose"), at + 3, F.concat(F.lit("note "), key), none, none))
+    return o.select(F.col("o_custkey").cast("string").alias("file"), F.inline(rows)).filter(F.col("row_no").isNotNull())
 
 
 ORDER_ROWS = """WITH o AS (SELECT o_custkey, o_orderkey AS k, o_orderpriority AS p, row_number() OVER w AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
