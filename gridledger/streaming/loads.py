@@ -1,7 +1,8 @@
 """Loading sheet grids as they arrive: a file stream whose state knows each file's latest content.
 
-What a file holds is told by the sums of its rows' digests, so that a row of any file needs constant memory. State is
-keyed by file: content that is the latest already gives nothing, other content the next sequence. Only files of new
+What a file holds is told by the sums of its rows' digests, so that a row of any file needs constant memory. State tells
+each file's latest content: content that is the latest already gives nothing, other content the next sequence. It is
+keyed by buckets of files, as a call for each file costs more than its rows do; a bucket that changed is written whole. Only files of new
 content are read and loaded, by the batch job. Stream and state are kept in the checkpoint folder; a batch that is run
 again writes to the same folders."""
 
@@ -17,6 +18,8 @@ from gridledger.operators import ingest
 from gridledger.sources.kept import kept
 
 GRID = "file string, row_no int, cells array<string>"
+#: Buckets of files. A stream that has begun keeps its number.
+BUCKETS = 4096
 #: Words of a row's digest.
 WORDS = 8
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -43,24 +46,38 @@ def contents(grid: DataFrame) -> DataFrame:
 
 
 class Series(StatefulProcessor):
-    """A file's versions: its rows of a batch in, a row for each of their paths out if the content is new."""
+    """Files' versions: the rows of a bucket of files in, a row for each path of each file whose content is new out."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "content_hash string, sequence long")
+        self.latest = handle.getValueState("latest", "files array<string>, hashes array<string>, sequences array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import numpy as np
         import pandas as pd
 
-        sums, n, paths = [0] * WORDS, 0, set()
+        sums, paths = {}, {}  # of a file: its words' sums and its rows, and its paths
         for part in rows:
-            sums = [s + int(part[f"w{k}"].sum()) for k, s in enumerate(sums)]
-            n += len(part)
-            paths.update(part["path"].unique())
-        found = content_hash(sums, n)
-        known, sequence = self.latest.get() if self.latest.exists() else (None, 0)
-        if found != known:
-            self.latest.update((found, sequence + 1))
-            yield pd.DataFrame([(key[0], p, found, sequence + 1, n) for p in sorted(paths)], columns=["file", "path", "content_hash", "sequence", "row_count"])
+            places, files = pd.factorize(part["file"], use_na_sentinel=False)
+            order = np.argsort(places, kind="stable")
+            begin = np.flatnonzero(np.diff(places[order], prepend=-1))
+            words = part[[f"w{k}" for k in range(WORDS)]].to_numpy()[order]
+            told = np.column_stack([np.add.reduceat(words, begin), np.diff(begin, append=len(order))]).tolist()
+            for file, more in zip(files, told):
+                file = file if isinstance(file, str) else None  # a null is nan here
+                sums[file] = [x + y for x, y in zip(sums[file], more)] if file in sums else more
+            for file, path in set(zip(part["file"], part["path"])):
+                paths.setdefault(file, set()).add(path)
+        known = {f: (h, n) for f, h, n in zip(*self.latest.get())} if self.latest.exists() else {}
+        new = {}
+        for file, (*told, n) in sums.items():
+            found, (before, sequence) = content_hash(told, n), known.get(file, (None, 0))
+            if found != before:
+                new[file] = (found, sequence + 1, n)
+        if new:
+            known.update({f: told[:2] for f, told in new.items()})
+            self.latest.update((list(known), [h for h, _ in known.values()], [n for _, n in known.values()]))
+            out = [(f, p, *new[f]) for f in new for p in sorted(paths[f])]
+            yield pd.DataFrame(out, columns=["file", "path", "content_hash", "sequence", "row_count"])
 
     def close(self) -> None:
         pass
@@ -74,7 +91,8 @@ def changes(spark: SparkSession, path: str, files_per_batch: int | None = None)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     rows = row_words(reader.parquet(path).select("*", F.col("_metadata.file_path").alias("path")))
-    return rows.groupBy("file").transformWithStateInPandas(statefulProcessor=Series(), outputStructType=CHANGES, outputMode="Append", timeMode="None")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=Series(), outputStructType=CHANGES, outputMode="Append", timeMode="None")
 
 
 def load_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files_per_batch: int | None = None) -> StreamingQuery:

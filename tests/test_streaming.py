@@ -70,3 +70,34 @@ def test_stream_equals_batch(spark, tmp_path):
         L.changes(spark, src).writeStream.foreachBatch(lambda df, n: df.drop("path").withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/b{n}")).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     got = rows_of(spark.read.parquet(f"{out}/*"), "batch", "file", "content_hash", "row_count", "sequence")
     assert got == sorted(want)
+
+
+def test_a_call_for_many_files():
+    """Files of a bucket are read and kept by one call to the state, in parts of any size, each with its own versions."""
+    import pandas as pd
+
+    class Value:
+        held, calls = None, 0
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held, self.calls = value, self.calls + 1
+
+    value, series = Value(), L.Series()
+    series.init(value)
+    row = lambda f, p, w: {"file": f, "path": p, "bucket": 0} | {f"w{k}": (1 << 32) - 1 - w for k in range(L.WORDS)}
+    tell = lambda *parts: sorted((tuple(r) for out in series.handleInputRows((0,), iter(pd.DataFrame(p) for p in parts), None) for r in out.itertuples(index=False)), key=repr)
+    first = tell([row(f"f{i % 50}", "a", i) for i in range(100)], [row("f7", "b", 3), row(None, "c", 4)])
+    assert value.calls == 1 and len(first) == 52 and {r[3] for r in first} == {1}
+    assert [(r[1], r[4]) for r in first if r[0] == "f7"] == [("a", 3), ("b", 3)] and {r[2] for r in first if r[0] == "f7"} == {L.content_hash([3 * ((1 << 32) - 1) - 67] * L.WORDS, 3)}
+    again = tell([row(f"f{i % 50}", "d", i) for i in range(100)], [row("f7", "d", 3), row(None, "d", 5)])  # only the last is other
+    assert [(r[0], r[1], r[3], r[4]) for r in again] == [(None, "d", 2, 1)] and value.calls == 2
+    assert tell([row("f1", "e", 1), row("f1", "e", 51)]) == [] and value.calls == 2
