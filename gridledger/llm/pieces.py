@@ -7,8 +7,9 @@ reached, in proportion to these sums: exact draws from all segmentations. Draws
 the row key and the position, so they don't depend on batches, order or retries.
 
 No piece crosses the end of a word (spaces belong to the next word) or a line break, so words are
-independent parts of the lattice. Each different word of a batch is filtered once, all of them together,
-and all draws of a batch go on side by side. The model's pieces have ranks, not probabilities; a piece weighs
+independent parts of the lattice. Each different word of a batch is filtered once, WORD_CHARS characters of
+them together, and all draws from these go on side by side; then their lattices go, so that a task's memory doesn't hold
+those of a whole batch. The model's pieces have ranks, not probabilities; a piece weighs
 1 / (rank + offset) to the power `alpha`.
 
 Decoding joins the pieces' bytes and gives the text back exactly, whatever its white space or characters.
@@ -23,7 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,10 @@ ALPHA = 1.0
 RANK_OFFSET = 10
 #: Weight of a character that has only byte pieces.
 FALLBACK_LOG = -12.0
-#: Characters that a task filters together.
+#: Characters that a task encodes together; longer texts are alone.
 BATCH_CHARS = 1 << 21
+#: Characters of different words that a task filters together; longer words are alone.
+WORD_CHARS = 1 << 16
 #: Marks a space at the front of pieces.
 SPACE = "▁"
 
@@ -200,12 +205,11 @@ class Lattice:
             ups[arcs] = np.minimum(up, 1.0)
         return ups
 
-    def draw(self, words: np.ndarray, ends: np.ndarray, keys: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-        """The piece that ends at each of `size` characters: an id, -1 for byte pieces, or -2 for none.
+    def draw(self, words: np.ndarray, ends: np.ndarray, keys: np.ndarray, starts: np.ndarray, out: np.ndarray) -> None:
+        """Write the piece that ends at a character to its place in `out`: an id, or -1 for byte pieces.
 
-        words: numbers of the words that stand one after another; ends: their ends among all characters;
+        words: numbers of the words that stand in the texts; ends: their ends among all characters;
         keys, starts: row key and first character of their texts."""
-        out = np.full(size, -2, np.int32)
         base = self.first[words]
         nodes = self.first[words + 1] - 1
         while len(nodes):
@@ -219,7 +223,6 @@ class Lattice:
             nodes, ends = nodes - step, ends - step
             on = nodes > base
             nodes, base, ends, keys, starts = nodes[on], base[on], ends[on], keys[on], starts[on]
-        return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -241,18 +244,35 @@ def row_key(doc_id: int | None, seed: int = SEED) -> int:
 _WORDS = re.compile(r" *[^ \n]+| +|\n")
 
 
+def _stretches(lengths: np.ndarray):
+    """(first, end) of different words of at most WORD_CHARS characters, unless one word has more."""
+    up, a = np.cumsum(lengths), 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(up, (up[a - 1] if a else 0) + WORD_CHARS, "right")))
+        yield a, b
+        a = b
+
+
 def encode_batch(pieces: Pieces, doc_ids: list, texts: list[str], seed: int = SEED) -> list[np.ndarray]:
     """The sampled ids of each text."""
-    words = [_WORDS.findall(t) for t in texts]
-    known: dict[str, int] = {}
-    number = np.array([known.setdefault(w, len(known)) for ws in words for w in ws], np.int64)
-    lattice = Lattice(pieces, list(known))
-    sizes = (np.diff(lattice.first) - 1)[number]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
+    known: dict[str, int] = defaultdict(count().__next__)
+    numbers = [np.fromiter(map(known.__getitem__, _WORDS.findall(t)), np.int32) for t in texts]
+    counts = np.fromiter(map(len, numbers), np.int64, len(texts))
+    number = np.concatenate([np.zeros(0, np.int32), *numbers])
+    different = list(known)
+    del known, numbers
+    lengths = np.fromiter(map(len, different), np.int64, len(different))
+    ends = np.cumsum(lengths[number])
     chars = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.concatenate([[0], np.cumsum(chars)])
     keys = np.array([row_key(d, seed) for d in doc_ids], np.uint64)
-    at = lattice.draw(number, np.cumsum(sizes), np.repeat(keys, counts), np.repeat(first[:-1], counts), int(first[-1]))
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    at = np.full(int(first[-1]), -2, np.int32)
+    order = np.argsort(number, kind="stable")
+    begins = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(different)))])  # of each word's places in that order
+    for a, b in _stretches(lengths):
+        own = order[begins[a] : begins[b]]
+        Lattice(pieces, different[a:b]).draw(number[own] - a, ends[own], keys[row[own]], first[row[own]], at)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     out = []
     for k in range(len(texts)):
@@ -273,9 +293,9 @@ OUT = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha2
 
 
 def _parts(batch):
-    """(first, last row, texts) of at most BATCH_CHARS characters, unless one text has more."""
+    """(first row, texts) of at most BATCH_CHARS characters, unless one text has more."""
     texts, size, at = [], 0, 0
-    for k, text in enumerate(batch.column(1).to_pylist()):
+    for k, text in enumerate(map(pa.StringScalar.as_py, batch.column(1))):
         if texts and size + len(text) > BATCH_CHARS:
             yield at, texts
             at, texts, size = k, [], 0
@@ -285,6 +305,18 @@ def _parts(batch):
         yield at, texts
 
 
+def _encoded(pieces: Pieces, part, at: int, texts: list[str], seed: int):
+    """The result's rows of a part's texts from row `at` on."""
+    keys = part.column(0).slice(at, len(texts))
+    found = encode_batch(pieces, keys.to_pylist(), texts, seed)
+    lists, rows = lists_of(found), []
+    for text, ids, back in zip(texts, found, texts_of(pieces, lists)):
+        rows.append((len(text), len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))]
+    names = ["doc_id", "n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "lossless", "ids", *part.schema.names[2:]]
+    return pa.record_batch([keys, *columns, lists, *part.slice(at, len(texts)).columns[2:]], names=names)
+
+
 def lists_of(found: list[np.ndarray]) -> pa.Array:
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     flat = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
@@ -305,16 +337,8 @@ def _sample(model: str, alpha: float, seed: int):
         pieces = pieces_of_model(common.local_file(model), alpha)
         for batch in batches:
             for part in common.pieces_of(batch):
-                keys = part.column(0).to_pylist()
                 for at, texts in _parts(part):
-                    found = encode_batch(pieces, keys[at : at + len(texts)], texts, seed)
-                    lists, rows = lists_of(found), []
-                    for text, ids, back in zip(texts, found, texts_of(pieces, lists)):
-                        rows.append((len(text), len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
-                    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))]
-                    others = part.slice(at, len(texts)).columns[2:]
-                    names = ["doc_id", "n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "lossless", "ids", *batch.schema.names[2:]]
-                    yield pa.record_batch([part.column(0).slice(at, len(texts)), *columns, lists, *others], names=names)
+                    yield _encoded(pieces, part, at, texts, seed)
 
     return run
 

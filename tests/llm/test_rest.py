@@ -3,6 +3,7 @@ import io
 import itertools
 import math
 import tarfile
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -391,6 +392,25 @@ def test_batches_do_not_matter():
     assert any(not np.array_equal(pieces.encode_batch(model, [i], ["something longer to cut"])[0], pieces.encode_batch(model, [0], ["something longer to cut"])[0]) for i in range(9))
 
 
+def test_lattices_of_a_batch_are_not_held_together(monkeypatch):
+    """Many different words take little more memory than their text; in how many parts they are filtered doesn't matter."""
+    model = pieces.pieces_of_model()
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (80_000, 8))]
+    texts = [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+    tracemalloc.start()
+    parts = pieces.encode_batch(model, list(range(len(texts))), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # all lattices at once: 202 MB
+    few = [*texts[:3], "", "a b a\n日本 " + "x" * 90, words[0] * 2]
+    for size in (1, 60, 1 << 30):
+        monkeypatch.setattr(pieces, "WORD_CHARS", size)
+        again = pieces.encode_batch(model, list(range(len(few))), few)
+        assert all(np.array_equal(a, b) for a, b in zip(again[:3], parts))
+        assert all(np.array_equal(pieces.encode_batch(model, [k], [few[k]])[0], again[k]) for k in range(len(few)))
+
+
 def test_pieces_query(spark, sf_dir):
     """The whole query: ids are drawn again one text at a time by plain filtering and sampling, and decode to the text."""
     model = pieces.pieces_of_model()
