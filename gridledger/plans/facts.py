@@ -32,8 +32,8 @@ def release_of(c: str = "snapshot_id"):
     return F.expr(f"cast({c} AS bigint) div 4 % 20")
 
 
-def releases(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables that facts are made of: files, layers, pyramid, traceability and automation of each release."""
+def releases(spark: SparkSession, sf_dir: str) -> dict:
+    """The tables that facts are made of: files with their boards and warnings, layers, pyramid, coverage and automation of each release."""
     parts = sheet_parts(spark, sf_dir)
     names = spark.createDataFrame(list(LAYERS), "kind string, layer string, `order` int")
     fill = kept(Q.column_fill(parts["cells"], "snapshot_id"))
@@ -50,17 +50,18 @@ def releases(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     entries = kept(found.join(titles, "feature_at", "left").withColumn("title", F.coalesce("title", F.lit(""))))
     unread = f.filter("key IS NULL").groupBy(release_of("file").alias("release")).agg(F.count("*").alias("unresolved"))
     summary = kept(C.coverage_summary(entries, by=("release",)).join(unread, "release", "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(0).cast("long"))))
-    trace = G.traceability_facts(summary, entries, refs, ["release"])
 
     runs = parts["run_results"].groupBy(release_of().alias("release")).agg(F.sum("passed").alias("automated"), F.sum("total").alias("total"))
     runs = runs.withColumns({"coverage_pct": F.round(F.col("automated") / F.col("total") * 100, 1), "unmeasured": F.lit("")})
     band = spark.createDataFrame([(30.0, 85.0)], "low double, high double")
     automation = G.automation_facts(A.coverage_report(runs, band), ["release"])
-    return {"files": G.file_facts(files, parts, warnings), "layers": layers, "pyramid": pyramid, "traceability": trace, "automation": automation, "summary": summary, "entries": entries, "references": refs}
+    return {"files": files, "parts": parts, "warnings": warnings, "layers": layers, "pyramid": pyramid, "automation": automation, "summary": summary, "entries": entries, "references": refs}
 
 
-READ = """period string, layers array<struct<layer string, loaded boolean, records bigint, files array<struct<file string, period string, rows bigint, dashboard string, run_results struct<passed double>, status struct<passed double>, inventory struct<items double>, warnings array<struct<code string>>>>>>,
-pyramid array<struct<verdict string>>, traceability struct<features_planned bigint, forward_pct double, not_in_system array<struct<id string>>, id_mismatches array<struct<id string>>, outside array<struct<id string>>>, automation struct<coverage_pct double, position string>"""
+# What is read back of a release, its files and its other lists.
+HEAD = "period string, layers array<struct<layer string, records bigint>>, pyramid array<struct<verdict string>>, traceability struct<features_planned bigint, forward_pct double>, automation struct<coverage_pct double, position string>"
+FILES = "array<struct<file string, period string, rows bigint, dashboard string, run_results struct<passed double>, status struct<passed double>, inventory struct<items double>, warnings array<struct<code string>>>>"
+LISTS = "array<struct<id string>>"
 
 
 @query(FACTS + """, bad AS (SELECT release, count(*) FILTER (high >= low) AS violated FROM pairs GROUP BY release), latest AS (SELECT release, max('2024-' || lpad(CAST(CAST(snapshot_id AS BIGINT) % 12 + 1 AS VARCHAR), 2, '0')) AS period FROM sheet GROUP BY release),
@@ -73,15 +74,20 @@ FROM sheet s JOIN layers l ON s.release = l.release AND s.layer = l.layer JOIN l
 def facts_pack(spark, sf_dir):
     """Every release's facts as JSON, read back: layers, files with the figures of their dashboards and warnings, the
     pyramid, traceability and automation."""
-    t = releases(spark, sf_dir)
-    pack = kept(G.facts_pack(t["files"], t["layers"], ["release"], "layer", t["pyramid"], t["traceability"], t["automation"]))
-    f = pack.select("release", F.from_json("facts", READ).alias("f")).select("release", "f", F.explode("f.layers").alias("l")).select("release", "f", "l", F.explode("l.files").alias("x"))
-    return f.select(
-        "release", F.col("f.period").alias("period"), F.col("l.layer").alias("layer"), F.col("l.records").alias("records"), F.col("x.file").alias("file"), F.col("x.period").alias("file_period"), F.col("x.rows").alias("rows"), F.col("x.dashboard").alias("dashboard"),
+    t, by = releases(spark, sf_dir), ["release"]
+    files, lists = G.file_facts(t["files"], t["parts"], t["warnings"]), G.traceability_lists(t["entries"], t["references"], by)
+    pack = kept(G.facts_pack(files, t["layers"], by, "layer", t["pyramid"], G.traceability_facts(t["summary"], by), t["automation"], lists))
+    n = lambda part: F.coalesce(F.sum(F.when(F.col("part") == part, F.size(F.from_json("facts", LISTS)))), F.lit(0)).cast("long")
+    listed = pack.filter("part NOT IN ('release', 'files')").groupBy("release").agg(n("not_in_system").alias("gaps"), n("id_mismatches").alias("mismatches"), n("outside").alias("outside"))
+    head = pack.filter("part = 'release'").select("release", F.from_json("facts", HEAD).alias("f")).select(
+        "release", F.col("f.period").alias("period"), F.inline("f.layers"), F.size(F.filter("f.pyramid", lambda p: p["verdict"] == "violated")).cast("long").alias("violated"),
+        F.col("f.traceability.features_planned").alias("features_planned"), F.col("f.traceability.forward_pct").alias("forward_pct"), F.col("f.automation.coverage_pct").alias("coverage_pct"), F.col("f.automation.position").alias("position"))
+    head = head.join(listed, "release", "left").fillna(0, ["gaps", "mismatches", "outside"])  # a row for each layer of the 20 releases
+    x = pack.filter("part = 'files'").select("release", "layer", F.explode(F.from_json("facts", FILES)).alias("x")).join(F.broadcast(head), ["release", "layer"])
+    return x.select(
+        "release", "period", "layer", "records", F.col("x.file").alias("file"), F.col("x.period").alias("file_period"), F.col("x.rows").alias("rows"), F.col("x.dashboard").alias("dashboard"),
         F.coalesce("x.run_results.passed", "x.status.passed", "x.inventory.items").alias("figure"), F.array_join(F.transform(F.coalesce("x.warnings", F.array()), lambda w: w["code"]), ",").alias("warnings"),
-        F.size(F.filter("f.pyramid", lambda p: p["verdict"] == "violated")).cast("long").alias("violated"), F.col("f.traceability.features_planned").alias("features_planned"), F.col("f.traceability.forward_pct").alias("forward_pct"),
-        F.size(F.coalesce("f.traceability.not_in_system", F.array())).cast("long").alias("gaps"), F.size(F.coalesce("f.traceability.id_mismatches", F.array())).cast("long").alias("mismatches"), F.size(F.coalesce("f.traceability.outside", F.array())).cast("long").alias("outside"),
-        F.col("f.automation.coverage_pct").alias("coverage_pct"), F.col("f.automation.position").alias("position"))
+        "violated", "features_planned", "forward_pct", "gaps", "mismatches", "outside", "coverage_pct", "position")
 
 
 @query("""SELECT o_orderpriority AS release, 16::BIGINT AS digits, count(*) FILTER (o_orderstatus = 'P' AND o_orderpriority <> '5-LOW' AND month(o_orderdate) = 3) > 0 AS stale FROM orders GROUP BY 1""")
@@ -92,7 +98,7 @@ def stale_facts(spark, sf_dir):
     def pack(rows):
         layers = rows.groupBy("release", "layer").agg(F.count("*").alias("records")).withColumns({"order": F.ascii("layer"), "test_count": F.lit(None).cast("long")})
         files = layers.select("release", "layer", F.struct(F.col("layer").alias("file"), F.lit("").alias("period"), F.col("records").alias("rows")).alias("facts"))
-        return G.facts_pack(files, layers, ["release"], "layer").select("release", G.facts_hash(F.col("facts")).alias("hash"))
+        return G.facts_hash(G.facts_pack(files, layers, ["release"], "layer"), ["release"])
 
     march = (F.col("layer") == "P") & (F.col("release") != "5-LOW") & (F.month("o_orderdate") == 3)
     both = pack(o.filter(~march)).withColumnRenamed("hash", "saved").join(pack(o), "release", "full_outer")
